@@ -33,7 +33,7 @@ def _per_column(df: DataFrame, statistics: dict[str, dict[str, Column]]) -> Data
     rows = F.array(
         *[
             F.struct(
-                F.lit(name).alias("column"),
+                F.lit(name).alias("column_name"),
                 *[F.col(f"{i}_{statistic}").alias(statistic) for statistic in statistics[name]],
             )
             for i, name in enumerate(names)
@@ -123,8 +123,8 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     with many values does not meet in one task.
     """
     cells = F.array(
-        *[F.struct(F.lit(name).alias("column"), F.col(name).cast("string").alias("value")) for name in columns]
+        *[F.struct(F.lit(name).alias("column_name"), F.col(name).cast("string").alias("value")) for name in columns]
     )
-    counts = df.select(F.inline(cells)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    counts = df.select(F.inline(cells)).where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

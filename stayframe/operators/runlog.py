@@ -53,24 +53,27 @@ def runs_table(log: DataFrame, metrics: Sequence[str]) -> DataFrame:
     )
 
 
+def store_log(log: DataFrame, path: str) -> None:
+    """Store a log so that one experiment's rows lie together, in as many files as they need."""
+    log.repartitionByRange("experiment_id", "run_id", "ts", "event_id").sortWithinPartitions(
+        "experiment_id", "run_id"
+    ).write.mode("overwrite").parquet(path)
+
+
 def experiment_runs(log: DataFrame, experiment_id, metrics: Sequence[str]) -> DataFrame:
     """The runs of one experiment; the filter reaches the scan."""
     return runs_table(log.where(F.col("experiment_id") == F.lit(experiment_id)), metrics)
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    return runs.orderBy(F.desc("start_time"), "run_id").limit(1)
+    """The run that started last; among equal start times the largest run id."""
+    return runs.orderBy(F.desc("start_time"), F.desc("run_id")).limit(1)
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """The latest run of every experiment, combined map-side: an experiment's runs do not meet in one task.
-
-    As in :func:`latest_run`, the smaller run id wins among equal start times.
-    """
+    """The latest run of every experiment, combined map-side: an experiment's runs do not meet in one task."""
     others = [name for name in runs.columns if name not in (*RUN, "start_time")]
-    # min by descending time: turn the time into a number that falls as time rises.
-    age = F.struct((-F.unix_micros(F.col("start_time").cast("timestamp"))).alias("age"), "run_id", "start_time", *others)
-    newest = runs.groupBy("experiment_id").agg(F.min(age).alias("newest"))
+    newest = runs.groupBy("experiment_id").agg(F.max(F.struct("start_time", "run_id", *others)).alias("newest"))
     return newest.select("experiment_id", *[F.col(f"newest.{name}").alias(name) for name in runs.columns[1:]])
 
 

@@ -15,6 +15,8 @@ from stayframe.operators.numbering import number_within
 VERSION = ["model", "version_key"]
 # The stages a version may be deleted in.
 DELETABLE = ["Archived", "None"]
+# The stages whose older holders a change can archive.
+ACTIVE = ["Staging", "Production"]
 
 
 def _moment():
@@ -64,7 +66,7 @@ def _with_archiving(log: DataFrame, versions: DataFrame) -> DataFrame:
         .agg(F.max(_moment()).alias("archived_at"))
     )
     joined = lookup(versions, archiving, ["model", "stage"])
-    overtaken = F.col("stage").isin("Staging", "Production") & (F.col("archived_at") > F.col("staged_at"))
+    overtaken = F.col("stage").isin(*ACTIVE) & (F.col("archived_at") > F.col("staged_at"))
     return joined.withColumn("stage", F.when(overtaken, "Archived").otherwise(F.col("stage"))).drop("archived_at")
 
 
