@@ -5,13 +5,15 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.operators.prepare import assembler
+from stayframe.operators.prepare import assembler, stable_layout
+from stayframe.session import ensure_checkpoints
 
 # The parameter sets that are trained and compared.
 FOREST_V1 = {"n_estimators": 200, "max_depth": 10, "max_features": 1, "min_samples_leaf": 5, "random_state": 42}
@@ -65,6 +67,19 @@ def boosting(features: Sequence[str], label: str, params: Mapping = {}) -> Pipel
     return Pipeline(stages=[assembler(features), regression])
 
 
+def fit_trees(candidates: Mapping[str, Pipeline], train: DataFrame, keys: Sequence[str]) -> dict[str, PipelineModel]:
+    """Fit tree models on the same rows, repeatably: see :func:`stable_layout`. ``keys`` identify a row.
+
+    The rows are read many times and kept meanwhile; long boosting cuts its lineage with checkpoints.
+    """
+    ensure_checkpoints(train.sparkSession)
+    kept = stable_layout(train, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {name: candidate.fit(kept) for name, candidate in candidates.items()}
+    finally:
+        kept.unpersist()
+
+
 def metric_columns(label: str | Column = "price", prediction: str | Column = "prediction") -> dict[str, Column]:
     """Aggregates for r2, mse, rmse and mae; use them in one ``agg``, grouped or not."""
     y = F.col(label) if isinstance(label, str) else label
@@ -92,8 +107,6 @@ def evaluate_splits(model: PipelineModel, train: DataFrame, test: DataFrame, lab
 
 def importances(model: PipelineModel) -> DataFrame:
     """(Feature, Importance), most important first. One row per model input: metadata, not data."""
-    from pyspark.sql import SparkSession
-
     inputs = model.stages[-2].getInputCols()
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(name, float(weight)) for name, weight in zip(inputs, weights, strict=True)]
@@ -118,16 +131,12 @@ def signature(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1, numPartitions=1).select(F.inline(rows))
 
 
-def compare(
-    candidates: Mapping[str, Pipeline], train: DataFrame, test: DataFrame, label: str
-) -> tuple[dict[str, PipelineModel], DataFrame]:
-    """Train each candidate on the same rows: the models, and their train and test metrics side by side."""
-    models = {name: candidate.fit(train) for name, candidate in candidates.items()}
+def compare(models: Mapping[str, PipelineModel], train: DataFrame, test: DataFrame, label: str) -> DataFrame:
+    """Train and test metrics of several models side by side, one row per model."""
     measured = None
     for name, model in models.items():
         rows = evaluate_splits(model, train, test, label).withColumn("run", F.lit(name))
         measured = rows if measured is None else measured.unionByName(rows)
-    wide = measured.groupBy("run").pivot("split", ["train", "test"]).agg(
+    return measured.groupBy("run").pivot("split", ["train", "test"]).agg(
         *[F.max(metric).alias(metric) for metric in METRICS]
     )
-    return models, wide

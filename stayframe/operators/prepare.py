@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Imputer, ImputerModel, OneHotEncoder, StringIndexer, VectorAssembler
@@ -13,6 +14,10 @@ from stayframe.functions.rows import key_percentile
 # Fixed value: the test share of a split when none is given.
 DEFAULT_TEST_SHARE = 0.25
 
+# Rows per partition of a stable layout, and the number of partitions that small data is spread over.
+ROWS_PER_PARTITION = 100_000
+SMALL_PARTITIONS, SMALL_ROWS = 8, 1_000
+
 
 def mean_fill(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, ImputerModel]:
     """Fill nulls (and NaN) with the column mean, in place; also returns the fitted imputer for other frames."""
@@ -20,15 +25,19 @@ def mean_fill(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Imputer
     return imputer.transform(df), imputer
 
 
-def key_split(df: DataFrame, key: str, test_share: float = DEFAULT_TEST_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of an integer key, in whole percent: the same rows on every run and partitioning.
+def key_split(
+    df: DataFrame, key: str, test_share: float = DEFAULT_TEST_SHARE, seed: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by a hash of the key, in whole percent: the same rows on every run and partitioning.
 
-    All rows of a key fall on the same side. A null key is in training.
+    All rows of a key fall on the same side. Without a seed the key is an integer, and a null key is in training.
+    To split one side again, give a seed: the unseeded hash is the one that chose the side.
     """
     percent = round(test_share * 100)
     if not 0 < percent < 100:
         raise ValueError(f"test_share {test_share} leaves one side empty")
-    in_test = F.coalesce(key_percentile(key) >= 100 - percent, F.lit(False))
+    position = key_percentile(key) if seed is None else F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    in_test = F.coalesce(position >= 100 - percent, F.lit(False))
     return df.where(~in_test), df.where(in_test)
 
 
@@ -57,9 +66,14 @@ def category_stages(columns: Sequence[str]) -> tuple[list, list[str]]:
     ], encoded
 
 
-def stable_layout(df: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:
-    """Fix which rows share a partition and in which order. Bagged trees draw per partition, so equal layout and seed
-    give equal trees wherever the job runs. ``keys`` identify a row."""
+def stable_layout(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fix which rows share a partition and in which order, by nothing but the rows.
+
+    Bagged trees draw per partition, so equal rows and seed then give equal trees on any cluster. ``keys`` identify a
+    row. Counting the rows is one more pass.
+    """
+    n_rows = df.count()
+    partitions = max(1, math.ceil(n_rows / ROWS_PER_PARTITION), min(SMALL_PARTITIONS, math.ceil(n_rows / SMALL_ROWS)))
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
 

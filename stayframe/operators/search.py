@@ -71,7 +71,7 @@ def regress(
     labelled = df.where(F.col(target_col).isNotNull()).select(
         key, F.col(target_col).cast("double").alias(target_col), *[F.col(name).cast("double") for name in numbers], *strings
     )
-    train, held_out = key_split(labelled, key, 0.2)
+    train, held_out = key_split(labelled, key, 0.2, seed)
     # Preparation is fitted once; its output is what all trials read.
     prepared = Pipeline(stages=[*stages, assembler([*[f"{name}_filled" for name in numbers], *encoded])]).fit(train)
     train, held_out = (
@@ -99,8 +99,10 @@ def regress(
     finally:
         train.unpersist()
         held_out.unpersist()
+    if any(result["metrics"]["mse"] is None for result in done):
+        raise ValueError("no rows were held out to measure the trials on")
     sign = -1 if larger_is_better(primary_metric) else 1
-    best = min(done, key=lambda result: (sign * result["metrics"][primary_metric], result["trial"]))
+    best = min(done, key=lambda result: (sign * (result["metrics"][primary_metric] or 0.0), result["trial"]))
     rows = [
         (result["trial"], result["kind"], json.dumps(result["params"], sort_keys=True), metric, value)
         for result in done

@@ -130,11 +130,11 @@ def f5_overwrite_grows(spark, sf_dir):
     return rounded(updated_store(spark, sf_dir).read_table(NAME), ["average_review_score"])
 
 
-@query("f6_read_newest", over("features", f"SELECT id, bedrooms, review_scores_value IS NULL AS retired, {_MEAN} FROM features"))
+@query("f6_read_newest", over("features", f"SELECT id, bedrooms, true AS retired, {_MEAN} FROM features"))
 def f6_read_newest(spark, sf_dir):
     newest = updated_store(spark, sf_dir).read_table(NAME)
     rows = newest.select("id", "bedrooms", F.isnull("review_scores_value").alias("retired"), "average_review_score")
-    return rounded(rows, ["average_review_score"]).withColumn("retired", F.col("retired"))
+    return rounded(rows, ["average_review_score"])
 
 
 @query("f7_read_as_of", over("features", "SELECT * FROM features"))

@@ -26,7 +26,7 @@ _LATEST = "(SELECT run_id FROM runs ORDER BY start_time DESC, run_id DESC LIMIT
         "runs",
         "SELECT run_id AS trial, 'purchase' AS metric, purchase AS value FROM runs WHERE purchase IS NOT NULL "
         "ORDER BY purchase DESC, run_id LIMIT 1",
-    ).replace("run_id AS trial", "run_id AS trial"),
+    ),
 )
 def i4_best_trial(spark, sf_dir):
     """The run log as a trial table; the larger value is taken as better."""
@@ -176,8 +176,9 @@ def k6_deletion_requests(spark, sf_dir):
     over("ended", "SELECT model, version_key, version FROM numbered WHERE model NOT IN (SELECT model FROM ended)"),
 )
 def k7_deleted_models(spark, sf_dir):
-    """Models whose last change archived something count as deleted; the versions of the others are left."""
+    """Models with more changes to Archived than to Production count as deleted; the others' versions are left."""
     log = changes_of(spark, sf_dir)
-    last = log.groupBy("model").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"))
-    left = versions.without_deleted_models(versions.fold_versions(log), last.where("stage = 'Archived'"))
+    balance = F.count_if(F.col("stage") == "Archived") - F.count_if(F.col("stage") == "Production")
+    deleted = log.groupBy("model").agg(balance.alias("balance")).where("balance > 0")
+    left = versions.without_deleted_models(versions.fold_versions(log), deleted)
     return versions.number_versions(left.select("model", "version_key", "first_ts")).drop("first_ts")

@@ -1,6 +1,5 @@
 """Training, evaluation, scoring and model search."""
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from stayframe.operators import models, prepare, search
@@ -35,10 +34,7 @@ def h1_linear_regression(spark, sf_dir):
 
 
 def split_tracking(spark, sf_dir, share):
-    """Training and test rows, in a layout that makes seeded trees repeatable; several trees read them, so they are kept."""
-    rows = tracking_rows(load_listings(spark, sf_dir))
-    train, test = prepare.key_split(rows, "id", share)
-    return prepare.stable_layout(train, ["id"], 8).persist(StorageLevel.MEMORY_AND_DISK), test
+    return prepare.key_split(tracking_rows(load_listings(spark, sf_dir)), "id", share)
 
 
 def _inputs(rows):
@@ -49,8 +45,8 @@ def _inputs(rows):
 def h2_random_forest(spark, sf_dir):
     """Predictions of the larger forest on the held-out rows."""
     train, test = split_tracking(spark, sf_dir, prepare.DEFAULT_TEST_SHARE)
-    model = models.forest(_inputs(train), "price", models.FOREST_V1).fit(train)
-    train.unpersist()
+    candidate = models.forest(_inputs(train), "price", models.FOREST_V1)
+    model = models.fit_trees({"forest": candidate}, train, ["id"])["forest"]
     return model.transform(test).select("id", "price", "prediction")
 
 
@@ -81,10 +77,9 @@ def h3_boosted_trees(spark, sf_dir):
     store = tables.store_with_features(spark, sf_dir)
     training, rows = _training(store, spark, sf_dir)
     train, test = prepare.key_split(rows, "id", 0.2)
-    train = prepare.stable_layout(train, ["id"], 8).persist(StorageLevel.MEMORY_AND_DISK)
     inputs = [name for name in training.features if name != "id"]
-    model = models.boosting(inputs, "price", models.BOOSTING_V1).fit(train)
-    train.unpersist()
+    candidate = models.boosting(inputs, "price", models.BOOSTING_V1)
+    model = models.fit_trees({"boosting": candidate}, train, ["id"])["boosting"]
     return model.transform(test).select("id", "price", "prediction")
 
 
@@ -137,9 +132,8 @@ def h6_errors(spark, sf_dir):
 @query("h7_importances")
 def h7_importances(spark, sf_dir):
     train, _ = split_tracking(spark, sf_dir, 0.1)
-    model = models.forest(_inputs(train), "price", models.FOREST_TRACKED).fit(train)
-    train.unpersist()
-    return models.importances(model)
+    candidate = models.forest(_inputs(train), "price", models.FOREST_TRACKED)
+    return models.importances(models.fit_trees({"forest": candidate}, train, ["id"])["forest"])
 
 
 @query(
@@ -219,8 +213,7 @@ def h12_compare_parameters(spark, sf_dir):
         "forest_1": models.forest(inputs, "price", models.FOREST_V1),
         "forest_2": models.forest(inputs, "price", models.FOREST_V2),
     }
-    _, measured = models.compare(candidates, train, test, "price")
-    return measured
+    return models.compare(models.fit_trees(candidates, train, ["id"]), train, test, "price")
 
 
 def _search(spark, sf_dir, **options):

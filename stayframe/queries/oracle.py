@@ -119,8 +119,8 @@ VIEWS = {
         SELECT 1 FROM version_log a WHERE a.model = c.model AND a.stage = c.stage AND a.archive_existing
           AND (a.ts > c.ts OR (a.ts = c.ts AND a.event_id > c.event_id))) THEN 'Archived' ELSE c.stage END AS stage
         FROM last_change c""",
-    "ended": """SELECT model FROM (SELECT model, stage, row_number() OVER (
-        PARTITION BY model ORDER BY ts DESC, event_id DESC) AS rn FROM version_log) WHERE rn = 1 AND stage = 'Archived'""",
+    "ended": """SELECT model FROM version_log GROUP BY model
+        HAVING count(*) FILTER (WHERE stage = 'Archived') > count(*) FILTER (WHERE stage = 'Production')""",
 }
 
 
