@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from stayframe.operators.joins import lookup
 from stayframe.sources import storage
-from stayframe.sources.snapshots import NoSuchVersion, SnapshotTable, utc
+from stayframe.sources.snapshots import NoSuchVersion, SnapshotTable, stored_schema, utc
 
 _META_SCHEMA = "location string, primary_keys array<string>, description string, partition_columns array<string>"
 _MODEL_SCHEMA = "version bigint, ts timestamp, meta string"
@@ -65,16 +65,22 @@ class ResolvedLookup:
 class TrainingSet:
     """Spine, looked-up features and label; a lazy frame until a model is fitted on it."""
 
-    def __init__(self, store: FeatureStore, spine: DataFrame, lookups: list[ResolvedLookup], label: str, exclude: list[str]):
-        self.store = store
+    def __init__(
+        self,
+        spine: DataFrame,
+        lookups: list[ResolvedLookup],
+        sources: list[DataFrame],
+        label: str,
+        exclude: list[str],
+    ):
         self.spine = spine
         self.lookups = lookups
+        self.sources = sources
         self.label = label
         self.exclude = exclude
 
     def load_df(self) -> DataFrame:
-        joined = self.store.join_features(self.spine, self.lookups, {})
-        return joined.drop(*self.exclude)
+        return join_features(self.spine, self.lookups, self.sources).drop(*self.exclude)
 
     @property
     def features(self) -> list[str]:
@@ -99,6 +105,14 @@ def require_unique_keys(stored: DataFrame, keys: Sequence[str]) -> None:
         raise KeyViolation(f"a key in {list(keys)} occurs {found['worst']} times")
 
 
+def join_features(df: DataFrame, lookups: Sequence[ResolvedLookup], sources: Sequence[DataFrame]) -> DataFrame:
+    """Add looked-up features to rows; ``sources`` are the tables of the lookups, in their order."""
+    for item, source in zip(lookups, sources, strict=True):
+        keys = [F.col(key).alias(wanted) for key, wanted in zip(item.primary_keys, item.lookup_keys, strict=True)]
+        df = lookup(df, source.select(*keys, *item.features), item.lookup_keys)
+    return df
+
+
 class FeatureStore:
     """Feature tables and models below one folder that all executors can reach."""
 
@@ -128,9 +142,10 @@ class FeatureStore:
         elif schema is not None:
             df = df.select([F.col(field.name).cast(field.dataType).alias(field.name) for field in schema])
         location = f"{self._table_root(name)}/data"
-        self._write(location, df, list(primary_keys), list(partition_columns), "CREATE", at)
-        self._describe(name, location, primary_keys, description, partition_columns)
-        return self.get_table(name)
+        keys, partitions = list(primary_keys), list(partition_columns)
+        self._write(location, df, keys, partitions, "CREATE", at)
+        self._describe(name, location, keys, description, partitions)
+        return FeatureTable(name, location, keys, [c for c in df.columns if c not in keys], description, partitions)
 
     def register_table(self, name: str, location: str, primary_keys: Sequence[str], description: str = "") -> FeatureTable:
         """Make an existing snapshot table a feature table, if its newest version has proper keys."""
@@ -144,15 +159,15 @@ class FeatureStore:
         """Store the next version. New columns appear; columns the frame lacks stay, as null."""
         if mode != "overwrite":
             raise ValueError(f"unknown mode {mode!r}")
-        table = self.get_table(name)
-        return self._write(table.location, df, table.primary_keys, table.partition_columns, "OVERWRITE", at)
+        meta = self._meta(name)
+        return self._write(meta.location, df, meta.primary_keys, meta.partition_columns, "OVERWRITE", at)
 
     def read_table(self, name: str, as_of: datetime | str | None = None, version: int | None = None) -> DataFrame:
         return self._snapshots(name).read(version, as_of)
 
     def get_table(self, name: str) -> FeatureTable:
         meta = self._meta(name)
-        schema = T.StructType.fromJson(json.loads(SnapshotTable(self.spark, meta.location).entry().schema))
+        schema = stored_schema(SnapshotTable(self.spark, meta.location).entry())
         features = [column for column in schema.names if column not in meta.primary_keys]
         return FeatureTable(
             name, meta.location, list(meta.primary_keys), features, meta.description, list(meta.partition_columns)
@@ -182,21 +197,15 @@ class FeatureStore:
         if label not in df.columns:
             raise ValueError(f"no label column {label}")
         exclude = [exclude_columns] if isinstance(exclude_columns, str) else list(exclude_columns)
-        resolved = [self._resolve(item) for item in lookups]
+        resolved, sources = [], []
+        for item in lookups:
+            found, source = self._resolve(item)
+            resolved.append(found)
+            sources.append(source)
         names = [*df.columns, *[feature for item in resolved for feature in item.features]]
         if len(set(names)) < len(names):
             raise ValueError(f"columns meet twice: {sorted({name for name in names if names.count(name) > 1})}")
-        return TrainingSet(self, df, resolved, label, exclude)
-
-    def join_features(self, df: DataFrame, lookups: Sequence[ResolvedLookup], versions: dict[str, int]) -> DataFrame:
-        """Add looked-up features to rows; ``versions`` overrides the version recorded for a table."""
-        for item in lookups:
-            source = self.read_table(item.table, version=versions.get(item.table, item.version))
-            renamed = [
-                F.col(key).alias(wanted) for key, wanted in zip(item.primary_keys, item.lookup_keys, strict=True)
-            ]
-            df = lookup(df, source.select(*renamed, *item.features), item.lookup_keys)
-        return df
+        return TrainingSet(df, resolved, sources, label, exclude)
 
     # --- models
 
@@ -261,17 +270,18 @@ class FeatureStore:
         if missing:
             raise SignatureMismatch(f"missing columns {missing}")
         lookups = [ResolvedLookup(**item) for item in meta["lookups"]]
-        versions = {}
+        sources = []
         for item in lookups:
-            entry = self._snapshots(item.table).entry(as_of=as_of)
+            snapshots = self._snapshots(item.table)
+            entry = snapshots.entry(as_of=as_of)
             retired = [feature for feature in item.features if feature not in entry.columns]
             if retired:
                 raise RetiredFeature(
                     f"{item.table} version {entry.version} has no {retired}; "
                     f"the model was trained on version {item.version}: give as_of"
                 )
-            versions[item.table] = entry.version
-        rows = self.join_features(df, lookups, versions)
+            sources.append(snapshots.scan(entry))
+        rows = join_features(df, lookups, sources)
         scored = self.load_model(name, version).transform(rows)
         return scored.select(*rows.columns, F.col("prediction").cast(result_type).alias("prediction"))
 
@@ -314,15 +324,18 @@ class FeatureStore:
             check=lambda stored: require_unique_keys(stored, primary_keys),
         )
 
-    def _resolve(self, item: FeatureLookup) -> ResolvedLookup:
-        table = self.get_table(item.table_name)
-        entry = SnapshotTable(self.spark, table.location).entry()
+    def _resolve(self, item: FeatureLookup) -> tuple[ResolvedLookup, DataFrame]:
+        meta = self._meta(item.table_name)
+        snapshots = SnapshotTable(self.spark, meta.location)
+        entry = snapshots.entry()
         keys = [item.lookup_key] if isinstance(item.lookup_key, str) else list(item.lookup_key)
-        features = list(item.feature_names) if item.feature_names is not None else table.features
-        unknown = [feature for feature in features if feature not in table.features]
+        known = [name for name in stored_schema(entry).names if name not in meta.primary_keys]
+        features = known if item.feature_names is None else list(item.feature_names)
+        unknown = [feature for feature in features if feature not in known]
         if unknown:
             raise ValueError(f"{item.table_name} has no {unknown}")
-        return ResolvedLookup(item.table_name, table.primary_keys, keys, features, entry.version)
+        resolved = ResolvedLookup(item.table_name, list(meta.primary_keys), keys, features, entry.version)
+        return resolved, snapshots.scan(entry)
 
 
 def model_inputs(model: PipelineModel) -> set[str]:

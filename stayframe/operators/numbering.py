@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayframe.session import ensure_checkpoints
+from stayframe.session import new_workspace
 
 
 def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], into: str) -> DataFrame:
@@ -16,10 +16,13 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], int
 
     The rows are cut into sorted slices by range, so a large group spans many of them. A row's number is the count of
     its group's rows in earlier slices plus its rank within the slice; only the counts, one per group and slice, are
-    added up per group. The slices are checkpointed: cutting them again after a lost executor could cut elsewhere.
+    added up per group. The slices are written out: cutting them again after a lost executor could cut elsewhere.
     """
-    ensure_checkpoints(df.sparkSession)
-    sliced = df.repartitionByRange(*group, *order).withColumn("_slice", F.spark_partition_id()).checkpoint()
+    spark = df.sparkSession
+    path = new_workspace(spark, "slices")
+    sliced = df.repartitionByRange(*group, *order).withColumn("_slice", F.spark_partition_id())
+    sliced.write.parquet(path)
+    sliced = spark.read.schema(sliced.schema).parquet(path)
     keys = [*group, "_slice"]
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sliced.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn(

@@ -1,15 +1,18 @@
-"""Counts, means, summary statistics and data profiles, each in one pass over the table."""
+"""Counts, means, summary statistics and data profiles."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rank error of the percentile sketch is 1 / accuracy.
-PERCENTILE_ACCURACY = 100_000
+QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+# Values of a column are counted in this many equal ranges per pass.
+RANGES = 4_096
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -20,36 +23,34 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [field.name for field in df.schema if isinstance(field.dataType, T.NumericType)]
 
 
-def _per_column(df: DataFrame, statistics: dict[str, dict[str, Column]]) -> DataFrame:
-    """One aggregate for all columns, then one row per column: ``{column: {statistic: expression}}``."""
-    names = list(statistics)
-    wide = df.agg(
-        *[
-            expression.alias(f"{i}_{statistic}")
-            for i, name in enumerate(names)
-            for statistic, expression in statistics[name].items()
-        ]
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("column_name"),
-                *[F.col(f"{i}_{statistic}").alias(statistic) for statistic in statistics[name]],
-            )
-            for i, name in enumerate(names)
-        ]
-    )
-    return wide.select(F.inline(rows))
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _per_column(df: DataFrame, statistics: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """One aggregate for all columns, then one row per column: ``{column: {statistic: SQL expression}}``.
+
+    SQL text, because a wide table has hundreds of these expressions, and each would be several calls to the JVM.
+    """
+    aggregates, rows = [], []
+    for i, (name, measures) in enumerate(statistics.items()):
+        aggregates += [f"{expression} AS `{i}_{measure}`" for measure, expression in measures.items()]
+        fields = ", ".join(f"'{measure}', `{i}_{measure}`" for measure in measures)
+        rows.append(f"named_struct('column_name', {_text(name)}, {fields})")
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def column_info(df: DataFrame) -> DataFrame:
     """Position, type and non-null count of every column."""
-    types = dict(df.dtypes)
     return _per_column(
         df,
         {
-            name: {"position": F.lit(i), "type": F.lit(types[name]), "non_null": F.count(F.col(name))}
-            for i, name in enumerate(df.columns)
+            name: {"position": str(i), "type": _text(kind), "non_null": f"count({_quoted(name)})"}
+            for i, (name, kind) in enumerate(df.dtypes)
         },
     )
 
@@ -65,55 +66,122 @@ def mean_by_group(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n_rows"), F.avg(value).alias(f"avg_{value}"))
 
 
-def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, standard deviation, minimum, median and maximum of numeric columns, one typed row per column."""
-    return _per_column(
-        df,
-        {
-            name: {
-                "count": F.count(name),
-                "mean": F.avg(name),
-                "stddev": F.stddev_samp(name),
-                "min": F.min(name).cast("double"),
-                "median": F.percentile_approx(name, 0.5, PERCENTILE_ACCURACY).cast("double"),
-                "max": F.max(name).cast("double"),
-            }
-            for name in (columns or numeric_columns(df))
-        },
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float] = QUARTILES) -> DataFrame:
+    """Exact quantiles of number columns, as doubles: the smallest value that at least a share ``p`` of the values do
+    not exceed. Nulls and NaN do not count.
+
+    Each pass counts the values in equal ranges between two bounds and goes on with the range that holds the wanted
+    rank, until one value is left there: two or three passes for usual data. No pass shuffles more than ``RANGES``
+    counts per column and task, and only ranks and bounds reach the driver.
+    """
+    spark = df.sparkSession
+    numbers = df.selectExpr(*[f"nanvl(double({_quoted(name)}), NULL) AS `{i}`" for i, name in enumerate(columns)])
+    limits = numbers.selectExpr(
+        *[f"{of}(`{i}`) AS `{of}_{i}`" for i in range(len(columns)) for of in ("count", "min", "max")]
+    ).first()
+    found, wanted = [], []
+    for i in range(len(columns)):
+        for label, p in probabilities.items():
+            rank = max(1, math.ceil(p * limits[f"count_{i}"]))
+            wanted.append(_Target(i, label, rank, limits[f"min_{i}"], limits[f"max_{i}"]))
+    while wanted:
+        found += [(columns[target.column], target.label, target.low) for target in wanted if target.low == target.high]
+        wanted = [target for target in wanted if target.low != target.high]
+        if wanted:
+            wanted = _narrowed(numbers, wanted)
+    long = spark.createDataFrame(found, "column_name string, label string, value double")
+    return long.groupBy("column_name").pivot("label", list(probabilities)).agg(F.first("value"))
+
+
+class _Target(NamedTuple):
+    """A wanted rank among the values of a column from ``low`` to ``high``."""
+
+    column: int
+    label: str
+    rank: int
+    low: float
+    high: float
+
+
+def _narrowed(numbers: DataFrame, wanted: list[_Target]) -> list[_Target]:
+    """The same targets, each with the bounds of the range that holds it and its rank within them."""
+    spans = sorted({(target.column, target.low, target.high) for target in wanted})
+    cells = []
+    for i, (column, low, high) in enumerate(spans):
+        # Halves, so that the width of a span cannot overflow.
+        width = f"({high!r}D / 2 - {low!r}D / 2)"
+        place = f"least(floor((`{column}` / 2 - {low!r}D / 2) / {width} * {RANGES}), {RANGES - 1})"
+        cell = f"named_struct('span', {i}, 'place', {place}, 'value', `{column}`)"
+        cells.append(f"if(`{column}` BETWEEN {low!r}D AND {high!r}D, {cell}, NULL)")
+    counted = (
+        numbers.selectExpr(f"inline(array_compact(array({', '.join(cells)})))")
+        .groupBy("span", "place")
+        .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    )
+    targets = numbers.sparkSession.createDataFrame(
+        [(i, spans.index((target.column, target.low, target.high)), target.rank) for i, target in enumerate(wanted)],
+        "target int, span int, rank long",
+    )
+    hits = (
+        counted.withColumn("up_to", F.sum("n").over(Window.partitionBy("span").orderBy("place")))
+        .join(F.broadcast(targets), "span")
+        .where("rank <= up_to AND rank > up_to - n")
+        .selectExpr("target", "low", "high", "rank - (up_to - n) AS rank")
+        .collect()
     )
+    return [wanted[hit.target]._replace(rank=hit.rank, low=hit.low, high=hit.high) for hit in hits]
+
+
+def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Count, mean, standard deviation, minimum, maximum and quartiles of number columns, one typed row per column."""
+    columns = columns or numeric_columns(df)
+    measured = _per_column(df, {name: {"count": f"count({_quoted(name)})", **_measures(name)} for name in columns})
+    return measured.join(F.broadcast(quantiles(df, columns)), "column_name")
+
+
+def _measures(name: str) -> dict[str, str]:
+    column = _quoted(name)
+    return {
+        "mean": f"double(avg({column}))",
+        "stddev": f"double(stddev_samp({column}))",
+        "min": f"double(min({column}))",
+        "max": f"double(max({column}))",
+    }
 
 
 def text_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, minimum and maximum in string order, which for money strings is not the order of the amounts."""
     return _per_column(
         df,
-        {name: {"count": F.count(name), "min": F.min(name), "max": F.max(name)} for name in columns},
+        {
+            name: {of: f"{of}({_quoted(name)})" for of in ("count", "min", "max")}
+            for name in columns
+        },
     )
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row per column: rows, nulls, estimated distinct values; for numbers also mean, stddev, min, median, max."""
-    numbers = set(numeric_columns(df))
-    measures = {
-        "mean": F.avg,
-        "stddev": F.stddev_samp,
-        "min": F.min,
-        "median": lambda name: F.percentile_approx(name, 0.5, PERCENTILE_ACCURACY),
-        "max": F.max,
-    }
-    no_number = F.lit(None).cast("double")
-    return _per_column(
+def profile(df: DataFrame, medians: bool = True) -> DataFrame:
+    """One row per column: rows, nulls, estimated distinct values; for numbers also mean, stddev, min, max, median.
+
+    The medians are exact and take further passes; all else is one.
+    """
+    numbers = numeric_columns(df)
+    missing = {measure: "double(NULL)" for measure in ("mean", "stddev", "min", "max")}
+    measured = _per_column(
         df,
         {
             name: {
-                "n_rows": F.count("*"),
-                "n_null": F.count("*") - F.count(name),
-                "distinct_estimate": F.approx_count_distinct(name),
-                **{key: of(name).cast("double") if name in numbers else no_number for key, of in measures.items()},
+                "n_rows": "count(*)",
+                "n_null": f"count(*) - count({_quoted(name)})",
+                "distinct_estimate": f"approx_count_distinct({_quoted(name)})",
+                **(_measures(name) if name in numbers else missing),
             }
             for name in df.columns
         },
     )
+    if not medians:
+        return measured
+    return measured.join(F.broadcast(quantiles(df, numbers, {"median": 0.5})), "column_name", "left")
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:

@@ -26,6 +26,8 @@ _KINDS = {
     "boosting": GBTRegressor,
 }
 
+MAX_CATEGORIES = 10_000
+
 DEFAULT_GRID: dict[str, list[dict]] = {
     "linear": [{"regParam": 0.0}, {"regParam": 0.1}],
     "decision_tree": [{"maxDepth": 5}, {"maxDepth": 8}],
@@ -66,6 +68,7 @@ def regress(
     inputs = [field for field in df.schema if field.name not in (key, target_col)]
     strings = [field.name for field in inputs if isinstance(field.dataType, T.StringType)]
     numbers = [field.name for field in inputs if isinstance(field.dataType, T.NumericType)]
+    _require_few_categories(df, strings)
     stages, encoded = _preparation(numbers, strings)
 
     labelled = df.where(F.col(target_col).isNotNull()).select(
@@ -119,6 +122,16 @@ def best_trial(trials: DataFrame, metric: str) -> DataFrame:
     return trials.where(F.col("metric") == metric).orderBy(order, "trial").limit(1)
 
 
+def _require_few_categories(df: DataFrame, strings: Sequence[str]) -> None:
+    """The category lists of string columns are held on the driver, so their length has a bound."""
+    if not strings:
+        return
+    sizes = df.agg(*[F.approx_count_distinct(name).alias(name) for name in strings]).first().asDict()
+    wide = {name: size for name, size in sizes.items() if size > MAX_CATEGORIES}
+    if wide:
+        raise ValueError(f"too many categories for one-hot encoding: {wide}")
+
+
 def _preparation(numbers: Sequence[str], strings: Sequence[str]) -> tuple[list, list[str]]:
     stages: list = []
     if numbers:

@@ -41,7 +41,8 @@ def _summary_sql(columns, source):
     return " UNION ALL ".join(
         f"""SELECT '{name}' AS column_name, count({name}) AS count, round(avg({name}), 6) AS mean,
             round(stddev_samp({name}), 6) AS stddev, CAST(min({name}) AS DOUBLE) AS min,
-            CAST(quantile_disc({name}, 0.5) AS DOUBLE) AS median, CAST(max({name}) AS DOUBLE) AS max FROM {source}"""
+            CAST(quantile_disc({name}, 0.25) AS DOUBLE) AS q25, CAST(quantile_disc({name}, 0.5) AS DOUBLE) AS median,
+            CAST(quantile_disc({name}, 0.75) AS DOUBLE) AS q75, CAST(max({name}) AS DOUBLE) AS max FROM {source}"""
         for name in columns
     )
 
@@ -88,7 +89,7 @@ def c4_profile(spark, sf_dir):
 
 @query("c4_distinct_estimates")
 def c4_distinct_estimates(spark, sf_dir):
-    return profile.profile(load_listings(spark, sf_dir)).select("column_name", "n_rows", "distinct_estimate")
+    return profile.profile(load_listings(spark, sf_dir), medians=False).select("column_name", "n_rows", "distinct_estimate")
 
 
 _TOP_COLUMNS = ["bedrooms", "minimum_nights", "host_response_rate", "host_response_time", "price"]

@@ -266,4 +266,4 @@ def i5_training_profile(spark, sf_dir):
     from stayframe.operators.profile import profile
 
     train, _ = prepare.key_split(search_rows(load_listings(spark, sf_dir)), "id", 0.2)
-    return rounded(profile(train.select("price", "beds")).select("column_name", "n_rows", "n_null", "mean"), ["mean"])
+    return rounded(profile(train.select("price", "beds"), medians=False).select("column_name", "n_rows", "n_null", "mean"), ["mean"])

@@ -21,6 +21,7 @@ def read_csv(
 
     A field may span lines, so a file cannot be split: one file is one task. ``repartition`` spreads the rows of a
     few large files; many files spread by themselves. Land the result as Parquet when it is read more than once.
+    A field that equals ``null_value`` is null, quoted or not.
     """
     reader = (
         spark.read.option("header", True)
@@ -41,7 +42,7 @@ def read_csv(
 
 
 def write_csv(df: DataFrame, path: str, *, sep: str = ",", compression: str | None = None, null_value: str = "") -> None:
-    """Write CSV with a header. Empty strings are quoted, so they stay apart from nulls."""
+    """Write CSV with a header. An empty string reads back as null, unless ``null_value`` is some other text."""
     writer = (
         df.write.mode("overwrite")
         .option("header", True)

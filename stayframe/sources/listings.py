@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 REVIEW_PARTS = [
@@ -24,7 +23,7 @@ LISTINGS_SCHEMA = T.StructType(
     + [T.StructField(name, T.DoubleType()) for name in ["review_scores_rating", *REVIEW_PARTS, "latitude", "longitude"]]
 )
 
-# Factor of each review score, and the response times by id modulo 4.
+# Factor of each review score.
 _SCORE_FACTORS = {
     "review_scores_rating": 31,
     "review_scores_accuracy": 37,
@@ -34,44 +33,46 @@ _SCORE_FACTORS = {
     "review_scores_location": 53,
     "review_scores_value": 59,
 }
-_RESPONSE_TIMES = ["within an hour", "within a few hours", "within a day", "a few days or more"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _unless_multiple(divisor: int, value: str) -> str:
+    return f"if(k % {divisor} != 0, {value}, NULL)"
 
 
-def _unless_multiple(key: Column, divisor: int, value: Column) -> Column:
-    return F.when(key % divisor != 0, value)
+# Residues that make nulls, and the ranges of the numbers. k is the order key, c the customer key.
+_LISTING = {
+    "id": "k",
+    "bedrooms": _unless_multiple(10, "c % 4 + 1"),
+    "beds": _unless_multiple(13, "c % 4 + 1 + k % 2"),
+    "minimum_nights": "k % 30 + 1",
+    "availability_365": "if(c % 9 = 0, 0L, c * 7 % 366)",
+    "price": _unless_multiple(97, "concat('$', format_number(cents / 100, 2))"),
+    "host_response_rate": _unless_multiple(11, "if(k % 23 = 0, 'N/A', concat(k % 51 + 50, '%'))"),
+    "host_acceptance_rate": _unless_multiple(17, "concat(c % 61 + 40, '%')"),
+    "host_response_time": _unless_multiple(
+        19, "elt(int(k % 4) + 1, 'within an hour', 'within a few hours', 'within a day', 'a few days or more')"
+    ),
+    **{
+        name: _unless_multiple(29 if name == "review_scores_value" else 7, f"double(k * {factor} % 201 + 300) / 100")
+        for name, factor in _SCORE_FACTORS.items()
+    },
+    "latitude": "double(c * 13 % 1000 + 377000) / 10000",
+    "longitude": "double(c * 17 % 1200 - 1225000) / 10000",
+}
 
 
-def derive_listings(orders: DataFrame) -> DataFrame:
-    """One listing per order: nulls, money and percent strings, and scores at fixed residues of the keys."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    rooms = c % 4 + 1
-    cents = F.round(F.col("o_totalprice") * 100).cast("long") % 70000 + rooms * 15000 + 5000
-    response_rate = F.when(k % 23 == 0, F.lit("N/A")).otherwise(F.concat((k % 51 + 50).cast("string"), F.lit("%")))
-    response_time = F.element_at(F.array(*map(F.lit, _RESPONSE_TIMES)), (k % 4 + 1).cast("int"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def score(name: str) -> Column:
-        value = ((k * _SCORE_FACTORS[name]) % 201 + 300).cast("double") / 100
-        return _unless_multiple(k, 29 if name == "review_scores_value" else 7, value)
 
-    columns = {
-        "id": k,
-        "bedrooms": _unless_multiple(k, 10, rooms),
-        "beds": _unless_multiple(k, 13, rooms + k % 2),
-        "minimum_nights": k % 30 + 1,
-        "availability_365": F.when(c % 9 == 0, F.lit(0).cast("long")).otherwise((c * 7) % 366),
-        "price": _unless_multiple(k, 97, F.concat(F.lit("$"), F.format_number(cents / 100, 2))),
-        "host_response_rate": _unless_multiple(k, 11, response_rate),
-        "host_acceptance_rate": _unless_multiple(k, 17, F.concat((c % 61 + 40).cast("string"), F.lit("%"))),
-        "host_response_time": _unless_multiple(k, 19, response_time),
-        **{name: score(name) for name in _SCORE_FACTORS},
-        "latitude": ((c * 13) % 1000 + 377000).cast("double") / 10000,
-        "longitude": ((c * 17) % 1200 - 1225000).cast("double") / 10000,
-    }
-    return orders.select(*[column.alias(name) for name, column in columns.items()])
+def derive_listings(orders: DataFrame) -> DataFrame:
+    """One listing per order: nulls, money and percent strings, and scores at fixed residues of the keys."""
+    keys = orders.selectExpr(
+        "o_orderkey AS k",
+        "o_custkey AS c",
+        "bigint(round(o_totalprice * 100)) % 70000 + (o_custkey % 4 + 1) * 15000 + 5000 AS cents",
+    )
+    return keys.selectExpr(*[f"{value} AS {name}" for name, value in _LISTING.items()])
 
 
 def load_listings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,10 @@ def utc(moment: datetime | str | None):
     return F.lit(moment.astimezone(timezone.utc).isoformat()).cast("timestamp")
 
 
+def stored_schema(entry: Row) -> T.StructType:
+    return T.StructType.fromJson(json.loads(entry.schema))
+
+
 class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -68,7 +72,7 @@ class SnapshotTable:
         latest = self._latest()
         live = df.columns
         if schema_mode == "grow" and latest is not None:
-            df = _grown(df, T.StructType.fromJson(json.loads(latest.schema)))
+            df = _grown(df, stored_schema(latest))
         elif schema_mode not in ("replace", "grow"):
             raise ValueError(f"unknown schema_mode {schema_mode!r}")
         version = 0 if latest is None else latest.version + 1
@@ -84,8 +88,11 @@ class SnapshotTable:
 
     def read(self, version: int | None = None, as_of: datetime | str | None = None) -> DataFrame:
         """The newest version, a version by number, or the newest one at a time."""
-        entry = self.entry(version, as_of)
-        return self._scan(entry.version, T.StructType.fromJson(json.loads(entry.schema)))
+        return self.scan(self.entry(version, as_of))
+
+    def scan(self, entry: Row) -> DataFrame:
+        """The rows of a version, by its history row."""
+        return self._scan(entry.version, stored_schema(entry))
 
     def entry(self, version: int | None = None, as_of: datetime | str | None = None) -> Row:
         """The history row of a version."""
