@@ -46,7 +46,11 @@ _LISTING = {
     "beds": _unless_multiple(13, "c % 4 + 1 + k % 2"),
     "minimum_nights": "k % 30 + 1",
     "availability_365": "if(c % 9 = 0, 0L, c * 7 % 366)",
-    "price": _unless_multiple(97, "concat('$', format_number(cents / 100, 2))"),
+    "price": _unless_multiple(
+        97,
+        "concat('$', if(cents < 100000, '', concat(cents div 100000, ',')), "
+        "if(cents < 100000, string(cents div 100), lpad(cents div 100 % 1000, 3, '0')), '.', lpad(cents % 100, 2, '0'))",
+    ),
     "host_response_rate": _unless_multiple(11, "if(k % 23 = 0, 'N/A', concat(k % 51 + 50, '%'))"),
     "host_acceptance_rate": _unless_multiple(17, "concat(c % 61 + 40, '%')"),
     "host_response_time": _unless_multiple(

@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,11 +108,19 @@ def test_database_and_tables(spark, tmp_path):
     assert not spark.catalog.databaseExists("shelf")
 
 
-def test_workspace_follows_the_configured_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        assert shared_root(spark) == str(tmp_path / "shared")
-        assert new_workspace(spark, "x").startswith(str(tmp_path / "shared") + "/")
-        assert new_workspace(spark, "x") != new_workspace(spark, "x")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def _session(master, settings):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: settings.get(key, default)), sparkContext=SimpleNamespace(master=master)
+    )
+
+
+def test_workspace_follows_the_configured_folder():
+    shared = _session("spark://somewhere", {"spark.checkpoint.dir": "hdfs://shared/folder/"})
+    assert shared_root(shared) == "hdfs://shared/folder"
+    assert new_workspace(shared, "x").startswith("hdfs://shared/folder/")
+    assert new_workspace(shared, "x") != new_workspace(shared, "x")
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(_session("spark://somewhere", {}))
