@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from stayframe.functions.money import money, percent
 from stayframe.functions.rows import key_noise, row_mean, row_sum
 from stayframe.operators.numbering import duplicated_keys, store_with_row_key
-from stayframe.plans.cleaning import ETL_COLUMNS, MODEL_COLUMNS, mean_reviews
+from stayframe.plans.cleaning import ETL_COLUMNS, MODEL_COLUMNS, feature_rows, mean_reviews
 from stayframe.queries.oracle import (
     ALL_COLUMNS, DOLLARS, DOLLARS_AND_COMMAS, FRESH, complete, over, rate,
 )
@@ -138,6 +138,5 @@ def b14_expressions(spark, sf_dir):
     ),
 )
 def b11_mean_reviews(spark, sf_dir):
-    from stayframe.plans.cleaning import feature_rows
 
     return rounded(mean_reviews(feature_rows(load_listings(spark, sf_dir)).drop("price")), ["average_review_score"])

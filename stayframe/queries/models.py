@@ -194,7 +194,7 @@ def h10_input_example(spark, sf_dir):
 def h11_model_column(spark, sf_dir):
     """The model's input bound by name to another column."""
     model, _, _ = fitted_linear(spark, sf_dir)
-    listings = load_listings(spark, sf_dir).select("id", "beds").dropna("any")
+    listings = load_listings(spark, sf_dir).select("id", "beds").where("beds IS NOT NULL")
     return rounded(with_prediction(listings, model, {"bedrooms": "beds"}, "expected_price"), ["expected_price"])
 
 
