@@ -81,11 +81,11 @@ def fit_trees(candidates: Mapping[str, Pipeline], train: DataFrame, keys: Sequen
 
 
 def metric_columns(label: str | Column = "price", prediction: str | Column = "prediction") -> dict[str, Column]:
-    """Aggregates for r2, mse, rmse and mae; use them in one ``agg``, grouped or not."""
+    """Aggregates for r2, mse, rmse and mae; use them in one ``agg``, grouped or not. r2 of a constant label is null."""
     y = F.col(label) if isinstance(label, str) else label
     error = y - (F.col(prediction) if isinstance(prediction, str) else prediction)
     mse = F.avg(error * error)
-    return {"r2": 1 - mse / F.var_pop(y), "mse": mse, "rmse": F.sqrt(mse), "mae": F.avg(F.abs(error))}
+    return {"r2": 1 - F.try_divide(mse, F.var_pop(y)), "mse": mse, "rmse": F.sqrt(mse), "mae": F.avg(F.abs(error))}
 
 
 def evaluate(predictions: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:

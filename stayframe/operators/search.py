@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayframe.operators.models import METRICS, evaluate
-from stayframe.operators.prepare import assembler, category_stages, key_split
+from stayframe.operators.prepare import assembler, category_stages, key_split, stable_layout
+from stayframe.session import ensure_checkpoints
 
 _KINDS = {
     "linear": LinearRegression,
@@ -77,10 +78,10 @@ def regress(
     train, held_out = key_split(labelled, key, 0.2, seed)
     # Preparation is fitted once; its output is what all trials read.
     prepared = Pipeline(stages=[*stages, assembler([*[f"{name}_filled" for name in numbers], *encoded])]).fit(train)
-    train, held_out = (
-        prepared.transform(part).select(key, target_col, "features").persist(StorageLevel.MEMORY_AND_DISK)
-        for part in (train, held_out)
-    )
+    train, held_out = (prepared.transform(part).select(key, target_col, "features") for part in (train, held_out))
+    ensure_checkpoints(df.sparkSession)
+    train = stable_layout(train, [key]).persist(StorageLevel.MEMORY_AND_DISK)
+    held_out = held_out.persist(StorageLevel.MEMORY_AND_DISK)
     candidates = [(kind, dict(params)) for kind, sets in grid.items() for params in sets]
     started = time.monotonic()
 

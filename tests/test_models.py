@@ -147,3 +147,8 @@ def test_search_out_of_time_runs_one_trial(listings):
     assert {row.trial for row in summary.trials.collect()} == {0}
     with pytest.raises(ValueError):
         search.regress(search_rows(listings), "price", "id", primary_metric="accuracy")
+
+
+def test_constant_label_has_no_r2(spark):
+    measured = models.evaluate(spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "y double, prediction double"), "y").first()
+    assert measured.r2 is None and measured.mse == 0.5
