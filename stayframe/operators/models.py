@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayframe.operators.prepare import assembler, stable_layout
+from stayframe.operators.profile import column_info, row_count
 from stayframe.session import ensure_checkpoints
 
 # The parameter sets that are trained and compared.
@@ -121,14 +122,11 @@ def vector_columns(df: DataFrame, vector: str, names: Sequence[str]) -> DataFram
 
 
 def signature(df: DataFrame) -> DataFrame:
-    """Position, name and type of a frame's columns."""
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(name).alias("name"), F.lit(kind).alias("type"))
-            for i, (name, kind) in enumerate(df.dtypes)
-        ]
+    """Position, name and type of a frame's columns, and whether each is required: it holds no null in the data."""
+    info = column_info(df)
+    return info.crossJoin(F.broadcast(row_count(df))).select(
+        "position", F.col("column_name").alias("name"), "type", (F.col("non_null") == F.col("n_rows")).alias("required")
     )
-    return df.sparkSession.range(1, numPartitions=1).select(F.inline(rows))
 
 
 def compare(models: Mapping[str, PipelineModel], train: DataFrame, test: DataFrame, label: str) -> DataFrame:
