@@ -32,5 +32,5 @@ def drop_database(spark: SparkSession, name: str) -> None:
 
 
 def tables(spark: SparkSession, database: str) -> DataFrame:
-    """Names of the database's tables."""
-    return spark.sql(f"SHOW TABLES IN {_quoted(database)}").select("tableName")
+    """Names of the database's tables, without the session's temporary views."""
+    return spark.sql(f"SHOW TABLES IN {_quoted(database)}").where("NOT isTemporary").select("tableName")

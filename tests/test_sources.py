@@ -103,6 +103,7 @@ def test_database_and_tables(spark, tmp_path):
         catalog.save_table(spark.table("shelf.a"), "shelf.a")
     catalog.drop_table(spark, "shelf.b")
     catalog.drop_table(spark, "shelf.b")
+    spark.range(1).createOrReplaceTempView("passing_view")
     assert [row.tableName for row in catalog.tables(spark, "shelf").collect()] == ["a"]
     catalog.drop_database(spark, "shelf")
     assert not spark.catalog.databaseExists("shelf")
