@@ -4,7 +4,8 @@ import duckdb
 import pandas as pd
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from stayframe.queries import ORACLES, QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -30,22 +31,22 @@ def _rows(frame, columns):
     return sorted(cleaned, key=lambda row: [(v is None, str(v)) for v in row])
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, duck, name):
-    result = queries()[name](spark, sf_dir)
-    expected = duck.sql(oracle_sql()[name])
+    result = QUERIES[name](spark, sf_dir)
+    expected = duck.sql(ORACLES[name])
     assert {n: TYPES[t] for n, t in result.dtypes} == dict(zip(expected.columns, map(str, expected.types), strict=True))
     columns = sorted(result.columns)
     assert _rows(result.toPandas(), columns) == _rows(expected.df(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
 def test_query_gives_rows(spark, sf_dir, name):
-    assert queries()[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_sorted_query_keeps_its_order(spark, sf_dir):
-    rows = queries()["l1_sort"](spark, sf_dir).collect()
+    rows = QUERIES["l1_sort"](spark, sf_dir).collect()
     assert rows == sorted(rows, key=lambda row: (-row.price, row.id))
 
 
@@ -55,7 +56,7 @@ def test_entry(spark):
 
 
 def test_every_query_name_is_an_inventory_row():
-    rows = {name.split("_")[0] for name in queries()}
+    rows = {name.split("_")[0] for name in QUERIES}
     wanted = {
         "a": 9, "b": 14, "c": 5, "d": 1, "e": 6, "f": 15, "g": 6, "h": 12, "i": 6, "j": 5, "k": 7, "l": 3,
     }
