@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.llm import sharding
+from stayframe.llm import quality, sharding
+from stayframe.llm.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op7_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every document, and what the rules and the forest keep."""
+    statistics = stored(quality.rule_statistics(table(spark, sf_dir, "documents")), "rule-statistics")
+    model = quality.fit(statistics, table(spark, sf_dir, "labels"))
+    return quality.judge(statistics, model).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "score")
+
+
 @query
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of near equal bytes (law ``bytes``)."""
