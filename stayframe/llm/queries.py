@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.llm import quality, sharding, simhash
+from stayframe.llm import contamination, quality, sharding, simhash
 from stayframe.llm.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,43 @@ def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
+@query
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document is shared with the benchmark."""
+    return contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORDS_SQL = f"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"""
+ORACLES["op4_winnowing"] = f"""
+WITH doc AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+item AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+item_window AS (
+    SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS words
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+),
+doc_window AS (
+    SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS words
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM doc, (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n)
+),
+hit AS (SELECT doc_id, i, n, item_id FROM doc_window JOIN item_window USING (n, words)),
+hit_words AS (
+    SELECT doc_id, count(DISTINCT word) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + n)) AS word FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id
+),
+hit_items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
 @query
 def op7_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document, and what the rules and the forest keep."""
