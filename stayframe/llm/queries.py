@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.llm import contamination, quality, sharding, simhash
+from stayframe.llm import contamination, language, quality, sharding, simhash
 from stayframe.llm.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,15 @@ FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+@query
+def op6_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = language.held_out("doc_id", 4, 2)
+    model = spark.sparkContext.broadcast(language.train(documents.where(~held_out)))
+    return language.predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics of every document, and what the rules and the forest keep."""
