@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.llm import contamination, language, quality, sharding, simhash
+from stayframe.llm import contamination, language, quality, sharding, simhash, toxicity
 from stayframe.llm.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,20 @@ def op7_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(statistics, model).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "score")
 
 
+@query
+def op8_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels of those not held out."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = language.held_out("doc_id", 3, 1)
+    model = spark.sparkContext.broadcast(toxicity.train(documents, table(spark, sf_dir, "labels").where(~held_out)))
+    return toxicity.score(documents, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.TOXIC_SCORE).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of near equal bytes (law ``bytes``)."""
