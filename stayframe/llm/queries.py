@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.llm import contamination, language, quality, sharding, simhash, toxicity
+from stayframe.llm import contamination, language, personal, quality, sharding, simhash, toxicity
 from stayframe.llm.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,22 @@ FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+@query
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans by kind, and all spans."""
+    found = personal.find_personal_data(table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda span: span.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[number(kind) for kind in personal.KINDS],
+        F.sha2(F.concat_ws(",", "base"), 256).alias("base_sha256"),
+        F.concat_ws(",", "spans").alias("spans"),
+    )
+
+
 @query
 def op6_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those not held out."""

@@ -95,19 +95,13 @@ class ToxicityModel:
         total = np.full(len(texts), self.bias)
         if len(self.features):
             features, owner = block_features(texts)
-            weighted = _WEIGHTED.setdefault(id(self), self._table())[features]
+            has_weight = np.zeros(FEATURES, dtype=bool)
+            has_weight[self.features] = True
+            weighted = has_weight[features]
             features, owner = distinct_features(features[weighted], owner[weighted])
             np.add.at(total, owner, self.weights[np.searchsorted(self.features, features)])
         return 1 / (1 + np.exp(-total))
 
-    def _table(self) -> np.ndarray:
-        table = np.zeros(FEATURES, dtype=bool)
-        table[self.features] = True
-        return table
-
-
-_WEIGHTED: dict[int, np.ndarray] = {}
-
 
 def _labelled_features(labelled: DataFrame) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
