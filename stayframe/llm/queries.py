@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.llm import contamination, language, personal, quality, sharding, simhash, toxicity
+from stayframe.llm import contamination, language, licences, personal, quality, sharding, simhash, toxicity
 from stayframe.llm.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    found = licences.find_licences(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda notice: notice["base"])
+
+    def labels(notices):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(notices, lambda notice: notice["label"]))), ",")
+
+    places = F.transform(base, lambda notice: notice["word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("found")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda notice: notice["coverage"])), F.lit(0.0)).alias("score"),
+    )
+
+
 @query
 def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents, and the smallest doc_id that links reach from each."""
