@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.llm import contamination, language, licences, personal, quality, sharding, simhash, toxicity
+from stayframe.llm import contamination, language, licences, personal, quality, sharding, simhash, tokens, toxicity
 from stayframe.llm.stored import stored
+from stayframe.session import new_workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +53,20 @@ def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_fixed_size_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as equal-length sequences and read back."""
+    documents = table(spark, sf_dir, "documents")
+    shards = tokens.write_sequences(documents, new_workspace(spark, "sequences"), public_tokenizer("word_bpe_49k.json"))
+    return tokens.read_checksums(shards, documents.schema["doc_id"].dataType.simpleString())
+
+
 @query
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of every document is shared with the benchmark."""
