@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.llm import contamination, language, licences, personal, quality, sharding, simhash, tokens, toxicity
+from stayframe.llm import contamination, language, licences, packing, personal, quality, sharding, simhash, tokens, toxicity
 from stayframe.llm.stored import stored
 from stayframe.session import new_workspace
 
@@ -158,3 +158,9 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
     )
+
+
+@query
+def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin and place of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"))
