@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.llm.stored import stored
+from stayframe.llm.stored import stored, unused_names
 from stayframe.llm.words import ALPHANUMERIC, Texts, Words, find_words, span_hashes, text_blocks, whole_windows, window_hashes
 
 #: Consecutive shared words that count.
@@ -103,14 +103,17 @@ def _with_hits(frame: DataFrame, key: str, short: Sequence[int], bits, items: bo
             for texts in text_blocks(batch.column(2)):
                 counts, hits = _block_hits(texts, short, table, items)
                 rows = slice(texts.first, texts.first + len(texts))
+                row_id, keys, _, text_hash = (column[rows] for column in batch.columns)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], batch.column(1)[rows], pa.array(counts), pa.array(hits, pa.list_(_HIT))],
-                    ["row_id", key, "n_words", "hits"],
+                    [row_id, keys, pa.array(counts), pa.array(hits, pa.list_(_HIT)), text_hash],
+                    ["row_id", key, "n_words", "hits", "text_hash"],
                 )
 
     key_type = frame.schema[key].dataType.simpleString()
-    selected = frame.select(F.monotonically_increasing_id().alias("row_id"), key, F.col("text").cast("binary").alias("text"))
-    return selected.mapInArrow(per_batch, f"row_id long, {key} {key_type}, n_words long, {_HIT_SCHEMA}")
+    selected = frame.select(
+        F.monotonically_increasing_id().alias("row_id"), key, F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash")
+    )
+    return selected.mapInArrow(per_batch, f"row_id long, {key} {key_type}, n_words long, {_HIT_SCHEMA}, text_hash long")
 
 
 def _filter_bits(spark: SparkSession, grams: DataFrame):
@@ -157,7 +160,7 @@ def shared_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and ``contaminated`` of every row of ``docs``.
+    """doc_id, n_words, n_hit, n_items, items_sha256, ``contaminated`` and text_hash of every row of ``docs``.
 
     Takes doc_id and text of ``docs``, item_id and text of ``benchmark``; other columns are ignored. Null and empty
     texts have no words, items without words have no windows. Rows that share a doc_id are judged one by one. A repeated
@@ -179,7 +182,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     n_words, hit = F.col("n_words"), F.coalesce("n_hit", F.lit(0))
     return (
-        documents.select("row_id", "doc_id", "n_words")
+        documents.select("row_id", "doc_id", "n_words", "text_hash")
         .join(n_hit, "row_id", "left")
         .join(found, "row_id", "left")
         .select(
@@ -189,5 +192,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
             F.sha2(F.coalesce("item_ids", F.lit("")), 256).alias("items_sha256"),
             ((hit > 0) & (CONTAMINATED_ONE_IN * hit >= n_words)).alias("contaminated"),
+            "text_hash",
         )
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    key, text = unused_names(docs, "contaminated_id", "contaminated_text")
+    found = decontaminate(docs, benchmark).where("contaminated")
+    gone = found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text))
+    return docs.join(stored(gone, "contaminated"), same, "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayframe.llm.components import connected
-from stayframe.llm.stored import stored
+from stayframe.llm.stored import stored, unused_names
 from stayframe.llm.words import NOT_SPACE, find_words, text_blocks
 
 BITS = 64
@@ -292,11 +292,12 @@ def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
     Rows without a doc_id form components of their own unless they link to one with a doc_id; those that stay are told
     apart by nothing, so a component of rows without doc_ids keeps them all.
     """
-    kept = components.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("n").alias("_kept_rows"))
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    names = docs.columns
-    single = joined.where((F.col("_kept_rows") == 1) | F.col("doc_id").isNull()).select(*names)
+    key, rows = unused_names(docs, "kept_id", "kept_rows")
+    own = components.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stored(own.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(rows)), "kept-documents")
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)))
+    several = (F.col(rows) > 1) & F.col("doc_id").isNotNull()
     # A doc_id that occurs on several rows: any one of them stays.
-    several = joined.where((F.col("_kept_rows") > 1) & F.col("doc_id").isNotNull()).select(*names).dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    return joined.where(~several).select(*docs.columns).unionByName(
+        joined.where(several).select(*docs.columns).dropDuplicates(["doc_id"])
+    )
