@@ -22,19 +22,34 @@ def row_mean(columns: Sequence[str]) -> Column:
     return row_sum(columns) / F.lit(len(columns))
 
 
-def key_percentile(key: str | Column) -> Column:
-    """0..99 from an integer key: the same on every run, partitioning and engine.
+#: Positions that a key can take; shares down to a millionth can be told apart.
+POSITIONS = 1_000_000
 
-    Keys are reduced modulo 2^31 first, so that the product stays inside a bigint.
-    """
+
+def _key_hash(key: str | Column) -> Column:
+    """0..2^32-1 from an integer key. It is reduced modulo 2^31 first, so that the product stays inside a bigint."""
     column = F.col(key) if isinstance(key, str) else key
-    return (F.pmod(column, F.lit(2**31)) * F.lit(_MIX)) % F.lit(2**32) % 100
+    return (F.pmod(column, F.lit(2**31)) * F.lit(_MIX)) % F.lit(2**32)
+
+
+def key_percentile(key: str | Column) -> Column:
+    """0..99 from an integer key: the same on every run, partitioning and engine."""
+    return _key_hash(key) % 100
+
+
+def key_position(key: str | Column) -> Column:
+    """0..:data:`POSITIONS` - 1 from an integer key, in the order of :func:`key_percentile` and finer."""
+    hashed = _key_hash(key)
+    return hashed % 100 * (POSITIONS // 100) + F.floor(hashed / 100) % (POSITIONS // 100)
 
 
 def key_noise(key: str | Column, low: float = -0.25, high: float = 0.25) -> Column:
-    """A value in [low, high) that depends on the key alone; stands in for an unseeded random column."""
+    """A value in [low, high) that depends on the key alone; stands in for an unseeded random column.
+
+    The key is reduced modulo 1000 first, which changes nothing for the remainder of the product.
+    """
     column = F.col(key) if isinstance(key, str) else key
-    return (column * 7919 % 1000).cast("double") / 1000 * (high - low) + F.lit(low)
+    return (F.pmod(column, F.lit(1000)) * 7919 % 1000).cast("double") / 1000 * (high - low) + F.lit(low)
 
 
 def seeded_noise(seed: int, low: float = -0.25, high: float = 0.25) -> Column:

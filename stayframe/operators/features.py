@@ -180,7 +180,7 @@ class FeatureStore:
         return storage.exists(self.spark, f"{self._table_root(name)}/meta")
 
     def list_tables(self) -> list[str]:
-        return storage.list_names(self.spark, f"{self.root}/tables")
+        return [name for name in storage.list_names(self.spark, f"{self.root}/tables") if self.has_table(name)]
 
     def drop_table(self, name: str) -> None:
         """Drop a table with its data, in all versions."""

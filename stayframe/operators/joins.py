@@ -6,45 +6,52 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# At most this many keys are treated apart, so the broadcast of their features has a fixed bound.
-MAX_HOT_KEYS = 1024
-HOT_SHARE = 0.001
-HOT_ROWS = 10_000
 
+def _comparable(left: T.DataType, right: T.DataType) -> bool:
+    """Whether Spark compares the two types by value, without reading one out of the other's text."""
+    moments = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    return (
+        left == right
+        or (isinstance(left, T.NumericType) and isinstance(right, T.NumericType))
+        or (isinstance(left, moments) and isinstance(right, moments))
+        or (isinstance(left, T.StringType) and isinstance(right, T.StringType))
+    )
 
-def _key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(key) for key in keys])
 
+def _equal(spine: Column, left: T.DataType, features: Column, right: T.DataType) -> Column:
+    """Equality by value. A whole number and a floating one are compared as decimals, since a double skips whole numbers
+    beyond 2^53; a floating key with a fraction, or out of a bigint's range, equals none."""
+    whole, floating = T.IntegralType, T.FractionalType
+    if isinstance(left, whole) and isinstance(right, floating) and not isinstance(right, T.DecimalType):
+        return spine.cast("bigint") == _as_whole(features)
+    if isinstance(right, whole) and isinstance(left, floating) and not isinstance(left, T.DecimalType):
+        return _as_whole(spine) == features.cast("bigint")
+    return spine == features
 
-def hot_key_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the keys that hold about ``share`` of all rows or more, and at least ``min_rows``; null is a key too.
 
-    One pass over the key columns. The sketch merges map-side, so no key is shuffled whole. It may miss or add a
-    borderline key, which changes how :func:`lookup` runs but not what it returns.
-    """
-    found = (
-        df.select(_key_hash(keys).alias("key_hash"))
-        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(key_hash, {MAX_HOT_KEYS}, {16 * MAX_HOT_KEYS})").alias("top"))
-        .first()
-    )
-    return [entry["item"] for entry in found["top"] or [] if entry["count"] >= max(min_rows, share * found["n"])]
+def _as_whole(column: Column) -> Column:
+    number = column.cast("double")
+    in_range = (number >= F.lit(-(2.0**63))) & (number < F.lit(2.0**63)) & (number == F.floor(number).cast("double"))
+    return F.when(in_range, number).try_cast("bigint")
 
 
-def lookup(spine: DataFrame, features: DataFrame, keys: Sequence[str], *, hot_keys: list[int] | None = None) -> DataFrame:
+def lookup(spine: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left equi-join: every spine row once, with the features of its key or nulls. Keys are unique in ``features``.
 
-    Spark picks the join by size and AQE. When some keys hold a large share of the spine, their rows would meet in
-    one task of a shuffled join; these rows get their features by broadcast instead, which is at most
-    ``MAX_HOT_KEYS`` feature rows, and the rest joins as usual. The spine is read once more to find such keys; pass
-    ``hot_keys`` (an empty list: none) to spare that.
+    Keys are compared by value whatever their number types; types that have no common values are refused. The spine's
+    columns keep their types. Nothing runs here. A key that holds much of the spine is left to Spark: its rows are on
+    the side that the adaptive skew join splits, and the one feature row it meets is copied to each part.
     """
-    keys = list(keys)
     types = {field.name: field.dataType for field in spine.schema}
-    features = features.withColumns({key: F.col(key).cast(types[key]) for key in keys})
-    hot = hot_key_hashes(spine, keys) if hot_keys is None else hot_keys
-    if not hot:
-        return spine.join(features, keys, "left")
-    is_hot = _key_hash(keys).isin(hot)
-    hot_rows = spine.where(is_hot).join(F.broadcast(features.where(is_hot)), keys, "left")
-    return spine.where(~is_hot).join(features, keys, "left").unionByName(hot_rows)
+    other = {field.name: field.dataType for field in features.schema}
+    condition = F.lit(True)
+    renamed = {}
+    for i, key in enumerate(keys):
+        if not _comparable(types[key], other[key]):
+            raise TypeError(f"key {key} is {types[key].simpleString()} in the rows and {other[key].simpleString()} in the features")
+        renamed[key] = f"_feature_key_{i}"
+        equal = _equal(F.col(key), types[key], F.col(renamed[key]), other[key])
+        condition = equal if i == 0 else condition & equal
+    return spine.join(features.withColumnsRenamed(renamed), condition, "left").drop(*renamed.values())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import logging
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
@@ -12,8 +12,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.operators.prepare import assembler, stable_layout
-from stayframe.operators.profile import column_info, row_count
+from stayframe.operators.prepare import LAYOUT_PARTITIONS, assembler, stable_layout
+from stayframe.operators.profile import column_info
 from stayframe.session import ensure_checkpoints
 
 # The parameter sets that are trained and compared.
@@ -39,7 +39,8 @@ def tree_parameters(params: Mapping, trees: str) -> dict:
         elif name in names:
             translated[names[name]] = value
         elif name in ("min_samples_split", "max_leaf_nodes"):
-            logging.getLogger(__name__).info("%s has no counterpart in Spark and is ignored", name)
+            if value is not None:
+                warnings.warn(f"{name} has no counterpart in Spark: the trees are grown without it", stacklevel=2)
         else:
             raise ValueError(f"unknown tree parameter {name!r}")
     return translated
@@ -68,13 +69,15 @@ def boosting(features: Sequence[str], label: str, params: Mapping = {}) -> Pipel
     return Pipeline(stages=[assembler(features), regression])
 
 
-def fit_trees(candidates: Mapping[str, Pipeline], train: DataFrame, keys: Sequence[str]) -> dict[str, PipelineModel]:
+def fit_trees(
+    candidates: Mapping[str, Pipeline], train: DataFrame, keys: Sequence[str], partitions: int = LAYOUT_PARTITIONS
+) -> dict[str, PipelineModel]:
     """Fit tree models on the same rows, repeatably: see :func:`stable_layout`. ``keys`` identify a row.
 
     The rows are read many times and kept meanwhile; long boosting cuts its lineage with checkpoints.
     """
     ensure_checkpoints(train.sparkSession)
-    kept = stable_layout(train, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = stable_layout(train, keys, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return {name: candidate.fit(kept) for name, candidate in candidates.items()}
     finally:
@@ -123,8 +126,7 @@ def vector_columns(df: DataFrame, vector: str, names: Sequence[str]) -> DataFram
 
 def signature(df: DataFrame) -> DataFrame:
     """Position, name and type of a frame's columns, and whether each is required: it holds no null in the data."""
-    info = column_info(df)
-    return info.crossJoin(F.broadcast(row_count(df))).select(
+    return column_info(df).select(
         "position", F.col("column_name").alias("name"), "type", (F.col("non_null") == F.col("n_rows")).alias("required")
     )
 

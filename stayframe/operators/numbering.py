@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from stayframe.session import new_workspace
 
 
 def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], into: str) -> DataFrame:
-    """``row_number`` per group, from 1, for groups of any size. ``group`` plus ``order`` identify a row; no group
-    column is null.
+    """``row_number`` per group, from 1, for groups of any size. ``group`` plus ``order`` identify a row; null is a
+    group like any other.
 
     The rows are cut into sorted slices by range, so a large group spans many of them. A row's number is the count of
     its group's rows in earlier slices plus its rank within the slice; only the counts, one per group and slice, are
@@ -29,10 +31,13 @@ def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], int
         "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     )
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    renamed = {key: f"_offset_{i}" for i, key in enumerate(keys)}
+    offsets = offsets.drop("_n").withColumnsRenamed(renamed)
+    same = reduce(operator.and_, [F.col(key).eqNullSafe(F.col(name)) for key, name in renamed.items()])
     return (
-        sliced.join(offsets.drop("_n"), keys)
+        sliced.join(offsets, same)
         .withColumn(into, F.col("_before") + rank)
-        .drop("_slice", "_before")
+        .drop("_slice", "_before", *renamed.values())
     )
 
 

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Imputer, ImputerModel, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, Imputer, ImputerModel, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayframe.functions.rows import key_percentile
+from stayframe.functions.rows import POSITIONS, key_position
 
 # Fixed value: the test share of a split when none is given.
 DEFAULT_TEST_SHARE = 0.25
 
-# Rows per partition of a stable layout, and the number of partitions that small data is spread over.
-ROWS_PER_PARTITION = 100_000
-SMALL_PARTITIONS, SMALL_ROWS = 8, 1_000
+# Partitions of a stable layout, whatever the rows. Give more on a larger cluster; equal trees need equal numbers.
+LAYOUT_PARTITIONS = 8
+# Width of hashed categories.
+HASHED_FEATURES = 1024
 
 
 def mean_fill(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, ImputerModel]:
@@ -28,16 +28,16 @@ def mean_fill(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Imputer
 def key_split(
     df: DataFrame, key: str, test_share: float = DEFAULT_TEST_SHARE, seed: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by a hash of the key, in whole percent: the same rows on every run and partitioning.
+    """(train, test) by a hash of the key, in millionths: the same rows on every run and partitioning.
 
     All rows of a key fall on the same side. Without a seed the key is an integer, and a null key is in training.
     To split one side again, give a seed: the unseeded hash is the one that chose the side.
     """
-    percent = round(test_share * 100)
-    if not 0 < percent < 100:
+    held_out = round(test_share * POSITIONS)
+    if not 0 < held_out < POSITIONS:
         raise ValueError(f"test_share {test_share} leaves one side empty")
-    position = key_percentile(key) if seed is None else F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
-    in_test = F.coalesce(position >= 100 - percent, F.lit(False))
+    position = key_position(key) if seed is None else F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(POSITIONS))
+    in_test = F.coalesce(position >= POSITIONS - held_out, F.lit(False))
     return df.where(~in_test), df.where(in_test)
 
 
@@ -57,7 +57,11 @@ def assembler(columns: Sequence[str], output: str = "features") -> VectorAssembl
 
 
 def category_stages(columns: Sequence[str]) -> tuple[list, list[str]]:
-    """Stages that one-hot encode string columns, null and unseen values as a category of their own; and the outputs."""
+    """Stages that one-hot encode string columns, null and unseen values as a category of their own; and the outputs.
+
+    The categories of a column go to the driver: use it for columns whose values are known to be few, else
+    :func:`hashed_categories`.
+    """
     indexed = [f"{name}_index" for name in columns]
     encoded = [f"{name}_vector" for name in columns]
     return [
@@ -66,14 +70,17 @@ def category_stages(columns: Sequence[str]) -> tuple[list, list[str]]:
     ], encoded
 
 
-def stable_layout(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fix which rows share a partition and in which order, by nothing but the rows.
+def hashed_categories(columns: Sequence[str], output: str, width: int = HASHED_FEATURES) -> FeatureHasher:
+    """A stage that spreads string columns with any number of values over a vector of fixed width. A null is nothing."""
+    return FeatureHasher(inputCols=list(columns), outputCol=output, numFeatures=width)
+
+
+def stable_layout(df: DataFrame, keys: Sequence[str], partitions: int = LAYOUT_PARTITIONS) -> DataFrame:
+    """Fix which rows share a partition and in which order, by nothing but the rows and the number of partitions.
 
-    Bagged trees draw per partition, so equal rows and seed then give equal trees on any cluster. ``keys`` identify a
-    row. Counting the rows is one more pass.
+    Bagged trees draw per partition, so equal rows, seed and ``partitions`` give equal trees on any cluster. ``keys``
+    identify a row.
     """
-    n_rows = df.count()
-    partitions = max(1, math.ceil(n_rows / ROWS_PER_PARTITION), min(SMALL_PARTITIONS, math.ceil(n_rows / SMALL_ROWS)))
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
 

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from typing import NamedTuple
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stayframe.session import written
+
+# Measures that are whole numbers.
+COUNTS = ("count", "n_rows", "n_null", "distinct_estimate")
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
-# Values of a column are counted in this many equal ranges per pass.
+# Estimated quantiles miss a rank by one part in this many at most.
+ACCURACY = 10_000
+# Values between two bounds are counted in this many equal ranges per round.
 RANGES = 4_096
 
 
@@ -45,11 +51,11 @@ def _per_column(df: DataFrame, statistics: Mapping[str, Mapping[str, str]]) -> D
 
 
 def column_info(df: DataFrame) -> DataFrame:
-    """Position, type and non-null count of every column."""
+    """Position, type and non-null count of every column, and the number of rows."""
     return _per_column(
         df,
         {
-            name: {"position": str(i), "type": _text(kind), "non_null": f"count({_quoted(name)})"}
+            name: {"position": str(i), "type": _text(kind), "non_null": f"count({_quoted(name)})", "n_rows": "count(*)"}
             for i, (name, kind) in enumerate(df.dtypes)
         },
     )
@@ -66,81 +72,224 @@ def mean_by_group(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n_rows"), F.avg(value).alias(f"avg_{value}"))
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float] = QUARTILES) -> DataFrame:
-    """Exact quantiles of number columns, as doubles: the smallest value that at least a share ``p`` of the values do
-    not exceed. Nulls and NaN do not count.
+def _finite(field: T.StructField) -> str:
+    name = _quoted(field.name)
+    if not isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return name
+    return f"if(isnan({name}) OR abs({name}) = double('Infinity'), NULL, {name})"
+
+
+def _kept_type(field: T.StructField) -> str:
+    """The type that holds a column's values exactly: whole numbers share one, floating ones another."""
+    if isinstance(field.dataType, T.IntegralType):
+        return "bigint"
+    return field.dataType.simpleString() if isinstance(field.dataType, T.DecimalType) else "double"
+
 
-    Each pass counts the values in equal ranges between two bounds and goes on with the range that holds the wanted
-    rank, until one value is left there: two or three passes for usual data. No pass shuffles more than ``RANGES``
-    counts per column and task, and only ranks and bounds reach the driver.
+def _literal(value, kind: str) -> str:
+    return f"CAST('{value!r}' AS DOUBLE)" if kind == "double" else f"CAST('{value}' AS {kind})"
+
+
+def _limits(i: int, field: T.StructField, probabilities: Mapping[str, float]) -> dict[str, str]:
+    """What one pass tells about the wanted ranks of a column: how many values there are, and bounds around each rank.
+
+    ``percentile_approx`` misses a rank by one part in :data:`ACCURACY` at most; the bounds are two parts away.
     """
-    spark = df.sparkSession
-    numbers = df.selectExpr(*[f"nanvl(double({_quoted(name)}), NULL) AS `{i}`" for i, name in enumerate(columns)])
-    limits = numbers.selectExpr(
-        *[f"{of}(`{i}`) AS `{of}_{i}`" for i in range(len(columns)) for of in ("count", "min", "max")]
-    ).first()
-    found, wanted = [], []
-    for i in range(len(columns)):
-        for label, p in probabilities.items():
-            rank = max(1, math.ceil(p * limits[f"count_{i}"]))
-            wanted.append(_Target(i, label, rank, limits[f"min_{i}"], limits[f"max_{i}"]))
-    while wanted:
-        found += [(columns[target.column], target.label, target.low) for target in wanted if target.low == target.high]
-        wanted = [target for target in wanted if target.low != target.high]
-        if wanted:
-            wanted = _narrowed(numbers, wanted)
-    long = spark.createDataFrame(found, "column_name string, label string, value double")
-    return long.groupBy("column_name").pivot("label", list(probabilities)).agg(F.first("value"))
-
-
-class _Target(NamedTuple):
-    """A wanted rank among the values of a column from ``low`` to ``high``."""
+    finite = _finite(field)
+    around = ", ".join(f"{min(1.0, max(0.0, p + step / ACCURACY))!r}D" for p in probabilities.values() for step in (-2, 2))
+    infinite = {"below": "-Infinity", "above": "Infinity"} if _kept_type(field) == "double" else {}
+    return {
+        f"{i}_n": f"count({finite})",
+        f"{i}_min": f"min({finite})",
+        f"{i}_max": f"max({finite})",
+        f"{i}_around": f"percentile_approx({finite}, array({around}), {ACCURACY})",
+        **{f"{i}_{side}": f"count_if({_quoted(field.name)} = double('{value}'))" for side, value in infinite.items()},
+    }
+
+
+@dataclass(frozen=True)
+class _Target:
+    """A wanted rank among the values of a column from ``low`` to ``high``, counted in the span with that number."""
 
     column: int
     label: str
     rank: int
-    low: float
-    high: float
+    low: object
+    high: object
+    span: int = -1
+
+
+def _wanted(found: Row, i: int, kind: str, probabilities: Mapping[str, float]) -> tuple[dict[str, object], list[_Target]]:
+    """Quantiles that are known after the first pass (none or infinite), and targets for the others."""
+    known: dict[str, object] = {}
+    targets = []
+    n = found[f"{i}_n"]
+    below, above = (found[f"{i}_below"], found[f"{i}_above"]) if kind == "double" else (0, 0)
+    for k, (label, p) in enumerate(probabilities.items()):
+        rank = max(1, math.ceil(p * (n + below + above)))
+        if not n + below + above:
+            known[label] = None
+        elif rank <= below:
+            known[label] = -math.inf
+        elif rank > below + n:
+            known[label] = math.inf
+        else:
+            low, high = found[f"{i}_around"][2 * k : 2 * k + 2]
+            targets.append(_Target(i, label, rank - below, low, high))
+    return known, targets
+
+
+def _counted(df: DataFrame, fields: Sequence[T.StructField], spans: Sequence[tuple]) -> DataFrame:
+    """(span, value columns, n): how often each value between a span's bounds occurs, and once, with null values, how many
+    values lie below it. One pass; equal values are combined map-side. Values keep their types, one column per type."""
+    kinds = sorted({_kept_type(field) for field in fields})
+    cells = []
+    for number, (column, low, high) in enumerate(spans):
+        field = fields[column]
+        kind = _kept_type(field)
+        value = f"CAST({_finite(field)} AS {kind})"
+
+        def cell(inside: str, number: int = number, kind: str = kind) -> str:
+            values = ", ".join(f"'{k}', {inside if k == kind else f'CAST(NULL AS {k})'}" for k in kinds)
+            return f"named_struct('span', {number}, {values})"
+
+        cells.append(
+            f"CASE WHEN {value} < {_literal(low, kind)} THEN {cell(f'CAST(NULL AS {kind})')} "
+            f"WHEN {value} <= {_literal(high, kind)} THEN {cell(value)} END"
+        )
+    rows = df.selectExpr(f"inline(array_compact(array({', '.join(cells)})))")
+    return rows.groupBy(*[f"`{name}`" for name in ("span", *kinds)]).agg(F.count("*").alias("n"))
 
 
-def _narrowed(numbers: DataFrame, wanted: list[_Target]) -> list[_Target]:
-    """The same targets, each with the bounds of the range that holds it and its rank within them."""
-    spans = sorted({(target.column, target.low, target.high) for target in wanted})
+def _narrowed(counted: DataFrame, kind: str, wanted: Mapping[int, _Target]) -> dict[int, _Target]:
+    """The same targets, each with the bounds of the range that holds it and its rank in there."""
     cells = []
-    for i, (column, low, high) in enumerate(spans):
-        # Halves, so that the width of a span cannot overflow.
-        width = f"({high!r}D / 2 - {low!r}D / 2)"
-        place = f"least(floor((`{column}` / 2 - {low!r}D / 2) / {width} * {RANGES}), {RANGES - 1})"
-        cell = f"named_struct('span', {i}, 'place', {place}, 'value', `{column}`)"
-        cells.append(f"if(`{column}` BETWEEN {low!r}D AND {high!r}D, {cell}, NULL)")
-    counted = (
-        numbers.selectExpr(f"inline(array_compact(array({', '.join(cells)})))")
-        .groupBy("span", "place")
-        .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    )
-    targets = numbers.sparkSession.createDataFrame(
-        [(i, spans.index((target.column, target.low, target.high)), target.rank) for i, target in enumerate(wanted)],
-        "target int, span int, rank long",
-    )
+    for number, target in wanted.items():
+        value, low, high = f"`{kind}`", _literal(target.low, kind), _literal(target.high, kind)
+        if kind == "double":
+            # Halves, so that the width of a span cannot overflow.
+            share = f"(({value} / 2 - {low} / 2) / ({high} / 2 - {low} / 2))"
+        else:
+            wide = "DECIMAL(38, 0)" if kind == "bigint" else kind
+            share = f"(double(CAST({value} AS {wide}) - {low}) / double(CAST({high} AS {wide}) - {low}))"
+        # The lowest value is in the first range and the highest in the last, so every round tells values apart.
+        place = f"if({value} = {high}, {RANGES - 1}, least(floor({share} * {RANGES}), {RANGES - 2}))"
+        inside = f"span = {target.span} AND {value} BETWEEN {low} AND {high}"
+        cells.append(f"if({inside}, named_struct('target', {number}, 'place', {place}, 'value', {value}, 'n', n), NULL)")
+    rank = F.create_map(*[F.lit(x) for number, target in wanted.items() for x in (number, target.rank)])[F.col("target")]
     hits = (
-        counted.withColumn("up_to", F.sum("n").over(Window.partitionBy("span").orderBy("place")))
-        .join(F.broadcast(targets), "span")
-        .where("rank <= up_to AND rank > up_to - n")
-        .selectExpr("target", "low", "high", "rank - (up_to - n) AS rank")
+        counted.selectExpr(f"inline(array_compact(array({', '.join(cells)})))")
+        .groupBy("target", "place")
+        .agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        # At most RANGES rows per target.
+        .withColumn("up_to", F.sum("n").over(Window.partitionBy("target").orderBy("place")))
+        .where((rank <= F.col("up_to")) & (rank > F.col("up_to") - F.col("n")))
         .collect()
     )
-    return [wanted[hit.target]._replace(rank=hit.rank, low=hit.low, high=hit.high) for hit in hits]
+    found = {}
+    for hit in hits:
+        target = wanted[hit["target"]]
+        found[hit["target"]] = replace(target, rank=target.rank - (hit["up_to"] - hit["n"]), low=hit["low"], high=hit["high"])
+    return found
+
+
+def _exact(df: DataFrame, fields: Sequence[T.StructField], found: Row, probabilities: Mapping[str, float]) -> list[dict]:
+    """Per field, the value of each quantile in the column's type, from what :func:`_limits` found."""
+    values: list[dict] = []
+    targets: list[_Target] = []
+    for i, field in enumerate(fields):
+        known, own = _wanted(found, i, _kept_type(field), probabilities)
+        values.append(known)
+        targets += own
+    while targets:
+        spans = list(dict.fromkeys((target.column, target.low, target.high) for target in targets))
+        targets = [replace(target, span=spans.index((target.column, target.low, target.high))) for target in targets]
+        counted = written(_counted(df, fields, spans), "quantile-counts")
+        kinds = [name for name in counted.columns if name not in ("span", "n")]
+        none = " AND ".join(f"`{kind}` IS NULL" for kind in kinds)
+        sizes = counted.groupBy("span").agg(F.sum(F.expr(f"if({none}, n, 0)")).alias("below"), F.sum("n").alias("up_to"))
+        size_of = {row["span"]: (row["below"], row["up_to"]) for row in sizes.collect()}
+        missed = []
+        for kind in kinds:
+            waiting: dict[int, _Target] = {}
+            for number, target in enumerate(targets):
+                if _kept_type(fields[target.column]) != kind:
+                    continue
+                below, up_to = size_of.get(target.span, (0, 0))
+                if below < target.rank <= up_to:
+                    waiting[number] = replace(target, rank=target.rank - below)
+                else:
+                    missed.append(target)
+            while waiting:
+                for number, target in list(waiting.items()):
+                    if target.low == target.high:
+                        values[target.column][target.label] = target.low
+                        del waiting[number]
+                if waiting:
+                    waiting = _narrowed(counted, kind, waiting)
+        # Where the estimate's bounds did not hold the rank, the column's own bounds do.
+        targets = [replace(t, low=found[f"{t.column}_min"], high=found[f"{t.column}_max"]) for t in missed]
+    return values
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mapping[str, float] = QUARTILES) -> DataFrame:
+    """Exact quantiles of number columns, one row per quantile and a column per input, in the input's type (whole numbers as
+    bigint, floating ones as double): the smallest value that at least a share ``p`` of the values do not exceed. Nulls and
+    NaN do not count; infinities are values.
+
+    The rows are read twice: once for estimates, which bound each wanted rank, and once to count the few values between
+    those bounds. The rest works on those counts. Only ranks and bounds reach the driver.
+    """
+    fields = [df.schema[name] for name in columns]
+    expressions = {name: e for i, field in enumerate(fields) for name, e in _limits(i, field, probabilities).items()}
+    values = _exact(df, fields, _first(df, expressions), probabilities)
+    rows = [(label, *[own[label] for own in values]) for label in probabilities]
+    kinds = ", ".join(f"{_quoted(field.name)} {_kept_type(field)}" for field in fields)
+    return df.sparkSession.createDataFrame(rows, f"label string, {kinds}")
+
+
+def _first(df: DataFrame, expressions: Mapping[str, str]) -> Row:
+    return df.selectExpr(*[f"{expression} AS {_quoted(name)}" for name, expression in expressions.items()]).first()
+
+
+def _described(df: DataFrame, measures: Mapping[str, Mapping[str, str]], quantiled: Sequence[str], probabilities: Mapping[str, float]) -> DataFrame:
+    """One row per column with its measures and, for ``quantiled`` ones, quantiles as doubles; two passes."""
+    fields = [df.schema[name] for name in quantiled]
+    expressions = {f"{name}.{measure}": e for name, own in measures.items() for measure, e in own.items()}
+    limits = {name: e for i, field in enumerate(fields) for name, e in _limits(i, field, probabilities).items()}
+    found = _first(df, {**expressions, **limits})
+    exact = dict(zip(quantiled, _exact(df, fields, found, probabilities), strict=True))
+    rows = [
+        (name, *[found[f"{name}.{measure}"] for measure in own], *[_double(exact.get(name, {}).get(label)) for label in probabilities])
+        for name, own in measures.items()
+    ]
+    kinds = [f"{measure} {'bigint' if measure in COUNTS else 'double'}" for measure in next(iter(measures.values()))]
+    schema = ", ".join(["column_name string", *kinds, *[f"{label} double" for label in probabilities]])
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _double(value) -> float | None:
+    return None if value is None else float(value)
 
 
 def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, standard deviation, minimum, maximum and quartiles of number columns, one typed row per column."""
+    """Count, mean, standard deviation, minimum, maximum and quartiles of number columns, one row per column.
+
+    All but the count are doubles; :func:`quantiles` keeps the types. NaN counts as missing. Runs two passes.
+    """
     columns = columns or numeric_columns(df)
-    measured = _per_column(df, {name: {"count": f"count({_quoted(name)})", **_measures(name)} for name in columns})
-    return measured.join(F.broadcast(quantiles(df, columns)), "column_name")
+    measures = {name: {"count": f"count({_present(df.schema[name])})", **_measures(df.schema[name])} for name in columns}
+    return _described(df, measures, columns, QUARTILES)
+
 
+def _present(field: T.StructField) -> str:
+    """A column with NaN, like null, as missing."""
+    name = _quoted(field.name)
+    return f"nanvl({name}, NULL)" if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else name
 
-def _measures(name: str) -> dict[str, str]:
-    column = _quoted(name)
+
+def _measures(field: T.StructField) -> dict[str, str]:
+    column = _present(field)
     return {
         "mean": f"double(avg({column}))",
         "stddev": f"double(stddev_samp({column}))",
@@ -161,27 +310,23 @@ def text_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, medians: bool = True) -> DataFrame:
-    """One row per column: rows, nulls, estimated distinct values; for numbers also mean, stddev, min, max, median.
+    """One row per column: rows, missing values, estimated distinct values; for numbers also mean, stddev, min, max, median.
 
-    The medians are exact and take further passes; all else is one.
+    NaN counts as missing. The medians are exact and take a second pass; all else is one. A table without columns has no
+    rows here.
     """
     numbers = numeric_columns(df)
     missing = {measure: "double(NULL)" for measure in ("mean", "stddev", "min", "max")}
-    measured = _per_column(
-        df,
-        {
-            name: {
-                "n_rows": "count(*)",
-                "n_null": f"count(*) - count({_quoted(name)})",
-                "distinct_estimate": f"approx_count_distinct({_quoted(name)})",
-                **(_measures(name) if name in numbers else missing),
-            }
-            for name in df.columns
-        },
-    )
-    if not medians:
-        return measured
-    return measured.join(F.broadcast(quantiles(df, numbers, {"median": 0.5})), "column_name", "left")
+    measures = {
+        field.name: {
+            "n_rows": "count(*)",
+            "n_null": f"count(*) - count({_present(field)})",
+            "distinct_estimate": f"approx_count_distinct({_quoted(field.name)})",
+            **(_measures(field) if field.name in numbers else missing),
+        }
+        for field in df.schema
+    }
+    return _described(df, measures, numbers if medians else [], {"median": 0.5} if medians else {})
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:

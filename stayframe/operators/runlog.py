@@ -1,6 +1,7 @@
-"""Analysis of a run log: long rows (experiment_id, run_id, metric, value, ts, event_id), any number of them.
+"""Analysis of a run log: long rows (experiment_id, run_id, metric, value, text, ts, event_id), any number of them.
 
-A metric may be logged often; its latest row counts, by ``ts`` and then ``event_id``.
+A metric has a number in ``value``, a parameter a string in ``text``; logs without parameters need no such column. A name may be
+logged often; its latest row counts, by ``ts`` and then ``event_id``.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayframe.sources.snapshots import utc
@@ -17,39 +18,64 @@ RUN = ["experiment_id", "run_id"]
 
 
 def run_rows(
-    spark: SparkSession, experiment_id, run_id: str, values: Mapping[str, float], at: datetime | str | None = None
+    spark: SparkSession,
+    experiment_id,
+    run_id: str,
+    values: Mapping[str, float],
+    params: Mapping[str, object] | None = None,
+    at: datetime | str | None = None,
 ) -> DataFrame:
-    """Log rows of one run, ready to be appended to a log."""
+    """Log rows of one run, metrics and parameters, ready to be appended to a log. Parameters are kept as text."""
+    logged = [(name, float(value), None) for name, value in values.items()]
+    logged += [(name, None, str(value)) for name, value in (params or {}).items()]
     cells = F.array(
         *[
-            F.struct(F.lit(name).alias("metric"), F.lit(float(value)).alias("value"), F.lit(i).cast("long").alias("event_id"))
-            for i, (name, value) in enumerate(values.items())
+            F.struct(
+                F.lit(name).alias("metric"),
+                F.lit(value).cast("double").alias("value"),
+                F.lit(text).cast("string").alias("text"),
+                F.lit(i).cast("long").alias("event_id"),
+            )
+            for i, (name, value, text) in enumerate(logged)
         ]
     )
     row = spark.range(1, numPartitions=1).select(
         F.lit(experiment_id).alias("experiment_id"), F.lit(run_id).alias("run_id"), utc(at).alias("ts"), F.inline(cells)
     )
-    return row.select(*RUN, "metric", "value", "ts", "event_id")
+    return row.select(*RUN, "metric", "value", "text", "ts", "event_id")
+
+
+def moment() -> Column:
+    """The order of log rows as one number, by ``ts`` and then ``event_id`` (not negative). Unlike a struct it can be
+    aggregated by hashing."""
+    micros = "CAST(unix_micros(CAST(ts AS TIMESTAMP)) AS DECIMAL(19, 0))"
+    return F.expr(f"CAST({micros} * 10000000000000000000BD + CAST(event_id AS DECIMAL(19, 0)) AS DECIMAL(38, 0))")
 
 
 def latest_values(log: DataFrame, name: str = "metric") -> DataFrame:
     """The value of each metric of each run, and when the metric was first and last logged."""
     return log.groupBy(*RUN, name).agg(
-        F.max_by("value", F.struct("ts", "event_id")).alias("value"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
+        F.max_by("value", moment()).alias("value"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
 
 
-def runs_table(log: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """One row per run: start time and a column per metric, null where a run did not log it."""
-    return (
-        latest_values(log)
-        .groupBy(*RUN)
-        .agg(
-            F.min("first_ts").alias("start_time"),
-            *[F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name in metrics],
-        )
+def start_times(log: DataFrame) -> DataFrame:
+    """Every run and when it started."""
+    return log.groupBy(*RUN).agg(F.min("ts").alias("start_time"))
+
+
+def runs_table(log: DataFrame, metrics: Sequence[str], params: Sequence[str] = ()) -> DataFrame:
+    """One row per run: start time, a column per metric and a ``param_`` column per parameter, null where a run did not
+    log it. One shuffle, of one row per run and task; with parameters, whose texts have no fixed size, it also sorts."""
+
+    def latest(name: str, column: str) -> Column:
+        logged = F.col("metric") == name
+        return F.max_by(F.when(logged, F.col(column)), F.when(logged & F.col(column).isNotNull(), moment()))
+
+    return log.groupBy(*RUN).agg(
+        F.min("ts").alias("start_time"),
+        *[latest(name, "value").alias(name) for name in metrics],
+        *[latest(name, "text").alias(f"param_{name}") for name in params],
     )
 
 
@@ -60,9 +86,9 @@ def store_log(log: DataFrame, path: str) -> None:
     ).write.mode("overwrite").parquet(path)
 
 
-def experiment_runs(log: DataFrame, experiment_id, metrics: Sequence[str]) -> DataFrame:
+def experiment_runs(log: DataFrame, experiment_id, metrics: Sequence[str], params: Sequence[str] = ()) -> DataFrame:
     """The runs of one experiment; the filter reaches the scan."""
-    return runs_table(log.where(F.col("experiment_id") == F.lit(experiment_id)), metrics)
+    return runs_table(log.where(F.col("experiment_id") == F.lit(experiment_id)), metrics, params)
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -79,7 +105,15 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 def metrics_of(log: DataFrame, run: DataFrame) -> DataFrame:
     """Metric values of the given run or runs (run: one or few rows with the run's keys)."""
-    return latest_values(log.join(run.select(*RUN), RUN, "left_semi")).select(*RUN, "metric", "value")
+    logged = log.where("value IS NOT NULL").join(run.select(*RUN), RUN, "left_semi")
+    return latest_values(logged).select(*RUN, "metric", "value")
+
+
+def params_of(log: DataFrame, run: DataFrame) -> DataFrame:
+    """Parameters of the given run or runs, as text."""
+    logged = log.where("text IS NOT NULL").join(run.select(*RUN), RUN, "left_semi")
+    latest = logged.groupBy(*RUN, F.col("metric").alias("param")).agg(F.max_by("text", moment()).alias("text"))
+    return latest.select(*RUN, "param", "text")
 
 
 def artifacts_of(artifacts: DataFrame, run: DataFrame) -> DataFrame:

@@ -10,14 +10,14 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer
+from pyspark.ml.feature import Imputer, SQLTransformer
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayframe.operators.models import METRICS, evaluate
-from stayframe.operators.prepare import assembler, category_stages, key_split, stable_layout
+from stayframe.operators.prepare import LAYOUT_PARTITIONS, assembler, hashed_categories, key_split, stable_layout
 from stayframe.session import ensure_checkpoints
 
 _KINDS = {
@@ -27,8 +27,6 @@ _KINDS = {
     "boosting": GBTRegressor,
 }
 
-MAX_CATEGORIES = 10_000
-
 DEFAULT_GRID: dict[str, list[dict]] = {
     "linear": [{"regParam": 0.0}, {"regParam": 0.1}],
     "decision_tree": [{"maxDepth": 5}, {"maxDepth": 8}],
@@ -57,30 +55,28 @@ def regress(
     grid: Mapping[str, Sequence[Mapping]] = DEFAULT_GRID,
     parallelism: int = 2,
     seed: int = 42,
+    partitions: int = LAYOUT_PARTITIONS,
 ) -> SearchSummary:
     """Train every candidate on 80% of the keys, measure it on the rest, and keep the best by ``primary_metric``.
 
-    Rows without a label are left out. Number columns are filled with their mean, string columns one-hot encoded, as
-    part of each model, so it scores raw rows. After ``timeout_minutes`` no further trial starts; running ones finish,
-    and at least one is run.
+    Rows without a label are left out. Numbers, booleans, dates and times become numbers and are filled with their mean,
+    strings are hashed to a fixed width, as part of each model, so it scores raw rows; a column of another type is refused.
+    After ``timeout_minutes`` no further trial starts; running ones finish, and at least one is run. ``partitions`` is
+    that of :func:`stable_layout`.
     """
     if primary_metric not in METRICS:
         raise ValueError(f"unknown metric {primary_metric!r}")
     inputs = [field for field in df.schema if field.name not in (key, target_col)]
-    strings = [field.name for field in inputs if isinstance(field.dataType, T.StringType)]
-    numbers = [field.name for field in inputs if isinstance(field.dataType, T.NumericType)]
-    _require_few_categories(df, strings)
-    stages, encoded = _preparation(numbers, strings)
-
+    stages, features = _preparation(inputs)
     labelled = df.where(F.col(target_col).isNotNull()).select(
-        key, F.col(target_col).cast("double").alias(target_col), *[F.col(name).cast("double") for name in numbers], *strings
+        key, F.col(target_col).cast("double").alias(target_col), *[field.name for field in inputs]
     )
     train, held_out = key_split(labelled, key, 0.2, seed)
     # Preparation is fitted once; its output is what all trials read.
-    prepared = Pipeline(stages=[*stages, assembler([*[f"{name}_filled" for name in numbers], *encoded])]).fit(train)
+    prepared = Pipeline(stages=[*stages, assembler(features)]).fit(train)
     train, held_out = (prepared.transform(part).select(key, target_col, "features") for part in (train, held_out))
     ensure_checkpoints(df.sparkSession)
-    train = stable_layout(train, [key]).persist(StorageLevel.MEMORY_AND_DISK)
+    train = stable_layout(train, [key], partitions).persist(StorageLevel.MEMORY_AND_DISK)
     held_out = held_out.persist(StorageLevel.MEMORY_AND_DISK)
     candidates = [(kind, dict(params)) for kind, sets in grid.items() for params in sets]
     started = time.monotonic()
@@ -106,7 +102,12 @@ def regress(
     if any(result["metrics"]["mse"] is None for result in done):
         raise ValueError("no rows were held out to measure the trials on")
     sign = -1 if larger_is_better(primary_metric) else 1
-    best = min(done, key=lambda result: (sign * (result["metrics"][primary_metric] or 0.0), result["trial"]))
+
+    def order(result: dict) -> tuple:
+        value = result["metrics"][primary_metric]
+        return value is None, sign * (value or 0.0), result["trial"]
+
+    best = min(done, key=order)
     rows = [
         (result["trial"], result["kind"], json.dumps(result["params"], sort_keys=True), metric, value)
         for result in done
@@ -119,25 +120,37 @@ def regress(
 
 def best_trial(trials: DataFrame, metric: str) -> DataFrame:
     """The best row of a trial table, by one metric."""
-    order = F.desc("value") if larger_is_better(metric) else F.asc("value")
+    order = F.desc_nulls_last("value") if larger_is_better(metric) else F.asc_nulls_last("value")
     return trials.where(F.col("metric") == metric).orderBy(order, "trial").limit(1)
 
 
-def _require_few_categories(df: DataFrame, strings: Sequence[str]) -> None:
-    """The category lists of string columns are held on the driver, so their length has a bound."""
-    if not strings:
-        return
-    sizes = df.agg(*[F.approx_count_distinct(name).alias(name) for name in strings]).first().asDict()
-    wide = {name: size for name, size in sizes.items() if size > MAX_CATEGORIES}
-    if wide:
-        raise ValueError(f"too many categories for one-hot encoding: {wide}")
+def _as_number(field: T.StructField) -> str | None:
+    """SQL that turns a column into a number; None if its type has none."""
+    column = "`" + field.name.replace("`", "``") + "`"
+    if isinstance(field.dataType, (T.NumericType, T.BooleanType)):
+        return f"CAST({column} AS DOUBLE)"
+    if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return f"CAST(unix_micros(CAST({column} AS TIMESTAMP)) AS DOUBLE)"
+    return None
 
 
-def _preparation(numbers: Sequence[str], strings: Sequence[str]) -> tuple[list, list[str]]:
+def _preparation(inputs: Sequence[T.StructField]) -> tuple[list, list[str]]:
+    """Stages from raw columns to inputs of an assembler, and those inputs."""
     stages: list = []
+    features: list[str] = []
+    numbers = {f"{field.name}_number": expression for field in inputs if (expression := _as_number(field)) is not None}
+    strings = [field.name for field in inputs if isinstance(field.dataType, T.StringType)]
+    odd = [field.name for field in inputs if f"{field.name}_number" not in numbers and field.name not in strings]
+    if odd:
+        raise TypeError(f"no way to make model inputs of {odd}")
     if numbers:
-        stages.append(Imputer(strategy="mean", inputCols=list(numbers), outputCols=[f"{name}_filled" for name in numbers]))
-    if not strings:
-        return stages, []
-    encoding, encoded = category_stages(strings)
-    return [*stages, *encoding], encoded
+        columns = ", ".join(f"{expression} AS `{name.replace('`', '``')}`" for name, expression in numbers.items())
+        features += [f"{field.name}_filled" for field in inputs if f"{field.name}_number" in numbers]
+        stages += [
+            SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__"),
+            Imputer(strategy="mean", inputCols=list(numbers), outputCols=features.copy()),
+        ]
+    if strings:
+        stages.append(hashed_categories(strings, "hashed_categories"))
+        features.append("hashed_categories")
+    return stages, features

@@ -6,35 +6,46 @@ archive_existing, description (null: no change). Rows are ordered by ``ts`` and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayframe.operators.joins import lookup
 from stayframe.operators.numbering import number_within
+from stayframe.operators.runlog import moment
 
 VERSION = ["model", "version_key"]
+# The stages.
+STAGES = ["None", "Staging", "Production", "Archived"]
 # The stages a version may be deleted in.
 DELETABLE = ["Archived", "None"]
 # The stages whose older holders a change can archive.
 ACTIVE = ["Staging", "Production"]
 
 
-def _moment():
-    return F.struct("ts", "event_id")
+def _code() -> Column:
+    """A stage as its place among :data:`STAGES`, which aggregates by hashing; null for no change."""
+    place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")).cast("int")
+    unknown = F.raise_error(F.concat(F.lit("unknown stage "), F.col("stage"))).cast("int")
+    return F.when(F.col("stage").isNull(), None).when(place > 0, place).otherwise(unknown)
 
 
-def fold_versions(log: DataFrame) -> DataFrame:
-    """One row per version: when it was first seen, its last stage and the moment of that change, its last description."""
-    staged = F.when(F.col("stage").isNotNull(), _moment())
-    described = F.when(F.col("description").isNotNull(), _moment())
+def _stage(code: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, STAGES)), F.coalesce(code, F.lit(1)))
+
+
+def _folded(log: DataFrame, *more: Column) -> DataFrame:
+    """One row per version: first seen, code and moment of the last stage change, and what else is asked for."""
+    staged = F.when(F.col("stage").isNotNull(), moment())
     return log.groupBy(*VERSION).agg(
-        F.min("ts").alias("first_ts"),
-        F.coalesce(F.max_by("stage", staged), F.lit("None")).alias("stage"),
-        F.max(staged).alias("staged_at"),
-        F.max_by("description", described).alias("description"),
+        F.min("ts").alias("first_ts"), F.max_by(_code(), staged).alias("code"), F.max(staged).alias("staged_at"), *more
     )
 
 
+def fold_versions(log: DataFrame) -> DataFrame:
+    """One row per version: when it was first seen and its last stage."""
+    return _folded(log).select(*VERSION, "first_ts", _stage(F.col("code")).alias("stage"))
+
+
 def number_versions(versions: DataFrame) -> DataFrame:
     """Versions of a model are 1, 2, ... by first appearance, then by key."""
     return number_within(versions, ["model"], ["first_ts", "version_key"], "version")
@@ -54,32 +65,33 @@ def archived_stages(log: DataFrame) -> DataFrame:
     """The current stage where a change with ``archive_existing`` archives the older holders of its stage.
 
     A version holds its last stage from ``staged_at`` on. It is archived when the model's latest archiving change to
-    that stage came later; the change itself is another version's, since its own would be its last one.
+    that stage came later; the change itself is another version's, since its own would be its last one. The log is read
+    and shuffled once: a model's latest archiving changes come from its versions' latest ones.
     """
-    return _with_archiving(log, fold_versions(log)).select(*VERSION, "stage")
-
-
-def _with_archiving(log: DataFrame, versions: DataFrame) -> DataFrame:
-    archiving = (
-        log.where("archive_existing AND stage IS NOT NULL")
-        .groupBy("model", "stage")
-        .agg(F.max(_moment()).alias("archived_at"))
-    )
-    joined = lookup(versions, archiving, ["model", "stage"])
-    overtaken = F.col("stage").isin(*ACTIVE) & (F.col("archived_at") > F.col("staged_at"))
-    return joined.withColumn("stage", F.when(overtaken, "Archived").otherwise(F.col("stage"))).drop("archived_at")
+    archiving = {
+        stage: F.max(F.when(F.col("archive_existing") & (F.col("stage") == stage), moment())).alias(f"archived_{stage}")
+        for stage in ACTIVE
+    }
+    versions = _folded(log, *archiving.values())
+    of_model = versions.groupBy("model").agg(*[F.max(f"archived_{stage}").alias(f"archived_{stage}") for stage in ACTIVE])
+    joined = lookup(versions.select(*VERSION, "code", "staged_at"), of_model, ["model"])
+    stage = _stage(F.col("code"))
+    overtaken = F.lit(False)
+    for active in ACTIVE:
+        overtaken = overtaken | ((stage == active) & (F.col(f"archived_{active}") > F.col("staged_at")))
+    return joined.select(*VERSION, F.when(overtaken, "Archived").otherwise(stage).alias("stage"))
 
 
 def version_descriptions(log: DataFrame) -> DataFrame:
     """The latest description of every version that has one."""
     described = log.where("description IS NOT NULL")
-    return described.groupBy(*VERSION).agg(F.max_by("description", _moment()).alias("description"))
+    return described.groupBy(*VERSION).agg(F.max_by("description", moment()).alias("description"))
 
 
 def model_descriptions(log: DataFrame) -> DataFrame:
     """The latest description given for every model."""
     described = log.where("description IS NOT NULL")
-    return described.groupBy("model").agg(F.max_by("description", _moment()).alias("description"))
+    return described.groupBy("model").agg(F.max_by("description", moment()).alias("description"))
 
 
 def judge_deletions(requests: DataFrame, log: DataFrame) -> DataFrame:

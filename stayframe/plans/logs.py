@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 # The metrics, and the stage an event type moves a version to.
 RUN_METRICS = ["click", "error", "purchase", "signup", "view"]
+RUN_PARAMS = ["signup", "purchase"]
 STAGE_OF_EVENT = {"view": "Staging", "purchase": "Production", "error": "Archived"}
 
 
 def run_log(events: DataFrame) -> DataFrame:
-    """A user is an experiment, a user's day is a run, the event types are the metrics."""
+    """A user is an experiment, a user's day is a run, the event types are the metrics, and their properties parameters."""
     run_id = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
     return events.select(
         F.col("user_id").alias("experiment_id"),
         run_id.alias("run_id"),
         F.col("event_type").alias("metric"),
         "value",
+        F.col("props").alias("text"),
         "ts",
         "event_id",
     )

@@ -83,6 +83,17 @@ def d1_lookup_few_keys(spark, sf_dir):
     return lookup(rows, table(spark, sf_dir, "supplier").drop("s_acctbal"), ["s_suppkey"])
 
 
+@query(
+    "d1_lookup_mixed_types",
+    """SELECT o.o_orderkey, CAST(o.o_custkey AS DOUBLE) / 2 AS c_custkey, c.c_name
+       FROM orders o LEFT JOIN customer c ON CAST(o.o_custkey AS DOUBLE) / 2 = CAST(c.c_custkey AS DOUBLE)""",
+)
+def d1_lookup_mixed_types(spark, sf_dir):
+    """Floating keys against whole ones: halves find nothing, and are not rounded to a neighbour."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey").cast("double") / 2).alias("c_custkey"))
+    return lookup(rows, table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("c_custkey"), "c_name"), ["c_custkey"])
+
+
 @query("f1_create_table", over("features", "SELECT * FROM features"))
 def f1_create_table(spark, sf_dir):
     return store_with_features(spark, sf_dir).read_table(NAME)

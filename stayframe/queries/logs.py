@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stayframe.operators import runlog, search, versions
-from stayframe.plans.logs import RUN_METRICS, artifact_log, run_log, version_log
+from stayframe.plans.logs import RUN_METRICS, RUN_PARAMS, artifact_log, run_log, version_log
 from stayframe.queries.oracle import over
 from stayframe.queries.registry import query, rounded
 from stayframe.sources.listings import table
@@ -47,8 +47,27 @@ def i4_best_by_error(spark, sf_dir):
     return search.best_trial(values, "error")
 
 
-@query("j1_runs_table", over("runs", "SELECT * FROM runs"))
+_PARAMS = ", ".join(
+    f"arg_max(props, (ts, event_id)) FILTER (WHERE event_type = '{name}' AND props IS NOT NULL) AS param_{name}" for name in RUN_PARAMS
+)
+
+
+@query(
+    "j1_runs_table",
+    over(
+        "runs",
+        f"""SELECT r.*, p.* EXCLUDE (run_id) FROM runs r JOIN (
+            SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS run_id, {_PARAMS}
+            FROM events GROUP BY 1) p USING (run_id)""",
+    ),
+)
 def j1_runs_table(spark, sf_dir):
+    """Metrics and parameters of every run."""
+    return runlog.runs_table(runs_of(spark, sf_dir), RUN_METRICS, RUN_PARAMS)
+
+
+@query("j1_metrics_only", over("runs", "SELECT * FROM runs"))
+def j1_metrics_only(spark, sf_dir):
     return runlog.runs_table(runs_of(spark, sf_dir), RUN_METRICS)
 
 
@@ -75,7 +94,7 @@ def j2_latest_run_per_experiment(spark, sf_dir):
 )
 def j3_run_metrics(spark, sf_dir):
     log = runs_of(spark, sf_dir)
-    return runlog.metrics_of(log, runlog.latest_run(runlog.runs_table(log, [])))
+    return runlog.metrics_of(log, runlog.latest_run(runlog.start_times(log)))
 
 
 @query(
@@ -88,7 +107,7 @@ def j3_run_metrics(spark, sf_dir):
 )
 def j4_run_artifacts(spark, sf_dir):
     log = runs_of(spark, sf_dir)
-    return runlog.artifacts_of(artifact_log(log), runlog.latest_run(runlog.runs_table(log, [])))
+    return runlog.artifacts_of(artifact_log(log), runlog.latest_run(runlog.start_times(log)))
 
 
 @query(

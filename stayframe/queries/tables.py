@@ -76,13 +76,21 @@ def a3_csv_null_value(spark, sf_dir):
     return read_csv(spark, path, listings.schema, null_value="N/A")
 
 
+def _taken_out(spark, database, rows):
+    """The rows, written out of a database that is then dropped with its tables."""
+    path = new_workspace(spark, "out-of-database")
+    rows.write.parquet(path)
+    catalog.drop_database(spark, database)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query("a4_database", over("etl", "SELECT * FROM etl"))
 def a4_database(spark, sf_dir):
     path = new_workspace(spark, "db")
     name = path.rsplit("/", 1)[1].replace("-", "_")
     catalog.create_database(spark, name, path)
     catalog.save_table(etl_rows(load_listings(spark, sf_dir)), f"{name}.refined")
-    return spark.table(f"{name}.refined")
+    return _taken_out(spark, name, spark.table(f"{name}.refined"))
 
 
 @query("a5_overwrite_table", over("etl", "SELECT id, bedrooms, price FROM etl"))
@@ -93,7 +101,7 @@ def a5_overwrite_table(spark, sf_dir):
     rows = etl_rows(load_listings(spark, sf_dir))
     catalog.save_table(rows, f"{name}.refined")
     catalog.save_table(rows.drop("availability_365", "minimum_nights"), f"{name}.refined")
-    return spark.table(f"{name}.refined")
+    return _taken_out(spark, name, spark.table(f"{name}.refined"))
 
 
 @query("a6_drop_table", over("etl", "SELECT 'kept' AS table_name, count(*) AS n_rows FROM etl"))
@@ -111,7 +119,7 @@ def a6_drop_table(spark, sf_dir):
     if spark.catalog.databaseExists(f"{name}_old"):
         raise AssertionError("the dropped database is still there")
     left = catalog.tables(spark, name).select(F.col("tableName").alias("table_name"))
-    return left.crossJoin(spark.table(f"{name}.kept").agg(F.count("*").alias("n_rows")))
+    return _taken_out(spark, name, left.crossJoin(spark.table(f"{name}.kept").agg(F.count("*").alias("n_rows"))))
 
 
 @query("a7_csv_sink", over("listings", "SELECT id, price, host_response_time FROM listings"))
@@ -127,7 +135,8 @@ def a7_importances_csv(spark, sf_dir):
     """The importance table, keyed by feature, through a CSV file."""
     path = new_workspace(spark, "csv")
     rows = tracking_rows(load_listings(spark, sf_dir))
-    model = models.forest([name for name in rows.columns if name not in ("id", "price")], "price", {"n_estimators": 10, "random_state": 42}).fit(rows)
+    candidate = models.forest([name for name in rows.columns if name not in ("id", "price")], "price", {"n_estimators": 10, "random_state": 42})
+    model = models.fit_trees({"forest": candidate}, rows, ["id"])["forest"]
     write_csv(models.importances(model).coalesce(1), path)
     return read_csv(spark, path, "Feature string, Importance double")
 
@@ -136,7 +145,10 @@ def a7_importances_csv(spark, sf_dir):
     "a8_experiment_runs",
     over(
         "runs",
-        """SELECT * FROM runs WHERE experiment_id = (
+        """SELECT r.*, p.param_signup FROM runs r JOIN (
+             SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS run_id,
+               arg_max(props, (ts, event_id)) FILTER (WHERE event_type = 'signup' AND props IS NOT NULL) AS param_signup
+             FROM events GROUP BY 1) p USING (run_id) WHERE experiment_id = (
              SELECT experiment_id FROM run_log GROUP BY experiment_id ORDER BY count(*) DESC, experiment_id LIMIT 1)""",
     ),
 )
@@ -146,7 +158,7 @@ def a8_experiment_runs(spark, sf_dir):
     runlog.store_log(run_log(table(spark, sf_dir, "events")), path)
     log = spark.read.parquet(path)
     busiest = log.groupBy("experiment_id").count().orderBy(F.desc("count"), "experiment_id").first()[0]
-    return runlog.experiment_runs(log, busiest, RUN_METRICS)
+    return runlog.experiment_runs(log, busiest, RUN_METRICS, ["signup"])
 
 
 _INFO_SQL = " UNION ALL ".join(
@@ -158,7 +170,7 @@ _INFO_SQL = " UNION ALL ".join(
 
 @query("a9_column_info", over("listings", _INFO_SQL))
 def a9_column_info(spark, sf_dir):
-    return profile.column_info(load_listings(spark, sf_dir))
+    return profile.column_info(load_listings(spark, sf_dir)).drop("n_rows")
 
 
 @query("a9_preview", over("listings", f"SELECT {', '.join(ALL_COLUMNS)} FROM listings ORDER BY id LIMIT 20"))

@@ -6,9 +6,11 @@ import atexit
 import re
 import shutil
 import tempfile
+import time
 import uuid
+from datetime import timedelta
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
 
@@ -56,6 +58,24 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_root(spark) + "/checkpoints")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written below the shared root and read from there."""
+    path = new_workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_workspaces(spark: SparkSession, older_than: timedelta) -> int:
+    """Delete workspaces that were last written to before ``older_than``; returns how many. Frames that still read one fail."""
+    jvm, root = spark._jvm, f"{shared_root(spark)}/stayframe"
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(root)):
+        return 0
+    before = (time.time() - older_than.total_seconds()) * 1000
+    old = [status.getPath() for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(root)) if status.getModificationTime() < before]
+    return sum(bool(fs.delete(path, True)) for path in old)
+
+
 def new_workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared root."""
     return f"{shared_root(spark)}/stayframe/{name}-{uuid.uuid4().hex}"

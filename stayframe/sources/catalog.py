@@ -10,8 +10,10 @@ def _quoted(name: str) -> str:
 
 
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
-    where = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(name)}{where}")
+    if location:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(name)} LOCATION :location", {"location": location})
+    else:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(name)}")
 
 
 def save_table(df: DataFrame, name: str) -> None:
@@ -19,7 +21,7 @@ def save_table(df: DataFrame, name: str) -> None:
 
     Spark refuses to overwrite a table that the frame itself reads; a :class:`SnapshotTable` takes such writes.
     """
-    df.write.format("parquet").mode("overwrite").saveAsTable(name)
+    df.write.format("parquet").mode("overwrite").saveAsTable(_quoted(name))
 
 
 def drop_table(spark: SparkSession, name: str) -> None:

@@ -76,14 +76,23 @@ class SnapshotTable:
         elif schema_mode not in ("replace", "grow"):
             raise ValueError(f"unknown schema_mode {schema_mode!r}")
         version = 0 if latest is None else latest.version + 1
+        schema = df.schema
+        if partition_by:
+            # Rows of a partition value meet in few tasks, so there is not a file per task and value; a value that many
+            # rows share is split by size.
+            df = df.hint("rebalance", *partition_by)
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.version_path(version))
-        stored = self._scan(version, df.schema)
+        stored = self._scan(version, schema)
         if check is not None:
-            check(stored)
-        self._record(version, at, operation, live, df.schema, stored.count())
+            try:
+                check(stored)
+            except Exception:
+                storage.delete(self.spark, self.version_path(version))
+                raise
+        self._record(version, at, operation, live, schema, stored.count())
         return version
 
     def read(self, version: int | None = None, as_of: datetime | str | None = None) -> DataFrame:

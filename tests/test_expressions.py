@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from stayframe.functions.money import money, percent
-from stayframe.functions.rows import key_noise, key_percentile, row_mean, row_sum, seeded_noise
+from stayframe.functions.rows import key_noise, key_percentile, key_position, row_mean, row_sum, seeded_noise
 
 
 def _column(spark, values, expression, kind="string"):
@@ -50,3 +50,14 @@ def test_noise_stays_in_range_and_follows_the_key(spark):
     assert -0.25 <= low_x < high_x < 0.25 and -0.25 <= low_y < high_y < 0.25
     twice = keys.repartition(3).select("id", key_noise("id").alias("x")).exceptAll(keys.select("id", key_noise("id")))
     assert twice.count() == 0
+
+
+def test_key_noise_of_large_and_negative_keys(spark):
+    keys = spark.createDataFrame([(-7,), (2**51,), (2**63 - 1,), (-(2**63),), (5,)], "id long")
+    values = [row.x for row in keys.select(key_noise("id").alias("x")).collect()]
+    assert all(-0.25 <= value < 0.25 for value in values) and values[-1] == 5 * 7919 % 1000 / 2000 - 0.25
+
+
+def test_positions_refine_percentiles(spark):
+    rows = spark.range(5000).select(key_percentile("id").alias("p"), key_position("id").alias("q")).collect()
+    assert all(row.q // 10_000 == row.p for row in rows) and len({row.q for row in rows}) > 4500

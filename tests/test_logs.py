@@ -47,6 +47,8 @@ def test_new_version_starts_in_none_and_is_numbered(spark):
     numbers = versions.number_versions(folded.select("model", "version_key", "first_ts"))
     assert {row.version_key: row.version for row in numbers.collect()} == {9: 1, 4: 2}
     assert [row.description for row in versions.version_descriptions(log).collect()] == ["second"]
+    with pytest.raises(Exception, match="unknown stage"):
+        versions.current_stages(_log(spark, (1, "Retired", False, None))).collect()
 
 
 def test_deletion(spark):
@@ -74,8 +76,8 @@ def test_transition_is_appended(spark):
 
 @pytest.fixture(scope="module")
 def run_log(spark):
-    first = runlog.run_rows(spark, 1, "a", {"r2_train": 0.9, "r2_test": 0.7}, at="2024-01-01T00:00:00")
-    again = runlog.run_rows(spark, 1, "a", {"r2_test": 0.6}, at="2024-01-01T01:00:00")
+    first = runlog.run_rows(spark, 1, "a", {"r2_train": 0.9, "r2_test": 0.7}, {"depth": 5, "seed": None}, at="2024-01-01T00:00:00")
+    again = runlog.run_rows(spark, 1, "a", {"r2_test": 0.6}, {"depth": 6}, at="2024-01-01T01:00:00")
     second = runlog.run_rows(spark, 1, "b", {"r2_train": 0.8}, at="2024-01-02T00:00:00")
     other = runlog.run_rows(spark, 2, "c", {"r2_train": 0.5, "r2_test": 0.5}, at="2023-01-01T00:00:00")
     return first.unionByName(again).unionByName(second).unionByName(other)
@@ -111,3 +113,25 @@ def test_experiment_filter_reaches_the_stored_log(spark, run_log, tmp_path, plan
     runs = runlog.experiment_runs(stored, 2, ["r2_test"])
     assert [row.run_id for row in runs.collect()] == ["c"]
     assert "EqualTo(experiment_id,2)" in plan(runs)
+
+
+def test_parameters_are_columns_of_the_runs_table(spark, run_log):
+    runs = {row.run_id: row for row in runlog.runs_table(run_log, ["r2_test"], ["depth", "seed"]).collect()}
+    assert (runs["a"].param_depth, runs["a"].param_seed, runs["b"].param_depth) == ("6", "None", None)
+    run = run_log.where("run_id = 'a'").select(*runlog.RUN).distinct()
+    assert {row.param: row.text for row in runlog.params_of(run_log, run).collect()} == {"depth": "6", "seed": "None"}
+    assert {row.metric for row in runlog.metrics_of(run_log, run).collect()} == {"r2_train", "r2_test"}
+
+
+def test_log_folds_take_one_shuffle_and_no_sort(spark, sf_dir, plan):
+    from stayframe.plans.logs import RUN_METRICS
+    from stayframe.plans.logs import run_log as events_log
+    from stayframe.plans.logs import version_log
+    from stayframe.sources.listings import table
+
+    events = table(spark, sf_dir, "events")
+    for frame in (runlog.runs_table(events_log(events), RUN_METRICS), versions.current_stages(version_log(events))):
+        text = plan(frame)
+        assert text.count("Exchange") == 1 and "SortAggregate" not in text and "Sort [" not in text
+    text = plan(versions.archived_stages(version_log(events)))
+    assert "SortAggregate" not in text

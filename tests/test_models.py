@@ -32,6 +32,13 @@ def test_key_split_does_not_follow_the_partitioning(spark):
     assert 300 < test.count() < 500
 
 
+def test_shares_finer_than_a_percent(spark):
+    frame = spark.range(200_000)
+    for share in (0.125, 0.004):
+        _, test = prepare.key_split(frame, "id", share)
+        assert abs(test.count() - 200_000 * share) < 0.05 * 200_000 * share
+
+
 def test_one_side_can_be_split_again_under_a_seed(spark):
     train, _ = prepare.key_split(spark.range(2000), "id", 0.2)
     inner, held_out = prepare.key_split(train, "id", 0.2, seed=1)
@@ -52,7 +59,8 @@ def test_tree_parameters():
         "numTrees": 200, "maxDepth": 10, "featureSubsetStrategy": "1", "minInstancesPerNode": 5, "seed": 42,
     }
     assert models.tree_parameters({"max_features": None}, "maxIter") == {"featureSubsetStrategy": "all"}
-    assert models.tree_parameters({"min_samples_split": 4, "max_leaf_nodes": None}, "maxIter") == {}
+    with pytest.warns(UserWarning, match="min_samples_split"):
+        assert models.tree_parameters({"min_samples_split": 4, "max_leaf_nodes": None}, "maxIter") == {}
     with pytest.raises(ValueError):
         models.tree_parameters({"depth": 3}, "maxIter")
 
@@ -152,3 +160,20 @@ def test_search_out_of_time_runs_one_trial(listings):
 def test_constant_label_has_no_r2(spark):
     measured = models.evaluate(spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "y double, prediction double"), "y").first()
     assert measured.r2 is None and measured.mse == 0.5
+
+
+def test_search_takes_any_number_of_categories_and_all_usable_types(spark):
+    rows = spark.range(2000).select(
+        "id", (F.col("id") % 7).cast("double").alias("y"), F.concat(F.lit("c"), "id").alias("category"), (F.col("id") % 7 > 3).alias("flag"),
+        F.timestamp_seconds("id").alias("at"), F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).alias("day"),
+    )
+    summary = search.regress(rows, "y", "id", grid={"decision_tree": [{"maxDepth": 3}]})
+    assert with_prediction(rows, summary.model).where("prediction IS NULL").count() == 0
+    assert {row.metric: row.value for row in summary.trials.collect()}["r2"] > 0.5
+    with pytest.raises(TypeError):
+        search.regress(rows.withColumn("odd", F.array("id")), "y", "id", grid={"linear": [{}]})
+
+
+def test_a_trial_without_a_value_is_not_the_best(spark):
+    trials = spark.createDataFrame([(0, "r2", None), (1, "r2", -3.0)], "trial int, metric string, value double")
+    assert search.best_trial(trials, "r2").first().trial == 1

@@ -1,10 +1,11 @@
 import statistics
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from stayframe.operators import profile
-from stayframe.operators.joins import hot_key_hashes, lookup
+from stayframe.operators.joins import lookup
 from stayframe.operators.numbering import duplicated_keys, number_within, store_with_row_key
 from stayframe.plans import cleaning
 from stayframe.sources.listings import load_listings, table
@@ -23,26 +24,55 @@ def _skewed(spark, n):
     return spark.range(n).select(key.alias("k"), (F.col("id") % 11).alias("x"))
 
 
-def test_hot_keys_are_found_and_joined_apart(spark, plan):
-    spine = _skewed(spark, 60_000)
+def test_a_hot_key_is_read_by_several_tasks(spark, plan, tmp_path):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    _skewed(spark, 60_000).write.parquet(str(tmp_path / "spine"))
+    spine = spark.read.parquet(str(tmp_path / "spine")).repartition(8)
     features = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("f"))
-    hot = hot_key_hashes(spine, ["k"], min_rows=5_000)
-    wanted = spine.select(F.xxhash64("k").alias("h"), "k").where("k = 7 OR k IS NULL").distinct().collect()
-    assert sorted(hot) == sorted(row.h for row in wanted)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = lookup(spine, features, ["k"], hot_keys=hot)
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        joined = lookup(spine, features, ["k"])
+        expected = spine.join(features, "k", "left").select("k", "x", "f")
+        assert joined.exceptAll(expected).count() == 0 and joined.count() == 60_000
+        joined.collect()
         text = plan(joined)
-        assert "SortMergeJoin" in text and "BroadcastHashJoin" in text and "Union" in text
-        expected = spine.join(features, "k", "left")
-        assert joined.count() == 60_000
-        assert joined.exceptAll(expected).count() == 0 and expected.exceptAll(joined).count() == 0
+        assert "SortMergeJoin(skew=true)" in text or "isSkew" in text or "skewed" in text
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def test_no_hot_keys_among_unique_ones(spark):
-    assert hot_key_hashes(spark.range(50_000), ["id"]) == []
+def test_lookup_compares_keys_by_value(spark):
+    def found(spine_type, spine_keys, feature_type, feature_keys):
+        spine = spark.createDataFrame([(key,) for key in spine_keys], f"k {spine_type}")
+        features = spark.createDataFrame([(key, i) for i, key in enumerate(feature_keys)], f"k {feature_type}, f int")
+        joined = lookup(spine, features, ["k"])
+        assert joined.schema["k"].dataType == spine.schema["k"].dataType and joined.columns == ["k", "f"]
+        return sorted(joined.collect(), key=str)
+
+    assert [tuple(r) for r in found("int", [1, 2], "double", [1.0, 1.5])] == [(1, 0), (2, None)]
+    assert [tuple(r) for r in found("int", [7], "bigint", [2**40, 7])] == [(7, 1)]
+    assert [tuple(r) for r in found("bigint", [2**53 + 1], "double", [float(2**53), 1e300, float("nan")])] == [(2**53 + 1, None)]
+    assert [tuple(r) for r in found("double", [2.0, 2.5, float("inf")], "bigint", [2, 3])] == [(2.0, 0), (2.5, None), (float("inf"), None)]
+    assert [tuple(r) for r in found("string", ["1"], "string", ["1"])] == [("1", 0)]
+    for types in (("int", "string"), ("string", "double"), ("date", "int")):
+        spine, features = (spark.createDataFrame([], f"k {kind}") for kind in types)
+        with pytest.raises(TypeError):
+            lookup(spine, features, ["k"])
+
+
+def test_lookup_runs_no_job(spark, sf_dir):
+    spine = load_listings(spark, sf_dir)
+    spark.sparkContext.setJobGroup("lookup", "lookup")
+    lookup(spine, spine.select("id", F.col("price").alias("p")), ["id"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lookup")
+    spark.sparkContext.setJobGroup("tests", "tests")
 
 
 def test_lookup_on_two_keys(spark):
@@ -69,6 +99,11 @@ def test_numbers_equal_a_window_also_for_a_group_in_many_slices(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_null_is_a_group_of_numbered_rows(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), (5, 1)], "g int, t int")
+    assert sorted(map(tuple, number_within(rows, ["g"], ["t"], "n").collect()), key=str) == [(5, 1, 1), (None, 1, 1), (None, 2, 2)]
+
+
 def test_row_keys_are_unique_and_stored(spark, tmp_path):
     copies = spark.createDataFrame([("same",)] * 500 + [("other",)], "x string").repartition(5)
     stored = store_with_row_key(copies, str(tmp_path / "keyed"))
@@ -87,7 +122,7 @@ def test_quantiles_are_exact(spark, values, p):
     frame = spark.createDataFrame([(float(v),) for v in [*values]] + [(None,), (float("nan"),)], "x double")
     ordered = sorted(map(float, values))
     rank = max(1, -(-len(ordered) * round(p * 100) // 100))
-    assert profile.quantiles(frame, ["x"], {"q": p}).first().q == ordered[rank - 1]
+    assert profile.quantiles(frame, ["x"], {"q": p}).first().x == ordered[rank - 1]
 
 
 def test_quantiles_of_skewed_and_empty_columns(spark):
@@ -96,10 +131,38 @@ def test_quantiles_of_skewed_and_empty_columns(spark):
         F.lit(None).cast("int").alias("b"),
         F.col("id").alias("c"),
     )
-    found = {row.column_name: row for row in profile.quantiles(frame, ["a", "b", "c"]).collect()}
-    assert found["b"].median is None and found["c"].median == 14_999.0
+    found = {row.label: row for row in profile.quantiles(frame, ["a", "b", "c"]).collect()}
+    assert found["median"].b is None and found["median"].c == 14_999
     values = sorted(row.a for row in frame.select("a").collect())
-    assert found["a"].median == statistics.median_low(values) and found["a"].q25 == values[7_499]
+    assert found["median"].a == statistics.median_low(values) and found["q25"].a == values[7_499]
+
+
+def test_quantiles_keep_types_and_infinities(spark):
+    big = 2**53
+    rows = [(big + 1, Decimal("12345678901234567890.1"), float("inf"), 1.5), (big + 2, Decimal("0.1"), float("-inf"), float("nan")),
+            (big, Decimal("-3.0"), 1.0, 2.5), (-(2**63), None, float("inf"), None), (2**63 - 1, Decimal("0.2"), 2.0, 7.5)]
+    frame = spark.createDataFrame(rows, "b long, d decimal(30,1), x double, y double")
+    found = {row.label: row for row in profile.quantiles(frame, ["b", "d", "x", "y"], {"lo": 0.0, "mid": 0.5, "hi": 1.0}).collect()}
+    assert [found[k].b for k in ("lo", "mid", "hi")] == [-(2**63), big + 1, 2**63 - 1]
+    assert [found[k].d for k in ("lo", "mid", "hi")] == [Decimal("-3.0"), Decimal("0.1"), Decimal("12345678901234567890.1")]
+    assert [found[k].x for k in ("lo", "mid", "hi")] == [float("-inf"), 2.0, float("inf")]
+    assert [found[k].y for k in ("lo", "mid", "hi")] == [1.5, 2.5, 7.5]
+    described = {row.column_name: row for row in profile.summary(frame).collect()}
+    assert described["y"]["count"] == 3 and described["y"]["mean"] == pytest.approx(23 / 6) and described["y"]["median"] == 2.5
+
+
+def test_summary_reads_its_rows_twice(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "id % 77 AS a", "double(id % 1001) / 7 AS b").write.parquet(str(tmp_path / "rows"))
+    frame = spark.read.parquet(str(tmp_path / "rows"))
+    scans = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        scans.add(1)
+        yield from batches
+
+    counted = frame.coalesce(1).mapInArrow(counting, frame.schema)
+    rows = {row.column_name: row for row in profile.summary(counted).collect()}
+    assert scans.value == 2 and rows["id"]["median"] == 2499.0 and rows["a"]["max"] == 76.0
 
 
 def test_profile_of_an_empty_table(spark):

@@ -68,7 +68,7 @@ def test_write_without_history_row_is_no_version(spark, tmp_path):
 
     with pytest.raises(ValueError, match="refused"):
         table.write(spark.range(9), check=refuse)
-    assert storage.exists(spark, table.version_path(1)) and table.read().count() == 3
+    assert not storage.exists(spark, table.version_path(1)) and table.read().count() == 3
     assert table.write(spark.range(5)) == 1 and table.read().count() == 5
 
 
