@@ -19,6 +19,7 @@ HEADLINE = [
     "c4_top_values",
     "d1_feature_lookup",
     "d1_lookup_many_to_one",
+    "d1_lookup_few_keys",
     "e6_query_old_version",
     "f5_overwrite_grows",
     "f8_training_set",
@@ -32,9 +33,12 @@ HEADLINE = [
     "j1_runs_table",
     "j2_latest_run_per_experiment",
     "k1_version_numbers",
+    "k7_deleted_models",
     "k4_archived_stages",
     "t3_tracking_rows",
 ]
+# Minutes of tree building: run once, without a warm-up.
+LONG = ["h2_random_forest", "h3_boosted_trees", "h12_compare_parameters"]
 RUNS = 3
 
 
@@ -51,6 +55,8 @@ def main() -> None:
     for name in HEADLINE:
         seconds(name)
         timings[name] = round(statistics.median(seconds(name) for _ in range(RUNS)), 3)
+    for name in LONG:
+        timings[name] = round(seconds(name), 3)
     spark.stop()
     scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     total = round(sum(timings.values()), 3)

@@ -17,7 +17,7 @@ from stayframe.sources import storage
 from stayframe.sources.snapshots import NoSuchVersion, SnapshotTable, stored_schema, utc
 
 _META_SCHEMA = "location string, primary_keys array<string>, description string, partition_columns array<string>"
-_MODEL_SCHEMA = "version bigint, ts timestamp, meta string"
+_MODEL_SCHEMA = "version bigint, ts timestamp, meta string, run_id string"
 
 
 class KeyViolation(ValueError):
@@ -29,7 +29,24 @@ class RetiredFeature(ValueError):
 
 
 class SignatureMismatch(ValueError):
-    """The rows to score lack a column the model was trained with."""
+    """The rows to score lack a column the model was trained with, or have it in a type of another sort."""
+
+
+def require_signature(df: DataFrame, signature: Sequence[Sequence[str]]) -> None:
+    """Raise unless ``df`` has every (name, type) column in that type, or for numbers in any number type."""
+    types = {field.name: field.dataType for field in df.schema}
+    missing = [name for name, _ in signature if name not in types]
+    if missing:
+        raise SignatureMismatch(f"missing columns {missing}")
+    for name, wanted in signature:
+        have = types[name]
+        # Numbers are told by their names; nothing else is read into a type's text.
+        numeric = isinstance(have, T.NumericType) and wanted.split("(")[0] in _NUMBERS
+        if have.simpleString() != wanted and not numeric:
+            raise SignatureMismatch(f"column {name} is {have.simpleString()}, the model was trained on {wanted}")
+
+
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 @dataclass(frozen=True)
@@ -209,8 +226,20 @@ class FeatureStore:
 
     # --- models
 
-    def log_model(self, name: str, model: PipelineModel, training_set: TrainingSet, at: datetime | str | None = None) -> int:
-        """Store a model with its lookups and input schema as the next version; the first is 1."""
+    def log_model(
+        self,
+        name: str,
+        model: PipelineModel,
+        training_set: TrainingSet,
+        at: datetime | str | None = None,
+        run_id: str | None = None,
+        example_rows: int = 3,
+    ) -> int:
+        """Store a model as the next version; the first is 1.
+
+        With it go its lookups, its signature (input, looked-up and label columns with their types), the run that made
+        it, and its first input rows by key.
+        """
         wanted = model_inputs(model)
         lookups = [
             {**asdict(item), "features": [feature for feature in item.features if feature in wanted]}
@@ -222,13 +251,28 @@ class FeatureStore:
             for field in training_set.spine.schema
             if field.name != training_set.label and (field.name in wanted or field.name in keys)
         ]
-        meta = {"label": training_set.label, "lookups": lookups, "signature": spine}
+        rows = training_set.load_df()
+        types = {field.name: field.dataType.simpleString() for field in training_set.spine.schema}
+        used = [feature for item in lookups for feature in item["features"] if feature in rows.columns]
+        meta = {
+            "label": training_set.label,
+            "label_type": types[training_set.label],
+            "lookups": lookups,
+            "signature": spine,
+            "looked_up": [[feature, rows.schema[feature].dataType.simpleString()] for feature in used],
+        }
         log = self._model_log(name)
         newest = log.agg(F.max("version")).first()[0] if log is not None else None
         version = (newest or 0) + 1
         model.write().overwrite().save(self._model_path(name, version))
+        inputs = [column for column in [*[name for name, _ in spine], *used] if column in rows.columns]
+        example = rows.select(*inputs).orderBy(*[key for key in keys if key in inputs], *inputs).limit(example_rows)
+        example.write.mode("overwrite").parquet(self._example_path(name, version))
         row = self.spark.range(1, numPartitions=1).select(
-            F.lit(version).cast("long").alias("version"), utc(at).alias("ts"), F.lit(json.dumps(meta)).alias("meta")
+            F.lit(version).cast("long").alias("version"),
+            utc(at).alias("ts"),
+            F.lit(json.dumps(meta)).alias("meta"),
+            F.lit(run_id).cast("string").alias("run_id"),
         )
         row.write.mode("append").parquet(f"{self.root}/models/{name}/log")
         return version
@@ -244,6 +288,32 @@ class FeatureStore:
         self.model_meta(name, version)
         return PipelineModel.load(self._model_path(name, version))
 
+    def load_run_model(self, run_id: str) -> PipelineModel:
+        """The model that a run logged; of several the newest."""
+        found = None
+        for name in storage.list_names(self.spark, f"{self.root}/models"):
+            log = self._model_log(name)
+            row = log.where(F.col("run_id") == run_id).orderBy(F.desc("ts"), F.desc("version")).first() if log is not None else None
+            if row is not None and (found is None or row.ts > found[0]):
+                found = (row.ts, name, row.version)
+        if found is None:
+            raise NoSuchVersion(f"run {run_id} logged no model")
+        return PipelineModel.load(self._model_path(*found[1:]))
+
+    def model_signature(self, name: str, version: int) -> DataFrame:
+        """Position, name, type and role (input, looked up, label) of the columns a model was trained on."""
+        meta = self.model_meta(name, version)
+        columns = [(*column, "input") for column in meta["signature"]]
+        columns += [(*column, "looked up") for column in meta["looked_up"]]
+        columns.append((meta["label"], meta["label_type"], "label"))
+        rows = [(i, *column) for i, column in enumerate(columns)]
+        return self.spark.createDataFrame(rows, "position int, name string, type string, role string")
+
+    def model_example(self, name: str, version: int) -> DataFrame:
+        """The first input rows that were stored with a model."""
+        self.model_meta(name, version)
+        return self.spark.read.parquet(self._example_path(name, version))
+
     def model_lookups(self, name: str) -> DataFrame:
         """(version, table, feature, table_version) of every feature that a model's versions look up."""
         element = "struct<lookups: array<struct<table: string, features: array<string>, version: bigint>>>"
@@ -265,10 +335,7 @@ class FeatureStore:
         longer fills a feature the model uses, the call raises instead of scoring on nulls.
         """
         meta = self.model_meta(name, version)
-        present = dict(df.dtypes)
-        missing = [column for column, _ in meta["signature"] if column not in present]
-        if missing:
-            raise SignatureMismatch(f"missing columns {missing}")
+        require_signature(df, meta["signature"])
         lookups = [ResolvedLookup(**item) for item in meta["lookups"]]
         sources = []
         for item in lookups:
@@ -293,6 +360,9 @@ class FeatureStore:
     def _model_path(self, name: str, version: int) -> str:
         return f"{self.root}/models/{name}/version={version}"
 
+    def _example_path(self, name: str, version: int) -> str:
+        return f"{self.root}/models/{name}/example={version}"
+
     def _model_log(self, name: str) -> DataFrame | None:
         path = f"{self.root}/models/{name}/log"
         return self.spark.read.schema(_MODEL_SCHEMA).parquet(path) if storage.exists(self.spark, path) else None

@@ -329,6 +329,15 @@ def profile(df: DataFrame, medians: bool = True) -> DataFrame:
     return _described(df, measures, numbers if medians else [], {"median": 0.5} if medians else {})
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """How many distinct values each column has, nulls aside. Distinct values are combined map-side and spread by value."""
+    cells = F.array(
+        *[F.struct(F.lit(name).alias("column_name"), F.col(name).cast("string").alias("value")) for name in columns]
+    )
+    values = df.select(F.inline(cells)).distinct()
+    return values.groupBy("column_name").agg(F.count("value").alias("n_distinct"))
+
+
 def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     """The ``k`` most frequent values of each column, as strings; ties go to the smaller value.
 

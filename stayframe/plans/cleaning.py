@@ -9,6 +9,7 @@ from stayframe.functions.money import money, percent
 from stayframe.functions.rows import row_mean, row_sum
 from stayframe.sources.listings import REVIEW_PARTS
 
+# The columns of the dataset that each sequence takes.
 ETL_COLUMNS = ["id", "bedrooms", "minimum_nights", "availability_365", "price"]
 RATE_COLUMNS = ["host_response_rate", "host_acceptance_rate"]
 SCORE_COLUMNS = ["review_scores_rating", *REVIEW_PARTS]
@@ -18,6 +19,7 @@ SEARCH_COLUMNS = ["bedrooms", "beds", "latitude", "longitude", "host_response_ti
 
 def etl_rows(listings: DataFrame) -> DataFrame:
     """Filter, drop nulls, then cast: prices from $1,000 stay as rows with a null price."""
+    # The two predicates.
     kept = listings.select(ETL_COLUMNS).where("minimum_nights < 14").where("availability_365 > 0").dropna("any")
     return kept.withColumn("price", money("price"))
 

@@ -53,20 +53,24 @@ def c3_summary(spark, sf_dir):
     return rounded(profile.summary(rows, ["bedrooms", "price"]), ["mean", "stddev"])
 
 
+_TEXT_COLUMNS = [field.name for field in LISTINGS_SCHEMA if field.dataType.simpleString() == "string"]
+
+
 @query(
     "c3_text_summary",
     over(
         "listings",
-        """SELECT 'price' AS column_name, count(price) AS count, min(price) AS min, max(price) AS max FROM listings
-           UNION ALL SELECT 'host_response_time', count(host_response_time), min(host_response_time),
-           max(host_response_time) FROM listings""",
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS column_name, count({name}) AS count, min({name}) AS min, max({name}) AS max FROM listings"
+            for name in _TEXT_COLUMNS
+        ),
     ),
 )
 def c3_text_summary(spark, sf_dir):
-    return profile.text_summary(load_listings(spark, sf_dir), ["price", "host_response_time"])
+    return profile.text_summary(load_listings(spark, sf_dir), _TEXT_COLUMNS)
 
 
-def _profile_sql(fields, source):
+def profile_sql(fields, source):
     parts = []
     for field in fields:
         name, number = field.name, field.dataType.simpleString() in ("bigint", "double")
@@ -82,17 +86,29 @@ def _profile_sql(fields, source):
     return " UNION ALL ".join(parts)
 
 
-@query("c4_profile", over("listings", _profile_sql(LISTINGS_SCHEMA, "listings")))
+@query("c4_profile", over("listings", profile_sql(LISTINGS_SCHEMA, "listings")))
 def c4_profile(spark, sf_dir):
     return rounded(profile.profile(load_listings(spark, sf_dir)).drop("distinct_estimate"), ["mean", "stddev"])
 
 
-@query("c4_distinct_estimates")
-def c4_distinct_estimates(spark, sf_dir):
-    return profile.profile(load_listings(spark, sf_dir), medians=False).select("column_name", "n_rows", "distinct_estimate")
+def _distinct_sql(name):
+    return f"SELECT '{name}' AS column_name, count(*) AS n_rows, count(DISTINCT {name}) AS n_distinct, true AS near FROM listings"
 
 
-_TOP_COLUMNS = ["bedrooms", "minimum_nights", "host_response_rate", "host_response_time", "price"]
+@query("c4_distinct_estimates", over("listings", " UNION ALL ".join(_distinct_sql(name) for name in LISTINGS_SCHEMA.names)))
+def c4_distinct_estimates(spark, sf_dir):
+    """Estimated beside exact numbers of distinct values; the estimate is within a tenth (or one) of the exact number."""
+    listings = load_listings(spark, sf_dir)
+    estimates = profile.profile(listings, medians=False).select("column_name", "n_rows", "distinct_estimate")
+    exact = profile.distinct_counts(listings, listings.columns)
+    near = F.abs(F.col("distinct_estimate") - F.col("n_distinct")) <= F.greatest(F.lit(1), F.col("n_distinct") / 10)
+    return estimates.join(exact, "column_name").select("column_name", "n_rows", "n_distinct", near.alias("near"))
+
+
+# All columns but the key, whose values are all different, and the two whose doubles the engines write differently.
+_TOP_COLUMNS = [
+    field.name for field in LISTINGS_SCHEMA if field.name != "id" and field.dataType.simpleString() in ("bigint", "string")
+]
 
 
 @query(

@@ -91,11 +91,12 @@ def b11_row_mean(spark, sf_dir):
     return rounded(mean, ["average_review_score"])
 
 
-@query("b12_row_key")
+@query("b12_row_key", over("listings", f"SELECT {', '.join(MODEL_COLUMNS)}, true AS has_key FROM listings"))
 def b12_row_key(spark, sf_dir):
-    """Rows without a natural key get one that is stored with them."""
+    """Rows without a natural key get one that is stored with them; its values say nothing, so only their being there is shown."""
     rows = load_listings(spark, sf_dir).select(MODEL_COLUMNS)
-    return store_with_row_key(rows, new_workspace(spark, "keyed"), "row_id")
+    keyed = store_with_row_key(rows, new_workspace(spark, "keyed"), "row_id")
+    return keyed.select(*MODEL_COLUMNS, F.col("row_id").isNotNull().alias("has_key"))
 
 
 @query("b12_row_key_unique", over("listings", "SELECT count(*) AS n_rows, 0 AS n_repeated FROM listings"))

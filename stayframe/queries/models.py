@@ -1,15 +1,19 @@
 """Training, evaluation, scoring and model search."""
 
+import json
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stayframe.operators import models, prepare, search
+from stayframe.operators import models, prepare, profile, search
 from stayframe.operators.features import FeatureLookup
 from stayframe.operators.scoring import with_prediction
-from stayframe.plans.cleaning import feature_rows, linear_rows, search_rows, tracking_rows
+from stayframe.plans.cleaning import SEARCH_COLUMNS, feature_rows, linear_rows, search_rows, tracking_rows
 from stayframe.queries import features as tables
+from stayframe.queries.aggregates import profile_sql
 from stayframe.queries.oracle import BUCKET, over
 from stayframe.queries.registry import query, rounded
-from stayframe.sources.listings import load_listings
+from stayframe.sources.listings import LISTINGS_SCHEMA, load_listings
 
 
 def split_linear(spark, sf_dir):
@@ -41,13 +45,30 @@ def _inputs(rows):
     return prepare.feature_columns(rows, "price", without=["id"])
 
 
-@query("h2_random_forest")
+def _held_out(view: str, below: int) -> str:
+    """Every held-out row, its prediction within the training labels, and the model better than their mean."""
+    return f"""SELECT id, price, true AS within_labels, true AS better_than_mean FROM {view} WHERE {BUCKET} >= {below}"""
+
+
+def _judged(scored, train):
+    """Tree predictions have no closed form; what must hold of them does. They are averages of training labels, and have
+    less squared error on the training rows' like than the mean label has."""
+    labels = train.agg(F.min("price").alias("lowest"), F.max("price").alias("highest"), F.avg("price").alias("mean"))
+    errors = scored.crossJoin(F.broadcast(labels)).agg(
+        (F.avg((F.col("price") - F.col("prediction")) ** 2) < F.avg((F.col("price") - F.col("mean")) ** 2)).alias("better_than_mean")
+    )
+    within = (F.col("prediction") >= F.col("lowest") - 1e-6) & (F.col("prediction") <= F.col("highest") + 1e-6)
+    rows = scored.crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(errors))
+    return rows.select("id", "price", within.alias("within_labels"), "better_than_mean")
+
+
+@query("h2_random_forest", over("tracking", _held_out("tracking", 75)))
 def h2_random_forest(spark, sf_dir):
-    """Predictions of the larger forest on the held-out rows."""
+    """The larger forest on the held-out rows."""
     train, test = split_tracking(spark, sf_dir, prepare.DEFAULT_TEST_SHARE)
     candidate = models.forest(_inputs(train), "price", models.FOREST_V1)
     model = models.fit_trees({"forest": candidate}, train, ["id"])["forest"]
-    return model.transform(test).select("id", "price", "prediction")
+    return _judged(model.transform(test).select("id", "price", "prediction"), train)
 
 
 def _group_means(view, label):
@@ -72,7 +93,7 @@ def _training(store, spark, sf_dir):
     return training, training.load_df()
 
 
-@query("h3_boosted_trees")
+@query("h3_boosted_trees", over("training", f"SELECT id, price, true AS better_than_mean FROM training WHERE {BUCKET} >= 80"))
 def h3_boosted_trees(spark, sf_dir):
     store = tables.store_with_features(spark, sf_dir)
     training, rows = _training(store, spark, sf_dir)
@@ -80,7 +101,8 @@ def h3_boosted_trees(spark, sf_dir):
     inputs = [name for name in training.features if name != "id"]
     candidate = models.boosting(inputs, "price", models.BOOSTING_V1)
     model = models.fit_trees({"boosting": candidate}, train, ["id"])["boosting"]
-    return model.transform(test).select("id", "price", "prediction")
+    # Sums of trees may leave the range of the labels.
+    return _judged(model.transform(test).select("id", "price", "prediction"), train).drop("within_labels")
 
 
 @query("h3_boosting_one_feature", over("cleaned", _group_means("cleaned", "price")))
@@ -129,11 +151,27 @@ def h6_errors(spark, sf_dir):
     return rounded(rounded(errors, ["mse"], 4), ["rmse", "mae"])
 
 
-@query("h7_importances")
+_TRACKED_INPUTS = [
+    "host_response_rate", "host_acceptance_rate", "bedrooms", "review_scores_rating", "latitude", "longitude", "review_scores_sum",
+]
+SHARES_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS Feature, true AS a_share, CAST(1 AS DOUBLE) AS total, count(*) > 0 AS trained FROM tracking" for name in _TRACKED_INPUTS
+)
+
+
+def shares(importances, rows):
+    """Importances have no closed form; they are shares of one."""
+    total = importances.agg(F.round(F.sum("Importance"), 6).alias("total"))
+    trained = rows.agg((F.count("*") > 0).alias("trained"))
+    share = F.col("Importance").between(0, 1).alias("a_share")
+    return importances.select("Feature", share).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(trained))
+
+
+@query("h7_importances", over("tracking", SHARES_SQL))
 def h7_importances(spark, sf_dir):
     train, _ = split_tracking(spark, sf_dir, 0.1)
     candidate = models.forest(_inputs(train), "price", models.FOREST_TRACKED)
-    return models.importances(models.fit_trees({"forest": candidate}, train, ["id"])["forest"])
+    return shares(models.importances(models.fit_trees({"forest": candidate}, train, ["id"])["forest"]), train)
 
 
 @query(
@@ -158,6 +196,59 @@ def h8_load_versions(spark, sf_dir):
     return rounded(rows.select("id", "prediction_1", "prediction_2"), ["prediction_1", "prediction_2"])
 
 
+@query(
+    "h8_load_by_run",
+    over(
+        "training",
+        f"""SELECT t.id, round(s.a + s.b * t.bedrooms, 6) AS prediction FROM training t, (
+            SELECT regr_intercept(price, bedrooms) AS a, regr_slope(price, bedrooms) AS b FROM training WHERE {BUCKET} < 80) s""",
+    ),
+)
+def h8_load_by_run(spark, sf_dir):
+    """Two runs log a model each; the first run's is applied."""
+    store = tables.store_with_features(spark, sf_dir)
+    training, rows = _training(store, spark, sf_dir)
+    train, _ = prepare.key_split(rows, "id", 0.2)
+    for run, inputs in (("run-1", ["bedrooms"]), ("run-2", ["bedrooms", "score_diff_to_last_month"])):
+        store.log_model("price_model", models.linear(inputs, "price").fit(train), training, run_id=run)
+    return rounded(with_prediction(rows, store.load_run_model("run-1")).select("id", "prediction"), ["prediction"])
+
+
+def _stored_model(spark, sf_dir):
+    store = tables.store_with_features(spark, sf_dir)
+    training, rows = _training(store, spark, sf_dir)
+    train, _ = prepare.key_split(rows, "id", 0.2)
+    model = models.linear(["score_diff_to_last_month", "bedrooms", "latitude"], "price").fit(train)
+    store.log_model("price_model", model, training, run_id="run-1")
+    return store
+
+
+@query(
+    "h9_stored_signature",
+    over(
+        "training",
+        " UNION ALL ".join(
+            f"SELECT {i} AS position, '{name}' AS name, lower(typeof(first({name}))) AS type, '{role}' AS role FROM training"
+            for i, (name, role) in enumerate(
+                [("id", "input"), ("score_diff_to_last_month", "input"), ("bedrooms", "looked up"), ("latitude", "looked up"), ("price", "label")]
+            )
+        ),
+    ),
+)
+def h9_stored_signature(spark, sf_dir):
+    """The columns a stored model was trained on: its key and fresh feature, what it looks up, its label."""
+    return _stored_model(spark, sf_dir).model_signature("price_model", 1)
+
+
+@query(
+    "h10_stored_example",
+    over("training", "SELECT id, score_diff_to_last_month, bedrooms, latitude FROM training ORDER BY id LIMIT 3"),
+)
+def h10_stored_example(spark, sf_dir):
+    """The input rows that were stored with a model."""
+    return _stored_model(spark, sf_dir).model_example("price_model", 1)
+
+
 _SIGNATURE = " UNION ALL ".join(
     f"SELECT {i} AS position, '{name}' AS name, '{kind}' AS type, count({name}) = count(*) AS required FROM cleaned_inputs"
     for i, (name, kind) in enumerate(
@@ -205,66 +296,98 @@ def l3_model_as_function(spark, sf_dir):
     return rounded(with_prediction(test.select("id", "bedrooms"), model).select("id", "prediction"), ["prediction"])
 
 
-@query("h12_compare_parameters")
+def _sizes(below: int) -> str:
+    return f"(SELECT count(*) FILTER (WHERE {BUCKET} < {below}) AS n_train, count(*) FILTER (WHERE {BUCKET} >= {below}) AS n_test FROM tracking)"
+
+
+@query(
+    "h12_compare_parameters",
+    over(
+        "tracking",
+        f"SELECT run, n_train, n_test, true AS train_better, true AS test_better FROM (VALUES ('forest_1'), ('forest_2')) r(run), {_sizes(75)}",
+    ),
+)
 def h12_compare_parameters(spark, sf_dir):
-    """Two forests on the same rows, train and test metrics side by side."""
+    """Two forests on the same rows: each is better than the mean label on train and test rows."""
     train, test = split_tracking(spark, sf_dir, prepare.DEFAULT_TEST_SHARE)
     inputs = _inputs(train)
     candidates = {
         "forest_1": models.forest(inputs, "price", models.FOREST_V1),
         "forest_2": models.forest(inputs, "price", models.FOREST_V2),
     }
-    return models.compare(models.fit_trees(candidates, train, ["id"]), train, test, "price")
+    compared = models.compare(models.fit_trees(candidates, train, ["id"]), train, test, "price")
+    sizes = train.agg(F.count("*").alias("n_train")).crossJoin(test.agg(F.count("*").alias("n_test")))
+    better = [(F.col(f"{side}_r2") > 0).alias(f"{side}_better") for side in ("train", "test")]
+    return compared.select("run", *better).crossJoin(F.broadcast(sizes))
 
 
 def _search(spark, sf_dir, **options):
     rows = search_rows(load_listings(spark, sf_dir))
     train, test = prepare.key_split(rows, "id", 0.2)
-    return search.regress(train, "price", "id", **options), test
+    return search.regress(train, "price", "id", **options), train, test
 
 
-@query("i1_model_search")
+def _trial_sql(trials) -> str:
+    rows = ", ".join(
+        f"({number}, '{kind}', '{json.dumps(params, sort_keys=True)}', '{metric}')"
+        for number, (kind, params) in enumerate(trials)
+        for metric in models.METRICS
+    )
+    return f"SELECT trial, kind, params, metric, n > 0 AS measured FROM (VALUES {rows}) t(trial, kind, params, metric), (SELECT count(price) AS n FROM linear)"
+
+
+_TRIALS = [(kind, params) for kind, sets in search.DEFAULT_GRID.items() for params in sets]
+
+
+def _measured(trials):
+    return trials.select("trial", "kind", "params", "metric", F.col("value").isNotNull().alias("measured"))
+
+
+@query("i1_model_search", over("linear", f"SELECT id, price, true AS better_than_mean FROM linear WHERE {BUCKET} >= 80"))
 def i1_model_search(spark, sf_dir):
-    """The best model by rmse, applied to the test rows."""
-    summary, test = _search(spark, sf_dir, primary_metric="rmse", timeout_minutes=5)
-    return with_prediction(test, summary.model)
+    """The best model by rmse on the test rows, rows without a label included."""
+    summary, train, test = _search(spark, sf_dir, primary_metric="rmse", timeout_minutes=5)
+    return _judged(with_prediction(test, summary.model).select("id", "price", "prediction"), train).drop("within_labels")
 
 
-@query("i2_primary_metrics")
+@query("i2_primary_metrics", over("linear", f"SELECT metric, count(price) > 0 AS best FROM linear, (VALUES {', '.join(f"('{m}')" for m in models.METRICS)}) t(metric) GROUP BY metric"))
 def i2_primary_metrics(spark, sf_dir):
-    """The best trial by each metric."""
-    summary, _ = _search(spark, sf_dir)
+    """The best trial by each metric: no trial is better."""
+    summary, _, _ = _search(spark, sf_dir)
     best = None
     for metric in models.METRICS:
-        row = search.best_trial(summary.trials, metric)
+        row = search.best_trial(summary.trials, metric).select("metric", F.col("value").alias("chosen"))
         best = row if best is None else best.unionByName(row)
-    return best
+    extremes = summary.trials.groupBy("metric").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    wanted = F.when(F.col("metric") == "r2", F.col("most")).otherwise(F.col("least"))
+    return best.join(extremes, "metric").select("metric", (F.col("chosen") == wanted).alias("best"))
 
 
-@query("i3_time_limit")
+@query("i3_time_limit", over("linear", _trial_sql(_TRIALS[:1])))
 def i3_time_limit(spark, sf_dir):
     """With no time left only the first trial is run."""
-    summary, _ = _search(spark, sf_dir, timeout_minutes=0)
-    return summary.trials
+    summary, _, _ = _search(spark, sf_dir, timeout_minutes=0)
+    return _measured(summary.trials)
 
 
-@query("i6_trial_table")
+@query("i6_trial_table", over("linear", _trial_sql(_TRIALS)))
 def i6_trial_table(spark, sf_dir):
-    summary, _ = _search(spark, sf_dir, primary_metric="mae")
-    return summary.trials
+    """Every candidate with its parameters, measured by every metric."""
+    summary, _, _ = _search(spark, sf_dir, primary_metric="mae")
+    return _measured(summary.trials)
 
 
-@query(
-    "i5_training_profile",
-    over(
-        "linear",
-        f"""SELECT 'price' AS column_name, count(*) AS n_rows, count(*) - count(price) AS n_null,
-            round(avg(price), 6) AS mean FROM linear WHERE {BUCKET} < 80
-            UNION ALL SELECT 'beds', count(*), count(*) - count(beds), round(avg(beds), 6) FROM listings WHERE {BUCKET} < 80""",
-    ),
+_SEARCHED = (
+    "(SELECT id, l.bedrooms, l.beds, l.latitude, l.longitude, l.host_response_time, n.price "
+    f"FROM listings l JOIN linear n USING (id) WHERE {BUCKET} < 80)"
 )
-def i5_training_profile(spark, sf_dir):
-    from stayframe.operators.profile import profile
+_SEARCHED_FIELDS = [
+    T.StructField(name, T.DoubleType() if name == "price" else LISTINGS_SCHEMA[name].dataType) for name in ["id", *SEARCH_COLUMNS]
+]
+
 
+@query("i5_training_profile", over("linear", profile_sql(_SEARCHED_FIELDS, _SEARCHED)))
+def i5_training_profile(spark, sf_dir):
+    """The data profile of the whole training part."""
     train, _ = prepare.key_split(search_rows(load_listings(spark, sf_dir)), "id", 0.2)
-    return rounded(profile(train.select("price", "beds"), medians=False).select("column_name", "n_rows", "n_null", "mean"), ["mean"])
+    return rounded(profile.profile(train).drop("distinct_estimate"), ["mean", "stddev"])

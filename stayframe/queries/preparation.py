@@ -27,9 +27,14 @@ def g2_split(spark, sf_dir):
     return _sides(*prepare.key_split(linear_rows(load_listings(spark, sf_dir)), "id", 0.2))
 
 
-@query("g2_random_split")
+@query("g2_random_split", over("linear", "SELECT id, bedrooms, price, 1 AS n_sides, true AS a_fifth FROM linear"))
 def g2_random_split(spark, sf_dir):
-    return _sides(*prepare.random_split(linear_rows(load_listings(spark, sf_dir)), 0.2, 42))
+    """Every row is on one side, and about a fifth of them is held out; which ones is drawn."""
+    train, test = prepare.random_split(linear_rows(load_listings(spark, sf_dir)), 0.2, 42)
+    sides = _sides(train, test)
+    share = sides.agg(F.avg((F.col("split") == "test").cast("int")).alias("share"))
+    once = sides.groupBy("id", "bedrooms", "price").agg(F.count("split").cast("int").alias("n_sides"))
+    return once.crossJoin(F.broadcast(share.select(F.col("share").between(0.1, 0.3).alias("a_fifth"))))
 
 
 def _shares(name, share):
@@ -79,26 +84,23 @@ def g5_label_and_features(spark, sf_dir):
     "g6_categories",
     over(
         "listings",
-        """SELECT id, host_response_time, CAST(coalesce(position, n) AS DOUBLE) AS category,
-             CAST(CASE WHEN position = 0 THEN 1 ELSE 0 END AS DOUBLE) AS c0,
-             CAST(CASE WHEN position = 1 THEN 1 ELSE 0 END AS DOUBLE) AS c1,
-             CAST(CASE WHEN position = 2 THEN 1 ELSE 0 END AS DOUBLE) AS c2,
-             CAST(CASE WHEN position = 3 THEN 1 ELSE 0 END AS DOUBLE) AS c3
-           FROM listings LEFT JOIN (
+        """SELECT id, host_response_time, CAST(coalesce(position, n) AS DOUBLE) AS category, category AS place
+           FROM (SELECT l.*, position, n, CASE WHEN position < n THEN position END AS category
+           FROM listings l LEFT JOIN (
              SELECT host_response_time, row_number() OVER (ORDER BY count(*) DESC, host_response_time) - 1 AS position
              FROM listings WHERE host_response_time IS NOT NULL GROUP BY host_response_time) USING (host_response_time)
-           CROSS JOIN (SELECT count(DISTINCT host_response_time) AS n FROM listings)""",
+           CROSS JOIN (SELECT count(DISTINCT host_response_time) AS n FROM listings))""",
     ),
 )
 def g6_categories(spark, sf_dir):
-    """Categories by frequency, null as the last; one column per category but the last."""
+    """Categories by frequency, null as the last; ``place`` is where the encoded vector has its one, null if nowhere."""
     rows = search_rows(load_listings(spark, sf_dir)).select("id", "host_response_time")
     stages, _ = prepare.category_stages(["host_response_time"])
     encoded = Pipeline(stages=stages).fit(rows).transform(rows)
-    values = vector_to_array("host_response_time_vector")
+    place = F.array_position(vector_to_array("host_response_time_vector"), 1.0)
     return encoded.select(
         "id",
         "host_response_time",
         F.col("host_response_time_index").alias("category"),
-        *[values[i].alias(f"c{i}") for i in range(4)],
+        F.when(place > 0, place - 1).alias("place"),
     )

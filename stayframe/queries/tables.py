@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from stayframe.operators import models, profile, runlog
 from stayframe.plans.cleaning import etl_rows, tracking_rows
 from stayframe.plans.logs import RUN_METRICS, run_log
+from stayframe.queries.models import SHARES_SQL, shares
 from stayframe.queries.oracle import ALL_COLUMNS, over
 from stayframe.queries.registry import query
 from stayframe.session import new_workspace
@@ -76,6 +77,26 @@ def a3_csv_null_value(spark, sf_dir):
     return read_csv(spark, path, listings.schema, null_value="N/A")
 
 
+@query(
+    "a1_malformed_rows",
+    over(
+        "listings",
+        """SELECT CASE WHEN id % 50 = 0 THEN NULL ELSE id END AS id, CASE WHEN id % 50 = 0 THEN NULL ELSE minimum_nights END AS minimum_nights,
+           CASE WHEN id % 50 = 0 THEN 'n' || CAST(id AS STRING) || ',many' END AS malformed FROM listings""",
+    ),
+)
+def a1_malformed_rows(spark, sf_dir):
+    """Plain lines, read by many tasks; rows that do not parse keep their text."""
+    path = new_workspace(spark, "csv")
+    bad = F.col("id") % 50 == 0
+    rows = load_listings(spark, sf_dir).select(
+        F.when(bad, F.concat(F.lit("n"), F.col("id"))).otherwise(F.col("id").cast("string")).alias("id"),
+        F.when(bad, "many").otherwise(F.col("minimum_nights").cast("string")).alias("minimum_nights"),
+    )
+    write_csv(rows, path)
+    return read_csv(spark, path, "id long, minimum_nights long", multi_line=False, corrupt_column="malformed")
+
+
 def _taken_out(spark, database, rows):
     """The rows, written out of a database that is then dropped with its tables."""
     path = new_workspace(spark, "out-of-database")
@@ -130,7 +151,7 @@ def a7_csv_sink(spark, sf_dir):
     return read_csv(spark, path, rows.schema)
 
 
-@query("a7_importances_csv")
+@query("a7_importances_csv", over("tracking", SHARES_SQL))
 def a7_importances_csv(spark, sf_dir):
     """The importance table, keyed by feature, through a CSV file."""
     path = new_workspace(spark, "csv")
@@ -138,7 +159,7 @@ def a7_importances_csv(spark, sf_dir):
     candidate = models.forest([name for name in rows.columns if name not in ("id", "price")], "price", {"n_estimators": 10, "random_state": 42})
     model = models.fit_trees({"forest": candidate}, rows, ["id"])["forest"]
     write_csv(models.importances(model).coalesce(1), path)
-    return read_csv(spark, path, "Feature string, Importance double")
+    return shares(read_csv(spark, path, "Feature string, Importance double"), rows)
 
 
 @query(

@@ -16,16 +16,23 @@ def read_csv(
     sep: str = ",",
     null_value: str = "",
     repartition: int | None = None,
+    multi_line: bool = True,
+    mode: str = "PERMISSIVE",
+    corrupt_column: str | None = None,
 ) -> DataFrame:
     """Scan CSV files on a path shared by all executors; without a schema the types are inferred (one more pass).
 
-    A field may span lines, so a file cannot be split: one file is one task. ``repartition`` spreads the rows of a
-    few large files; many files spread by themselves. Land the result as Parquet when it is read more than once.
-    A field that equals ``null_value`` is null, quoted or not.
+    With ``multi_line`` a field may span lines, so a file cannot be split: one file is one task, and ``repartition``
+    spreads its rows only afterwards. Without it an uncompressed file is read by as many tasks as its size asks for; a
+    line break then always ends a row. Land the result as Parquet when it is read more than once.
+
+    A field that equals ``null_value`` is null, quoted or not. ``mode`` says what becomes of malformed rows: PERMISSIVE
+    keeps them with nulls, FAILFAST raises, DROPMALFORMED leaves them out. With ``corrupt_column`` (PERMISSIVE, and a
+    schema) such a row's text is in a string column of that name, and null in all others.
     """
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("sep", sep)
@@ -33,11 +40,21 @@ def read_csv(
         .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .option("mode", mode)
     )
     if schema is None:
+        if corrupt_column is not None:
+            raise ValueError("a column for malformed rows needs a schema")
         frame = reader.option("inferSchema", True).csv(path)
     else:
-        frame = reader.schema(schema).option("enforceSchema", False).csv(path)
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if corrupt_column is not None:
+            wanted = T.StructType([*wanted.fields, T.StructField(corrupt_column, T.StringType())])
+            # The header is checked against the data's columns only when there is no such column.
+            reader = reader.option("columnNameOfCorruptRecord", corrupt_column).option("enforceSchema", True)
+        else:
+            reader = reader.option("enforceSchema", False)
+        frame = reader.schema(wanted).csv(path)
     return frame.repartition(repartition) if repartition else frame
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# The part scores of the dataset.
 REVIEW_PARTS = [
     "review_scores_accuracy",
     "review_scores_cleanliness",

@@ -139,3 +139,31 @@ def test_second_version_after_retirement(scored, rows):
     assert store.score_batch("m", 2, spine.drop("y")).columns == ["id", "fresh", "c", "prediction"]
     lookups = sorted(map(tuple, store.model_lookups("m").collect()))
     assert lookups == [(1, "t", "a", 0), (2, "t", "c", 1)]
+
+
+def test_model_contract(scored):
+    """Types of the input are checked, and signature, example and run go with the model."""
+    store, spine = scored
+    training = store.create_training_set(spine, [FeatureLookup("t", "id")], "y")
+    model = store.load_model("m", 1)
+    assert store.log_model("by_run", model, training, run_id="r1") == 1
+    assert store.load_run_model("r1").stages[-1].coefficients == model.stages[-1].coefficients
+    with pytest.raises(NoSuchVersion):
+        store.load_run_model("r2")
+    signature = {row.name: (row.type, row.role) for row in store.model_signature("by_run", 1).collect()}
+    assert signature["id"] == ("bigint", "input") and signature["y"][1] == "label"
+    example = store.model_example("by_run", 1).collect()
+    assert [row.id for row in example] == [0, 1, 2] and "y" not in store.model_example("by_run", 1).columns
+    fresh = training.spine.drop("y")
+    assert store.score_batch("by_run", 1, fresh.withColumn("id", F.col("id").cast("int"))).count() == 40
+    with pytest.raises(SignatureMismatch, match="fresh"):
+        store.score_batch("by_run", 1, fresh.withColumn("fresh", F.col("fresh").cast("string")))
+
+
+def test_training_set_is_lazy(spark, store, rows):
+    store.create_table("t", ["id"], rows)
+    training = store.create_training_set(rows.select("id", F.col("a").alias("y")), [FeatureLookup("t", "id", ["b"])], "y")
+    spark.sparkContext.setJobGroup("load_df", "load_df")
+    training.load_df()
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("load_df")
+    spark.sparkContext.setJobGroup("tests", "tests")

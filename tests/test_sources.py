@@ -125,3 +125,42 @@ def test_workspace_follows_the_configured_folder():
 def test_cluster_without_a_shared_folder_is_an_error():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_root(_session("spark://somewhere", {}))
+
+
+def test_plain_csv_files_are_split(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.range(60_000).selectExpr("id", "repeat('x', 20) AS t").coalesce(1).write.option("header", True).csv(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        plain = read_csv(spark, path, "id long, t string", multi_line=False)
+        assert plain.rdd.getNumPartitions() > 4 and plain.count() == 60_000
+        assert read_csv(spark, path, "id long, t string").rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_malformed_csv_rows(spark, tmp_path):
+    (tmp_path / "odd.csv").write_text("a,b\n1,2\nx,3\n4,5,6\n7,8\n")
+    path, schema = str(tmp_path / "odd.csv"), "a int, b int"
+    rows = read_csv(spark, path, schema, corrupt_column="bad").collect()
+    assert [row.bad for row in rows] == [None, "x,3", "4,5,6", None]
+    assert [tuple(row) for row in read_csv(spark, path, schema, mode="DROPMALFORMED").collect()] == [(1, 2), (7, 8)]
+    with pytest.raises(Exception):
+        read_csv(spark, path, schema, mode="FAILFAST").collect()
+
+
+def test_a_rejected_table_is_not_listed(spark, tmp_path):
+    from stayframe.operators.features import FeatureStore, KeyViolation
+
+    store = FeatureStore(spark, str(tmp_path / "store"))
+    with pytest.raises(KeyViolation):
+        store.create_table("t", ["id"], spark.createDataFrame([(1,), (1,)], "id int"))
+    assert store.list_tables() == [] and not store.has_table("t")
+
+
+def test_partitioned_versions_have_few_files(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    table.write(spark.range(0, 4000, 1, 16).selectExpr("id", "id % 5 AS p"), partition_by=["p"])
+    files = list((tmp_path / "t" / "version=0").rglob("*.parquet"))
+    assert len(files) <= 10 and table.read().count() == 4000
