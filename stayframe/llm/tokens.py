@@ -21,17 +21,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayframe.llm.stored import stored
+from stayframe.llm.words import Texts, find_words, span_hashes, text_blocks
 
 SEQUENCE_LENGTH = 2048
 SEQUENCES_PER_BATCH = 256
 #: The id appended to every document.
 END_ID = 1
 #: Pieces of text whose ids a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: Bytes of text whose distinct pieces are looked up together.
+BLOCK_BYTES = 8 << 20
 #: Unknown pieces encoded together.
 TOGETHER = 4096
 
 
+#: Pieces of text: what stands between spaces and line breaks.
+_PIECE_BYTES = ~np.isin(np.arange(256), [32, 10])
+
+
 class PieceEncoder:
     """Ids of texts, piece by piece: what stands between two spaces or line breaks is encoded once and remembered.
 
@@ -55,45 +62,55 @@ class PieceEncoder:
         """Lower-case words of letters only: one pre-token each, whose last id is the only one that ends a word."""
         for at in range(0, len(words), TOGETHER):
             own = words[at : at + TOGETHER]
-            ids = self._ids([" ".join(word.decode() for word in own)])[0]
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(cuts) == len(own):
-                parts = np.split(ids, cuts[:-1])
+            ids = self._ids([b" ".join(own).decode()])[0]
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.id_type.itemsize
+            if len(ends) == len(own):
+                joined = ids.tobytes()
+                cuts = ends.tolist()
+                self.known.update(zip(own, (joined[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
             else:
-                parts = self._ids([word.decode() for word in own])
-            self.known.update(zip(own, (part.tobytes() for part in parts), strict=True))
+                self.known.update(zip(own, (ids.tobytes() for ids in self._ids([word.decode() for word in own])), strict=True))
 
-    def learn(self, pieces: set[bytes]) -> None:
-        new = pieces.difference(self.known.keys())
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode pieces that are not known."""
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = pieces
-        composed: dict[bytes, tuple[bytes, bytes]] = {}
-        plain: list[bytes] = []
-        for piece in new:
-            split = _core(piece)
-            if split is None:
-                plain.append(piece)
-            else:
-                composed[piece] = split
-        parts = {part for split in composed.values() for part in split if part}
-        words = parts.difference(self.known.keys())
-        self._learn_words([word for word in words if len(word) > 1 or word.isalpha()])
-        plain += [word for word in words if word not in self.known]
+        known = self.known
+        composed = [(piece, split) for piece in new if (split := _core(piece)) is not None]
+        words = {split[0] for _, split in composed if split[0] and split[0] not in known}
+        self._learn_words(sorted(words))
+        split_ones = {piece for piece, _ in composed}
+        plain = [piece for piece in new if piece not in split_ones]
+        plain += [mark for mark in {split[1] for _, split in composed} if mark and mark not in known]
         for at in range(0, len(plain), TOGETHER):
             own = plain[at : at + TOGETHER]
-            self.known.update(zip(own, (ids.tobytes() for ids in self._ids([p.decode() for p in own])), strict=True))
-        for piece, split in composed.items():
-            self.known[piece] = b"".join(self.known[part] for part in split if part)
-
-    def encode(self, texts: Sequence[bytes]) -> list[np.ndarray]:
-        split = [text.replace(b"\n", b" ").split(b" ") for text in texts]
-        pieces: set[bytes] = set()
-        for own in split:
-            pieces.update(own)
-        self.learn(pieces)
-        ids_of = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids_of, own)), dtype=self.id_type) for own in split]
+            known.update(zip(own, (ids.tobytes() for ids in self._ids([p.decode() for p in own])), strict=True))
+        for piece, (word, mark) in composed:
+            known[piece] = (known[word] if word else b"") + (known[mark] if mark else b"")
+
+    def encode(self, texts: Texts) -> list[np.ndarray]:
+        """The ids of every text of a block. Each distinct piece of the block is looked up once."""
+        words = find_words(texts, _PIECE_BYTES)
+        if not len(words.starts):
+            return [np.zeros(0, dtype=self.id_type)] * len(texts)
+        _, first, piece_of = np.unique(span_hashes(texts.data, words.starts, words.ends), return_index=True, return_inverse=True)
+        data = texts.data.tobytes()
+        pieces = [data[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+        found = [self.known.get(piece) for piece in pieces]
+        new = [piece for piece, ids in zip(pieces, found, strict=True) if ids is None]
+        if new:
+            kept = dict(zip(pieces, found, strict=True)) if len(self.known) + len(new) > REMEMBERED else {}
+            self._learn(new)
+            found = [ids if ids is not None else self.known[piece] for piece, ids in zip(pieces, found, strict=True)]
+            self.known.update((piece, ids) for piece, ids in kept.items() if ids is not None)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.id_type.itemsize
+        table = np.frombuffer(b"".join(found), dtype=self.id_type)
+        starts = np.cumsum(lengths) - lengths
+        own = lengths[piece_of]
+        ends = np.cumsum(own)
+        ids = table[np.repeat(starts[piece_of] - (ends - own), own) + np.arange(int(own.sum()))]
+        cuts = np.concatenate([[0], ends])[words.bounds]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def _core(piece: bytes) -> tuple[bytes, bytes] | None:
@@ -214,12 +231,11 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, form: SequenceFo
         end = np.array([end_id], dtype=form.id_type)
         writer = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                if writer is None:
-                    writer = SequenceWriter(*shard_uri(path, shard), form, part.column(0).type, context.taskAttemptId())
-                encoded = own.encode([text or b"" for text in part.column(1).to_pylist()])
-                writer.add(part.column(0), [np.concatenate([ids, end]) for ids in encoded])
+            if writer is None:
+                writer = SequenceWriter(*shard_uri(path, shard), form, batch.column(0).type, context.taskAttemptId())
+            for texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                keys = batch.column(0)[texts.first : texts.first + len(texts)]
+                writer.add(keys, [np.concatenate([ids, end]) for ids in own.encode(texts)])
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist(

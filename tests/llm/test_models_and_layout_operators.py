@@ -131,16 +131,20 @@ def test_toxicity_features_stay_in_their_text():
     assert {f for f, o in zip(features, owner) if o == 3} < {f for f, o in zip(features, owner) if o == 0}
 
 
-def test_piece_encoder_equals_the_tokenizer():
+def test_piece_encoder_equals_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizer("word_bpe_49k.json")
     whole, own, rng = Tokenizer.from_file(path), tokens.PieceEncoder(path, "uint16"), random.Random(0)
     parts = ["a", "B", "é", "É", " ", "\n", ".", ",", "'s", "'", "1", "23", "\t", "İ", "ß", "µ", "<|endoftext|>", "<|ENDOFTEXT|>", "é",
              " ́", "ẞ", "ﬁ", "中文", "Σ", "ΑΣ ", "-", "🙂", "\x1c", "\x85", "ª", "ǅ", "‍", "..", "don't", "Ab.", "Ÿ"]
-    for _ in range(4000):
-        text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
-        assert own.encode([text.encode()])[0].tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    written = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)]
+    expected = [whole.encode(text, add_special_tokens=False).ids for text in written]
+    for remembered in (1_000_000, 50):
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        for at in range(0, len(written), 100):
+            (texts,) = text_blocks(pa.array([text.encode() for text in written[at : at + 100]], pa.binary()))
+            assert [ids.tolist() for ids in own.encode(texts)] == expected[at : at + 100]
 
 
 def test_token_files_round_trip(spark, edge_documents):
