@@ -349,7 +349,7 @@ class FeatureStore:
                 )
             sources.append(snapshots.scan(entry))
         rows = join_features(df, lookups, sources)
-        scored = self.load_model(name, version).transform(rows)
+        scored = PipelineModel.load(self._model_path(name, version)).transform(rows)
         return scored.select(*rows.columns, F.col("prediction").cast(result_type).alias("prediction"))
 
     # --- storage

@@ -164,3 +164,18 @@ def test_partitioned_versions_have_few_files(spark, tmp_path):
     table.write(spark.range(0, 4000, 1, 16).selectExpr("id", "id % 5 AS p"), partition_by=["p"])
     files = list((tmp_path / "t" / "version=0").rglob("*.parquet"))
     assert len(files) <= 10 and table.read().count() == 4000
+
+
+def test_queries_leave_no_database_and_workspaces_can_be_cleaned(spark, sf_dir, tmp_path, monkeypatch):
+    from datetime import timedelta
+
+    from stayframe import session
+    from stayframe.queries import QUERIES
+
+    before = {database.name for database in spark.catalog.listDatabases()}
+    monkeypatch.setattr(session, "shared_root", lambda spark: str(tmp_path))
+    for name in ("a4_database", "a5_overwrite_table", "a6_drop_table"):
+        assert QUERIES[name](spark, sf_dir).count() > 0
+    assert {database.name for database in spark.catalog.listDatabases()} == before
+    assert session.clean_workspaces(spark, timedelta(days=1)) == 0 and list((tmp_path / "stayframe").iterdir())
+    assert session.clean_workspaces(spark, timedelta(seconds=-60)) > 0 and not list((tmp_path / "stayframe").iterdir())
