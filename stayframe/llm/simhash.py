@@ -295,9 +295,12 @@ def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
     key, rows = unused_names(docs, "kept_id", "kept_rows")
     own = components.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(own.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(rows)), "kept-documents")
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)))
+    # The list has about as many rows as there are documents, so it is never broadcast, whatever Spark thinks of its size;
+    # hashing it spares sorting the texts.
+    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(key)))
     several = (F.col(rows) > 1) & F.col("doc_id").isNotNull()
+    single = joined.where(~several).select(*docs.columns)
+    if kept.where((F.col(rows) > 1) & F.col(key).isNotNull()).isEmpty():
+        return single
     # A doc_id that occurs on several rows: any one of them stays.
-    return joined.where(~several).select(*docs.columns).unionByName(
-        joined.where(several).select(*docs.columns).dropDuplicates(["doc_id"])
-    )
+    return single.unionByName(joined.where(several).select(*docs.columns).dropDuplicates(["doc_id"]))
