@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from stayframe.llm.words import Texts, text_blocks
 
 #: Buckets per n-gram length, and the lengths.
-BUCKETS = 1 << 14
+BUCKET_BITS = 14
+BUCKETS = 1 << BUCKET_BITS
 GRAM_SIZES = (1, 2, 3)
 SMOOTHING = 0.5
 UNDETERMINED = "und"
@@ -40,7 +41,7 @@ def gram_buckets(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     gram = np.zeros(n, dtype=np.uint32)
     for k, size in enumerate(GRAM_SIZES):
         gram[: n - size + 1] |= folded[size - 1 :] << np.uint32(8 * (size - 1))
-        bucket = ((gram + np.uint32(size)) * _SPREAD) >> np.uint32(32 - 14)
+        bucket = ((gram + np.uint32(size)) * _SPREAD) >> np.uint32(32 - BUCKET_BITS)
         yield bucket.astype(np.int64) + k * BUCKETS, np.arange(n) + size <= ends
 
 

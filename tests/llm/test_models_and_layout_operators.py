@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stayframe.llm import language, packing, quality, sharding, simhash, tokens, toxicity
