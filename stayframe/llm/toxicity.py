@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     wanted = wanted.withColumn("place", place).where(
         F.col("place") <= F.lit(min(2**63 - 1, int(2**63 * (1.5 * SAMPLE_ROWS / max(n_rows, 1)))))
     ).orderBy("place", "toxic").limit(SAMPLE_ROWS)
-    sample = docs.select("doc_id", "text").join(wanted, "doc_id")
+    # At most SAMPLE_ROWS keys, so the documents need no shuffle.
+    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
     ordered = _labelled_features(sample).repartition(1).sortWithinPartitions("place", "toxic", "features")
     weights = ordered.mapInArrow(_learn, "feature long, weight double").toPandas().sort_values("feature")
     own = weights[weights["feature"] >= 0]
