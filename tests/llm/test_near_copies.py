@@ -1,0 +1,88 @@
+"""Near copies of the pipeline's stage against brute-force Jaccard similarity."""
+
+import random
+from collections import defaultdict
+from fractions import Fraction
+from itertools import combinations
+
+import pytest
+
+import corpus_pipeline
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    size = min(5, len(words))
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else frozenset()
+
+
+def similarity(left, right):
+    return Fraction(len(left & right), len(left | right)) if left or right else Fraction(1)
+
+
+def roots(texts):
+    """The smallest place that links reach from every text."""
+    sets = [shingles(text) for text in texts]
+    holders = defaultdict(set)
+    for k, own in enumerate(sets):
+        for shingle in own or [None]:
+            holders[shingle].add(k)
+    pairs = {pair for own in holders.values() for pair in combinations(sorted(own), 2)}
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in pairs:
+        if similarity(sets[a], sets[b]) >= Fraction(4, 5):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(texts))]
+
+
+def stage(spark, docs):
+    return corpus_pipeline.near_duplicates(spark, docs, "").collect()
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_stage_equals_brute_force(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    rows = sorted((row.doc_id, row.text) for row in docs.collect())
+    found = roots([text for _, text in rows])
+    assert sorted(row.doc_id for row in stage(spark, docs)) == sorted(rows[k][0] for k in set(found))
+
+
+def edited(words, changes, rng):
+    out = list(words)
+    for at in rng.sample(range(len(out)), changes):
+        out[at] = f"changed{rng.random()}"
+    return out
+
+
+def test_lightly_edited_copies_go(spark):
+    rng = random.Random(7)
+    vocabulary = [f"word{k}" for k in range(5_000)]
+    texts = []
+    for length, changes in ((100, 1), (300, 3), (1000, 10), (100, 2), (200, 4), (100, 3), (100, 4), (40, 1)):
+        for _ in range(60):
+            original = [rng.choice(vocabulary) for _ in range(length)]
+            texts += [" ".join(original), " \n".join(edited(original, changes, rng)).upper()]
+    # A large group of near copies of one text.
+    centre = [rng.choice(vocabulary) for _ in range(200)]
+    texts += [" ".join(edited(centre, rng.randint(0, 4), rng)) for _ in range(200)]
+    found = roots(texts)
+    assert len(texts) - len(set(found)) > 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {row.doc_id for row in stage(spark, docs)} == set(found)
+
+
+def test_similarity_is_exact_at_the_border(spark):
+    # Eight of ten shingles shared: 0.8; seven of nine: just below it.
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[:13]), " ".join(words[1:14]), " ".join(words[20:32]), " ".join(words[21:33])]
+    sets = [shingles(text) for text in texts]
+    assert similarity(*sets[:2]) == Fraction(8, 10) and similarity(*sets[2:]) == Fraction(7, 9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(row.doc_id for row in stage(spark, docs)) == [0, 2, 3]
