@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayframe.llm.components import connected
+from stayframe.llm.nearcopies import kept_rows
 from stayframe.llm.stored import stored, unused_names
 from stayframe.llm.words import NOT_SPACE, find_words, text_blocks
 
@@ -268,10 +269,10 @@ def similar_fingerprints(codes: DataFrame, node_limit: int = NODE_LIMIT) -> Data
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, node_limit: int = NODE_LIMIT) -> DataFrame:
-    """doc_id, ``fingerprint`` (long) and ``component_id`` of every row of ``docs``.
+    """doc_id, ``fingerprint`` (long), ``component_id`` and ``root`` of every row of ``docs``.
 
     Rows link when their fingerprints differ in at most :data:`DISTANCE` bits; ``component_id`` is the smallest doc_id
-    that links reach, the row's own included. Copies of a text share a fingerprint and are linked once, through it. Rows
+    that links reach, the row's own included, and ``root`` a fingerprint that stands for the component. Copies of a text share a fingerprint and are linked once, through it. Rows
     with equal doc_ids stay apart rows; a null doc_id is reached but never the smallest (null, if there is no other).
     """
     per_row = stored(fingerprints(docs, shingle_words), "fingerprints")
@@ -280,27 +281,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, node_li
     rooted = codes.join(joined.withColumnsRenamed({"node": "fingerprint", "component": "root"}), "fingerprint", "left")
     rooted = stored(rooted.withColumn("root", F.coalesce("root", "fingerprint")), "rooted-fingerprints")
     least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    components = rooted.join(least, "root").select("fingerprint", "component_id")
+    components = rooted.join(least, "root").select("fingerprint", "component_id", "root")
     return per_row.join(stored(components, "fingerprint-components"), "fingerprint", "left").select(
-        "doc_id", "fingerprint", "component_id"
+        "doc_id", "fingerprint", "component_id", "root"
     )
 
 
-def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """One row of ``docs`` for every component: the one with the smallest doc_id.
+def one_of_each(docs: DataFrame, components: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of ``docs`` for every component: the one with the smallest doc_id, null last; any of those with equal ones.
 
-    Rows without a doc_id form components of their own unless they link to one with a doc_id; those that stay are told
-    apart by nothing, so a component of rows without doc_ids keeps them all.
+    ``components`` comes from :func:`near_duplicates` with the same ``shingle_words``. Rows are told apart by their place,
+    so repeated and null doc_ids neither lose a component nor keep two rows of one.
     """
-    key, rows = unused_names(docs, "kept_id", "kept_rows")
-    own = components.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = stored(own.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(rows)), "kept-documents")
+    (row,) = unused_names(docs, "row")
+    # Written out, so that every later read numbers the rows alike.
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
+    keys = numbered.select(F.struct(F.col(row).alias("row"), "doc_id").alias("doc_id"), "text")
+    per_row = fingerprints(keys, shingle_words).select("doc_id.row", "doc_id.doc_id", "fingerprint")
+    roots = stored(components.select("fingerprint", "root").distinct(), "fingerprint-roots")
+    kept = stored(kept_rows(per_row.join(roots, "fingerprint")).withColumnRenamed("row", row), "kept-rows")
     # The list has about as many rows as there are documents, so it is never broadcast, whatever Spark thinks of its size;
     # hashing it spares sorting the texts.
-    joined = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(key)))
-    several = (F.col(rows) > 1) & F.col("doc_id").isNotNull()
-    single = joined.where(~several).select(*docs.columns)
-    if kept.where((F.col(rows) > 1) & F.col(key).isNotNull()).isEmpty():
-        return single
-    # A doc_id that occurs on several rows: any one of them stays.
-    return single.unionByName(joined.where(several).select(*docs.columns).dropDuplicates(["doc_id"]))
+    return numbered.join(kept.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)

@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
+from stayframe.llm import simhash
 
 
 def shingles(text):
@@ -86,3 +87,26 @@ def test_similarity_is_exact_at_the_border(spark):
     assert similarity(*sets[:2]) == Fraction(8, 10) and similarity(*sets[2:]) == Fraction(7, 9)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(row.doc_id for row in stage(spark, docs)) == [0, 2, 3]
+
+
+@pytest.mark.parametrize(
+    "one_of_each",
+    [lambda spark, docs: corpus_pipeline.near_duplicates(spark, docs, ""), lambda _, docs: simhash.one_of_each(docs, simhash.near_duplicates(docs))],
+    ids=["stage", "simhash"],
+)
+def test_survivors_with_repeated_and_null_ids(spark, one_of_each):
+    rng = random.Random(3)
+    one, two, three, four = (" ".join(f"word{rng.randrange(5_000)}" for _ in range(60)) for _ in range(4))
+
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted(((row.doc_id, row.text) for row in one_of_each(spark, docs).collect()), key=str)
+
+    # Unrelated texts below one doc_id are two groups.
+    assert kept([(1, one), (1, two)]) == sorted([(1, one), (1, two)], key=str)
+    # Only the row that copies a document with a smaller doc_id goes.
+    assert kept([(1, one), (1, two), (0, one)]) == sorted([(0, one), (1, two)], key=str)
+    # A null doc_id is the last to stay, and one row of a group without any.
+    assert kept([(None, one), (5, one), (None, two), (None, two), (None, three), (6, four)]) == sorted(
+        [(5, one), (None, two), (None, three), (6, four)], key=str
+    )
