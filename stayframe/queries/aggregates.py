@@ -105,7 +105,7 @@ def c4_distinct_estimates(spark, sf_dir):
     return estimates.join(exact, "column_name").select("column_name", "n_rows", "n_distinct", near.alias("near"))
 
 
-# All columns but the key, whose values are all different, and the two whose doubles the engines write differently.
+# Whole numbers and texts but the key; c4_top_values_of_rest has the key and the nine doubles.
 _TOP_COLUMNS = [
     field.name for field in LISTINGS_SCHEMA if field.name != "id" and field.dataType.simpleString() in ("bigint", "string")
 ]
@@ -129,6 +129,34 @@ def c4_top_values(spark, sf_dir):
     return profile.top_values(load_listings(spark, sf_dir), _TOP_COLUMNS, 3)
 
 
+# The engines write doubles differently, but decimals alike; the values have at most four decimals.
+_REST_COLUMNS = [field.name for field in LISTINGS_SCHEMA if field.name not in _TOP_COLUMNS]
+_DOUBLE_COLUMNS = [field.name for field in LISTINGS_SCHEMA if field.dataType.simpleString() == "double"]
+
+
+def _text_sql(name):
+    return f"CAST(CAST({name} AS DECIMAL(18, 4)) AS STRING)" if name in _DOUBLE_COLUMNS else f"CAST({name} AS STRING)"
+
+
+@query(
+    "c4_top_values_of_rest",
+    over(
+        "listings",
+        "SELECT * FROM (SELECT column_name, value, n, CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value)"
+        " AS INTEGER) AS rank FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{name}' AS column_name, {_text_sql(name)} AS value, count(*) AS n FROM listings "
+            f"WHERE {name} IS NOT NULL GROUP BY ALL"
+            for name in _REST_COLUMNS
+        )
+        + ")) WHERE rank <= 3",
+    ),
+)
+def c4_top_values_of_rest(spark, sf_dir):
+    decimals = {name: F.col(name).cast("decimal(18,4)") for name in _DOUBLE_COLUMNS}
+    return profile.top_values(load_listings(spark, sf_dir).withColumns(decimals), _REST_COLUMNS, 3)
+
+
 @query("c5_scalar", over("etl", "SELECT round(avg(price), 6) AS avg_price FROM etl WHERE bedrooms = 2"))
 def c5_scalar(spark, sf_dir):
     """A scalar is a one-row frame until the caller asks for it."""
