@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stayframe.llm import contamination, nearcopies, packing, personal, quality
+from stayframe.llm import contamination, packing, personal, quality, simhash
 from stayframe.llm.stored import stored
 
 
@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return nearcopies.one_of_each(docs)
+    """One document of each group that the SimHash operator links: four-word shingles, at most four differing bits."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
