@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from stayframe.llm.words import (
     NOT_SPACE,
     Texts,
+    Words,
     covered,
+    distinct_spans,
+    equal_spans,
     find_words,
     keyed_by_text,
     span_hashes,
@@ -82,6 +85,21 @@ def _found_twice(keys: np.ndarray) -> np.ndarray:
     return twice
 
 
+def _checked_windows(texts: Texts, words: Words, windows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``keys`` if windows of one text with equal keys have equal words, which is checked on the bytes; else other keys."""
+    order = np.argsort(keys, kind="stable")
+    same = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+    pairs = windows[order[same]], windows[order[same + 1]]
+    text = words.text_of()
+    if (text[pairs[0]] == text[pairs[1]]).all() and all(
+        equal_spans(texts.data, pairs[0] + i, pairs[1] + i, words.starts, words.ends).all() for i in range(REPEAT_WINDOW)
+    ):
+        return keys
+    _, number = distinct_spans(texts.data, words.starts, words.ends)
+    rows = np.stack([text[windows], *(number[windows + i] for i in range(REPEAT_WINDOW))], axis=1)
+    return np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+
+
 def block_statistics(texts: Texts) -> dict[str, np.ndarray]:
     """The statistics of every text of a block."""
     words = find_words(texts, NOT_SPACE)
@@ -91,12 +109,13 @@ def block_statistics(texts: Texts) -> dict[str, np.ndarray]:
     starts, ends, line_text = _lines(texts)
     with_word = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends, line_text = starts[with_word], ends[with_word], line_text[with_word]
-    line_keys = keyed_by_text(span_hashes(texts.data, starts, ends), line_text)
+    first, line_number = distinct_spans(texts.data, starts, ends)
+    line_keys = line_text * max(len(first), 1) + line_number
     n_texts = len(texts)
     windows = whole_windows(words, REPEAT_WINDOW)
     hashes = span_hashes(texts.data, words.starts, words.ends)
-    window_keys = window_hashes(hashes, REPEAT_WINDOW)[windows]
-    repeated = windows[_found_twice(keyed_by_text(window_keys, text_of_word[windows]))]
+    window_keys = keyed_by_text(window_hashes(hashes, REPEAT_WINDOW)[windows], text_of_word[windows])
+    repeated = windows[_found_twice(_checked_windows(texts, words, windows, window_keys))]
     letters = np.concatenate([[0], np.cumsum(_LETTERS[texts.data])])
     bare = letters[words.ends] == letters[words.starts]
     same = np.zeros(len(words.starts), dtype=bool)

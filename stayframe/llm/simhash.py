@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayframe.llm.components import connected
-from stayframe.llm.nearcopies import kept_rows
 from stayframe.llm.stored import stored, unused_names
 from stayframe.llm.words import NOT_SPACE, find_words, text_blocks
 
@@ -268,6 +267,16 @@ def similar_fingerprints(codes: DataFrame, node_limit: int = NODE_LIMIT) -> Data
         )
 
 
+def _components(per_row: DataFrame, node_limit: int = NODE_LIMIT) -> DataFrame:
+    """``fingerprint``, ``component_id`` and ``root`` of every distinct fingerprint of ``per_row`` (doc_id, fingerprint)."""
+    codes = per_row.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    joined = connected(similar_fingerprints(codes.select("fingerprint"), node_limit), "a", "b")
+    rooted = codes.join(joined.withColumnsRenamed({"node": "fingerprint", "component": "root"}), "fingerprint", "left")
+    rooted = stored(rooted.withColumn("root", F.coalesce("root", "fingerprint")), "rooted-fingerprints")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    return stored(rooted.join(least, "root").select("fingerprint", "component_id", "root"), "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, node_limit: int = NODE_LIMIT) -> DataFrame:
     """doc_id, ``fingerprint`` (long), ``component_id`` and ``root`` of every row of ``docs``.
 
@@ -276,28 +285,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, node_li
     with equal doc_ids stay apart rows; a null doc_id is reached but never the smallest (null, if there is no other).
     """
     per_row = stored(fingerprints(docs, shingle_words), "fingerprints")
-    codes = per_row.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    joined = connected(similar_fingerprints(codes.select("fingerprint"), node_limit), "a", "b")
-    rooted = codes.join(joined.withColumnsRenamed({"node": "fingerprint", "component": "root"}), "fingerprint", "left")
-    rooted = stored(rooted.withColumn("root", F.coalesce("root", "fingerprint")), "rooted-fingerprints")
-    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    components = rooted.join(least, "root").select("fingerprint", "component_id", "root")
-    return per_row.join(stored(components, "fingerprint-components"), "fingerprint", "left").select(
+    return per_row.join(_components(per_row, node_limit), "fingerprint", "left").select(
         "doc_id", "fingerprint", "component_id", "root"
     )
 
 
-def one_of_each(docs: DataFrame, components: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+def kept_rows(rows: DataFrame) -> DataFrame:
+    """``row`` of one row of every root: of the smallest doc_id, a null one last, and among equal ones of the smallest row."""
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    return rows.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row"))
+
+
+def one_of_each(docs: DataFrame, components: DataFrame | None = None, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """One row of ``docs`` for every component: the one with the smallest doc_id, null last; any of those with equal ones.
 
-    ``components`` comes from :func:`near_duplicates` with the same ``shingle_words``. Rows are told apart by their place,
-    so repeated and null doc_ids neither lose a component nor keep two rows of one.
+    ``components`` comes from :func:`near_duplicates` with the same ``shingle_words``; without it the fingerprints taken
+    here serve for the components too. Rows are told apart by their place, so repeated and null doc_ids neither lose a
+    component nor keep two rows of one. Null and empty texts are one component; an empty table stays empty.
     """
     (row,) = unused_names(docs, "row")
     # Written out, so that every later read numbers the rows alike.
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
     keys = numbered.select(F.struct(F.col(row).alias("row"), "doc_id").alias("doc_id"), "text")
     per_row = fingerprints(keys, shingle_words).select("doc_id.row", "doc_id.doc_id", "fingerprint")
+    if components is None:
+        per_row = stored(per_row, "fingerprints")
+        components = _components(per_row.select("doc_id", "fingerprint"))
     roots = stored(components.select("fingerprint", "root").distinct(), "fingerprint-roots")
     kept = stored(kept_rows(per_row.join(roots, "fingerprint")).withColumnRenamed("row", row), "kept-rows")
     # The list has about as many rows as there are documents, so it is never broadcast, whatever Spark thinks of its size;

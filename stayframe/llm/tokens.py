@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayframe.llm.stored import stored
-from stayframe.llm.words import Texts, find_words, span_hashes, text_blocks
+from stayframe.llm.words import Texts, distinct_spans, find_words, text_blocks
 
 SEQUENCE_LENGTH = 2048
 SEQUENCES_PER_BATCH = 256
@@ -93,7 +93,7 @@ class PieceEncoder:
         words = find_words(texts, _PIECE_BYTES)
         if not len(words.starts):
             return [np.zeros(0, dtype=self.id_type)] * len(texts)
-        _, first, piece_of = np.unique(span_hashes(texts.data, words.starts, words.ends), return_index=True, return_inverse=True)
+        first, piece_of = distinct_spans(texts.data, words.starts, words.ends)
         data = texts.data.tobytes()
         pieces = [data[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
         found = [self.known.get(piece) for piece in pieces]

@@ -10,8 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 2 << 20
+#: A polynomial mod 2**64 has equal values for certain long patterns, so spans beyond this are hashed with XXH3 instead.
+LONG_SPAN = 64
 
 _EVERY_BYTE = np.arange(256)
 _CASELESS = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
@@ -104,10 +107,25 @@ def find_words(texts: Texts, word_bytes: np.ndarray) -> Words:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, caseless: bool = False) -> np.ndarray:
     """A 64-bit hash of every span's bytes; ASCII case is ignored if ``caseless``. Spans do not overlap.
 
-    A polynomial over the byte's place in the span, then mixed. Long runs of spans are hashed in pieces.
+    A polynomial over the byte's place in the span, then mixed; XXH3 for spans over :data:`LONG_SPAN` bytes. Many spans
+    are hashed in pieces.
     """
     out = np.empty(len(starts), dtype=np.uint64)
     values = _CASELESS_VALUE if caseless else _BYTE_VALUE
+    long = np.flatnonzero(ends - starts > LONG_SPAN)
+    if len(long):
+        digest = xxhash.xxh3_64_intdigest
+        for at, start, end in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+            span = data[start:end]
+            out[at] = digest(np.ascontiguousarray(_CASELESS[span] if caseless else span))
+        short = np.flatnonzero(ends - starts <= LONG_SPAN)
+        out[short] = _short_span_hashes(data, starts[short], ends[short], values)
+        return out
+    return _short_span_hashes(data, starts, ends, values)
+
+
+def _short_span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.empty(len(starts), dtype=np.uint64)
     lengths = ends - starts
     filled = np.cumsum(lengths)
     at = 0
@@ -130,6 +148,40 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, caseless
     return out
 
 
+def equal_spans(data: np.ndarray, spans: np.ndarray, others: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether span ``spans[i]`` has the bytes of span ``others[i]``, for every i."""
+    lengths = ends[spans] - starts[spans]
+    equal = lengths == ends[others] - starts[others]
+    filled = np.cumsum(np.where(equal, lengths, 0))
+    at = 0
+    while at < len(spans):
+        done = filled[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(filled, done + BLOCK_BYTES, side="right")))
+        own = np.diff(filled[at:to], prepend=done)
+        offsets = filled[at:to] - own - done
+        place = np.arange(filled[to - 1] - done) - np.repeat(offsets, own)
+        same = data[place + np.repeat(starts[spans[at:to]], own)] == data[place + np.repeat(starts[others[at:to]], own)]
+        full = own > 0
+        if full.any():
+            equal[at:to][full] &= np.logical_and.reduceat(same, offsets[full])
+        at = to
+    return equal
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a span of every distinct byte string, the number of every span's string). Equal hashes are checked on the bytes."""
+    _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    every = np.arange(len(starts))
+    if equal_spans(data, every, first[number], starts, ends).all():
+        return first, number
+    content = data.tobytes()
+    numbers: dict[bytes, int] = {}
+    spans = (content[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    number = np.fromiter((numbers.setdefault(span, len(numbers)) for span in spans), dtype=np.int64, count=len(starts))
+    _, first = np.unique(number, return_index=True)
+    return first, number
+
+
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of every ``size`` consecutive word hashes, windows that cross texts included."""
     n = len(hashes) - size + 1

@@ -317,3 +317,35 @@ def test_pipeline_stages_on_edge_cases(spark, sf_dir, edge_documents):
             docs = corpus_pipeline.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
             docs.count()
     assert simhash.BLOCKS - simhash.DISTANCE == 2
+
+
+def thue_morse(length, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(length))
+
+
+def colliding_documents():
+    """Texts whose words, lines and windows have equal values of any polynomial mod 2**64."""
+    one, other = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    plain = " ".join(f"w{k}" for k in range(30))
+    return [f"{one} {other} {one}", f"{one}\n{other}\n{plain}", " ".join([one, *"bcdefgh", plain, other, *"bcdefgh"])]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_equal_hashes_are_checked_on_the_bytes(monkeypatch, weak):
+    from tokenizers import Tokenizer
+
+    from stayframe.llm import words
+
+    if weak:
+        hashes = words.span_hashes
+        for module in (words, quality):
+            monkeypatch.setattr(module, "span_hashes", lambda *args, **kind: hashes(*args, **kind) & np.uint64(3))
+    documents = [*colliding_documents(), "x y\nx y\nx z\n", "a b c d e f g h i a b c d e f g h j"]
+    path = public_tokenizer("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    (texts,) = text_blocks(pa.array([text.encode() for text in documents], pa.binary()))
+    expected = [whole.encode(text, add_special_tokens=False).ids for text in documents]
+    assert [ids.tolist() for ids in tokens.PieceEncoder(path, "uint16").encode(texts)] == expected
+    found = quality.block_statistics(texts)
+    for i, text in enumerate(documents):
+        assert tuple(found[name][i] for name in quality.STATISTICS) == rule_statistics(text)
