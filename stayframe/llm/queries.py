@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.llm import contamination, language, licences, packing, personal, quality, sharding, simhash, tokens, toxicity
+from stayframe.llm import (
+    contamination,
+    language,
+    licences,
+    lines,
+    packing,
+    periodic,
+    personal,
+    quality,
+    sharding,
+    simhash,
+    tokens,
+    toxicity,
+    whitening,
+)
 from stayframe.llm.stored import stored
 from stayframe.session import new_workspace
 
@@ -164,3 +178,80 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bin and place of every piece of every document."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every usable embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+SPACED_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def made_periodic(documents: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by crc32 of doc_id, a period fills the text from some word on."""
+    words = F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = documents.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumns(
+        {"n": F.size("words"), "g": F.floor(F.col("h") / 10)}
+    )
+    n, g = F.col("n"), F.col("g")
+    # A null text has no words, and a null doc_id no crc32.
+    cut = cut.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    a, p, rest = F.col("a").cast("int"), F.col("p").cast("int"), n - F.col("a").cast("int")
+    period = F.slice("words", a + 1, p)
+    repeated = F.slice(F.flatten(F.array_repeat(period, F.ceil(rest / p).cast("int"))), F.lit(1), rest)
+    filled = F.array_join(F.concat(F.slice("words", F.lit(1), a), repeated), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), filled).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, and its digest without their repetitions."""
+    found = periodic.find_runs(made_periodic(table(spark, sf_dir, "documents")))
+
+    def order(one, other):
+        longer = one["length"] * other["period"] - other["length"] * one["period"]
+        first = F.when(longer > 0, -1).when(longer < 0, 1)
+        return F.coalesce(first, F.when(one["start"] != other["start"], F.signum(one["start"] - other["start"]).cast("int")), F.signum(one["period"] - other["period"]).cast("int"))
+
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    texts = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")],
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(texts, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that three or more documents share."""
+    kept = lines.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_common_lines"] = r"""
+WITH line AS (
+    SELECT doc_id, row, place, line, length(key) AS chars, key
+    FROM (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+          FROM (SELECT doc_id, row, unnest(parts) AS line, generate_subscripts(parts, 1) AS place
+                FROM (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))
+),
+common AS (
+    SELECT key, max(doc_id) AS holder FROM line WHERE chars >= 20 GROUP BY key
+    HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3
+),
+judged AS (
+    SELECT doc_id, row, place, line, common.key IS NOT NULL AND doc_id IS DISTINCT FROM holder AS dropped
+    FROM line LEFT JOIN common USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY row, doc_id
+"""
