@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 
 BLOCK_BYTES = 2 << 20
-#: A polynomial mod 2**64 has equal values for certain long patterns, so spans beyond this are hashed with XXH3 instead.
+#: Longer spans are hashed with XXH3, and compared, one by one.
 LONG_SPAN = 64
 
 _EVERY_BYTE = np.arange(256)
@@ -38,10 +38,6 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-_BYTE_VALUE = mixed(np.arange(256, dtype=np.uint64))
-_CASELESS_VALUE = _BYTE_VALUE[_CASELESS]
-
-
 @dataclass(frozen=True)
 class Texts:
     """Consecutive texts of a batch: ``data[bounds[i]:bounds[i + 1]]`` is text ``first + i``; null texts are empty."""
@@ -104,67 +100,57 @@ def find_words(texts: Texts, word_bytes: np.ndarray) -> Words:
     return Words(starts, np.flatnonzero(last) + 1, np.searchsorted(starts, texts.bounds))
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+#: What of a lane belongs to a span that has so many bytes left.
+_LANE_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, caseless: bool = False) -> np.ndarray:
-    """A 64-bit hash of every span's bytes; ASCII case is ignored if ``caseless``. Spans do not overlap.
+    """A 64-bit hash of every span's bytes; ASCII case is ignored if ``caseless``.
 
-    A polynomial over the byte's place in the span, then mixed; XXH3 for spans over :data:`LONG_SPAN` bytes. Many spans
-    are hashed in pieces.
+    Eight bytes at a time are taken in and mixed; XXH3 takes spans over :data:`LONG_SPAN` bytes.
     """
-    out = np.empty(len(starts), dtype=np.uint64)
-    values = _CASELESS_VALUE if caseless else _BYTE_VALUE
-    long = np.flatnonzero(ends - starts > LONG_SPAN)
-    if len(long):
-        digest = xxhash.xxh3_64_intdigest
-        for at, start, end in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
-            span = data[start:end]
-            out[at] = digest(np.ascontiguousarray(_CASELESS[span] if caseless else span))
-        short = np.flatnonzero(ends - starts <= LONG_SPAN)
-        out[short] = _short_span_hashes(data, starts[short], ends[short], values)
-        return out
-    return _short_span_hashes(data, starts, ends, values)
-
-
-def _short_span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.empty(len(starts), dtype=np.uint64)
+    if caseless:
+        data = _CASELESS[data]
+    lanes = _lanes(data)
     lengths = ends - starts
-    filled = np.cumsum(lengths)
-    at = 0
-    while at < len(starts):
-        done = filled[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(filled, done + BLOCK_BYTES, side="right")))
-        own = lengths[at:to]
-        offsets = filled[at:to] - own - done
-        place = np.arange(filled[to - 1] - done) - np.repeat(offsets, own)
-        powers = np.full(int(own.max(initial=0)) + 1, _ODD, dtype=np.uint64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
-        terms = values[data[place + np.repeat(starts[at:to], own)]] * powers[place]
-        sums = np.zeros(to - at, dtype=np.uint64)
-        full = own > 0
-        if full.any():
-            sums[full] = np.add.reduceat(terms, offsets[full])
-        out[at:to] = mixed(sums + own.astype(np.uint64))
-        at = to
+    out = mixed(lengths.astype(np.uint64))
+    own = np.flatnonzero((lengths > 0) & (lengths <= LONG_SPAN))
+    at, left = starts[own], lengths[own]
+    while len(own):
+        out[own] = mixed(out[own] ^ (lanes[at] & _LANE_MASK[np.minimum(left, 8)]))
+        more = left > 8
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(lengths > LONG_SPAN)
+    if len(long):
+        digest, content = xxhash.xxh3_64_intdigest, data.tobytes()
+        for i, start, end in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+            out[i] = digest(content[start:end])
     return out
 
 
 def equal_spans(data: np.ndarray, spans: np.ndarray, others: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether span ``spans[i]`` has the bytes of span ``others[i]``, for every i."""
+    lanes = _lanes(data)
     lengths = ends[spans] - starts[spans]
     equal = lengths == ends[others] - starts[others]
-    filled = np.cumsum(np.where(equal, lengths, 0))
-    at = 0
-    while at < len(spans):
-        done = filled[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(filled, done + BLOCK_BYTES, side="right")))
-        own = np.diff(filled[at:to], prepend=done)
-        offsets = filled[at:to] - own - done
-        place = np.arange(filled[to - 1] - done) - np.repeat(offsets, own)
-        same = data[place + np.repeat(starts[spans[at:to]], own)] == data[place + np.repeat(starts[others[at:to]], own)]
-        full = own > 0
-        if full.any():
-            equal[at:to][full] &= np.logical_and.reduceat(same, offsets[full])
-        at = to
+    own = np.flatnonzero(equal & (lengths > 0) & (lengths <= LONG_SPAN) & (spans != others))
+    one, other, left = starts[spans[own]], starts[others[own]], lengths[own]
+    while len(own):
+        same = (lanes[one] ^ lanes[other]) & _LANE_MASK[np.minimum(left, 8)] == 0
+        equal[own[~same]] = False
+        more = same & (left > 8)
+        own, one, other, left = own[more], one[more] + 8, other[more] + 8, left[more] - 8
+    long = np.flatnonzero(equal & (lengths > LONG_SPAN) & (spans != others))
+    if len(long):
+        content = data.tobytes()
+        pairs = zip(starts[spans[long]].tolist(), starts[others[long]].tolist(), lengths[long].tolist(), strict=True)
+        equal[long] = [content[a : a + n] == content[b : b + n] for a, b, n in pairs]
     return equal
 
 
