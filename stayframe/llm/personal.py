@@ -9,7 +9,9 @@ Counts of combinations cover all rows; their number is bounded by their definiti
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -109,16 +111,18 @@ def base_spans(text: str) -> list[Span]:
 def loose_spans(text: str, base: list[Span]) -> list[Span]:
     """The loose patterns' matches that touch no base span and no loose one of an earlier kind."""
     found: list[Span] = []
-    taken = sorted((start, end) for _, start, end in base)
     for kind in KINDS:
         if kind == "email" and "at" not in text:
             continue
+        taken = sorted((start, end) for _, start, end in [*base, *found])
+        starts = [start for start, _ in taken]
+        # The furthest end of all spans up to one, as spans of several kinds may lie in each other.
+        reached = list(itertools.accumulate((end for _, end in taken), max))
         for match in _LOOSE[kind].finditer(text):
             start, end = match.span()
-            at = np.searchsorted([s for s, _ in taken], end) if taken else 0
-            if not any(e > start for _, e in taken[:at]):
+            before = bisect_left(starts, end)
+            if not before or reached[before - 1] <= start:
                 found.append((kind, start, end))
-        taken = sorted({*taken, *((start, end) for _, start, end in found)})
     return found
 
 

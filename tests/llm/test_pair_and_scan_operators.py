@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -301,3 +302,30 @@ def test_survivors_with_repeated_and_null_ids(spark, one_of_each):
     assert kept([(None, one), (5, one), (None, two), (None, two), (None, three), (6, four)]) == sorted(
         [(5, one), (None, two), (None, three), (6, four)], key=str
     )
+
+
+def plain_loose_spans(text, base):
+    found = []
+    for kind in personal.KINDS:
+        if kind == "email" and "at" not in text:
+            continue
+        taken = [(start, end) for _, start, end in [*base, *found]]
+        own = [match.span() for match in personal._LOOSE[kind].finditer(text)]
+        found += [(kind, start, end) for start, end in own if not any(s < end and e > start for s, e in taken)]
+    return found
+
+
+def test_loose_spans_equal_plain_ones_and_long_lists_are_no_burden():
+    rng = random.Random(2)
+    parts = ["a (at) b.com", "x@y.org", "10.0.0.1", "+49 30 123 4567", "030 123 4567", "4111 1111 1111 1111", "fe80:0:0:0:0:0:0:1", " ", "\n", "at"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randrange(12)))
+        base = personal.base_spans(text)
+        assert personal.loose_spans(text, base) == plain_loose_spans(text, base)
+    seconds = []
+    for n in (2_000, 8_000):
+        text = "\n".join(f"Street {k}, mail{k}@example.com, (0{k % 900 + 100}) 555-{k % 9000 + 1000}" for k in range(n))
+        started = time.perf_counter()
+        personal.loose_spans(text, personal.base_spans(text))
+        seconds.append(time.perf_counter() - started)
+    assert seconds[1] < 12 * seconds[0] + 0.2
