@@ -1,12 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-N-grams are of UTF-8 bytes, hashed into a fixed number of buckets, so the matrix of log-probabilities has a fixed size
-per language and is broadcast. Training counts all labelled rows; scoring sums matrix rows batch by batch in numpy.
+N-grams of characters are hashed into a fixed number of buckets, so the matrix of log-probabilities has a fixed size
+per language and is broadcast. Training counts all labelled rows. Scoring counts the buckets of every text, and multiplies
+these sparse counts by the matrix, a language at a time, in numpy.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,25 +26,90 @@ BUCKETS = 1 << BUCKET_BITS
 GRAM_SIZES = (1, 2, 3)
 SMOOTHING = 0.5
 UNDETERMINED = "und"
+#: A model has at most so many languages: each is a column of the broadcast matrix.
+MOST_LANGUAGES = 1000
+#: Cells of counts, texts by buckets, that are held at a time.
+CELLS = 4 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
-_EVERY_BYTE = np.arange(256)
-#: Case of ASCII letters is ignored; all other ASCII characters are one separator.
-_FOLDED = np.where((_EVERY_BYTE >= 65) & (_EVERY_BYTE <= 90), _EVERY_BYTE + 32, _EVERY_BYTE)
-_FOLDED = np.where((_FOLDED < 128) & ~((_FOLDED >= 97) & (_FOLDED <= 122)), 32, _FOLDED).astype(np.uint32)
-_SPREAD = np.uint32(0x9E3779B1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SEPARATOR = 32
 
 
-def gram_buckets(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per n-gram length, the bucket of the n-gram that starts at each byte and whether it lies in one text."""
-    folded = _FOLDED[texts.data]
-    n = len(folded)
-    ends = np.repeat(texts.bounds[1:], np.diff(texts.bounds))
-    gram = np.zeros(n, dtype=np.uint32)
-    for k, size in enumerate(GRAM_SIZES):
-        gram[: n - size + 1] |= folded[size - 1 :] << np.uint32(8 * (size - 1))
-        bucket = ((gram + np.uint32(size)) * _SPREAD) >> np.uint32(32 - BUCKET_BITS)
-        yield bucket.astype(np.int64) + k * BUCKETS, np.arange(n) + size <= ends
+def _folded(code: int) -> tuple[int, bool]:
+    """What a character counts as, and whether it is a letter.
+
+    Letters count in lower case, marks (accents written apart) as they are, and everything else as one separator.
+    """
+    character = chr(code)
+    letter = character.isalpha()
+    lower = character.lower()
+    if not letter and unicodedata.category(character)[0] != "M":
+        return _SEPARATOR, False
+    return ord(lower) if len(lower) == 1 else code, letter
+
+
+@functools.cache
+def _basic_plane() -> tuple[np.ndarray, np.ndarray]:
+    found = [_folded(code) for code in range(1 << 16)]
+    return np.array([code for code, _ in found], dtype=np.uint32), np.array([letter for _, letter in found])
+
+
+@dataclass(frozen=True)
+class Characters:
+    """The characters of a block of texts, folded; those of text ``i`` are ``bounds[i]`` to ``bounds[i + 1]``."""
+
+    codes: np.ndarray
+    bounds: np.ndarray
+    lettered: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Texts) -> Characters:
+        codes = np.frombuffer(texts.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+        starts = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
+        bounds = starts[texts.bounds]
+        if bounds[-1] != len(codes):
+            # Bytes that are no UTF-8 were replaced; every text is decoded on its own.
+            own = [texts.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(texts.bounds[:-1], texts.bounds[1:], strict=True)]
+            codes = np.frombuffer("".join(own).encode("utf-32-le"), dtype=np.uint32)
+            bounds = np.concatenate([[0], np.cumsum([len(text) for text in own])])
+        folded, letter = _basic_plane()
+        beyond = np.flatnonzero(codes >= 1 << 16)
+        basic = codes.copy()
+        basic[beyond] = 0
+        out, is_letter = folded[basic], letter[basic]
+        if len(beyond):
+            rare, which = np.unique(codes[beyond], return_inverse=True)
+            pairs = [_folded(code) for code in rare.tolist()]
+            out[beyond] = np.array([code for code, _ in pairs], dtype=np.uint32)[which]
+            is_letter[beyond] = np.array([own for _, own in pairs])[which]
+        found = np.concatenate([[0], np.cumsum(is_letter)])[bounds]
+        return cls(out, bounds, np.diff(found) > 0)
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per n-gram length, the bucket of the n-gram that starts at each character, and whether it lies in one text."""
+        n = len(self.codes)
+        ends = np.repeat(self.bounds[1:], np.diff(self.bounds))
+        gram = np.zeros(n, dtype=np.uint64)
+        for k, size in enumerate(GRAM_SIZES):
+            # A character has at most 21 bits, so three of them fit.
+            gram[: max(n - size + 1, 0)] |= self.codes[size - 1 :].astype(np.uint64) << np.uint64(21 * (size - 1))
+            bucket = ((gram + np.uint64(size)) * _SPREAD) >> np.uint64(64 - BUCKET_BITS)
+            yield bucket.astype(np.int64) + k * BUCKETS, np.arange(n) + size <= ends
+
+    def counts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of texts: the first, and the text, bucket and count of every bucket that one of them holds."""
+        width = len(GRAM_SIZES) * BUCKETS
+        step = max(1, CELLS // width)
+        grams = list(self.grams())
+        for first in range(0, len(self.bounds) - 1, step):
+            own = self.bounds[first : first + step + 1]
+            text = np.repeat(np.arange(len(own) - 1) * width, np.diff(own))
+            cells = np.zeros((len(own) - 1) * width, dtype=np.int64)
+            for bucket, inside in grams:
+                inside = inside[own[0] : own[-1]]
+                cells += np.bincount((text + bucket[own[0] : own[-1]])[inside], minlength=len(cells))
+            used = np.flatnonzero(cells)
+            yield first, used // width, used % width, cells[used]
 
 
 def held_out(key: str, parts: int, part: int) -> Column:
@@ -58,24 +125,17 @@ class LanguageModel:
     priors: np.ndarray
     log_probabilities: np.ndarray
 
-    def scores(self, texts: Texts) -> np.ndarray:
+    def scores(self, characters: Characters) -> np.ndarray:
         """The log-likelihood of every text (rows) in every language."""
-        total = np.tile(self.priors, (len(texts), 1))
-        filled = np.flatnonzero(np.diff(texts.bounds) > 0)
-        if len(filled) and len(self.languages):
-            for bucket, inside in gram_buckets(texts):
-                terms = self.log_probabilities[bucket]
-                terms[~inside] = 0
-                total[filled] += np.add.reduceat(terms, texts.bounds[filled], axis=0, dtype=np.float64)
+        total = np.tile(self.priors, (len(characters.bounds) - 1, 1))
+        for first, text, bucket, count in characters.counts():
+            starts = np.flatnonzero(np.diff(text, prepend=-1))
+            if len(starts):
+                for k in range(len(self.languages)):
+                    total[first + text[starts], k] += np.add.reduceat(count * self.log_probabilities[bucket, k], starts, dtype=np.float64)
         return total
 
 
-def _has_letter(texts: Texts, i: int) -> bool:
-    text = texts.data[texts.bounds[i] : texts.bounds[i + 1]]
-    ascii_letters = ((text | 32) >= 97) & ((text | 32) <= 122) & (text < 128)
-    return bool(ascii_letters.any()) or bool(_LETTER.search(text.tobytes().decode("utf-8", "replace")))
-
-
 def count_grams(labelled: DataFrame) -> DataFrame:
     """Counts by ``lang`` and ``bucket`` over the whole texts of all rows, added up per task before the shuffle."""
 
@@ -87,10 +147,11 @@ def count_grams(labelled: DataFrame) -> DataFrame:
             for texts in text_blocks(batch.column(0)):
                 own = languages[texts.first : texts.first + len(texts)]
                 names, code = np.unique(own.astype(str), return_inverse=True)
-                at_byte = np.repeat(code, np.diff(texts.bounds))
+                characters = Characters.of(texts)
+                at_character = np.repeat(code, np.diff(characters.bounds))
                 found = np.zeros(len(names) * len(GRAM_SIZES) * BUCKETS, dtype=np.int64)
-                for bucket, inside in gram_buckets(texts):
-                    place = at_byte[inside] * (len(GRAM_SIZES) * BUCKETS) + bucket[inside]
+                for bucket, inside in characters.grams():
+                    place = at_character[inside] * (len(GRAM_SIZES) * BUCKETS) + bucket[inside]
                     found += np.bincount(place, minlength=len(found))
                 for k, name in enumerate(names):
                     part = found[k * len(GRAM_SIZES) * BUCKETS : (k + 1) * len(GRAM_SIZES) * BUCKETS]
@@ -110,13 +171,16 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame) -> LanguageModel:
+def train(labelled: DataFrame, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Fit on all rows with ``text`` and ``lang``; rows that lack either are ignored.
 
-    Only counts reach the driver, at most ``BUCKETS`` for each n-gram length and language. Without such rows the model
-    knows no language.
+    Only counts reach the driver, at most ``BUCKETS`` for each n-gram length and language; a column with more than
+    ``most_languages`` values is refused, as it is no column of languages. Without such rows the model knows no language.
     """
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    found = usable.select("lang").distinct().limit(most_languages + 1).count()
+    if found > most_languages:
+        raise ValueError(f"lang has more than {most_languages} values")
     counts = count_grams(usable).toPandas()
     languages = sorted(counts["lang"].unique())
     code = {name: k for k, name in enumerate(languages)}
@@ -147,12 +211,12 @@ def predict(docs: DataFrame, model: Broadcast[LanguageModel]) -> DataFrame:
                 n = len(texts)
                 best, score = np.full(n, len(known.languages)), np.zeros(n)
                 if known.languages:
-                    scores = known.scores(texts)
+                    characters = Characters.of(texts)
+                    scores = known.scores(characters)
                     shares = np.exp(scores - scores.max(axis=1, keepdims=True))
                     shares /= shares.sum(axis=1, keepdims=True)
-                    lettered = np.fromiter((_has_letter(texts, i) for i in range(n)), dtype=bool, count=n)
-                    best = np.where(lettered, shares.argmax(axis=1), best)
-                    score = np.where(lettered, shares.max(axis=1), 0.0)
+                    best = np.where(characters.lettered, shares.argmax(axis=1), best)
+                    score = np.where(characters.lettered, shares.max(axis=1), 0.0)
                 keys = batch.column(0)[texts.first : texts.first + n]
                 yield pa.RecordBatch.from_arrays([keys, pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 

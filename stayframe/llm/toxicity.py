@@ -19,8 +19,10 @@ from stayframe.llm.words import ALPHANUMERIC, Texts, find_words, span_hashes, te
 
 #: Hash space of features.
 FEATURES = 1 << 22
-#: The model is fitted on at most this many labelled rows, those with the smallest hash of their key.
+#: The model is fitted on at most this many labelled rows, those with the smallest hash of their key, one row a key; and on
+#: no further ones once they have this many features in all.
 SAMPLE_ROWS = 20_000
+SAMPLE_FEATURES = 48_000_000
 EPOCHS = 6
 #: Learning rate, its smoothing, and the L1 strength.
 ALPHA, BETA, L1 = 4.0, 1.0, 10.0
@@ -122,11 +124,15 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Learn from all rows of the one partition; yields the weights that are not 0, the bias as feature -1."""
     texts: list[np.ndarray] = []
     labels: list[int] = []
+    n_features = 0
     for batch in batches:
         lists = batch.column(2)
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        texts += [values[a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        labels += batch.column(1).to_pylist()
+        for a, b, label in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column(1).to_pylist(), strict=True):
+            if n_features < SAMPLE_FEATURES:
+                texts.append(values[a:b].copy())
+                labels.append(label)
+                n_features += b - a
     state = FtrlProximal()
     for _ in range(EPOCHS if labels else 0):
         for at, label in zip(texts, labels, strict=True):
@@ -138,10 +144,11 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Fit on a sample of rows with a ``toxic`` label of 0 or 1; all rows if there are at most :data:`SAMPLE_ROWS`.
+    """Fit on a sample of rows with a ``toxic`` label of 0 or 1; all keys if there are at most :data:`SAMPLE_ROWS`.
 
-    Null labels are ignored, a doc_id without a document too; a null text is an empty one. Without labelled rows every
-    text scores one half. The sample is bounded, so its order and the model fit one task.
+    Null labels are ignored, a doc_id without a document too; a null text is an empty one. Of rows that share a doc_id the
+    one whose text has the smallest hash is taken. Without labelled rows every text scores one half. The sample is bounded
+    in rows and in features (a text has at most :data:`FEATURES`), so its order and the model fit one task.
     """
     wanted = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
     n_rows = wanted.count()
@@ -151,6 +158,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     ).orderBy("place", "toxic").limit(SAMPLE_ROWS)
     # At most SAMPLE_ROWS keys, so the documents need no shuffle.
     sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    # A doc_id may stand on any number of rows; they are reduced to one before they meet.
+    smallest = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    sample = sample.groupBy("place", "toxic").agg(smallest.alias("text"))
     ordered = _labelled_features(sample).repartition(1).sortWithinPartitions("place", "toxic", "features")
     weights = ordered.mapInArrow(_learn, "feature long, weight double").toPandas().sort_values("feature")
     own = weights[weights["feature"] >= 0]

@@ -1,7 +1,9 @@
 """Quality, toxicity, language, token files, sharding, packing and the pipeline against brute force, and their edge cases."""
 
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stayframe.llm import language, packing, quality, sharding, simhash, tokens, toxicity
@@ -96,9 +99,104 @@ def test_language_counts_equal_brute_force(spark):
     docs = spark.createDataFrame([("aB1c", "x"), ("", "x"), ("é", "y"), ("ab", "x")], "text string, lang string")
     counted = {(r.lang, r.bucket): r.n for r in language.count_grams(docs).collect()}
     assert (counted["x", -1], counted["y", -1]) == (3, 1)
-    # n-grams of 1, 2 and 3 bytes: 4 + 3 + 2 of "ab c", 2 + 1 of "ab"; 2 + 1 of the two bytes of "é".
+    # n-grams of 1, 2 and 3 characters: 4 + 3 + 2 of "ab c", 2 + 1 of "ab"; one of "é".
     assert sum(n for (lang, bucket), n in counted.items() if lang == "x" and bucket >= 0) == 12
-    assert sum(n for (lang, bucket), n in counted.items() if lang == "y" and bucket >= 0) == 3
+    assert sum(n for (lang, bucket), n in counted.items() if lang == "y" and bucket >= 0) == 1
+
+
+def folded(text):
+    kept = [c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text]
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in kept)
+
+
+def bucket(gram):
+    value = sum(ord(c) << (21 * i) for i, c in enumerate(gram)) + len(gram)
+    return (value * 0x9E3779B97F4A7C15 % 2**64 >> (64 - language.BUCKET_BITS)) + (len(gram) - 1) * language.BUCKETS
+
+
+def test_language_scores_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["Haus", "Öl", "maison", "été", "the", "ТЕСТ", "中文", "𐐀𐐨", "İx", "e\u0301", "12", "½", "🙂", "-"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(12))) for _ in range(60)]
+    rows = [(text, rng.choice(["de", "fr", "zz"])) for text in texts]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+
+    def grams(text):
+        own = folded(text)
+        return Counter(bucket(own[i : i + size]) for size in language.GRAM_SIZES for i in range(len(own) - size + 1))
+
+    counts = {lang: sum((grams(text) for text, own in rows if own == lang), Counter()) for lang in model.languages}
+    expected = []
+    for text in texts:
+        scores = []
+        for lang in model.languages:
+            total = np.log(sum(own == lang for _, own in rows) / len(rows))
+            for place, n in grams(text).items():
+                size = place // language.BUCKETS
+                of_size = sum(m for other, m in counts[lang].items() if other // language.BUCKETS == size)
+                total += n * np.log((counts[lang][place] + 0.5) / (of_size + 0.5 * language.BUCKETS))
+            scores.append(total)
+        expected.append(scores)
+    monkeypatch.setattr(language, "CELLS", 3 * 3 * language.BUCKETS)
+    (block,) = text_blocks(pa.array([text.encode() for text in texts], pa.binary()))
+    characters = language.Characters.of(block)
+    assert characters.lettered.tolist() == [any(c.isalpha() for c in text) for text in texts]
+    assert np.allclose(model.scores(characters), expected, rtol=1e-5)
+
+
+def test_languages_are_bounded_and_marks_are_no_letters(spark):
+    docs = spark.createDataFrame([(k, text, f"l{k}") for k, text in enumerate(["a", "½", "²", "①", "Ⅷ", "ª", "𐐀", "\u0301"])], "doc_id int, text string, lang string")
+    with pytest.raises(ValueError, match="lang"):
+        language.train(docs, most_languages=7)
+    model = spark.sparkContext.broadcast(language.train(docs, most_languages=8))
+    found = {row.doc_id: row.lang_pred for row in language.predict(docs, model).collect()}
+    assert [found[k] == "und" for k in range(8)] == [False, True, True, True, True, False, False, True]
+
+
+def test_toxicity_steps_and_scores_equal_plain_sums(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["bad", "Good", "fine", "ugly", "so", "é"], k=rng.randrange(9))) for _ in range(400)]
+    rows = [(k, text, int(("bad" in text) != (rng.random() < 0.1))) for k, text in enumerate(texts)]
+    docs = spark.createDataFrame([row[:2] for row in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(row[0], row[2]) for row in rows], "doc_id long, toxic int")
+    places = {r.doc_id: r.place for r in labels.selectExpr("doc_id", "shiftrightunsigned(xxhash64(doc_id), 1) AS place").collect()}
+
+    def features(text):
+        (block,) = text_blocks(pa.array([text.encode()], pa.binary()))
+        return set(toxicity.block_features(block)[0].tolist())
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, strength):
+        if abs(z[f]) <= strength:
+            return 0.0
+        return -(z[f] - math.copysign(strength, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA)
+
+    for _ in range(toxicity.EPOCHS):
+        for doc_id, text, toxic in sorted(rows, key=lambda row: places[row[0]]):
+            own = [(f, 0.0 if f == "bias" else toxicity.L1) for f in [*features(text), "bias"]]
+            weights = {f: weight(f, strength) for f, strength in own}
+            gradient = 1 / (1 + math.exp(-sum(weights.values()))) - toxic
+            gradient *= toxicity.TOXIC_WEIGHT if toxic else 1.0
+            for f in weights:
+                z[f] += gradient - (math.sqrt(n[f] + gradient**2) - math.sqrt(n[f])) / toxicity.ALPHA * weights[f]
+                n[f] += gradient**2
+    model = toxicity.train(docs, labels)
+    assert len(model.features) > 3 and model.bias == pytest.approx(weight("bias", 0.0))
+    assert {int(f): w for f, w in zip(model.features, model.weights)} == pytest.approx({f: weight(f, toxicity.L1) for f in z if f != "bias" and abs(z[f]) > toxicity.L1})
+    shared = spark.sparkContext.broadcast(model)
+    for row in toxicity.score(docs, shared).collect():
+        total = weight("bias", 0.0) + sum(weight(f, toxicity.L1) for f in features(rows[row.doc_id][1]))
+        assert row.score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_toxicity_takes_one_row_of_a_key(spark):
+    hot = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    docs = hot.union(spark.createDataFrame([(k, "other words") for k in range(2, 40)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, toxic int")
+    first = toxicity.train(docs, labels)
+    again = toxicity.train(docs.repartition(7), labels)
+    assert first.features.tolist() == again.features.tolist() and first.bias == again.bias
 
 
 def test_toxicity_of_held_out_rows(spark):
