@@ -26,7 +26,7 @@ def row_mean(columns: Sequence[str]) -> Column:
 POSITIONS = 1_000_000
 
 
-def _key_hash(key: str | Column) -> Column:
+def key_hash(key: str | Column) -> Column:
     """0..2^32-1 from an integer key. It is reduced modulo 2^31 first, so that the product stays inside a bigint."""
     column = F.col(key) if isinstance(key, str) else key
     return (F.pmod(column, F.lit(2**31)) * F.lit(_MIX)) % F.lit(2**32)
@@ -34,12 +34,12 @@ def _key_hash(key: str | Column) -> Column:
 
 def key_percentile(key: str | Column) -> Column:
     """0..99 from an integer key: the same on every run, partitioning and engine."""
-    return _key_hash(key) % 100
+    return key_hash(key) % 100
 
 
 def key_position(key: str | Column) -> Column:
     """0..:data:`POSITIONS` - 1 from an integer key, in the order of :func:`key_percentile` and finer."""
-    hashed = _key_hash(key)
+    hashed = key_hash(key)
     return hashed % 100 * (POSITIONS // 100) + F.floor(hashed / 100) % (POSITIONS // 100)
 
 

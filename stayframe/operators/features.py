@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from datetime import datetime
 
 from pyspark.ml import PipelineModel
@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayframe.operators.joins import lookup
+from stayframe.operators.joins import lookup, lookup_in_place
 from stayframe.sources import storage
 from stayframe.sources.snapshots import NoSuchVersion, SnapshotTable, stored_schema, utc
 
-_META_SCHEMA = "location string, primary_keys array<string>, description string, partition_columns array<string>"
-_MODEL_SCHEMA = "version bigint, ts timestamp, meta string, run_id string"
+_META_SCHEMA = "location string, primary_keys array<string>, description string, partition_columns array<string>, buckets int"
+_MODEL_SCHEMA = "name string, version bigint, ts timestamp, meta string, run_id string"
 
 
 class KeyViolation(ValueError):
@@ -57,15 +57,21 @@ class FeatureTable:
     features: list[str]
     description: str
     partition_columns: list[str]
+    buckets: int | None = None
 
 
 @dataclass(frozen=True)
 class FeatureLookup:
-    """Take ``feature_names`` (all when None) of a table by a key of the spine."""
+    """Take ``feature_names`` (all when None) of a table by a key of the spine.
+
+    ``in_place`` is for tables stored by key, and spines whose keys are spread (one row each, as a rule): the rows move to
+    the buckets and the features are not shuffled. Otherwise a key may hold any share of the spine.
+    """
 
     table_name: str
     lookup_key: str | Sequence[str]
     feature_names: Sequence[str] | None = None
+    in_place: bool = False
 
 
 @dataclass(frozen=True)
@@ -77,6 +83,7 @@ class ResolvedLookup:
     lookup_keys: list[str]
     features: list[str]
     version: int
+    buckets: int | None = None
 
 
 class TrainingSet:
@@ -99,6 +106,22 @@ class TrainingSet:
     def load_df(self) -> DataFrame:
         return join_features(self.spine, self.lookups, self.sources).drop(*self.exclude)
 
+    def first_rows(self, n: int) -> DataFrame:
+        """The first ``n`` rows by lookup key, then by the spine's columns; features are read for their keys alone."""
+        keys = [key for item in self.lookups for key in item.lookup_keys]
+        order = list(dict.fromkeys([*keys, *[f.name for f in self.spine.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]]))
+        rows = self.spine.orderBy(*order).limit(n).collect()
+        spine = self.spine.sparkSession.createDataFrame(rows, self.spine.schema).coalesce(1)
+        sources = []
+        for item, source in zip(self.lookups, self.sources, strict=True):
+            for own, key in zip(item.primary_keys, item.lookup_keys, strict=True):
+                # Keys of one type are compared as they are; others are left to the lookup.
+                if source.schema[own].dataType == self.spine.schema[key].dataType:
+                    source = source.where(F.col(own).isin([row[key] for row in rows if row[key] is not None]))
+            sources.append(source)
+        plain = [replace(item, buckets=None) for item in self.lookups]
+        return join_features(spine, plain, sources).drop(*self.exclude).orderBy(*[name for name in order if name not in self.exclude])
+
     @property
     def features(self) -> list[str]:
         looked_up = [name for item in self.lookups for name in item.features]
@@ -106,7 +129,8 @@ class TrainingSet:
 
 
 def require_unique_keys(stored: DataFrame, keys: Sequence[str]) -> None:
-    """Raise when a key is null or repeated. Reads the key columns only; counts are combined map-side."""
+    """Raise when a key is null or repeated. Reads the key columns only; counts are combined map-side, and rows that are
+    stored by key are counted in their buckets, without a shuffle."""
     any_null = F.lit(False)
     for key in keys:
         any_null = any_null | F.col(key).isNull()
@@ -126,7 +150,8 @@ def join_features(df: DataFrame, lookups: Sequence[ResolvedLookup], sources: Seq
     """Add looked-up features to rows; ``sources`` are the tables of the lookups, in their order."""
     for item, source in zip(lookups, sources, strict=True):
         keys = [F.col(key).alias(wanted) for key, wanted in zip(item.primary_keys, item.lookup_keys, strict=True)]
-        df = lookup(df, source.select(*keys, *item.features), item.lookup_keys)
+        found = source.select(*keys, *item.features)
+        df = lookup_in_place(df, found, item.lookup_keys, item.buckets) if item.buckets else lookup(df, found, item.lookup_keys)
     return df
 
 
@@ -148,8 +173,9 @@ class FeatureStore:
         description: str = "",
         partition_columns: Sequence[str] = (),
         at: datetime | str | None = None,
+        buckets: int | None = None,
     ) -> FeatureTable:
-        """Create a table from rows, or empty from a schema."""
+        """Create a table from rows, or empty from a schema. With ``buckets`` all its versions are stored by key."""
         if self.has_table(name):
             raise ValueError(f"feature table {name} exists")
         if df is None:
@@ -160,9 +186,9 @@ class FeatureStore:
             df = df.select([F.col(field.name).cast(field.dataType).alias(field.name) for field in schema])
         location = f"{self._table_root(name)}/data"
         keys, partitions = list(primary_keys), list(partition_columns)
-        self._write(location, df, keys, partitions, "CREATE", at)
-        self._describe(name, location, keys, description, partitions)
-        return FeatureTable(name, location, keys, [c for c in df.columns if c not in keys], description, partitions)
+        self._write(location, df, keys, partitions, buckets, "CREATE", at)
+        self._describe(name, location, keys, description, partitions, buckets)
+        return FeatureTable(name, location, keys, [c for c in df.columns if c not in keys], description, partitions, buckets)
 
     def register_table(self, name: str, location: str, primary_keys: Sequence[str], description: str = "") -> FeatureTable:
         """Make an existing snapshot table a feature table, if its newest version has proper keys."""
@@ -177,7 +203,7 @@ class FeatureStore:
         if mode != "overwrite":
             raise ValueError(f"unknown mode {mode!r}")
         meta = self._meta(name)
-        return self._write(meta.location, df, meta.primary_keys, meta.partition_columns, "OVERWRITE", at)
+        return self._write(meta.location, df, meta.primary_keys, meta.partition_columns, meta.buckets, "OVERWRITE", at)
 
     def read_table(self, name: str, as_of: datetime | str | None = None, version: int | None = None) -> DataFrame:
         return self._snapshots(name).read(version, as_of)
@@ -187,7 +213,7 @@ class FeatureStore:
         schema = stored_schema(SnapshotTable(self.spark, meta.location).entry())
         features = [column for column in schema.names if column not in meta.primary_keys]
         return FeatureTable(
-            name, meta.location, list(meta.primary_keys), features, meta.description, list(meta.partition_columns)
+            name, meta.location, list(meta.primary_keys), features, meta.description, list(meta.partition_columns), meta.buckets
         )
 
     def history(self, name: str) -> DataFrame:
@@ -266,15 +292,16 @@ class FeatureStore:
         version = (newest or 0) + 1
         model.write().overwrite().save(self._model_path(name, version))
         inputs = [column for column in [*[name for name, _ in spine], *used] if column in rows.columns]
-        example = rows.select(*inputs).orderBy(*[key for key in keys if key in inputs], *inputs).limit(example_rows)
+        example = training_set.first_rows(example_rows).select(*inputs)
         example.write.mode("overwrite").parquet(self._example_path(name, version))
         row = self.spark.range(1, numPartitions=1).select(
+            F.lit(name).alias("name"),
             F.lit(version).cast("long").alias("version"),
             utc(at).alias("ts"),
             F.lit(json.dumps(meta)).alias("meta"),
             F.lit(run_id).cast("string").alias("run_id"),
         )
-        row.write.mode("append").parquet(f"{self.root}/models/{name}/log")
+        row.write.mode("append").parquet(f"{self.root}/model_log")
         return version
 
     def model_meta(self, name: str, version: int) -> dict:
@@ -290,15 +317,12 @@ class FeatureStore:
 
     def load_run_model(self, run_id: str) -> PipelineModel:
         """The model that a run logged; of several the newest."""
-        found = None
-        for name in storage.list_names(self.spark, f"{self.root}/models"):
-            log = self._model_log(name)
-            row = log.where(F.col("run_id") == run_id).orderBy(F.desc("ts"), F.desc("version")).first() if log is not None else None
-            if row is not None and (found is None or row.ts > found[0]):
-                found = (row.ts, name, row.version)
+        log = self._model_log()
+        newest = [F.desc("ts"), F.desc("name"), F.desc("version")]
+        found = log.where(F.col("run_id") == run_id).orderBy(*newest).first() if log is not None else None
         if found is None:
             raise NoSuchVersion(f"run {run_id} logged no model")
-        return PipelineModel.load(self._model_path(*found[1:]))
+        return PipelineModel.load(self._model_path(found.name, found.version))
 
     def model_signature(self, name: str, version: int) -> DataFrame:
         """Position, name, type and role (input, looked up, label) of the columns a model was trained on."""
@@ -337,7 +361,7 @@ class FeatureStore:
         meta = self.model_meta(name, version)
         require_signature(df, meta["signature"])
         lookups = [ResolvedLookup(**item) for item in meta["lookups"]]
-        sources = []
+        sources, current = [], []
         for item in lookups:
             snapshots = self._snapshots(item.table)
             entry = snapshots.entry(as_of=as_of)
@@ -347,8 +371,10 @@ class FeatureStore:
                     f"{item.table} version {entry.version} has no {retired}; "
                     f"the model was trained on version {item.version}: give as_of"
                 )
-            sources.append(snapshots.scan(entry))
-        rows = join_features(df, lookups, sources)
+            in_place = bool(item.buckets and entry.buckets)
+            sources.append(snapshots.scan_by_key(entry) if in_place else snapshots.scan(entry))
+            current.append(replace(item, buckets=entry.buckets if in_place else None))
+        rows = join_features(df, current, sources)
         scored = PipelineModel.load(self._model_path(name, version)).transform(rows)
         return scored.select(*rows.columns, F.col("prediction").cast(result_type).alias("prediction"))
 
@@ -363,9 +389,13 @@ class FeatureStore:
     def _example_path(self, name: str, version: int) -> str:
         return f"{self.root}/models/{name}/example={version}"
 
-    def _model_log(self, name: str) -> DataFrame | None:
-        path = f"{self.root}/models/{name}/log"
-        return self.spark.read.schema(_MODEL_SCHEMA).parquet(path) if storage.exists(self.spark, path) else None
+    def _model_log(self, name: str | None = None) -> DataFrame | None:
+        """The log of all models, or of one."""
+        path = f"{self.root}/model_log"
+        if not storage.exists(self.spark, path):
+            return None
+        log = self.spark.read.schema(_MODEL_SCHEMA).parquet(path)
+        return log if name is None else log.where(F.col("name") == name)
 
     def _snapshots(self, name: str) -> SnapshotTable:
         return SnapshotTable(self.spark, self._meta(name).location)
@@ -375,22 +405,25 @@ class FeatureStore:
             raise LookupError(f"no feature table {name}")
         return self.spark.read.schema(_META_SCHEMA).parquet(f"{self._table_root(name)}/meta").first()
 
-    def _describe(self, name, location, primary_keys, description, partition_columns) -> None:
+    def _describe(self, name, location, primary_keys, description, partition_columns, buckets=None) -> None:
         row = self.spark.range(1, numPartitions=1).select(
             F.lit(location).alias("location"),
             F.array(*map(F.lit, primary_keys)).alias("primary_keys"),
             F.lit(description).alias("description"),
             F.array(*map(F.lit, partition_columns)).cast("array<string>").alias("partition_columns"),
+            F.lit(buckets).cast("int").alias("buckets"),
         )
         row.write.mode("overwrite").parquet(f"{self._table_root(name)}/meta")
 
-    def _write(self, location, df, primary_keys, partition_columns, operation, at) -> int:
+    def _write(self, location, df, primary_keys, partition_columns, buckets, operation, at) -> int:
         return SnapshotTable(self.spark, location).write(
             df,
             schema_mode="grow",
             operation=operation,
             at=at,
             partition_by=partition_columns,
+            bucket_by=primary_keys,
+            buckets=buckets,
             check=lambda stored: require_unique_keys(stored, primary_keys),
         )
 
@@ -404,8 +437,11 @@ class FeatureStore:
         unknown = [feature for feature in features if feature not in known]
         if unknown:
             raise ValueError(f"{item.table_name} has no {unknown}")
-        resolved = ResolvedLookup(item.table_name, list(meta.primary_keys), keys, features, entry.version)
-        return resolved, snapshots.scan(entry)
+        if item.in_place and not entry.buckets:
+            raise ValueError(f"{item.table_name} is not stored by key")
+        buckets = entry.buckets if item.in_place else None
+        resolved = ResolvedLookup(item.table_name, list(meta.primary_keys), keys, features, entry.version, buckets)
+        return resolved, snapshots.scan_by_key(entry) if item.in_place else snapshots.scan(entry)
 
 
 def model_inputs(model: PipelineModel) -> set[str]:

@@ -55,3 +55,27 @@ def lookup(spine: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFr
         equal = _equal(F.col(key), types[key], F.col(renamed[key]), other[key])
         condition = equal if i == 0 else condition & equal
     return spine.join(features.withColumnsRenamed(renamed), condition, "left").drop(*renamed.values())
+
+
+def lookup_in_place(spine: DataFrame, features: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """:func:`lookup` in a table stored by ``keys`` in ``buckets``: the rows move to the buckets, the features stay put.
+
+    For rows whose keys are spread: all rows of a key meet in its bucket's task. The keys are of the features' types, or
+    whole numbers of another width.
+    """
+    types = {field.name: field.dataType for field in spine.schema}
+    other = {field.name: field.dataType for field in features.schema}
+    for key in keys:
+        both_whole = isinstance(types[key], T.IntegralType) and isinstance(other[key], T.IntegralType)
+        if types[key] != other[key] and not both_whole:
+            raise TypeError(f"key {key} is {types[key].simpleString()} in the rows and {other[key].simpleString()} in the buckets")
+    # A key too large for the features' type is in no bucket; it becomes null, which equals none.
+    moved = spine.withColumns({f"_spine_key_{i}": F.col(key).try_cast(other[key]) for i, key in enumerate(keys)})
+    moved = moved.repartition(buckets, *[f"_spine_key_{i}" for i in range(len(keys))])
+    renamed = {key: f"_feature_key_{i}" for i, key in enumerate(keys)}
+    condition = F.lit(True)
+    for i in range(len(keys)):
+        equal = F.col(f"_spine_key_{i}") == F.col(f"_feature_key_{i}")
+        condition = equal if i == 0 else condition & equal
+    joined = moved.join(features.withColumnsRenamed(renamed).hint("merge"), condition, "left")
+    return joined.drop(*renamed.values(), *[f"_spine_key_{i}" for i in range(len(keys))])

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.operators.prepare import LAYOUT_PARTITIONS, assembler, stable_layout
+from stayframe.operators.compiled import prediction
+from stayframe.operators.prepare import assembler
 from stayframe.operators.profile import column_info
-from stayframe.session import ensure_checkpoints
+from stayframe.operators.trees import BinnedRows, HistogramTrees, binned, settings_json
 
 # The parameter sets that are trained and compared.
 FOREST_V1 = {"n_estimators": 200, "max_depth": 10, "max_features": 1, "min_samples_leaf": 5, "random_state": 42}
@@ -26,62 +27,46 @@ BOOSTING_V2 = {"n_estimators": 150, "max_depth": 5, "max_features": 0.9, "min_sa
 METRICS = ["r2", "mse", "rmse", "mae"]
 
 
-def tree_parameters(params: Mapping, trees: str) -> dict:
-    """Common names of tree parameters to Spark's; ``trees`` is ``numTrees`` or ``maxIter``.
-
-    ``max_features`` is a share below 1.0, a whole number of features, or None for all of them.
-    """
-    names = {"n_estimators": trees, "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "random_state": "seed"}
-    translated = {}
-    for name, value in params.items():
-        if name == "max_features":
-            translated["featureSubsetStrategy"] = "all" if value is None else str(value)
-        elif name in names:
-            translated[names[name]] = value
-        elif name in ("min_samples_split", "max_leaf_nodes"):
-            if value is not None:
-                warnings.warn(f"{name} has no counterpart in Spark: the trees are grown without it", stacklevel=2)
-        else:
-            raise ValueError(f"unknown tree parameter {name!r}")
-    return translated
-
-
 def linear(features: Sequence[str], label: str) -> Pipeline:
     regression = LinearRegression(featuresCol="features", labelCol=label, predictionCol="prediction")
     return Pipeline(stages=[assembler(features), regression])
 
 
+def _trees(kind: str, features: Sequence[str], label: str, params: Mapping) -> Pipeline:
+    settings = settings_json(params)
+    return Pipeline(stages=[HistogramTrees(kind=kind, inputCols=list(features), labelCol=label, settings=settings)])
+
+
 def forest(features: Sequence[str], label: str, params: Mapping = {}) -> Pipeline:
-    settings = {"n_estimators": 100, "max_features": None, **params}
-    regression = RandomForestRegressor(
-        featuresCol="features", labelCol=label, cacheNodeIds=True, checkpointInterval=10,
-        **tree_parameters(settings, "numTrees"),
-    )
-    return Pipeline(stages=[assembler(features), regression])
+    """Bagged trees; ``params`` are those of :class:`~stayframe.operators.trees.TreeSettings`."""
+    return _trees("forest", features, label, params)
 
 
 def boosting(features: Sequence[str], label: str, params: Mapping = {}) -> Pipeline:
-    settings = {"n_estimators": 100, "max_features": None, **params}
-    regression = GBTRegressor(
-        featuresCol="features", labelCol=label, stepSize=0.1, checkpointInterval=10,
-        **tree_parameters(settings, "maxIter"),
-    )
-    return Pipeline(stages=[assembler(features), regression])
+    """Trees that each fit what the ones before leave; ``params`` as for :func:`forest`."""
+    return _trees("boosting", features, label, params)
 
 
-def fit_trees(
-    candidates: Mapping[str, Pipeline], train: DataFrame, keys: Sequence[str], partitions: int = LAYOUT_PARTITIONS
-) -> dict[str, PipelineModel]:
-    """Fit tree models on the same rows, repeatably: see :func:`stable_layout`. ``keys`` identify a row.
+def fit_trees(candidates: Mapping[str, Pipeline], train: DataFrame, keys: Sequence[str]) -> dict[str, PipelineModel]:
+    """Fit tree models on the same rows, which are cut into bins once for all candidates of equal inputs.
 
-    The rows are read many times and kept meanwhile; long boosting cuts its lineage with checkpoints.
+    ``keys`` identify a row and choose, by hash, which trees draw it: equal rows and settings give equal trees, whatever
+    the partitioning.
     """
-    ensure_checkpoints(train.sparkSession)
-    kept = stable_layout(train, keys, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    kept: dict[tuple, BinnedRows] = {}
     try:
-        return {name: candidate.fit(kept) for name, candidate in candidates.items()}
+        fitted = {}
+        for name, candidate in candidates.items():
+            (stage,) = candidate.getStages()
+            wanted = (tuple(stage.getInputCols()), stage.getLabelCol(), stage.tree_settings().max_bins)
+            if wanted not in kept:
+                data = binned(train, *wanted[:2], keys, wanted[2])
+                kept[wanted] = replace(data, rows=data.rows.persist(StorageLevel.MEMORY_AND_DISK))
+            fitted[name] = PipelineModel(stages=[stage.grown(kept[wanted])])
+        return fitted
     finally:
-        kept.unpersist()
+        for data in kept.values():
+            data.rows.unpersist()
 
 
 def metric_columns(label: str | Column = "price", prediction: str | Column = "prediction") -> dict[str, Column]:
@@ -111,8 +96,8 @@ def evaluate_splits(model: PipelineModel, train: DataFrame, test: DataFrame, lab
 
 def importances(model: PipelineModel) -> DataFrame:
     """(Feature, Importance), most important first. One row per model input: metadata, not data."""
-    inputs = model.stages[-2].getInputCols()
-    weights = model.stages[-1].featureImportances.toArray()
+    inputs = model.stages[-1].getInputCols()
+    weights = model.stages[-1].featureImportances
     rows = [(name, float(weight)) for name, weight in zip(inputs, weights, strict=True)]
     spark = SparkSession.active()
     return spark.createDataFrame(rows, "Feature string, Importance double").orderBy(F.desc("Importance"), "Feature")
@@ -132,11 +117,12 @@ def signature(df: DataFrame) -> DataFrame:
 
 
 def compare(models: Mapping[str, PipelineModel], train: DataFrame, test: DataFrame, label: str) -> DataFrame:
-    """Train and test metrics of several models side by side, one row per model."""
-    measured = None
-    for name, model in models.items():
-        rows = evaluate_splits(model, train, test, label).withColumn("run", F.lit(name))
-        measured = rows if measured is None else measured.unionByName(rows)
-    return measured.groupBy("run").pivot("split", ["train", "test"]).agg(
-        *[F.max(metric).alias(metric) for metric in METRICS]
+    """Train and test metrics of several models side by side, one row per model; all in one pass over the rows."""
+    both = train.withColumn("_split", F.lit("train")).unionByName(test.withColumn("_split", F.lit("test")))
+    scored = both.select("_split", label, *[prediction(model).alias(f"_p{i}") for i, model in enumerate(models.values())])
+    measured = scored.groupBy("_split").agg(
+        *[F.struct(*[column.alias(name) for name, column in metric_columns(label, f"_p{i}").items()]).alias(f"_m{i}") for i in range(len(models))]
     )
+    runs = [F.struct(F.lit(name).alias("run"), f"_m{i}.*") for i, name in enumerate(models)]
+    rows = measured.select("_split", F.inline(F.array(*runs)))
+    return rows.groupBy("run").pivot("_split", ["train", "test"]).agg(*[F.max(metric).alias(metric) for metric in METRICS])

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import FeatureHasher, Imputer, ImputerModel, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayframe.functions.rows import POSITIONS, key_position
+from stayframe.functions.rows import POSITIONS, key_hash, key_position
+from stayframe.operators.compiled import ExpressionColumns, bucket_sql, number, quoted
 
 # Fixed value: the test share of a split when none is given.
 DEFAULT_TEST_SHARE = 0.25
 
-# Partitions of a stable layout, whatever the rows. Give more on a larger cluster; equal trees need equal numbers.
-LAYOUT_PARTITIONS = 8
 # Width of hashed categories.
 HASHED_FEATURES = 1024
 
@@ -25,6 +25,12 @@ def mean_fill(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Imputer
     return imputer.transform(df), imputer
 
 
+def fill_of(fill: ImputerModel, column: str) -> ExpressionColumns:
+    """What a fitted fill does to one column alone."""
+    mean = fill.surrogateDF.first()[column]
+    return ExpressionColumns([column], {column: f"coalesce(nanvl(CAST({quoted(column)} AS DOUBLE), NULL), {number(mean)})"})
+
+
 def key_split(
     df: DataFrame, key: str, test_share: float = DEFAULT_TEST_SHARE, seed: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -41,6 +47,46 @@ def key_split(
     return df.where(~in_test), df.where(in_test)
 
 
+def _narrowest(hashed: DataFrame, wanted: int, fetched: int = 10_000) -> tuple[int, list]:
+    """The hash and keys of the ``wanted``-th smallest row: ranges are counted and narrowed until one holds few rows."""
+    low, high = -(2**63), 2**63 - 1
+    while True:
+        inside = hashed.where(F.col("_h").between(low, high))
+        width = (high - low) // 4096 + 1
+        # Differences of longs may pass a long's range, so places are found in decimals.
+        place = F.floor((F.col("_h").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))
+        counts = sorted((int(row["place"]), row["n"]) for row in inside.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect())
+        for at, n in counts:
+            if wanted <= n:
+                break
+            wanted -= n
+        low, high = low + at * width, min(low + (at + 1) * width - 1, high)
+        if n <= fetched or low == high:
+            rows = hashed.where(F.col("_h").between(low, high)).orderBy(*hashed.columns).limit(wanted).collect()
+            return rows[-1]["_h"], [value for name, value in rows[-1].asDict().items() if name != "_h"]
+
+
+def exact_split(df: DataFrame, key: str, test_share: float, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test) with exactly ``ceil(test_share * rows)`` test rows: those with the smallest hashes of a unique key.
+
+    Independent of the partitioning, like :func:`key_split`; that one needs no pass over the rows, but its share is met
+    about. Keys of equal hash go in their order, null first. Rows of a repeated key stay together, so with those the
+    count may differ. Without a seed the hash is that of :func:`key_split`, for integer keys.
+    """
+    if not 0 < test_share < 1:
+        raise ValueError(f"test_share {test_share} leaves one side empty")
+    hashed = F.xxhash64(F.col(key), F.lit(seed)) if seed is not None else F.coalesce(key_hash(key), F.lit(0))
+    rows = df.select(hashed.alias("_h"), F.col(key).alias("_key"))
+    n = rows.count()
+    wanted = math.ceil(round(test_share * n, 9))
+    if not wanted:
+        return df, df.limit(0)
+    last, (last_key,) = _narrowest(rows, wanted)
+    before = F.col(key).isNull() if last_key is None else F.coalesce(F.col(key) <= F.lit(last_key), F.lit(True))
+    in_test = (hashed < last) | ((hashed == last) & before)
+    return df.where(~in_test), df.where(in_test)
+
+
 def random_split(df: DataFrame, test_share: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """(train, test) drawn at random. The draw follows the partitioning; :func:`key_split` does not."""
     train, test = df.randomSplit([1 - test_share, test_share], seed)
@@ -70,18 +116,13 @@ def category_stages(columns: Sequence[str]) -> tuple[list, list[str]]:
     ], encoded
 
 
-def hashed_categories(columns: Sequence[str], output: str, width: int = HASHED_FEATURES) -> FeatureHasher:
-    """A stage that spreads string columns with any number of values over a vector of fixed width. A null is nothing."""
-    return FeatureHasher(inputCols=list(columns), outputCol=output, numFeatures=width)
-
-
-def stable_layout(df: DataFrame, keys: Sequence[str], partitions: int = LAYOUT_PARTITIONS) -> DataFrame:
-    """Fix which rows share a partition and in which order, by nothing but the rows and the number of partitions.
+def hashed_categories(columns: Sequence[str], output: str, width: int = HASHED_FEATURES) -> list:
+    """Stages that spread string columns with any number of values over a vector of fixed width. A null is nothing.
 
-    Bagged trees draw per partition, so equal rows, seed and ``partitions`` give equal trees on any cluster. ``keys``
-    identify a row.
+    Each value becomes one of ``width`` buckets first, so that what the vector holds for it can be listed.
     """
-    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
+    buckets = {f"{name}_bucket": f"CAST({bucket_sql(quoted(name), width)} AS STRING)" for name in columns}
+    return [ExpressionColumns(columns, buckets), FeatureHasher(inputCols=list(buckets), outputCol=output, numFeatures=width)]
 
 
 def first_rows(df: DataFrame, order: Sequence, n: int) -> DataFrame:

@@ -350,3 +350,53 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     counts = df.select(F.inline(cells)).where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count("*").alias("n"))
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``left_column``, ``right_column``, ``n_rows`` and ``correlation`` of every two number columns, in the frame's order.
+
+    A pair counts the rows where both are there; NaN counts as missing. All sums come from one aggregate. Null for fewer
+    than two rows, or where one column does not vary.
+    """
+    columns = list(columns or numeric_columns(df))
+    present = {name: f"CAST({_present(df.schema[name])} AS DOUBLE)" for name in columns}
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    values = df.selectExpr(*[f"{expression} AS `{i}`" for i, expression in enumerate(present.values())])
+    aggregates = [e for i, j in pairs for e in (f"count(`{i}` + `{j}`) AS `n_{i}_{j}`", f"nanvl(corr(`{i}`, `{j}`), NULL) AS `r_{i}_{j}`")]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left_column string, right_column string, n_rows long, correlation double")
+    rows = ", ".join(
+        f"named_struct('left_column', {_text(columns[i])}, 'right_column', {_text(columns[j])}, 'n_rows', `n_{i}_{j}`, 'correlation', `r_{i}_{j}`)"
+        for i, j in pairs
+    )
+    return values.selectExpr(*aggregates).selectExpr(f"inline(array({rows}))")
+
+
+def distributions(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
+    """Equal-depth histograms: ``column_name``, ``bin`` (from 1), its largest value ``upper`` (double) and ``n_rows``.
+
+    The bounds are exact quantiles; equal ones are one bin, so that a value is in one bin. Null and NaN are in none.
+    """
+    columns = list(columns or numeric_columns(df))
+    shares = {f"q{k}": k / bins for k in range(1, bins)}
+    found = quantiles(df, columns, {**shares, "last": 1.0}).collect()
+    bounds = {name: sorted({float(row[name]) for row in found if row[name] is not None}) for name in columns}
+    if not any(bounds.values()):
+        return df.sparkSession.createDataFrame([], "column_name string, bin int, upper double, n_rows long")
+    counts = []
+    for i, name in enumerate(columns):
+        value = f"CAST({_present(df.schema[name])} AS DOUBLE)"
+        for k, high in enumerate(bounds[name]):
+            above = f"{value} > {_double_text(bounds[name][k - 1])} AND " if k else ""
+            counts.append(f"count(CASE WHEN {above}{value} <= {_double_text(high)} THEN 1 END) AS `{i}_{k}`")
+    counted = df.selectExpr(*counts)
+    rows = ", ".join(
+        f"named_struct('column_name', {_text(name)}, 'bin', {k + 1}, 'upper', {_double_text(high)}, 'n_rows', `{i}_{k}`)"
+        for i, name in enumerate(columns)
+        for k, high in enumerate(bounds[name])
+    )
+    return counted.selectExpr(f"inline(array({rows}))")
+
+
+def _double_text(value: float) -> str:
+    return f"CAST('{value}' AS DOUBLE)" if math.isinf(value) else f"({value!r}D)"

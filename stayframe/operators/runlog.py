@@ -79,6 +79,25 @@ def runs_table(log: DataFrame, metrics: Sequence[str], params: Sequence[str] = (
     )
 
 
+def open_runs(log: DataFrame) -> DataFrame:
+    """One row per run: start time, a map ``metrics`` and a map ``params``, of whatever names the run logged.
+
+    The latest row of each name is found first, combined map-side, so that a run which logs very often is no burden; what
+    then goes to the run's row is one value per name. The maps are as large as a run's names are many.
+    """
+    latest = log.groupBy(*RUN, "metric").agg(
+        F.min("ts").alias("first_ts"),
+        F.max_by("value", F.when(F.col("value").isNotNull(), moment())).alias("value"),
+        F.max_by("text", F.when(F.col("text").isNotNull(), moment())).alias("text"),
+    )
+
+    def named(column: str) -> Column:
+        entry = F.when(F.col(column).isNotNull(), F.struct("metric", column))
+        return F.map_from_entries(F.array_sort(F.collect_list(entry)))
+
+    return latest.groupBy(*RUN).agg(F.min("first_ts").alias("start_time"), named("value").alias("metrics"), named("text").alias("params"))
+
+
 def store_log(log: DataFrame, path: str) -> None:
     """Store a log so that one experiment's rows lie together, in as many files as they need."""
     log.repartitionByRange("experiment_id", "run_id", "ts", "event_id").sortWithinPartitions(

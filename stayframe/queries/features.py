@@ -99,6 +99,34 @@ def f1_create_table(spark, sf_dir):
     return store_with_features(spark, sf_dir).read_table(NAME)
 
 
+#: As many as tests have shuffle partitions at least; a table of a terabyte would have thousands.
+BUCKETS = 16
+
+
+def store_by_key(spark, sf_dir):
+    store = new_store(spark)
+    store.create_table(NAME, ["id"], cleaned(spark, sf_dir).drop("price"), at=FIRST, buckets=BUCKETS)
+    return store
+
+
+@query(
+    "f1_table_by_key",
+    over("features", f"SELECT f.*, {BUCKETS} AS buckets, (SELECT count(*) FROM features) AS n_stored FROM features f"),
+)
+def f1_table_by_key(spark, sf_dir):
+    """A feature table stored by key; its history says into how many buckets, and how many rows."""
+    store = store_by_key(spark, sf_dir)
+    entry = store.history(NAME).where("bucket_columns = array('id')").first()
+    return store.read_table(NAME).withColumns({"buckets": F.lit(entry.buckets), "n_stored": F.lit(entry.n_rows)})
+
+
+@query("f8_training_in_place", over("training", "SELECT * FROM training"))
+def f8_training_in_place(spark, sf_dir):
+    """The spine moves to the buckets of a feature table that is stored by key; the features are not shuffled."""
+    store = store_by_key(spark, sf_dir)
+    return store.create_training_set(spine(spark, sf_dir), [FeatureLookup(NAME, "id", in_place=True)], "price").load_df()
+
+
 @query("f2_create_empty", over("features", "SELECT * FROM features"))
 def f2_create_empty(spark, sf_dir):
     """Created from a schema, filled later."""

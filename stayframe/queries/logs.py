@@ -71,6 +71,36 @@ def j1_metrics_only(spark, sf_dir):
     return runlog.runs_table(runs_of(spark, sf_dir), RUN_METRICS)
 
 
+@query(
+    "j1_open_metrics",
+    over(
+        "run_log",
+        """SELECT l.experiment_id, l.run_id, min(s.start_time) AS start_time, count(l.value) AS n_metrics,
+            string_agg(l.metric, ',' ORDER BY l.metric) FILTER (WHERE l.value IS NOT NULL) AS metrics,
+            round(sum(l.value), 6) AS values_total, string_agg(p.metric || '=' || p.text, ';' ORDER BY p.metric) AS params
+            FROM (SELECT experiment_id, run_id, metric, arg_max(value, (ts, event_id)) FILTER (WHERE value IS NOT NULL) AS value
+                  FROM run_log GROUP BY ALL) l
+            JOIN (SELECT run_id, min(ts) AS start_time FROM run_log GROUP BY run_id) s USING (run_id)
+            LEFT JOIN (SELECT run_id, metric, arg_max(text, (ts, event_id)) AS text FROM (
+                SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS run_id, event_type AS metric, props AS text, ts, event_id
+                FROM events WHERE props IS NOT NULL) GROUP BY ALL) p ON p.run_id = l.run_id AND p.metric = l.metric
+            GROUP BY l.experiment_id, l.run_id""",
+    ),
+)
+def j1_open_metrics(spark, sf_dir):
+    """Metrics and parameters of every run, whatever their names; none is given."""
+    runs = runlog.open_runs(runs_of(spark, sf_dir))
+    names = F.array_sort(F.map_keys("metrics"))
+    total = F.aggregate(F.map_values("metrics"), F.lit(0.0), lambda sum, value: sum + value)
+    texts = F.transform(F.array_sort(F.map_entries("params")), lambda entry: F.concat(entry["key"], F.lit("="), entry["value"]))
+    return runs.select(
+        *runlog.RUN, "start_time", F.size("metrics").cast("long").alias("n_metrics"),
+        F.when(F.size("metrics") > 0, F.array_join(names, ",")).alias("metrics"),
+        F.round(F.when(F.size("metrics") > 0, total), 6).alias("values_total"),
+        F.when(F.size("params") > 0, F.array_join(texts, ";")).alias("params"),
+    )
+
+
 @query("j2_latest_run", over("runs", "SELECT * FROM runs ORDER BY start_time DESC, run_id DESC LIMIT 1"))
 def j2_latest_run(spark, sf_dir):
     return runlog.latest_run(runlog.runs_table(runs_of(spark, sf_dir), RUN_METRICS))

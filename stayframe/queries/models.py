@@ -2,10 +2,11 @@
 
 import json
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stayframe.operators import models, prepare, profile, search
+from stayframe.operators import compiled, models, prepare, profile, search
 from stayframe.operators.features import FeatureLookup
 from stayframe.operators.scoring import with_prediction
 from stayframe.plans.cleaning import SEARCH_COLUMNS, feature_rows, linear_rows, search_rows, tracking_rows
@@ -81,12 +82,44 @@ def _group_means(view, label):
 def h2_forest_one_feature(spark, sf_dir):
     """One unbagged tree on a feature of few values predicts the mean of each value."""
     train, test = prepare.key_split(tracking_rows(load_listings(spark, sf_dir)), "id", 0.2)
-    estimator = models.forest(["bedrooms"], "price", {"n_estimators": 1, "random_state": 42})
-    estimator.getStages()[-1].setBootstrap(False)
+    estimator = models.forest(["bedrooms"], "price", {"n_estimators": 1, "bootstrap": False})
     scored = estimator.fit(train).transform(test)
     return rounded(scored.select("id", "price", "prediction"), ["prediction"])
 
 
+def _side(rows: str, unless: str = "") -> str:
+    """SQL of the split of ``rows`` (side, b, n, s) that lowers the squared error most, per side; ties go to the lowest value."""
+    return f"""(SELECT side, b AS cut, gain FROM (
+        SELECT side, b, ls * ls / ln + (s_all - ls) * (s_all - ls) / (n_all - ln) - s_all * s_all / n_all AS gain FROM (
+            SELECT side, b, sum(n) OVER own AS ln, sum(s) OVER own AS ls, sum(n) OVER (PARTITION BY side) AS n_all,
+                sum(s) OVER (PARTITION BY side) AS s_all
+            FROM {rows} WINDOW own AS (PARTITION BY side ORDER BY b)) WHERE n_all > ln)
+        ORDER BY gain DESC, side, b LIMIT 1)"""
+
+
+_BEST_FIRST = f"""SELECT t.id, t.price, round(m.mean, 6) AS prediction FROM
+    (SELECT id, price, {{group}} AS leaf FROM tracking t, first_cut, second_cut WHERE {BUCKET} >= 80) t
+    JOIN (SELECT {{group}} AS leaf, avg(price) AS mean FROM tracking t, first_cut, second_cut WHERE {BUCKET} < 80 GROUP BY 1) m USING (leaf)"""
+_LEAF = """CASE WHEN (bedrooms > first_cut.cut) <> second_cut.side THEN -1 WHEN bedrooms <= second_cut.cut THEN 0 ELSE 1 END"""
+
+
+@query(
+    "h2_best_first_tree",
+    over("tracking", "SELECT * FROM tracking").replace("\nSELECT * FROM tracking", "")
+    + f""", per_value AS (SELECT bedrooms AS b, count(*) AS n, sum(price) AS s FROM tracking WHERE {BUCKET} < 80 GROUP BY bedrooms),
+    first_cut AS {_side("(SELECT false AS side, * FROM per_value)")},
+    second_cut AS {_side("(SELECT p.b > f.cut AS side, p.* FROM per_value p, first_cut f)")}
+    """
+    + _BEST_FIRST.replace("{group}", _LEAF),
+)
+def h2_best_first_tree(spark, sf_dir):
+    """A tree of three leaves: of all splits that lower the error the one that lowers it most comes first."""
+    train, test = prepare.key_split(tracking_rows(load_listings(spark, sf_dir)), "id", 0.2)
+    settings = {"n_estimators": 1, "bootstrap": False, "max_depth": 6, "max_leaf_nodes": 3}
+    model = models.forest(["bedrooms"], "price", settings).fit(train)
+    return rounded(model.transform(test).select("id", "price", "prediction"), ["prediction"])
+
+
 def _training(store, spark, sf_dir):
     """The training set of the newest feature version, and its features without retired columns."""
     training = store.create_training_set(tables.spine(spark, sf_dir), [FeatureLookup(tables.NAME, "id")], "price")
@@ -296,6 +329,32 @@ def l3_model_as_function(spark, sf_dir):
     return rounded(with_prediction(test.select("id", "bedrooms"), model).select("id", "prediction"), ["prediction"])
 
 
+@query(
+    "l3_model_in_sql",
+    over(
+        "filled",
+        f"""SELECT f.id, round(c.intercept + c.slope * f.bedrooms, 6) AS linear_price, round(m.mean, 6) AS tree_price FROM filled f,
+            (SELECT regr_slope(price, bedrooms) AS slope, regr_intercept(price, bedrooms) AS intercept FROM filled WHERE {BUCKET} < 80) c,
+            (SELECT bedrooms, avg(price) AS mean FROM filled WHERE {BUCKET} < 80 GROUP BY bedrooms) m
+            WHERE f.bedrooms = m.bedrooms AND c.intercept + c.slope * f.bedrooms > (SELECT avg(price) FROM filled)""",
+    ),
+)
+def l3_model_in_sql(spark, sf_dir):
+    """Two models, the fill of missing values included, as functions in SQL: in the select list and in the condition."""
+    rows = linear_rows(load_listings(spark, sf_dir))
+    _, fill = prepare.mean_fill(rows, ["bedrooms", "price"])
+    train, _ = prepare.key_split(fill.transform(rows), "id", 0.2)
+    mean = fill.surrogateDF.first()
+    one_tree = {"n_estimators": 1, "bootstrap": False}
+    for name, model in (("linear_price", models.linear(["bedrooms"], "price")), ("tree_price", models.forest(["bedrooms"], "price", one_tree))):
+        fitted = model.fit(train)
+        filled = PipelineModel(stages=[prepare.fill_of(fill, "bedrooms"), *fitted.stages])
+        compiled.create_function(spark, name, filled, {"bedrooms": "DOUBLE"})
+    rows.createOrReplaceTempView("listings_to_price")
+    return spark.sql(f"""SELECT id, round(linear_price(bedrooms), 6) AS linear_price, round(tree_price(bedrooms), 6) AS tree_price
+        FROM listings_to_price WHERE linear_price(bedrooms) > {mean["price"]!r}D""")
+
+
 def _sizes(below: int) -> str:
     return f"(SELECT count(*) FILTER (WHERE {BUCKET} < {below}) AS n_train, count(*) FILTER (WHERE {BUCKET} >= {below}) AS n_test FROM tracking)"
 
@@ -391,3 +450,56 @@ def i5_training_profile(spark, sf_dir):
     """The data profile of the whole training part."""
     train, _ = prepare.key_split(search_rows(load_listings(spark, sf_dir)), "id", 0.2)
     return rounded(profile.profile(train).drop("distinct_estimate"), ["mean", "stddev"])
+
+
+_NUMBERS = [field.name for field in LISTINGS_SCHEMA if isinstance(field.dataType, T.NumericType)]
+
+
+@query(
+    "i5_correlations",
+    over(
+        "listings",
+        " UNION ALL ".join(
+            f"""SELECT '{one}' AS left_column, '{other}' AS right_column, count({one} + {other}) AS n_rows,
+                round(corr({one}, {other}), 6) AS correlation FROM listings"""
+            for i, one in enumerate(_NUMBERS)
+            for other in _NUMBERS[i + 1 :]
+        ),
+    ),
+)
+def i5_correlations(spark, sf_dir):
+    """Every two number columns, over the rows that have both."""
+    return rounded(profile.correlations(load_listings(spark, sf_dir)), ["correlation"])
+
+
+def _distribution_sql(name: str, bins: int = 10) -> str:
+    shares = ", ".join(str(k / bins) for k in range(1, bins))
+    return f"""SELECT '{name}' AS column_name, CAST(row_number() OVER (ORDER BY upper) AS INTEGER) AS bin, upper, n_rows FROM (
+        SELECT upper, (SELECT count(*) FROM listings WHERE {name} <= upper AND ({name} > lower OR lower IS NULL)) AS n_rows FROM (
+            SELECT upper, lag(upper) OVER (ORDER BY upper) AS lower FROM (
+                SELECT DISTINCT CAST(unnest(list_append(quantile_disc({name}, [{shares}]), max({name}))) AS DOUBLE) AS upper FROM listings)))"""
+
+
+@query("i5_distributions", over("listings", " UNION ALL ".join(map(_distribution_sql, _NUMBERS))))
+def i5_distributions(spark, sf_dir):
+    """Ten bins of equal depth for every number column; equal bounds are one bin."""
+    return profile.distributions(load_listings(spark, sf_dir))
+
+
+@query(
+    "i1_cross_validation",
+    over(
+        "linear",
+        f"""SELECT fold, n_train, n_test, round(mse, 4) AS mse, round(sqrt(mse), 6) AS rmse, round(1 - mse / spread, 6) AS r2 FROM (
+            SELECT m.fold, any_value(n_train) AS n_train, count(*) AS n_test, var_pop(price) AS spread,
+                avg((price - intercept - slope * bedrooms) * (price - intercept - slope * bedrooms)) AS mse
+            FROM (SELECT f.fold, count(*) AS n_train, regr_slope(l.price, l.bedrooms) AS slope, regr_intercept(l.price, l.bedrooms) AS intercept
+                  FROM range(5) f(fold), linear l WHERE {BUCKET} % 5 <> f.fold AND l.price IS NOT NULL AND l.bedrooms IS NOT NULL GROUP BY f.fold) m
+            JOIN linear l ON {BUCKET} % 5 = m.fold WHERE l.price IS NOT NULL AND l.bedrooms IS NOT NULL GROUP BY m.fold)""",
+    ),
+)
+def i1_cross_validation(spark, sf_dir):
+    """A linear model on five folds, each worked out from one pass of sums."""
+    measured = search.cross_validate_linear(linear_rows(load_listings(spark, sf_dir)), "price", "id", ["bedrooms"], reg_params=(0.0,))
+    measured = measured.select(F.col("fold").cast("long").alias("fold"), "n_train", "n_test", "mse", "rmse", "r2")
+    return rounded(rounded(measured, ["mse"], 4), ["rmse", "r2"])

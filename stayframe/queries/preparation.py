@@ -27,6 +27,16 @@ def g2_split(spark, sf_dir):
     return _sides(*prepare.key_split(linear_rows(load_listings(spark, sf_dir)), "id", 0.2))
 
 
+_EXACT = """SELECT id, bedrooms, price, CASE WHEN row_number() OVER (ORDER BY ((id % 2147483648) * 2654435761) % 4294967296, id)
+    <= ceil(0.1 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM linear"""
+
+
+@query("g2_exact_split", over("linear", _EXACT))
+def g2_exact_split(spark, sf_dir):
+    """A tenth of the rows, rounded up, to the row: those with the smallest hashes of their keys."""
+    return _sides(*prepare.exact_split(linear_rows(load_listings(spark, sf_dir)), "id", 0.1))
+
+
 @query("g2_random_split", over("linear", "SELECT id, bedrooms, price, 1 AS n_sides, true AS a_fifth FROM linear"))
 def g2_random_split(spark, sf_dir):
     """Every row is on one side, and about a fifth of them is held out; which ones is drawn."""

@@ -13,6 +13,7 @@ from stayframe.session import new_workspace
 from stayframe.sources import catalog
 from stayframe.sources.csvfiles import read_csv, write_csv
 from stayframe.sources.listings import LISTINGS_SCHEMA, load_listings, table
+from stayframe.sources.splitcsv import read_split_csv
 
 NOTED_SCHEMA = T.StructType([*LISTINGS_SCHEMA.fields, T.StructField("note", T.StringType())])
 
@@ -42,6 +43,14 @@ def a1_csv_scan_inferred(spark, sf_dir):
     return inferred.select([F.col(field.name).cast(field.dataType) for field in NOTED_SCHEMA])
 
 
+@query("a1_csv_split", _NOTED_SQL)
+def a1_csv_split(spark, sf_dir):
+    """One plain file whose fields span lines, read by as many tasks as its size asks for."""
+    path = new_workspace(spark, "csv")
+    write_csv(_noted(load_listings(spark, sf_dir)).coalesce(1), path)
+    return read_split_csv(spark, path, NOTED_SCHEMA)
+
+
 @query("a1_csv_long_texts", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def a1_csv_long_texts(spark, sf_dir):
     """Whole documents with their line breaks and quotes through gzip CSV."""

@@ -3,12 +3,17 @@
 Layout below the table's path: ``version=N/`` with the rows, ``history/`` with one appended row per version. The
 rows are written first and the history row last, so a write that fails half-way leaves no version behind. One
 writer at a time; there is no commit protocol for concurrent writers.
+
+A version may be stored by key: hashed into buckets and sorted in them. The history row says by which columns and into
+how many buckets, so a scan by key needs no shuffle for a join or a grouping on them.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -17,7 +22,10 @@ from pyspark.sql import types as T
 
 from stayframe.sources import storage
 
-HISTORY_SCHEMA = "version bigint, ts timestamp, operation string, columns array<string>, schema string, n_rows bigint"
+HISTORY_SCHEMA = (
+    "version bigint, ts timestamp, operation string, columns array<string>, schema string, n_rows bigint, "
+    "bucket_columns array<string>, buckets int"
+)
 
 
 class NoSuchVersion(LookupError):
@@ -62,13 +70,18 @@ class SnapshotTable:
         operation: str = "WRITE",
         at: datetime | str | None = None,
         partition_by: Sequence[str] = (),
+        bucket_by: Sequence[str] = (),
+        buckets: int | None = None,
         check: Callable[[DataFrame], None] | None = None,
     ) -> int:
         """Write the next version and return its number; the first is 0.
 
         ``replace`` takes the frame's schema. ``grow`` keeps every earlier column: those the frame lacks are stored
-        as null. ``check`` sees the stored rows before the version exists, and may raise.
+        as null. With ``buckets`` the rows are stored by ``bucket_by``. ``check`` sees the stored rows (by key, if they
+        are stored so) before the version exists, and may raise.
         """
+        if buckets and partition_by:
+            raise ValueError("a table is partitioned or stored by key, not both")
         latest = self._latest()
         live = df.columns
         if schema_mode == "grow" and latest is not None:
@@ -81,18 +94,26 @@ class SnapshotTable:
             # Rows of a partition value meet in few tasks, so there is not a file per task and value; a value that many
             # rows share is split by size.
             df = df.hint("rebalance", *partition_by)
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.version_path(version))
-        stored = self._scan(version, schema)
+        path = self.version_path(version)
+        if buckets:
+            # Each task holds the rows of one bucket, so that a bucket is one file.
+            rows = df.repartition(buckets, *bucket_by).write.mode("overwrite").format("parquet")
+            with _catalog_name(self.spark) as name:
+                rows.bucketBy(buckets, *bucket_by).sortBy(*bucket_by).option("path", path).saveAsTable(name)
+            stored = self._scan_by_key(version, schema, bucket_by, buckets)
+        else:
+            writer = df.write.mode("overwrite")
+            if partition_by:
+                writer = writer.partitionBy(*partition_by)
+            writer.parquet(path)
+            stored = self._scan(version, schema)
         if check is not None:
             try:
                 check(stored)
             except Exception:
                 storage.delete(self.spark, self.version_path(version))
                 raise
-        self._record(version, at, operation, live, schema, stored.count())
+        self._record(version, at, operation, live, schema, stored.count(), bucket_by if buckets else None, buckets)
         return version
 
     def read(self, version: int | None = None, as_of: datetime | str | None = None) -> DataFrame:
@@ -103,6 +124,12 @@ class SnapshotTable:
         """The rows of a version, by its history row."""
         return self._scan(entry.version, stored_schema(entry))
 
+    def scan_by_key(self, entry: Row) -> DataFrame:
+        """The rows of a version that is stored by key, in its buckets."""
+        if not entry.buckets:
+            raise ValueError(f"version {entry.version} of {self.path} is not stored by key")
+        return self._scan_by_key(entry.version, stored_schema(entry), entry.bucket_columns, entry.buckets)
+
     def entry(self, version: int | None = None, as_of: datetime | str | None = None) -> Row:
         """The history row of a version."""
         candidates = self.history()
@@ -128,7 +155,18 @@ class SnapshotTable:
         # The stored schema fixes order and types, of partition columns too.
         return self.spark.read.schema(schema).parquet(self.version_path(version)).select(schema.names)
 
-    def _record(self, version, at, operation, live, schema, n_rows) -> None:
+    def _scan_by_key(self, version: int, schema: T.StructType, bucket_by: Sequence[str], buckets: int) -> DataFrame:
+        columns = ", ".join(_quoted(name) for name in bucket_by)
+        fields = ", ".join(f"{_quoted(field.name)} {field.dataType.simpleString()}" for field in schema)
+        # Only a catalog entry tells Spark of buckets; the frame keeps what it says when the entry is gone.
+        with _catalog_name(self.spark) as name:
+            self.spark.sql(
+                f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({columns}) SORTED BY ({columns}) "
+                f"INTO {buckets} BUCKETS LOCATION '{self.version_path(version)}'"
+            )
+            return self.spark.table(name)
+
+    def _record(self, version, at, operation, live, schema, n_rows, bucket_columns=None, buckets=None) -> None:
         row = self.spark.range(1, numPartitions=1).select(
             F.lit(version).cast("long").alias("version"),
             utc(at).alias("ts"),
@@ -136,10 +174,26 @@ class SnapshotTable:
             F.array(*[F.lit(name) for name in live]).cast("array<string>").alias("columns"),
             F.lit(schema.json()).alias("schema"),
             F.lit(n_rows).cast("long").alias("n_rows"),
+            (F.array(*map(F.lit, bucket_columns)) if bucket_columns else F.lit(None)).cast("array<string>").alias("bucket_columns"),
+            F.lit(buckets).cast("int").alias("buckets"),
         )
         row.write.mode("append").parquet(f"{self.path}/history")
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+@contextmanager
+def _catalog_name(spark: SparkSession) -> Iterator[str]:
+    """A name for a catalog entry that lasts for the block. The entry's files, which have a path of their own, stay."""
+    name = f"stayframe_{uuid.uuid4().hex}"
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _grown(df: DataFrame, earlier: T.StructType) -> DataFrame:
     present = {field.name: field.dataType for field in df.schema}
     for field in earlier:

@@ -167,3 +167,65 @@ def test_training_set_is_lazy(spark, store, rows):
     training.load_df()
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("load_df")
     spark.sparkContext.setJobGroup("tests", "tests")
+
+
+def exchanges(text):
+    return text.count("Exchange hashpartitioning")
+
+
+def test_table_by_key_is_joined_and_checked_without_shuffling_it(spark, tmp_path, plan):
+    store = FeatureStore(spark, str(tmp_path / "by-key"))
+    features = spark.range(500).select("id", (F.col("id") * 2).alias("twice"), F.concat(F.lit("n"), "id").alias("name"))
+    tables = {row.name for row in spark.catalog.listTables()}
+    store.create_table("t", ["id"], features, buckets=16)
+    source = store._snapshots("t").scan_by_key(store._snapshots("t").entry())
+    counted = source.groupBy("id").agg(F.count("*").alias("n"))
+    assert "Exchange" not in plan(counted) and counted.where("n = 1").count() == 500
+    spine = spark.range(600).select(F.col("id").cast("int").alias("id"), F.rand(1).alias("y"))
+    training = store.create_training_set(spine, [FeatureLookup("t", "id", in_place=True)], "y").load_df()
+    text = plan(training)
+    # One exchange, that of the spine; none between the features' scan and the join.
+    assert exchanges(text) == 1 and "Bucketed: true" in text
+    assert "Exchange" not in text[text.index("Scan parquet") - 400 : text.index("Scan parquet")] or text.index("Exchange") < text.index("Scan parquet")
+    plain = store.create_training_set(spine, [FeatureLookup("t", "id")], "y").load_df()
+    assert training.columns == plain.columns and training.exceptAll(plain).count() == 0 and training.count() == 600
+    with pytest.raises(KeyViolation):
+        store.write_table("t", features.union(features.limit(1)))
+    with pytest.raises(KeyViolation):
+        store.write_table("t", features.withColumn("id", F.when(F.col("id") > 3, F.col("id"))))
+    store.write_table("t", features.drop("name").withColumn("half", F.col("id") / 2))
+    assert store.get_table("t").buckets == 16 and store.read_table("t").where("name IS NULL AND half IS NOT NULL").count() == 500
+    assert {row.name for row in spark.catalog.listTables()} == tables
+
+
+def test_lookup_in_place_of_odd_keys(spark, tmp_path):
+    store = FeatureStore(spark, str(tmp_path / "odd"))
+    features = spark.createDataFrame([(1, "x", 1.0), (2, "y", 2.0), (2, "x", 3.0)], "k int, l string, f double")
+    store.create_table("t", ["k", "l"], features, buckets=8)
+    spine = spark.createDataFrame([(1, "x", 0.0), (2**40 + 1, "x", 0.0), (None, "x", 0.0), (2, "z", 0.0), (2, "x", 0.0), (2, "x", 9.0)], "a long, b string, y double")
+    found = store.create_training_set(spine, [FeatureLookup("t", ["a", "b"], in_place=True)], "y").load_df().collect()
+    assert sorted(((row.a, row.b, row.y, row.f) for row in found), key=str) == sorted(
+        [(1, "x", 0.0, 1.0), (2**40 + 1, "x", 0.0, None), (None, "x", 0.0, None), (2, "z", 0.0, None), (2, "x", 0.0, 3.0), (2, "x", 9.0, 3.0)], key=str
+    )
+    with pytest.raises(TypeError):
+        store.create_training_set(spine.withColumn("a", F.col("b")), [FeatureLookup("t", ["a", "b"], in_place=True)], "y").load_df()
+    with pytest.raises(ValueError):
+        store.create_table("both", ["k"], features, partition_columns=["l"], buckets=4)
+    store.create_table("plain", ["k", "l"], features)
+    with pytest.raises(ValueError, match="not stored by key"):
+        store.create_training_set(spine, [FeatureLookup("plain", ["a", "b"], in_place=True)], "y")
+
+
+def test_scoring_in_place_and_the_example_of_a_model(spark, tmp_path, plan):
+    store = FeatureStore(spark, str(tmp_path / "score"))
+    features = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("x"))
+    store.create_table("t", ["id"], features, buckets=16)
+    spine = spark.range(200).repartition(5).select("id", (F.col("id") % 7 * 3 + 1).cast("double").alias("y"))
+    training = store.create_training_set(spine, [FeatureLookup("t", "id", in_place=True)], "y")
+    version = store.log_model("m", models.linear(["x"], "y").fit(training.load_df()), training, run_id="r")
+    assert [(row.id, row.x) for row in store.model_example("m", version).orderBy("id").collect()] == [(0, 0.0), (1, 1.0), (2, 2.0)]
+    scored = store.score_batch("m", version, spine.drop("y"))
+    assert exchanges(plan(scored)) == 1
+    assert all(row.prediction == pytest.approx(row.id % 7 * 3 + 1) for row in scored.collect())
+    store.log_model("other", models.linear(["x"], "y").fit(training.load_df()), training, run_id="r2")
+    assert store.model_meta("other", 1)["label"] == "y" and store.load_run_model("r2").stages[-1].intercept == pytest.approx(1.0)

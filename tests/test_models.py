@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stayframe.operators import models, prepare, search
 from stayframe.operators.scoring import with_prediction
+from stayframe.operators.trees import TreeSettings
 from stayframe.plans.cleaning import search_rows, tracking_rows
 
 SMALL_FOREST = {"n_estimators": 10, "max_depth": 5, "max_features": 0.8, "min_samples_leaf": 4, "random_state": 42}
@@ -54,15 +55,15 @@ def test_vector_of_nulls_fails(spark):
 
 
 def test_tree_parameters():
-    translated = models.tree_parameters(models.FOREST_V1, "numTrees")
-    assert translated == {
-        "numTrees": 200, "maxDepth": 10, "featureSubsetStrategy": "1", "minInstancesPerNode": 5, "seed": 42,
-    }
-    assert models.tree_parameters({"max_features": None}, "maxIter") == {"featureSubsetStrategy": "all"}
-    with pytest.warns(UserWarning, match="min_samples_split"):
-        assert models.tree_parameters({"min_samples_split": 4, "max_leaf_nodes": None}, "maxIter") == {}
-    with pytest.raises(ValueError):
-        models.tree_parameters({"depth": 3}, "maxIter")
+    settings = TreeSettings.of(models.FOREST_V1)
+    assert (settings.n_estimators, settings.max_depth, settings.min_samples_leaf, settings.random_state) == (200, 10, 5, 42)
+    assert settings.features_per_node(7) == 1
+    assert [TreeSettings.of({"max_features": of}).features_per_node(7) for of in (None, 0.8, 1.0, 3, 99)] == [7, 5, 7, 3, 7]
+    both = TreeSettings.of({"min_samples_split": 0.25, "max_leaf_nodes": 8}).for_rows(50)
+    assert both.min_samples_split == 13 and both.max_leaf_nodes == 8
+    for params in ({"depth": 3}, {"max_leaf_nodes": 1}, {"max_depth": 99}, {"max_bins": 1}):
+        with pytest.raises(ValueError):
+            TreeSettings.of(params)
 
 
 @pytest.mark.parametrize("kind", ["forest", "boosting"])
