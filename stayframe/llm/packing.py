@@ -17,10 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayframe.llm.stored import stored
+from stayframe.llm.tokens import BLOCK_BYTES, END_ID, SequenceFormat, encoder
+from stayframe.llm.words import text_blocks
 from stayframe.operators.numbering import number_within
 
 #: Permitted sequence lengths, in tokens.
@@ -184,46 +186,120 @@ class PackingPlan:
         return self.first_bin[at] + beyond // self.per_bin[at], self.capacity[at], offset
 
 
-def pieces(docs: DataFrame, longest: int) -> DataFrame:
-    """doc_id, piece, ``start`` and ``n_tokens`` of the pieces of every row's whole ``text``, and a hash that tells texts apart.
+def _cut(longest: int) -> Column:
+    """The pieces of a document of ``total`` tokens, as numbers from 0."""
+    return F.sequence(F.lit(0), F.floor((F.col("total") - 1) / longest).cast("int"))
 
-    Tokens are UTF-8 bytes and one end id per document; a null text has the end id alone. A document longer than the
-    longest sequence is cut into pieces of that length and a rest.
+
+def pieces(docs: DataFrame, longest: int, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+    """row, doc_id, piece, ``start`` and ``n_tokens`` of the pieces of every row's whole ``text``; with ``ids``, if wanted.
+
+    Tokens are the ids of a tokenizers file, or UTF-8 bytes without one; each document has an end id besides. A null text
+    has the end id alone. A document longer than the longest sequence is cut into pieces of that length and a rest.
+    ``row`` tells rows apart; store the frame before it is used twice.
     """
-    total = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
-    cut = docs.select("doc_id", F.xxhash64("text").alias("tie"), total.cast("long").alias("total")).withColumn(
-        "piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / longest).cast("int")))
-    )
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
+    key_type = docs.schema["doc_id"].dataType.simpleString()
     start = F.col("piece").cast("long") * longest
-    return cut.select(
-        "doc_id", "piece", "tie", start.alias("start"), F.least(F.lit(longest), F.col("total") - start).cast("long").alias("n_tokens")
-    )
+    columns = ["row", "doc_id", "piece", start.alias("start"), F.least(F.lit(longest), F.col("total") - start).cast("long").alias("n_tokens")]
+    if tokenizer is None and not with_ids:
+        total = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+        counted = keyed.select("row", "doc_id", total.cast("long").alias("total"))
+        return counted.withColumn("piece", F.explode(_cut(longest))).select(*columns)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(tokenizer, SequenceFormat().id_type) if tokenizer is not None else None
+        for batch in batches:
+            for texts in text_blocks(batch.column(2), BLOCK_BYTES):
+                part = batch.slice(texts.first, len(texts))
+                if not with_ids:
+                    totals = own.count(texts) + 1
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(totals)], ["row", "doc_id", "total"])
+                    continue
+                if own is not None:
+                    ids = [np.append(found, np.uint16(END_ID)).tobytes() for found in own.encode(texts)]
+                else:
+                    # A byte is its own id, shifted past the end id.
+                    spans = zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist(), strict=True)
+                    ids = [np.append(texts.data[a:b].astype(np.uint16) + np.uint16(END_ID + 1), np.uint16(END_ID)).tobytes() for a, b in spans]
+                totals = np.array([len(found) // 2 for found in ids], dtype=np.int64)
+                arrays = [part.column(0), part.column(1), pa.array(totals), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "total", "ids"])
+
+    schema = f"row long, doc_id {key_type}, total long" + (", ids binary" if with_ids else "")
+    cut = keyed.mapInArrow(per_batch, schema).withColumn("piece", F.explode(_cut(longest)))
+    if with_ids:
+        columns.append(F.substring("ids", F.col("piece") * (2 * longest) + 1, F.lit(2 * longest)).alias("ids"))
+    return cut.select(*columns)
 
 
 def _placed(ranked: DataFrame, plan: Broadcast[PackingPlan]) -> DataFrame:
+    names = ("row", "doc_id", "piece", "start", "n_tokens")
+
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(name).to_numpy() for name in ("n_tokens", "rank"))
             found = plan.value.place(length, rank.astype(np.int64) - 1)
-            columns = [batch.column(name) for name in ("doc_id", "piece", "start", "n_tokens")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *map(pa.array, found)], ["doc_id", "piece", "start", "n_tokens", "bin", "capacity", "offset"]
-            )
+            columns = [batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, found)], [*names, "bin", "capacity", "offset"])
 
     key_type = ranked.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key_type}, piece int, start long, n_tokens long, bin long, capacity long, offset long"
-    return ranked.mapInArrow(per_batch, schema)
+    schema = f"row long, doc_id {key_type}, piece int, start long, n_tokens long, bin long, capacity long, offset long"
+    return ranked.select(*names, "rank").mapInArrow(per_batch, schema)
 
 
-def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
+def _packed(cut: DataFrame, capacities: Sequence[int]) -> DataFrame:
+    """The bin and place of every piece of a stored table of pieces."""
+    lengths = cut.select("row", "doc_id", "piece", "start", "n_tokens")
+    histogram = {row["n_tokens"]: row["count"] for row in lengths.groupBy("n_tokens").count().collect()}
+    plan = cut.sparkSession.sparkContext.broadcast(PackingPlan.of(histogram, capacities))
+    # The row comes last, so that not even equal rows without a key are one group that cannot be parted.
+    return _placed(number_within(lengths, ["n_tokens"], ["doc_id", "piece", "row"], "rank"), plan)
+
+
+def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, tokenizer: str | None = None) -> DataFrame:
     """Pack every row of ``docs``: doc_id, piece, start, n_tokens, ``bin``, ``capacity`` and ``offset`` of every piece.
 
+    Lengths are in ids of the ``tokenizer`` (path of a tokenizers file), or in UTF-8 bytes without one; the end id counts.
     ``start`` is the piece's place in its document, ``offset`` in its bin; bins count from 0 without gaps. Repeated rows
-    are packed each; rows that share a doc_id are told apart by their text. Columns other than doc_id and text are not
-    read. No documents give no rows.
+    are packed each, whatever their keys. Columns other than doc_id and text are not read. No documents give no rows.
+    """
+    cut = stored(pieces(docs, max(capacities), tokenizer), "pieces")
+    return _packed(cut, capacities).drop("row")
+
+
+def pack_sequences(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, tokenizer: str | None = None) -> DataFrame:
+    """Training sequences of ``docs``: one row per bin, with its ids.
+
+    ``bin``, ``capacity``, ``n_tokens`` (the rest is padding: ``ids[:n_tokens]`` count), ``ids`` (array of ``capacity``
+    ints, padded with the end id), and of every piece in it, in order: ``doc_ids``, ``pieces`` and ``starts``. So ``starts``
+    are the segment starts that attention must not look across. Rows as for :func:`pack`.
     """
-    cut = stored(pieces(docs, max(capacities)), "pieces")
-    histogram = {row["n_tokens"]: row["count"] for row in cut.groupBy("n_tokens").count().collect()}
-    plan = docs.sparkSession.sparkContext.broadcast(PackingPlan.of(histogram, capacities))
-    ranked = number_within(cut, ["n_tokens"], ["doc_id", "tie", "piece"], "rank")
-    return _placed(ranked.select("doc_id", "piece", "start", "n_tokens", "rank"), plan)
+    cut = stored(pieces(docs, max(capacities), tokenizer, with_ids=True), "token-pieces")
+    places = stored(_packed(cut, capacities), "token-places").select("row", "piece", "bin", "capacity", "offset")
+    placed = cut.select("row", "piece", "doc_id", "n_tokens", "ids").join(places, ["row", "piece"])
+    content = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "n_tokens", "ids")))
+    # A bin holds at most the longest sequence.
+    bins = placed.groupBy("bin", "capacity").agg(content.alias("content"))
+    key_type = docs.schema["doc_id"].dataType.simpleString()
+    # A field of an array of structs is the array of the fields.
+    joined = bins.select("bin", "capacity", *[F.col(f"content.{name}").alias(name) for name in ("doc_id", "piece", "offset", "ids")])
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            capacity = batch.column(1).to_numpy()
+            whole = np.full(int(capacity.sum()), END_ID, dtype=np.int32)
+            ends = np.cumsum(capacity)
+            totals = np.empty(len(capacity), dtype=np.int64)
+            for i, parts in enumerate(batch.column(5).to_pylist()):
+                own = np.frombuffer(b"".join(parts), dtype=np.uint16)
+                totals[i] = len(own)
+                whole[ends[i] - capacity[i] : ends[i] - capacity[i] + len(own)] = own
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(whole))
+            arrays = [batch.column(0), batch.column(1), pa.array(totals), ids, batch.column(2), batch.column(3), batch.column(4)]
+            yield pa.RecordBatch.from_arrays(arrays, ["bin", "capacity", "n_tokens", "ids", "doc_ids", "pieces", "starts"])
+
+    return joined.mapInArrow(
+        per_batch,
+        f"bin long, capacity long, n_tokens long, ids array<int>, doc_ids array<{key_type}>, pieces array<int>, starts array<long>",
+    )

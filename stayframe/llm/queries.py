@@ -23,6 +23,7 @@ from stayframe.llm import (
     whitening,
 )
 from stayframe.llm.stored import stored
+from stayframe.llm.tokens import public_tokenizer
 from stayframe.session import new_workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,12 +68,6 @@ def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
-def public_tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query
 def op3_fixed_size_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written as equal-length sequences and read back."""
@@ -176,8 +171,8 @@ def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_variable_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bin and place of every piece of every document."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """The bin and place of every piece of every document, in token ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizer("word_bpe_49k.json"))
 
 
 @query

@@ -18,7 +18,8 @@ import corpus_pipeline
 from stayframe.llm import language, packing, quality, sharding, simhash, tokens, toxicity
 from stayframe.llm.queries import ORACLES, QUERIES, public_tokenizer
 from stayframe.llm.words import text_blocks
-from stayframe.session import new_workspace
+from stayframe.session import new_workspace, recorded_workspaces
+from stayframe.sources import storage
 
 NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -137,7 +138,7 @@ def test_language_scores_equal_brute_force(spark, monkeypatch):
                 total += n * np.log((counts[lang][place] + 0.5) / (of_size + 0.5 * language.BUCKETS))
             scores.append(total)
         expected.append(scores)
-    monkeypatch.setattr(language, "CELLS", 3 * 3 * language.BUCKETS)
+    monkeypatch.setattr(language, "CELLS", 3 * language.BUCKETS)
     (block,) = text_blocks(pa.array([text.encode() for text in texts], pa.binary()))
     characters = language.Characters.of(block)
     assert characters.lettered.tolist() == [any(c.isalpha() for c in text) for text in texts]
@@ -401,12 +402,68 @@ def test_pipeline_equals_its_operators_one_by_one(spark, sf_dir, all_documents):
         assert docs.columns == columns and sorted(row.doc_id for row in rows) == sorted(ids), name
     assert not any(base_spans(row.text) for row in rows)
     assert all(row.n_chars == len(row.text) for row in rows)
-    packed = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {row.doc_id for row in packed} == ids
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizer(corpus_pipeline.TOKENIZER))
+    with recorded_workspaces() as made:
+        bins = corpus_pipeline.run(spark, sf_dir).collect()
+    assert [path for path in made if storage.exists(spark, path)] == made[-1:]
+    assert segments(bins) == Counter((row.doc_id, (*whole.encode(row.text, add_special_tokens=False).ids, tokens.END_ID)) for row in rows)
+
+
+def segments(bins):
+    """The documents of packed sequences, put together from their pieces; checks what every sequence must be."""
+    assert sorted(row.bin for row in bins) == list(range(len(bins)))
+    pieces = defaultdict(list)
+    for row in bins:
+        assert row.capacity in packing.CAPACITIES and len(row.ids) == row.capacity and row.starts[0] == 0 and row.starts == sorted(row.starts)
+        assert set(row.ids[row.n_tokens :]) <= {tokens.END_ID} and row.n_tokens > 0
+        for doc_id, piece, start, end in zip(row.doc_ids, row.pieces, row.starts, [*row.starts[1:], row.n_tokens], strict=True):
+            pieces[doc_id].append((piece, tuple(row.ids[start:end])))
+    found = Counter()
+    for doc_id, own in pieces.items():
+        # Only documents of one piece stand on several rows here.
+        if max(piece for piece, _ in own):
+            assert [piece for piece, _ in sorted(own)] == list(range(len(own)))
+            found[doc_id, tuple(token for _, ids in sorted(own) for token in ids)] += 1
+        else:
+            found.update((doc_id, ids) for _, ids in own)
+    return found
+
+
+@pytest.mark.parametrize("tokenizer", [None, "word_bpe_49k.json"])
+def test_sequences_hold_each_document_once(spark, edge_documents, tokenizer):
+    from tokenizers import Tokenizer
+
+    path = tokenizer and public_tokenizer(tokenizer)
+
+    def encoded(text):
+        if path is None:
+            return [byte + 2 for byte in text.encode()]
+        return Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+    rows = [(row.doc_id, row.text or "") for row in edge_documents.collect()]
+    expected = Counter((doc_id, (*encoded(text), tokens.END_ID)) for doc_id, text in rows)
+    assert segments(packing.pack_sequences(edge_documents, tokenizer=path).collect()) == expected
+    placed = packing.pack(edge_documents, tokenizer=path).collect()
+    assert sum(row.n_tokens for row in placed) == sum(n * len(ids) for (_, ids), n in expected.items())
+    assert packing.pack_sequences(edge_documents.limit(0), tokenizer=path).count() == 0
+
+
+def test_equal_rows_are_packed_in_many_tasks(spark):
+    docs = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    placed = packing.pack(docs, (64,))
+    assert placed.count() == 5_000 and {row.n for row in placed.groupBy("bin", "offset").agg(F.count("*").alias("n")).collect()} == {1}
+
+
+def test_packing_query_counts_ids(spark, sf_dir, all_documents):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizer("word_bpe_49k.json"))
     total = Counter()
-    for row in packed:
+    for row in QUERIES["op10_variable_best_fit"](spark, sf_dir).collect():
         total[row.doc_id] += row.n_tokens
-    assert total == {row.doc_id: len(row.text.encode()) + 1 for row in rows}
+    assert total == {doc_id: len(whole.encode(text or "", add_special_tokens=False).ids) + 1 for doc_id, text in all_documents.items()}
 
 
 def test_pipeline_stages_on_edge_cases(spark, sf_dir, edge_documents):
