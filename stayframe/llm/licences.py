@@ -142,9 +142,11 @@ class PositionalIndex:
     def find(self, texts: Texts, words: Words, hashes: np.ndarray) -> Iterator[tuple[int, dict]]:
         """Every place of a template in a text: the text, and label, place, words, coverage and whether it is a base phrase."""
         at, place = _matches(self.ranked, hashes)
-        owner = words.text_of()[at]
-        for text in np.unique(owner).tolist():
-            own = owner == text
+        # Matches come in the order of words, so a text's are one slice.
+        owners, starts = np.unique(words.text_of()[at], return_index=True)
+        bounds = [*starts.tolist(), len(at)]
+        for i, text in enumerate(owners.tolist()):
+            own = slice(bounds[i], bounds[i + 1])
             agreeing: dict[tuple[int, int], int] = defaultdict(int)
             for position, word in zip(at[own].tolist(), place[own].tolist(), strict=True):
                 for number, offset in self.postings[word]:
