@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayframe.llm.stored import stored
-from stayframe.llm.words import Texts, distinct_spans, find_words, text_blocks
+from stayframe.llm.words import Texts, distinct_spans, find_words, summed_by_text, text_blocks
 
 SEQUENCE_LENGTH = 2048
 SEQUENCES_PER_BATCH = 256
@@ -76,11 +76,14 @@ class PieceEncoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
         known = self.known
-        composed = [(piece, split) for piece in new if (split := _core(piece)) is not None]
-        words = {split[0] for _, split in composed if split[0] and split[0] not in known}
+        # Bytes are alphabetic, or lower case, by ASCII letters only: most pieces are words as they stand.
+        words = {piece for piece in new if piece.isalpha() and piece.islower()}
+        others = [piece for piece in new if piece not in words]
+        composed = [(piece, split) for piece in others if (split := _core(piece)) is not None]
+        words.update(split[0] for _, split in composed if split[0] and split[0] not in known)
         self._learn_words(sorted(words))
         split_ones = {piece for piece, _ in composed}
-        plain = [piece for piece in new if piece not in split_ones]
+        plain = [piece for piece in others if piece not in split_ones]
         plain += [mark for mark in {split[1] for _, split in composed} if mark and mark not in known]
         for at in range(0, len(plain), TOGETHER):
             own = plain[at : at + TOGETHER]
@@ -88,11 +91,12 @@ class PieceEncoder:
         for piece, (word, mark) in composed:
             known[piece] = (known[word] if word else b"") + (known[mark] if mark else b"")
 
-    def encode(self, texts: Texts) -> list[np.ndarray]:
-        """The ids of every text of a block. Each distinct piece of the block is looked up once."""
+    def _pieces(self, texts: Texts) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Per piece of a block its number; per number the ids, as bytes; and where each text's pieces start and end.
+
+        Each distinct piece of the block is looked up once.
+        """
         words = find_words(texts, _PIECE_BYTES)
-        if not len(words.starts):
-            return [np.zeros(0, dtype=self.id_type)] * len(texts)
         first, piece_of = distinct_spans(texts.data, words.starts, words.ends)
         data = texts.data.tobytes()
         pieces = [data[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
@@ -104,12 +108,24 @@ class PieceEncoder:
             found = [ids if ids is not None else self.known[piece] for piece, ids in zip(pieces, found, strict=True)]
             self.known.update((piece, ids) for piece, ids in kept.items() if ids is not None)
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.id_type.itemsize
+        return piece_of, found, lengths, words.bounds
+
+    def count(self, texts: Texts) -> np.ndarray:
+        """How many ids every text of a block has."""
+        piece_of, _, lengths, bounds = self._pieces(texts)
+        return summed_by_text(lengths[piece_of], bounds)
+
+    def encode(self, texts: Texts) -> list[np.ndarray]:
+        """The ids of every text of a block."""
+        piece_of, found, lengths, bounds = self._pieces(texts)
+        if not len(piece_of):
+            return [np.zeros(0, dtype=self.id_type)] * len(texts)
         table = np.frombuffer(b"".join(found), dtype=self.id_type)
         starts = np.cumsum(lengths) - lengths
         own = lengths[piece_of]
         ends = np.cumsum(own)
         ids = table[np.repeat(starts[piece_of] - (ends - own), own) + np.arange(int(own.sum()))]
-        cuts = np.concatenate([[0], ends])[words.bounds]
+        cuts = np.concatenate([[0], ends])[bounds]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
@@ -128,6 +144,13 @@ def _core(piece: bytes) -> tuple[bytes, bytes] | None:
     return None
 
 
+def public_tokenizer(name: str) -> str:
+    """The path of a tokenizer file that is installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 

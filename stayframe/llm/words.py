@@ -156,7 +156,13 @@ def equal_spans(data: np.ndarray, spans: np.ndarray, others: np.ndarray, starts:
 
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a span of every distinct byte string, the number of every span's string). Equal hashes are checked on the bytes."""
-    _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    hashes = span_hashes(data, starts, ends)
+    order = np.argsort(hashes)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    first = order[new]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
     every = np.arange(len(starts))
     if equal_spans(data, every, first[number], starts, ends).all():
         return first, number
