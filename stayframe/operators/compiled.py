@@ -84,7 +84,7 @@ def trees_sql(model: HistogramTreesModel, inputs: Sequence[str] | None = None) -
     stored = text(json.dumps(trees, separators=(",", ":")))
     row = ", ".join(f"CAST({expression} AS DOUBLE)" for expression in inputs)
     # A null feature is not at most the threshold, so it goes right, as NaN does.
-    step = """CASE WHEN _tree.f[_at] < 0 THEN _at WHEN _row[_tree.f[_at]] <= _tree.x[_at] THEN _tree.l[_at] ELSE _tree.l[_at] + 1 END"""
+    step = "IF(_tree.f[_at] < 0, _at, IF(_row[_tree.f[_at]] <= _tree.x[_at], _tree.l[_at], _tree.l[_at] + 1))"
     leaf = f"aggregate(sequence(1, {depth}), 0, (_at, _step) -> {step})" if depth else "0"
     return f"""element_at(transform(array(array({row})), _row -> aggregate(
         from_json({stored}, 'array<struct<f:array<int>,l:array<int>,x:array<double>,w:double>>'), 0D,

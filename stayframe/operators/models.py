@@ -12,7 +12,6 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayframe.operators.compiled import prediction
 from stayframe.operators.prepare import assembler
 from stayframe.operators.profile import column_info
 from stayframe.operators.trees import BinnedRows, HistogramTrees, binned, settings_json
@@ -118,8 +117,11 @@ def signature(df: DataFrame) -> DataFrame:
 
 def compare(models: Mapping[str, PipelineModel], train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """Train and test metrics of several models side by side, one row per model; all in one pass over the rows."""
-    both = train.withColumn("_split", F.lit("train")).unionByName(test.withColumn("_split", F.lit("test")))
-    scored = both.select("_split", label, *[prediction(model).alias(f"_p{i}") for i, model in enumerate(models.values())])
+    scored = train.withColumn("_split", F.lit("train")).unionByName(test.withColumn("_split", F.lit("test")))
+    for i, model in enumerate(models.values()):
+        # Only the prediction is kept, so that stages of several models may use the same names in between.
+        kept = [*train.columns, "_split", *[f"_p{k}" for k in range(i)]]
+        scored = model.transform(scored).select(*kept, F.col("prediction").alias(f"_p{i}"))
     measured = scored.groupBy("_split").agg(
         *[F.struct(*[column.alias(name) for name, column in metric_columns(label, f"_p{i}").items()]).alias(f"_m{i}") for i in range(len(models))]
     )

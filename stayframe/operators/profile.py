@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Row, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -352,24 +354,54 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: A pair's variance below this share of its mean square is rounding: the column does not vary there.
+LEAST_SPREAD = 1e-13
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``left_column``, ``right_column``, ``n_rows`` and ``correlation`` of every two number columns, in the frame's order.
 
-    A pair counts the rows where both are there; NaN counts as missing. All sums come from one aggregate. Null for fewer
+    A pair counts the rows where both are there; NaN counts as missing, and so does an infinity. A first pass finds the
+    means, which the values are taken from; a second adds up products of all pairs, as matrices per batch. Null for fewer
     than two rows, or where one column does not vary.
     """
     columns = list(columns or numeric_columns(df))
-    present = {name: f"CAST({_present(df.schema[name])} AS DOUBLE)" for name in columns}
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    values = df.selectExpr(*[f"{expression} AS `{i}`" for i, expression in enumerate(present.values())])
-    aggregates = [e for i, j in pairs for e in (f"count(`{i}` + `{j}`) AS `n_{i}_{j}`", f"nanvl(corr(`{i}`, `{j}`), NULL) AS `r_{i}_{j}`")]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "left_column string, right_column string, n_rows long, correlation double")
-    rows = ", ".join(
-        f"named_struct('left_column', {_text(columns[i])}, 'right_column', {_text(columns[j])}, 'n_rows', `n_{i}_{j}`, 'correlation', `r_{i}_{j}`)"
-        for i, j in pairs
+    schema = "left_column string, right_column string, n_rows long, correlation double"
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    present = [f"CAST({_present(df.schema[name])} AS DOUBLE)" for name in columns]
+    finite = df.selectExpr(*[f"CASE WHEN abs({value}) < double('Infinity') THEN {value} END AS `{i}`" for i, value in enumerate(present)])
+    means = finite.agg(*[F.avg(str(i)) for i in range(len(columns))]).first()
+    shift = np.array([0.0 if mean is None else mean for mean in means])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, len(shift), len(shift)))
+        for batch in batches:
+            x = np.stack([column.to_numpy(zero_copy_only=False).astype(np.float64) for column in batch.columns], axis=1) - shift
+            there = ~np.isnan(x)
+            x, known = np.where(there, x, 0.0), there.astype(np.float64)
+            # Of rows where both are there: how many, and sums of the left one, of its square, and of the product.
+            sums += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        i, j = np.triu_indices(len(shift), 1)
+        values = [sums[0][i, j], sums[1][i, j], sums[1][j, i], sums[2][i, j], sums[2][j, i], sums[3][i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *map(pa.array, values)], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    found = finite.mapInArrow(products, "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    total = found.groupBy("i", "j").agg(*[F.sum(name).alias(name) for name in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+
+    def spread(sum: str, squares: str) -> Column:
+        variance = F.try_divide(squares, n) - F.try_divide(sum, n) * F.try_divide(sum, n)
+        return F.when(variance > F.lit(LEAST_SPREAD) * F.try_divide(squares, n), variance)
+
+    covariance = F.try_divide("xy", n) - F.try_divide("x", n) * F.try_divide("y", n)
+    names = F.array(*map(F.lit, columns))
+    return total.select(
+        F.get(names, F.col("i").cast("int")).alias("left_column"),
+        F.get(names, F.col("j").cast("int")).alias("right_column"),
+        n.cast("long").alias("n_rows"),
+        (covariance / F.sqrt(spread("x", "xx") * spread("y", "yy"))).alias("correlation"),
     )
-    return values.selectExpr(*aggregates).selectExpr(f"inline(array({rows}))")
 
 
 def distributions(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10) -> DataFrame:

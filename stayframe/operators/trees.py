@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
@@ -160,15 +161,16 @@ class Router:
 
     def __init__(self, tree: Tree):
         self.feature, self.bin, self.left = tree.feature, tree.bin, tree.left
-        self.depth = int(tree.number[-1]).bit_length() - 1 if len(tree.number) else 0
 
     def places(self, bins: np.ndarray) -> np.ndarray:
         at = np.zeros(len(bins), dtype=np.int64)
-        rows = np.arange(len(bins))
-        for _ in range(self.depth):
-            feature = self.feature[at]
-            beyond = bins[rows, np.maximum(feature, 0)] > self.bin[at]
-            at = np.where(feature >= 0, self.left[at] + beyond, at)
+        live = np.arange(len(bins))
+        while len(live):
+            own = at[live]
+            feature = self.feature[own]
+            inner = feature >= 0
+            live, own, feature = live[inner], own[inner], feature[inner]
+            at[live] = self.left[own] + (bins[live, feature] > self.bin[own])
         return at
 
 
@@ -336,6 +338,14 @@ def bin_bounds(values: np.ndarray, max_bins: int) -> np.ndarray:
     return np.unique(distinct[np.minimum(np.searchsorted(reached, wanted), len(distinct) - 2)])
 
 
+def _bins(x: np.ndarray, bounds: Sequence[np.ndarray]) -> np.ndarray:
+    """The bin of every value; NaN is beyond all bounds."""
+    out = np.empty(x.shape, dtype=np.uint8)
+    for i, own in enumerate(bounds):
+        out[:, i] = np.searchsorted(own, x[:, i], side="left")
+    return out
+
+
 def binned(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], max_bins: int) -> BinnedRows:
     """Rows with a label, and their features in bins. Null and NaN features go to the last bin, so they never go left.
 
@@ -357,19 +367,18 @@ def binned(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[st
     if n > wanted:
         # Mixed once more, so that the sample does not follow the hash that the rows are bagged by.
         sample = sample.where(F.xxhash64("key") < int((2 * wanted / n - 1) * 2.0**63))
-    sample = np.array([row["x"] for row in sample.select("x").toLocalIterator()], dtype=np.float64).reshape(-1, len(features))
+    sample = sample.select("x").toArrow()["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
     bounds = [bin_bounds(sample[:, i], max_bins) for i in range(len(features))]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(bounds))
-            out = np.empty(x.shape, dtype=np.uint8)
-            for i, own in enumerate(bounds):
-                out[:, i] = np.searchsorted(own, x[:, i], side="left")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(out)], ["key", "y", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(_bins(x, bounds))], ["key", "y", "bins"])
 
     exponent = HIGH_BITS - 1 - math.frexp(largest)[1] if largest else 0
-    return BinnedRows(rows.mapInArrow(per_batch, "key long, y double, bins binary"), n, bounds, Labels(exponent))
+    cut = rows.mapInArrow(per_batch, "key long, y double, bins binary")
+    # Every pass works on each row once per tree, so the rows, a few bytes each by now, are spread evenly first.
+    return BinnedRows(cut.repartition(_tasks(df.sparkSession), "key"), n, bounds, Labels(exponent))
 
 
 def _packed(values: np.ndarray) -> pa.Array:
@@ -548,7 +557,7 @@ class _Growth:
 
         rows = self._rows().mapInArrow(gather, "tree long, number long, bins binary, weight binary, high binary, low binary")
         grown = _spread(rows, len(nodes)).groupBy("tree", "number").applyInArrow(grow, _NODES_SCHEMA)
-        for row in grown.toLocalIterator():
+        for row in grown.collect():
             self.parts[row["tree"]].append([np.frombuffer(row[name], dtype=kind) for name, kind in _COLUMNS])
 
 
@@ -574,11 +583,13 @@ _NODES_SCHEMA = "tree long, " + ", ".join(f"{name} binary" for name, _ in _COLUM
 _NODES_ARROW = pa.schema([("tree", pa.int64()), *[(name, pa.binary()) for name, _ in _COLUMNS]])
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _spread(df: DataFrame, groups: int) -> DataFrame:
     """By tree and node over about as many tasks as there is work for."""
-    spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return df.repartition(max(1, min(groups, tasks)), "tree", "number")
+    return df.repartition(max(1, min(groups, 4 * _tasks(df.sparkSession))), "tree", "number")
 
 
 @dataclass(frozen=True)
@@ -589,6 +600,20 @@ class Ensemble:
     trees: list[Tree]
     weights: list[float]
 
+    def walker(self) -> Callable[[np.ndarray], np.ndarray]:
+        """What predicts rows of feature values; it holds no more than that takes."""
+        bounds = self.bounds
+        steps = [(Router(tree), tree.value * weight) for tree, weight in zip(self.trees, self.weights, strict=True)]
+
+        def walk(x: np.ndarray) -> np.ndarray:
+            bins = _bins(x, bounds)
+            total = np.zeros(len(x))
+            for router, values in steps:
+                total += values[router.places(bins)]
+            return total
+
+        return walk
+
     def importances(self) -> np.ndarray:
         """How much each feature lowers the squared error, as a share: per tree, then over the trees."""
         total = np.zeros(len(self.bounds))
@@ -691,9 +716,16 @@ class HistogramTreesModel(Model, _TreeParams, MLReadable, MLWritable):
         return self.ensemble.importances()
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        from stayframe.operators.compiled import trees_sql
+        """Batches of rows walk a tree together, which for large ensembles beats one expression per step by far; for a
+        column without a Python worker see :func:`~stayframe.operators.compiled.prediction`."""
+        walk = self.ensemble.walker()
+
+        @F.pandas_udf("double")
+        def predicted(*columns: pd.Series) -> pd.Series:
+            return pd.Series(walk(np.stack([column.to_numpy(dtype=np.float64) for column in columns], axis=1)))
 
-        return dataset.withColumn(self.getPredictionCol(), F.expr(trees_sql(self)))
+        inputs = [F.coalesce(F.col(name).cast("double"), F.lit(MISSING)) for name in self.getInputCols()]
+        return dataset.withColumn(self.getPredictionCol(), predicted(*inputs))
 
     def write(self) -> MLWriter:
         return _TreesWriter(self)

@@ -22,14 +22,15 @@ DELETABLE = ["Archived", "None"]
 ACTIVE = ["Staging", "Production"]
 
 
-def _code() -> Column:
+def stage_code() -> Column:
     """A stage as its place among :data:`STAGES`, which aggregates by hashing; null for no change."""
     place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")).cast("int")
     unknown = F.raise_error(F.concat(F.lit("unknown stage "), F.col("stage"))).cast("int")
     return F.when(F.col("stage").isNull(), None).when(place > 0, place).otherwise(unknown)
 
 
-def _stage(code: Column) -> Column:
+def stage_name(code: Column) -> Column:
+    """The stage of a code; a version that had no change is in None."""
     return F.element_at(F.array(*map(F.lit, STAGES)), F.coalesce(code, F.lit(1)))
 
 
@@ -37,13 +38,13 @@ def _folded(log: DataFrame, *more: Column) -> DataFrame:
     """One row per version: first seen, code and moment of the last stage change, and what else is asked for."""
     staged = F.when(F.col("stage").isNotNull(), moment())
     return log.groupBy(*VERSION).agg(
-        F.min("ts").alias("first_ts"), F.max_by(_code(), staged).alias("code"), F.max(staged).alias("staged_at"), *more
+        F.min("ts").alias("first_ts"), F.max_by(stage_code(), staged).alias("code"), F.max(staged).alias("staged_at"), *more
     )
 
 
 def fold_versions(log: DataFrame) -> DataFrame:
     """One row per version: when it was first seen and its last stage."""
-    return _folded(log).select(*VERSION, "first_ts", _stage(F.col("code")).alias("stage"))
+    return _folded(log).select(*VERSION, "first_ts", stage_name(F.col("code")).alias("stage"))
 
 
 def number_versions(versions: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def archived_stages(log: DataFrame) -> DataFrame:
     versions = _folded(log, *archiving.values())
     of_model = versions.groupBy("model").agg(*[F.max(f"archived_{stage}").alias(f"archived_{stage}") for stage in ACTIVE])
     joined = lookup(versions.select(*VERSION, "code", "staged_at"), of_model, ["model"])
-    stage = _stage(F.col("code"))
+    stage = stage_name(F.col("code"))
     overtaken = F.lit(False)
     for active in ACTIVE:
         overtaken = overtaken | ((stage == active) & (F.col(f"archived_{active}") > F.col("staged_at")))

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from stayframe.operators import runlog, search, versions
+from stayframe.operators.foldedlog import FoldedLog, stages_of
 from stayframe.plans.logs import RUN_METRICS, RUN_PARAMS, artifact_log, run_log, version_log
 from stayframe.queries.oracle import over
 from stayframe.queries.registry import query, rounded
+from stayframe.session import new_workspace
 from stayframe.sources.listings import table
 
 
@@ -71,11 +73,20 @@ def j1_metrics_only(spark, sf_dir):
     return runlog.runs_table(runs_of(spark, sf_dir), RUN_METRICS)
 
 
-@query(
-    "j1_open_metrics",
-    over(
-        "run_log",
-        """SELECT l.experiment_id, l.run_id, min(s.start_time) AS start_time, count(l.value) AS n_metrics,
+def told(runs):
+    """The maps of runs as text and numbers that any engine can compare."""
+    names = F.array_sort(F.map_keys("metrics"))
+    total = F.aggregate(F.map_values("metrics"), F.lit(0.0), lambda sum, value: sum + value)
+    texts = F.transform(F.array_sort(F.map_entries("params")), lambda entry: F.concat(entry["key"], F.lit("="), entry["value"]))
+    return runs.select(
+        *runlog.RUN, "start_time", F.size("metrics").cast("long").alias("n_metrics"),
+        F.when(F.size("metrics") > 0, F.array_join(names, ",")).alias("metrics"),
+        F.round(F.when(F.size("metrics") > 0, total), 6).alias("values_total"),
+        F.when(F.size("params") > 0, F.array_join(texts, ";")).alias("params"),
+    )
+
+
+OPEN_RUNS_SQL = """SELECT l.experiment_id, l.run_id, min(s.start_time) AS start_time, count(l.value) AS n_metrics,
             string_agg(l.metric, ',' ORDER BY l.metric) FILTER (WHERE l.value IS NOT NULL) AS metrics,
             round(sum(l.value), 6) AS values_total, string_agg(p.metric || '=' || p.text, ';' ORDER BY p.metric) AS params
             FROM (SELECT experiment_id, run_id, metric, arg_max(value, (ts, event_id)) FILTER (WHERE value IS NOT NULL) AS value
@@ -84,21 +95,13 @@ def j1_metrics_only(spark, sf_dir):
             LEFT JOIN (SELECT run_id, metric, arg_max(text, (ts, event_id)) AS text FROM (
                 SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS run_id, event_type AS metric, props AS text, ts, event_id
                 FROM events WHERE props IS NOT NULL) GROUP BY ALL) p ON p.run_id = l.run_id AND p.metric = l.metric
-            GROUP BY l.experiment_id, l.run_id""",
-    ),
-)
+            GROUP BY l.experiment_id, l.run_id"""
+
+
+@query("j1_open_metrics", over("run_log", OPEN_RUNS_SQL))
 def j1_open_metrics(spark, sf_dir):
     """Metrics and parameters of every run, whatever their names; none is given."""
-    runs = runlog.open_runs(runs_of(spark, sf_dir))
-    names = F.array_sort(F.map_keys("metrics"))
-    total = F.aggregate(F.map_values("metrics"), F.lit(0.0), lambda sum, value: sum + value)
-    texts = F.transform(F.array_sort(F.map_entries("params")), lambda entry: F.concat(entry["key"], F.lit("="), entry["value"]))
-    return runs.select(
-        *runlog.RUN, "start_time", F.size("metrics").cast("long").alias("n_metrics"),
-        F.when(F.size("metrics") > 0, F.array_join(names, ",")).alias("metrics"),
-        F.round(F.when(F.size("metrics") > 0, total), 6).alias("values_total"),
-        F.when(F.size("params") > 0, F.array_join(texts, ";")).alias("params"),
-    )
+    return told(runlog.open_runs(runs_of(spark, sf_dir)))
 
 
 @query("j2_latest_run", over("runs", "SELECT * FROM runs ORDER BY start_time DESC, run_id DESC LIMIT 1"))
@@ -193,6 +196,27 @@ _DESCRIBED = """SELECT {keys}, description FROM (SELECT {keys}, description, row
     PARTITION BY {keys} ORDER BY ts DESC, event_id DESC) AS rn FROM version_log WHERE description IS NOT NULL) WHERE rn = 1"""
 
 
+@query(
+    "k4_fold_and_tail",
+    over(
+        "archived",
+        f"""SELECT a.model, a.version_key, n.first_ts, a.stage, d.description FROM archived a
+            JOIN (SELECT model, version_key, min(ts) AS first_ts FROM version_log GROUP BY model, version_key) n USING (model, version_key)
+            LEFT JOIN ({_DESCRIBED.format(keys="model, version_key")}) d USING (model, version_key)""",
+    ),
+)
+def k4_fold_and_tail(spark, sf_dir):
+    """The log in two appends: the first is folded and stored, the second is read as the tail."""
+    log = changes_of(spark, sf_dir)
+    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    cut = first + (last - first) * 2 / 3
+    folded = FoldedLog(spark, new_workspace(spark, "version-log"))
+    folded.append(log.where(F.col("ts") <= F.lit(cut)))
+    folded.fold(cut)
+    folded.append(log.where(F.col("ts") > F.lit(cut)))
+    return stages_of(folded.states())
+
+
 @query("k5_version_descriptions", over("version_log", _DESCRIBED.format(keys="model, version_key")))
 def k5_version_descriptions(spark, sf_dir):
     return versions.version_descriptions(changes_of(spark, sf_dir))

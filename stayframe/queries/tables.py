@@ -6,11 +6,12 @@ from pyspark.sql import types as T
 from stayframe.operators import models, profile, runlog
 from stayframe.plans.cleaning import etl_rows, tracking_rows
 from stayframe.plans.logs import RUN_METRICS, run_log
+from stayframe.queries.logs import OPEN_RUNS_SQL, told
 from stayframe.queries.models import SHARES_SQL, shares
 from stayframe.queries.oracle import ALL_COLUMNS, over
 from stayframe.queries.registry import query
 from stayframe.session import new_workspace
-from stayframe.sources import catalog
+from stayframe.sources import catalog, runsource
 from stayframe.sources.csvfiles import read_csv, write_csv
 from stayframe.sources.listings import LISTINGS_SCHEMA, load_listings, table
 from stayframe.sources.splitcsv import read_split_csv
@@ -191,6 +192,25 @@ def a8_experiment_runs(spark, sf_dir):
     return runlog.experiment_runs(log, busiest, RUN_METRICS, ["signup"])
 
 
+@query(
+    "a8_run_source",
+    over(
+        "run_log",
+        f"""SELECT * FROM ({OPEN_RUNS_SQL}) WHERE experiment_id = (
+             SELECT experiment_id FROM run_log GROUP BY experiment_id ORDER BY count(*) DESC, experiment_id LIMIT 1)""",
+    ),
+)
+def a8_run_source(spark, sf_dir):
+    """The runs of the experiment with the most logged rows, read as a data source of runs."""
+    path = new_workspace(spark, "runs")
+    log = run_log(table(spark, sf_dir, "events"))
+    runsource.store_runs(log.withColumn("experiment_id", F.col("experiment_id").cast("long")), path)
+    runsource.register(spark)
+    busiest = log.groupBy("experiment_id").count().orderBy(F.desc("count"), "experiment_id").first()[0]
+    runs = spark.read.format(runsource.FORMAT).option("log", path).load(str(busiest))
+    return told(runs.withColumn("start_time", F.col("start_time").cast(log.schema["ts"].dataType)))
+
+
 _INFO_SQL = " UNION ALL ".join(
     f"SELECT '{field.name}' AS column_name, {i} AS position, '{field.dataType.simpleString()}' AS type, "
     f"count({field.name}) AS non_null FROM listings"

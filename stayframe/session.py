@@ -8,6 +8,9 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,4 +81,28 @@ def clean_workspaces(spark: SparkSession, older_than: timedelta) -> int:
 
 def new_workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared root."""
-    return f"{shared_root(spark)}/stayframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/stayframe/{name}-{uuid.uuid4().hex}"
+    for made in _recorders.get():
+        made.append(path)
+    return path
+
+
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
+
+
+@contextmanager
+def recorded_workspaces() -> Iterator[list[str]]:
+    """The workspaces that this thread makes in the block, as they come; for :func:`drop_workspaces` once nothing reads them."""
+    made: list[str] = []
+    token = _recorders.set((*_recorders.get(), made))
+    try:
+        yield made
+    finally:
+        _recorders.reset(token)
+
+
+def drop_workspaces(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete workspaces. Frames that still read one fail."""
+    for path in paths:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)

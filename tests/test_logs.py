@@ -1,7 +1,13 @@
+import random
+from datetime import datetime, timedelta, timezone
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from stayframe.operators import runlog, versions
+from stayframe.operators.foldedlog import FoldedLog, stages_of
+from stayframe.sources import runsource
 
 LOG = "model long, version_key long, ts timestamp, event_id long, stage string, archive_existing boolean, description string"
 
@@ -135,3 +141,84 @@ def test_log_folds_take_one_shuffle_and_no_sort(spark, sf_dir, plan):
         assert text.count("Exchange") == 1 and "SortAggregate" not in text and "Sort [" not in text
     text = plan(versions.archived_stages(version_log(events)))
     assert "SortAggregate" not in text
+
+
+def changes(spark, rows):
+    schema = "model int, version_key int, ts timestamp, event_id long, stage string, archive_existing boolean, description string"
+    text = [(m, v, str(ts), e, s, a, d) for m, v, ts, e, s, a, d in rows]
+    return spark.createDataFrame(text, schema.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_fold_of_state_and_tail_equals_the_whole_fold_for_any_cut(spark, tmp_path):
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [
+        (rng.randrange(3), rng.randrange(4), start + timedelta(hours=7 * k), k, rng.choice([None, *versions.STAGES]), rng.random() < 0.5, rng.choice([None, f"d{k}"]))
+        for k in range(60)
+    ]
+    log = changes(spark, rows)
+    whole = {(row.model, row.version_key): row.stage for row in versions.archived_stages(log).collect()}
+    texts = {(row.model, row.version_key): row.description for row in versions.version_descriptions(log).collect()}
+    for n, cuts in enumerate([[], [0], [59], [20], [10, 30, 45]]):
+        folded = FoldedLog(spark, str(tmp_path / f"log{n}"))
+        done = 0
+        for cut in cuts:
+            folded.append(log.where(f"event_id >= {done} AND event_id <= {cut}"))
+            folded.fold(rows[cut][2])
+            done = cut + 1
+        folded.append(log.where(f"event_id >= {done}"))
+        found = stages_of(folded.states()).collect()
+        assert {(row.model, row.version_key): row.stage for row in found} == whole
+        assert {(row.model, row.version_key): row.description for row in found if row.description} == texts
+        if cuts:
+            assert folded.tail().count() == 59 - cuts[-1]
+            with pytest.raises(ValueError):
+                folded.fold(rows[cuts[-1]][2])
+
+
+def test_only_the_tails_files_are_read(spark, tmp_path, plan):
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    log = changes(spark, [(1, k % 3, start + timedelta(days=k), k, "Staging", False, None) for k in range(10)])
+    folded = FoldedLog(spark, str(tmp_path / "log"))
+    folded.append(log)
+    folded.fold(start + timedelta(days=7))
+    tail = folded.tail()
+    assert "PartitionFilters: [isnotnull(day" in plan(tail)
+    files = tail.select(F.input_file_name().alias("file")).distinct().collect()
+    assert tail.count() == 2 and len(files) == 2
+    with pytest.raises(LookupError):
+        FoldedLog(spark, str(tmp_path / "none")).states()
+
+
+def test_runs_as_a_data_source(spark, tmp_path, plan):
+    rng = random.Random(1)
+    rows = [
+        (rng.choice([1, 1, 1, 2, 3]), f"r{rng.randrange(6)}", rng.choice(["a", "b", "c"]), rng.choice([None, rng.random()]), rng.choice([None, "t"]), f"2024-01-{1 + k % 28:02d}", k)
+        for k in range(3000)
+    ]
+    log = spark.createDataFrame(rows, "experiment_id long, run_id string, metric string, value double, text string, ts string, event_id long")
+    log = log.withColumn("ts", F.col("ts").cast("timestamp"))
+    path = str(tmp_path / "runs")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runsource.store_runs(log, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    runsource.register(spark)
+
+    def told(frame):
+        return {(row.experiment_id, row.run_id): (row.start_time, row.metrics, row.params) for row in frame.collect()}
+
+    expected = told(runlog.open_runs(log))
+    source = spark.read.format(runsource.FORMAT).option("log", path)
+    assert told(source.load()) == expected
+    of_one = {key: value for key, value in expected.items() if key[0] == 2}
+    assert told(source.load("2")) == of_one and told(source.load().where("experiment_id = 2")) == of_one
+    reader = runsource.RunReader({"log": path})
+    every = reader.partitions()
+    assert sum(len(part.files) for part in every) >= 3 and len({file for part in every for file in part.files}) == sum(len(part.files) for part in every)
+    assert list(reader.pushFilters([EqualTo(("experiment_id",), 3), EqualTo(("run_id",), "r1")])) == [EqualTo(("run_id",), "r1")]
+    assert sum(len(part.files) for part in reader.partitions()) < sum(len(part.files) for part in every)
+    assert source.load("99").count() == 0
+    with pytest.raises(Exception, match="log"):
+        spark.read.format(runsource.FORMAT).load("1").count()
