@@ -198,7 +198,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    Null and empty texts have no words and stay, repeated rows all stay or all go, and rows that share a doc_id (or have none)
+    are told apart by their text. Without documents or items nothing goes. Columns with the names used here are kept.
+    """
     key, text = unused_names(docs, "contaminated_id", "contaminated_text")
     found = decontaminate(docs, benchmark).where("contaminated")
     gone = found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).distinct()

@@ -177,7 +177,8 @@ def scan(docs: DataFrame, index: Broadcast[PositionalIndex]) -> DataFrame:
     """doc_id, ``n_words`` and ``found``: all places of licence notices in the whole ``text`` of every row.
 
     ``word`` is where the key phrase starts, counted in words. A null text is empty and has nothing. Other columns are not
-    read; rows are neither merged nor dropped.
+    read; rows are neither merged nor dropped, repeated and null doc_ids included. Notices come by place, those of one place
+    by template. An empty table gives no rows.
     """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,10 @@ def scan(docs: DataFrame, index: Broadcast[PositionalIndex]) -> DataFrame:
 
 
 def find_licences(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
-    """Scan all rows with an index whose rare words are chosen by their frequency in the same rows."""
+    """Scan all rows with an index whose rare words are chosen by their frequency in the same rows; see :func:`scan`.
+
+    Of words that are equally rare the one that comes first in its phrase is taken. In an empty table all are.
+    """
     rows, frequency = document_frequencies(docs, key_vocabulary(templates))
     index = docs.sparkSession.sparkContext.broadcast(PositionalIndex(templates, rows, frequency))
     return scan(docs, index)

@@ -27,6 +27,8 @@ from stayframe.operators.numbering import number_within
 
 #: Permitted sequence lengths, in tokens.
 CAPACITIES = (2048, 4096, 8192, 16384)
+#: While ids are kept along, blocks and the memory of known pieces are small, as they are beside what earlier work left in a worker.
+KEPT_BLOCK_BYTES, KEPT_REMEMBERED = 1 << 20, 150_000
 #: What a sequence costs besides its tokens, and the length at which attention costs as much as everything else.
 SEQUENCE_COST, ATTENTION_LENGTH = 64, 16384
 
@@ -208,9 +210,9 @@ def pieces(docs: DataFrame, longest: int, tokenizer: str | None = None, with_ids
         return counted.withColumn("piece", F.explode(_cut(longest))).select(*columns)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer, SequenceFormat().id_type) if tokenizer is not None else None
+        own = encoder(tokenizer, SequenceFormat().id_type, KEPT_REMEMBERED if with_ids else None) if tokenizer is not None else None
         for batch in batches:
-            for texts in text_blocks(batch.column(2), BLOCK_BYTES):
+            for texts in text_blocks(batch.column(2), KEPT_BLOCK_BYTES if with_ids else BLOCK_BYTES):
                 part = batch.slice(texts.first, len(texts))
                 if not with_ids:
                     totals = own.count(texts) + 1

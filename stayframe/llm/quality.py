@@ -328,7 +328,11 @@ def judge(statistics: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """The rows of ``docs`` that the rules and the forest keep, with all their columns, in one pass without a shuffle."""
+    """The rows of ``docs`` that the rules and the forest keep, with all their columns, in one pass without a shuffle.
+
+    Each row is judged by its text alone: null and empty texts go, repeated rows all stay or all go, whatever their doc_id.
+    An empty table stays empty.
+    """
     at = docs.columns.index("text")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

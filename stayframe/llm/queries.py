@@ -217,7 +217,7 @@ def op12_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("runs").cast("long").alias("n_runs"),
         *[F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")],
-        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(texts, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )

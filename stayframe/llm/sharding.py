@@ -37,8 +37,13 @@ def record_size(text: str) -> Column:
 
 
 def virtual_slot(columns: Sequence[str], slots: int = VIRTUAL_SLOTS) -> Column:
-    """The slot of a record. Hashing the text along with the key keeps rows that share a (null) key apart."""
-    return F.pmod(F.xxhash64(*[F.col(name) for name in columns]), F.lit(slots)).cast("int")
+    """The slot of a record, by its key (the first column) and the others, so that rows which share a key stay apart.
+
+    Rows without a key are spread by their place, as they may be equal in everything. Store what this gives: it does not
+    give them the same slots again.
+    """
+    place = F.when(F.col(columns[0]).isNull(), F.monotonically_increasing_id())
+    return F.pmod(F.xxhash64(*[F.col(name) for name in columns], place), F.lit(slots)).cast("int")
 
 
 def slot_loads(records: DataFrame) -> list[SlotLoad]:
@@ -151,8 +156,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, slots: int = VIRTUAL_SLOT
     """Address every document: shard by bytes, and place in the shard.
 
     Takes ``doc_id`` and ``text``; other columns are ignored. Returns doc_id, size, text_crc32, virtual_slot, shard,
-    slot. Null texts have no bytes and the checksum of nothing. Equal rows share a virtual slot and get places of
-    their own; rows that share only a null or repeated doc_id spread by their texts. No documents give no rows. The
+    slot. Null texts have no bytes and the checksum of nothing. Equal rows with a doc_id share a virtual slot and get
+    places of their own; rows that share a doc_id alone spread by their texts, and rows without one by their place. No documents give no rows. The
     map is kept as a versioned table below ``path`` (a fresh workspace if not given).
     """
     spark = docs.sparkSession

@@ -32,8 +32,8 @@ SHINGLE_WORDS = 4
 DISTANCE = 4
 #: Blocks per level of masks; ``BLOCKS - DISTANCE`` of them agree.
 BLOCKS = 6
-#: A node with more distinct fingerprints is split into longer masks.
-NODE_LIMIT = 2048
+#: A node with more distinct fingerprints is split into longer masks. Ten billion of them fill nodes to about 4,800.
+NODE_LIMIT = 8192
 #: Children per inner node.
 FAN_OUT = 8
 #: Searches that walk the index together.

@@ -45,12 +45,13 @@ class PieceEncoder:
     That equals encoding the whole text with a tokenizer that collapses white space and never joins across it.
     """
 
-    def __init__(self, path: str, id_type: str):
+    def __init__(self, path: str, id_type: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.id_type = np.dtype(id_type)
         self.known: dict[bytes, bytes] = {}
+        self.remembered = remembered
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
@@ -71,9 +72,12 @@ class PieceEncoder:
             else:
                 self.known.update(zip(own, (ids.tobytes() for ids in self._ids([word.decode() for word in own])), strict=True))
 
+    def _full(self, new: list[bytes]) -> bool:
+        return len(self.known) + len(new) > (REMEMBERED if self.remembered is None else self.remembered)
+
     def _learn(self, new: list[bytes]) -> None:
         """Encode pieces that are not known."""
-        if len(self.known) + len(new) > REMEMBERED:
+        if self._full(new):
             self.known.clear()
         known = self.known
         # Bytes are alphabetic, or lower case, by ASCII letters only: most pieces are words as they stand.
@@ -103,7 +107,7 @@ class PieceEncoder:
         found = [self.known.get(piece) for piece in pieces]
         new = [piece for piece, ids in zip(pieces, found, strict=True) if ids is None]
         if new:
-            kept = dict(zip(pieces, found, strict=True)) if len(self.known) + len(new) > REMEMBERED else {}
+            kept = dict(zip(pieces, found, strict=True)) if self._full(new) else {}
             self._learn(new)
             found = [ids if ids is not None else self.known[piece] for piece, ids in zip(pieces, found, strict=True)]
             self.known.update((piece, ids) for piece, ids in kept.items() if ids is not None)
@@ -151,14 +155,15 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, str, int | None], PieceEncoder] = {}
 
 
-def encoder(path: str, id_type: str) -> PieceEncoder:
+def encoder(path: str, id_type: str, remembered: int | None = None) -> PieceEncoder:
     """The encoder of this Python process."""
-    if (path, id_type) not in _ENCODERS:
-        _ENCODERS[path, id_type] = PieceEncoder(path, id_type)
-    return _ENCODERS[path, id_type]
+    key = path, id_type, remembered
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(*key)
+    return _ENCODERS[key]
 
 
 @dataclass(frozen=True)
@@ -242,8 +247,8 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, form: SequenceFo
     """Encode the whole ``text`` of every row and write shards below ``path``; returns one row per shard.
 
     ``tokenizer`` names a tokenizer file that every executor has. Rows are ordered by doc_id (nulls first), rows with
-    equal doc_ids by a hash of their text, so that one repeated doc_id spreads over shards. A null text is empty: its
-    document has the end id alone. Returned: shard, path, n_docs, n_tokens, and ``start``, the ids of earlier shards.
+    equal doc_ids by a hash of their text, and equal rows by their place, so that neither one repeated doc_id nor one
+    repeated row is a shard that cannot be parted. A null text is empty: its document has the end id alone. Returned: shard, path, n_docs, n_tokens, and ``start``, the ids of earlier shards.
     """
     form = form or SequenceFormat()
 
@@ -266,11 +271,11 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, form: SequenceFo
                 schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
             )
 
-    tie = F.xxhash64("text")
+    ties = [F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place")]
     ordered = (
-        docs.select("doc_id", F.col("text").cast("binary").alias("text"), tie.alias("tie"))
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
+        docs.select("doc_id", F.col("text").cast("binary").alias("text"), *ties)
+        .repartitionByRange("doc_id", "tie", "place")
+        .sortWithinPartitions("doc_id", "tie", "place")
         .select("doc_id", "text")
     )
     shards = stored(ordered.mapInArrow(per_shard, "shard int, path string, n_docs long, n_tokens long"), "token-shards")

@@ -304,6 +304,16 @@ def test_sharding_of_edge_cases_and_written_shards(spark, edge_documents):
     assert spark.read.parquet(folder).count() == edge_documents.count()
 
 
+def test_equal_rows_without_a_key_spread_over_shards(spark):
+    docs = spark.range(5_000).repartition(4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    placed = sharding.shard_documents(docs, shards=4, slots=512)
+    counts = sorted(row["count"] for row in placed.groupBy("shard").count().collect())
+    assert len(counts) == 4 and counts[-1] < 1.1 * counts[0]
+    shards = tokens.write_sequences(docs, new_workspace(spark, "test-sequences"), public_tokenizer("word_bpe_49k.json"))
+    rows = tokens.read_checksums(shards, "bigint")
+    assert rows.count() == 5_000 and rows.select("ids_crc32").distinct().count() == 1 and rows.select("start").distinct().count() == 5_000
+
+
 def test_rebalancing_moves_few_slots_and_keeps_versions(spark):
     rng = random.Random(2)
     loads = [sharding.SlotLoad(k, rng.randint(1, 1000), 1) for k in range(512)]
