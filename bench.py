@@ -23,21 +23,25 @@ HEADLINE = [
     "e6_query_old_version",
     "f5_overwrite_grows",
     "f8_training_set",
+    "f8_training_in_place",
     "f12_score_batch",
     "g1_mean_fill",
     "g6_categories",
     "h1_linear_regression",
     "h6_errors",
     "h7_importances",
+    "i1_cross_validation",
     "i2_primary_metrics",
+    "i5_correlations",
     "j1_runs_table",
+    "j1_open_metrics",
     "j2_latest_run_per_experiment",
     "k1_version_numbers",
     "k7_deleted_models",
     "k4_archived_stages",
     "t3_tracking_rows",
 ]
-# Minutes of tree building: run once, without a warm-up.
+# Full-size tree models: run once, without a warm-up.
 LONG = ["h2_random_forest", "h3_boosted_trees", "h12_compare_parameters"]
 RUNS = 3
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from stayframe.functions.rows import POSITIONS, key_hash, key_position
 from stayframe.operators.compiled import ExpressionColumns, bucket_sql, number, quoted
+from stayframe.operators.joins import lookup
+from stayframe.operators.numbering import number_within
 
 # Fixed value: the test share of a split when none is given.
 DEFAULT_TEST_SHARE = 0.25
@@ -106,7 +108,7 @@ def category_stages(columns: Sequence[str]) -> tuple[list, list[str]]:
     """Stages that one-hot encode string columns, null and unseen values as a category of their own; and the outputs.
 
     The categories of a column go to the driver: use it for columns whose values are known to be few, else
-    :func:`hashed_categories`.
+    :func:`hashed_categories` or :func:`category_codes`.
     """
     indexed = [f"{name}_index" for name in columns]
     encoded = [f"{name}_vector" for name in columns]
@@ -116,6 +118,22 @@ def category_stages(columns: Sequence[str]) -> tuple[list, list[str]]:
     ], encoded
 
 
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """``column``, ``code`` and ``n_rows`` of every value of a column: codes from 0 by falling frequency, then by value.
+
+    For columns with any number of values: they are counted, ranked by ranges and kept as a table, none on the driver.
+    Null has no code.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n_rows"))
+    ranked = number_within(counted.withColumn("_order", -F.col("n_rows")), [], ["_order", column], "code")
+    return ranked.select(column, (F.col("code") - 1).alias("code"), "n_rows")
+
+
+def with_codes(df: DataFrame, codes: DataFrame, column: str, into: str) -> DataFrame:
+    """``df`` with the code of ``column`` as ``into``; null for null and for values that have no code."""
+    return lookup(df, codes.select(column, F.col("code").alias(into)), [column])
+
+
 def hashed_categories(columns: Sequence[str], output: str, width: int = HASHED_FEATURES) -> list:
     """Stages that spread string columns with any number of values over a vector of fixed width. A null is nothing.
 

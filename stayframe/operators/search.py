@@ -59,7 +59,7 @@ def regress(
     timeout_minutes: float | None = None,
     grid: Mapping[str, Sequence[Mapping]] = DEFAULT_GRID,
     parallelism: int = 2,
-    seed: int = 42,
+    seed: int | None = 42,
 ) -> SearchSummary:
     """Train every candidate on 80% of the keys, measure it on the rest, and keep the best by ``primary_metric``.
 
@@ -67,7 +67,8 @@ def regress(
     a column of another type than these and strings is refused. Strings are hashed to a fixed number of buckets: linear
     models have a weight for each, trees take the buckets in the order of their mean labels. All of that is part of each
     model, so it scores raw rows. After ``timeout_minutes`` no further trial starts; running ones finish, and at least
-    one is run. Trees do not depend on the partitioning.
+    one is run. Trees do not depend on the partitioning. Without a seed the rows held out are those of :func:`key_split`
+    without one.
     """
     if primary_metric not in METRICS:
         raise ValueError(f"unknown metric {primary_metric!r}")
@@ -99,7 +100,7 @@ def regress(
             return None
         if kind in _TREES:
             grown, settings = _TREES[kind]
-            settings = {"n_estimators": 20, **settings, **{_TREE_PARAMETERS[name]: value for name, value in params.items()}, "random_state": seed}
+            settings = {"n_estimators": 20, **settings, **{_TREE_PARAMETERS[name]: value for name, value in params.items()}, "random_state": 42 if seed is None else seed}
             fitted = HistogramTrees(kind=grown, inputCols=columns, labelCol=target_col, settings=settings_json(settings)).grown(data)
         else:
             fitted = LinearRegression(featuresCol="features", labelCol=target_col, **params).fit(train)

@@ -7,6 +7,7 @@ from stayframe.operators import models
 from stayframe.operators.features import FeatureLookup, FeatureStore
 from stayframe.operators.joins import lookup
 from stayframe.operators.prepare import key_split
+from stayframe.operators.profile import column_info
 from stayframe.plans.cleaning import feature_rows, mean_reviews
 from stayframe.queries.oracle import over
 from stayframe.queries.registry import query, rounded
@@ -146,21 +147,21 @@ def f3_register_table(spark, sf_dir):
     return store.read_table(NAME)
 
 
-_DESCRIBED = ", ".join(
-    f"({i}, '{name}', 'Features of the listings')"
-    for i, name in enumerate(
-        ["host_response_rate", "host_acceptance_rate", "bedrooms", "review_scores_rating", *REVIEW_PARTS, "latitude", "longitude"]
-    )
+_FEATURES = ["host_response_rate", "host_acceptance_rate", "bedrooms", "review_scores_rating", *REVIEW_PARTS, "latitude", "longitude"]
+_DESCRIBED = " UNION ALL ".join(
+    f"SELECT {i} AS position, '{name}' AS feature, 'Features of the listings' AS description, count({name}) AS n_values FROM features"
+    for i, name in enumerate(_FEATURES)
 )
 
 
-@query("f4_describe_table", f"SELECT * FROM (VALUES {_DESCRIBED}) t(position, feature, description)")
+@query("f4_describe_table", over("features", _DESCRIBED))
 def f4_describe_table(spark, sf_dir):
+    """Name, place and description of every feature, and how many values it has in the newest version."""
     store = store_with_features(spark, sf_dir)
     described = store.get_table(NAME)
-    return spark.createDataFrame(
-        [(i, feature, described.description) for i, feature in enumerate(described.features)],
-        "position int, feature string, description string",
+    info = column_info(store.read_table(NAME).select(*described.features))
+    return info.select(
+        "position", F.col("column_name").alias("feature"), F.lit(described.description).alias("description"), F.col("non_null").alias("n_values")
     )
 
 
@@ -235,10 +236,21 @@ def f12_score_batch(spark, sf_dir):
 
 @query(
     "f13_model_lookups",
-    f"SELECT CAST(1 AS BIGINT) AS version, '{NAME}' AS table_name, 'bedrooms' AS feature, CAST(0 AS BIGINT) AS table_version",
+    over(
+        "features",
+        f"""SELECT CAST(1 AS BIGINT) AS version, '{NAME}' AS table_name, 'bedrooms' AS feature, CAST(0 AS BIGINT) AS table_version,
+            count(bedrooms) AS n_values FROM features""",
+    ),
 )
 def f13_model_lookups(spark, sf_dir):
-    return scored_store(spark, sf_dir).model_lookups("price_model")
+    """What a model's versions look up, from which version of which table, and how many values the feature has there."""
+    store = scored_store(spark, sf_dir)
+    found = None
+    for item in store.model_lookups("price_model").collect():
+        counted = store.read_table(item.table_name, version=item.table_version).agg(F.count(item.feature).alias("n_values"))
+        row = counted.select(*[F.lit(item[name]).alias(name) for name in ("version", "table_name", "feature", "table_version")], "n_values")
+        found = row if found is None else found.unionByName(row)
+    return found
 
 
 @query("f14_drop_table", over("features", "SELECT 'kept' AS table_name, count(*) AS n_rows FROM features"))

@@ -90,6 +90,22 @@ def g5_label_and_features(spark, sf_dir):
     return rounded(rows.select(F.col("price").alias("label"), *features), ["review_scores_sum"])
 
 
+@query(
+    "g6_joined_codes",
+    over(
+        "listings",
+        """SELECT l.id, l.price, c.code, c.n_rows FROM listings l LEFT JOIN (
+             SELECT price, count(*) AS n_rows, row_number() OVER (ORDER BY count(*) DESC, price) - 1 AS code
+             FROM listings WHERE price IS NOT NULL GROUP BY price) c USING (price)""",
+    ),
+)
+def g6_joined_codes(spark, sf_dir):
+    """A column of nearly as many values as rows: codes by frequency, joined instead of one-hot encoded."""
+    listings = load_listings(spark, sf_dir).select("id", "price")
+    codes = prepare.category_codes(listings, "price")
+    return prepare.with_codes(listings, codes, "price", "code").join(codes.select("code", "n_rows"), "code", "left")
+
+
 @query(
     "g6_categories",
     over(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,9 +130,13 @@ class RunSource(DataSource):
 
 
 def _located(path: str):
+    """The file system of a path or URI, and the path in it."""
     import pyarrow.fs as pafs
 
-    return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
+    parts = urlsplit(path)
+    if parts.scheme in ("", "file"):
+        return pafs.LocalFileSystem(), unquote(parts.path) if parts.scheme else path
+    return pafs.FileSystem.from_uri(path)
 
 
 def register(spark: SparkSession) -> None:

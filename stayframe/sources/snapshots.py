@@ -157,12 +157,13 @@ class SnapshotTable:
 
     def _scan_by_key(self, version: int, schema: T.StructType, bucket_by: Sequence[str], buckets: int) -> DataFrame:
         columns = ", ".join(_quoted(name) for name in bucket_by)
+        location = self.version_path(version).replace("\\", "\\\\").replace("'", "\\'")
         fields = ", ".join(f"{_quoted(field.name)} {field.dataType.simpleString()}" for field in schema)
         # Only a catalog entry tells Spark of buckets; the frame keeps what it says when the entry is gone.
         with _catalog_name(self.spark) as name:
             self.spark.sql(
                 f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({columns}) SORTED BY ({columns}) "
-                f"INTO {buckets} BUCKETS LOCATION '{self.version_path(version)}'"
+                f"INTO {buckets} BUCKETS LOCATION '{location}'"
             )
             return self.spark.table(name)
 

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from stayframe.operators import profile
+from stayframe.operators import prepare, profile
 from stayframe.operators.joins import lookup
 from stayframe.operators.numbering import duplicated_keys, number_within, store_with_row_key
 from stayframe.plans import cleaning
@@ -193,3 +193,15 @@ def test_first_rows_is_a_top_n(spark, sf_dir, plan):
 
 def test_derived_listings_count(spark, sf_dir, listings):
     assert listings.count() == table(spark, sf_dir, "orders").count() == 1500
+
+
+def test_codes_of_many_categories(spark):
+    rows = spark.createDataFrame([("b",), ("a",), ("c",), ("b",), (None,), ("a",), ("",)], "x string")
+    codes = prepare.category_codes(rows.repartition(3), "x")
+    assert {row.x: (row.code, row.n_rows) for row in codes.collect()} == {"a": (0, 2), "b": (1, 2), "": (2, 1), "c": (3, 1)}
+    coded = prepare.with_codes(spark.createDataFrame([("a",), (None,), ("new",)], "x string"), codes, "x", "code")
+    assert {row.x: row.code for row in coded.collect()} == {"a": 0, None: None, "new": None}
+    assert prepare.category_codes(rows.limit(0), "x").count() == 0
+    many = spark.range(50_000).select(F.concat(F.lit("v"), F.col("id") % 20_000).alias("x"))
+    found = prepare.category_codes(many, "x")
+    assert found.agg(F.min("code"), F.max("code"), F.countDistinct("code")).first()[:] == (0, 19_999, 20_000)

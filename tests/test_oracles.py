@@ -14,8 +14,6 @@ TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
 }
-# Minutes of tree building; tests/test_models.py covers the operators on smaller forests.
-SLOW = {"h2_random_forest", "h3_boosted_trees", "h12_compare_parameters"}
 
 
 @pytest.fixture(scope="module")
@@ -40,9 +38,8 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert _rows(result.toPandas(), columns) == _rows(expected.df(), columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
-def test_query_gives_rows(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_sorted_query_keeps_its_order(spark, sf_dir):

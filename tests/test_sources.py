@@ -1,10 +1,16 @@
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from stayframe.plans.cleaning import etl_rows
-from stayframe.session import new_workspace, shared_root
+from stayframe.queries import QUERIES
+from stayframe.session import drop_workspaces, new_workspace, recorded_workspaces, shared_root, written
 from stayframe.sources import catalog, storage
 from stayframe.sources.csvfiles import read_csv, write_csv
 from stayframe.sources.snapshots import NoSuchVersion, SnapshotTable
@@ -179,3 +185,29 @@ def test_queries_leave_no_database_and_workspaces_can_be_cleaned(spark, sf_dir,
     assert {database.name for database in spark.catalog.listDatabases()} == before
     assert session.clean_workspaces(spark, timedelta(days=1)) == 0 and list((tmp_path / "stayframe").iterdir())
     assert session.clean_workspaces(spark, timedelta(seconds=-60)) > 0 and not list((tmp_path / "stayframe").iterdir())
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """The operators for corpora and their pipeline can be deleted; an error inside them would show."""
+    home = Path(__file__).resolve().parent.parent
+    shutil.copytree(home / "stayframe", tmp_path / "stayframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(home / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == [str(len(QUERIES))] * 2
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module")
+    (tmp_path / "stayframe" / "llm").mkdir()
+    (tmp_path / "stayframe" / "llm" / "queries.py").write_text("")
+    broken = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "no_such_module" in broken.stderr
+
+
+def test_recorded_workspaces_go_when_told(spark):
+    with recorded_workspaces() as outer:
+        first = written(spark.range(3), "one")
+        with recorded_workspaces() as inner:
+            second = written(first, "two")
+    assert len(outer) == 2 and inner == outer[1:]
+    drop_workspaces(spark, outer[:1])
+    assert not storage.exists(spark, outer[0]) and storage.exists(spark, outer[1]) and second.count() == 3
