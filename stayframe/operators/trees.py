@@ -11,6 +11,7 @@ the tree's number. So equal rows and settings give equal trees, however the rows
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -396,6 +397,19 @@ def _unpacked(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8)[first : first + len(column) * width].reshape(-1, width)
 
 
+def _reaching(batch: pa.RecordBatch, partial: Mapping[int, tuple], width: int, labels: Labels, seed: int | None) -> Iterator[tuple]:
+    """(tree, slots, bins, weights, high and low labels) of the drawn rows that reach wanted nodes; without a seed all rows are drawn."""
+    bins = _unpacked(batch.column(2), width)
+    keys = batch.column(0).to_numpy(zero_copy_only=False)
+    high, low = labels.split(batch.column(1).to_numpy(zero_copy_only=False))
+    for tree, (router, slots, _) in partial.items():
+        weight = np.ones(len(keys), dtype=np.int64) if seed is None else drawn(keys, tree, seed)
+        some = np.flatnonzero(weight)
+        slot = slots[router.places(bins[some])]
+        some, slot = some[slot >= 0], slot[slot >= 0]
+        yield tree, slot, bins[some], weight[some], high[some], low[some]
+
+
 class _Growth:
     """Grows trees of one kind of settings together, pass by pass."""
 
@@ -468,21 +482,6 @@ class _Growth:
             out[tree] = (Router(known), slots, wanted)
         return out
 
-    def _reaching(self, batch: pa.RecordBatch, partial: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(tree, slots, bins, weights, high and low labels) of the drawn rows that reach the wanted nodes."""
-        bins = _unpacked(batch.column(2), self.width)
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        high, low = self.data.labels.split(batch.column(1).to_numpy(zero_copy_only=False))
-        for tree, (router, slots, _) in partial.items():
-            if self.bagged:
-                weight = drawn(keys, tree, self.settings.random_state)
-                some = np.flatnonzero(weight)
-            else:
-                weight, some = np.ones(len(keys), dtype=np.int64), np.arange(len(keys))
-            slot = slots[router.places(bins[some])]
-            some, slot = some[slot >= 0], slot[slot >= 0]
-            yield tree, slot, bins[some], weight[some], high[some], low[some]
-
     def _rows(self) -> DataFrame:
         return self.data.rows.select("key", self.target, "bins")
 
@@ -497,7 +496,7 @@ class _Growth:
         partial, n_bins, labels, settings, width = self._partial(nodes), self.data.n_bins, self.data.labels, self.settings, self.width
         k = settings.features_per_node(width)
         own = {tree: considered(tree, wanted, width, k, settings.random_state) for tree, (_, _, wanted) in partial.items()}
-        reaching = _Task(self)
+        reaching = functools.partial(_reaching, width=width, labels=labels, seed=settings.random_state if self.bagged else None)
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = {tree: np.zeros((len(wanted), k, n_bins, 3), dtype=np.int64) for tree, (_, _, wanted) in partial.items()}
@@ -527,7 +526,7 @@ class _Growth:
     def _finish(self, nodes: list[tuple[int, int]]) -> None:
         """Grow the subtrees of nodes that few rows reach, each where its rows are brought together."""
         partial, n_bins, labels, settings, width = self._partial(nodes), self.data.n_bins, self.data.labels, self.settings, self.width
-        reaching = _Task(self)
+        reaching = functools.partial(_reaching, width=width, labels=labels, seed=settings.random_state if self.bagged else None)
         kinds = [np.dtype(np.uint8), np.dtype(np.int32), np.dtype(np.int32)]
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -561,17 +560,6 @@ class _Growth:
             self.parts[row["tree"]].append([np.frombuffer(row[name], dtype=kind) for name, kind in _COLUMNS])
 
 
-class _Task:
-    """What tasks need of a growth: not its rows."""
-
-    def __init__(self, growth: _Growth):
-        self.width, self.bagged, self.settings = growth.width, growth.bagged, growth.settings
-        self.data = replace(growth.data, rows=None)
-
-    def __call__(self, batch: pa.RecordBatch, partial: dict):
-        return _Growth._reaching(self, batch, partial)
-
-
 _SPLIT_SCHEMA = (
     "tree long, number long, feature int, bin int, gain double, weight long, total double, left_weight long, left_total double"
 )

@@ -61,15 +61,15 @@ def a1_csv_long_texts(spark, sf_dir):
     return read_csv(spark, path, documents.schema)
 
 
-@query("a2_csv_from_shared_path", over("listings", "SELECT id, price FROM listings"))
+@query("a2_csv_from_shared_path", over("listings", f"SELECT {', '.join(ALL_COLUMNS)} FROM listings"))
 def a2_csv_from_shared_path(spark, sf_dir):
     """Files are read where they lie, by a path all executors reach, also when there are several folders of them."""
     path = new_workspace(spark, "csv")
-    listings = load_listings(spark, sf_dir).select("id", "price")
+    listings = load_listings(spark, sf_dir)
     dear = F.coalesce(F.length("price") > 7, F.lit(False))
     write_csv(listings.where(dear), f"{path}/dear", compression="gzip")
     write_csv(listings.where(~dear), f"{path}/other", compression="gzip")
-    return read_csv(spark, [f"{path}/dear", f"{path}/other"], "id bigint, price string")
+    return read_csv(spark, [f"{path}/dear", f"{path}/other"], LISTINGS_SCHEMA)
 
 
 @query(
