@@ -118,7 +118,7 @@ def f1_table_by_key(spark, sf_dir):
     """A feature table stored by key; its history says into how many buckets, and how many rows."""
     store = store_by_key(spark, sf_dir)
     entry = store.history(NAME).where("bucket_columns = array('id')").first()
-    return store.read_table(NAME).withColumns({"buckets": F.lit(entry.buckets), "n_stored": F.lit(entry.n_rows)})
+    return store.read_table(NAME).withColumns({"buckets": F.lit(entry.buckets), "n_stored": F.lit(entry.n_rows).cast("long")})
 
 
 @query("f8_training_in_place", over("training", "SELECT * FROM training"))
@@ -248,7 +248,10 @@ def f13_model_lookups(spark, sf_dir):
     found = None
     for item in store.model_lookups("price_model").collect():
         counted = store.read_table(item.table_name, version=item.table_version).agg(F.count(item.feature).alias("n_values"))
-        row = counted.select(*[F.lit(item[name]).alias(name) for name in ("version", "table_name", "feature", "table_version")], "n_values")
+        row = counted.select(
+            F.lit(item.version).cast("long").alias("version"), F.lit(item.table_name).alias("table_name"), F.lit(item.feature).alias("feature"),
+            F.lit(item.table_version).cast("long").alias("table_version"), "n_values",
+        )
         found = row if found is None else found.unionByName(row)
     return found
 
