@@ -33,7 +33,7 @@ from stayframe.session import written
 #: Bin bounds come from at most about so many values, of rows with the smallest hashes of their keys.
 SAMPLE_VALUES = 4_000_000
 #: A node that at most so many drawn rows reach is finished where its rows are brought together.
-LOCAL_ROWS = 1 << 16
+LOCAL_ROWS = 1 << 17
 #: Histogram cells that a task holds at a time; more take further passes.
 CELLS = 1 << 22
 #: Labels are split into two whole numbers of so many bits, high and low.
