@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -59,13 +57,12 @@ def fit_trees(candidates: Mapping[str, Pipeline], train: DataFrame, keys: Sequen
             (stage,) = candidate.getStages()
             wanted = (tuple(stage.getInputCols()), stage.getLabelCol(), stage.tree_settings().max_bins)
             if wanted not in kept:
-                data = binned(train, *wanted[:2], keys, wanted[2])
-                kept[wanted] = replace(data, rows=data.rows.persist(StorageLevel.MEMORY_AND_DISK))
+                kept[wanted] = binned(train, *wanted[:2], keys, wanted[2]).kept()
             fitted[name] = PipelineModel(stages=[stage.grown(kept[wanted])])
         return fitted
     finally:
         for data in kept.values():
-            data.rows.unpersist()
+            data.release()
 
 
 def metric_columns(label: str | Column = "price", prediction: str | Column = "prediction") -> dict[str, Column]:

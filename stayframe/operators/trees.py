@@ -35,10 +35,22 @@ SAMPLE_VALUES = 4_000_000
 #: A node that at most so many drawn rows reach is finished where its rows are brought together.
 LOCAL_ROWS = 1 << 17
 #: Histogram cells that a task holds at a time; more take further passes.
-CELLS = 1 << 22
+CELLS = 1 << 24
+#: Rows that travel together, as one record of byte strings.
+BLOCK_ROWS = 1 << 15
+#: Rows after which a task turns sums in doubles into whole numbers, so that they stay exact.
+EXACT_ROWS = 1 << 20
+#: Histogram cells of a group of nodes that are split together.
+CHUNK_CELLS = 1 << 16
+#: Bytes of histograms, of all tasks, up to which the driver adds them up itself.
+DRIVER_BYTES = 1 << 24
+#: What a pass costs besides its histograms, in bytes shuffled in the same time.
+PASS_BYTES = 1 << 23
 #: Labels are split into two whole numbers of so many bits, high and low.
 HIGH_BITS, LOW_BITS = 27, 28
-#: Boosting stores the predictions so far after so many trees, so that later passes need not add them up again.
+#: Boosting keeps what is left over in memory after so many trees, so that later passes need not work it out again.
+KEPT_EVERY = 4
+#: And it writes that after so many, so that nothing older is worked out again when an executor is lost.
 STORED_EVERY = 20
 #: Gains below this share of a node's own term are rounding.
 LEAST_GAIN = 1e-12
@@ -102,8 +114,21 @@ _DRAWN = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 def drawn(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often a tree draws every row: by the hash of the row's key, after Poisson's law of mean 1."""
     salt = _mixed(np.array([seed], dtype=np.int64).view(np.uint64) ^ _mixed(np.array([tree], dtype=np.uint64)))
-    share = (_mixed(keys.view(np.uint64) ^ salt) >> np.uint64(11)).astype(np.float64) / 2.0**53
-    return np.searchsorted(_DRAWN, share, side="right")
+    mixed = _mixed(keys.view(np.uint64) ^ salt)
+    times = _BY_FIRST_BITS[(mixed >> np.uint64(52)).view(np.int64)]
+    close = np.flatnonzero(times < 0)
+    times[close] = np.searchsorted(_DRAWN, (mixed[close] >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
+    return times
+
+
+def _drawn_table() -> np.ndarray:
+    """How often a row is drawn, by the first 12 bits of its hash; -1 where these do not tell."""
+    first = np.searchsorted(_DRAWN, np.arange(4096) / 4096.0, side="right")
+    last = np.searchsorted(_DRAWN, (np.arange(1, 4097) - 2.0**-41) / 4096.0, side="right")
+    return np.where(first == last, first, -1)
+
+
+_BY_FIRST_BITS = _drawn_table()
 
 
 def considered(tree: int, nodes: np.ndarray, features: int, of: int, seed: int) -> np.ndarray:
@@ -161,17 +186,24 @@ class Router:
     """Finds the node that rows reach in a tree."""
 
     def __init__(self, tree: Tree):
-        self.feature, self.bin, self.left = tree.feature, tree.bin, tree.left
-
-    def places(self, bins: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(bins), dtype=np.int64)
-        live = np.arange(len(bins))
-        while len(live):
-            own = at[live]
-            feature = self.feature[own]
-            inner = feature >= 0
-            live, own, feature = live[inner], own[inner], feature[inner]
-            at[live] = self.left[own] + (bins[live, feature] > self.bin[own])
+        # A node in one number: the place to its left, the feature, the bin. A leaf leads to itself.
+        inner = tree.feature >= 0
+        left = np.where(inner, tree.left, np.arange(len(inner))).astype(np.int64)
+        self.code = (left << 32) | (np.where(inner, tree.feature, 0).astype(np.int64) << 8) | np.where(inner, tree.bin, 255)
+        self.steps = int(tree.number[-1]).bit_length() - 1
+
+    def places(self, bins: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """Of all rows of ``bins``, or of these."""
+        flat, width = bins.reshape(-1), bins.shape[1]
+        starts = np.arange(0, len(bins) * width, max(width, 1)) if rows is None else rows * width
+        if not self.steps:
+            return np.zeros(len(bins) if rows is None else len(rows), dtype=np.int64)
+        root = int(self.code[0])
+        at = (flat[starts + (root >> 8 & 0xFFFFFF)] > (root & 255)) + (root >> 32)
+        for _ in range(self.steps - 1):
+            code = self.code[at]
+            at = code >> 32
+            at += flat[starts + (code >> 8 & 0xFFFFFF)] > (code & 255).astype(np.uint8)
         return at
 
 
@@ -235,13 +267,27 @@ def best_splits(cells: np.ndarray, features: np.ndarray, labels: Labels, setting
     )
 
 
-def _histogram(slots: np.ndarray, n: int, features: np.ndarray, bins: np.ndarray, n_bins: int, sums: Sequence[np.ndarray]) -> np.ndarray:
-    """Sums per node (``slots`` of ``n``), considered feature and bin. ``sums`` are small enough to add up as doubles exactly."""
-    k = features.shape[1]
-    cell = np.take_along_axis(bins, features[slots], axis=1) + np.arange(k) * n_bins + (slots * (k * n_bins))[:, None]
-    cell = cell.ravel()
-    out = [np.bincount(cell, np.repeat(values, k).astype(np.float64), n * k * n_bins).astype(np.int64) for values in sums]
-    return np.stack(out, axis=-1).reshape(n, k, n_bins, 3)
+def _add_histogram(
+    out: np.ndarray, slots: np.ndarray, features: np.ndarray, bins: np.ndarray, rows: np.ndarray | None, n_bins: int, sums: Sequence[np.ndarray]
+) -> None:
+    """Add sums per considered feature, sum, node (``slots``) and bin. ``sums`` are small enough to add up as doubles exactly.
+
+    ``rows`` are the places of the rows in ``bins``, if these are not all in order.
+    """
+    k, width = features.shape[1], bins.shape[1]
+    cells = out.shape[2]
+    flat, start = bins.reshape(-1), slots * n_bins
+    first = np.arange(0, len(slots) * width, max(width, 1)) if rows is None else rows * width
+    for j in range(k):
+        cell = start + flat[first + (j if k == width else features[:, j][slots])]
+        for i, values in enumerate(sums):
+            out[j, i] += np.bincount(cell, values, cells)
+
+
+def _by_node(sums: np.ndarray, n_bins: int) -> np.ndarray:
+    """Whole numbers by node, feature, bin and sum."""
+    k, kinds, cells = sums.shape
+    return sums.astype(np.int64).reshape(k, kinds, cells // n_bins, n_bins).transpose(2, 0, 3, 1)
 
 
 def _open(weight: np.ndarray, depth: int, settings: TreeSettings) -> np.ndarray:
@@ -258,29 +304,27 @@ def grown_from_rows(
     k = settings.features_per_node(n_features)
     numbers = np.array([node], dtype=np.int64)
     slots = np.zeros(len(bins), dtype=np.int64)
-    weighted = [weight, weight * high, weight * low]
+    weighted = [values.astype(np.float64) for values in (weight, weight * high, weight * low)]
     parts: list[list[np.ndarray]] = []
     while len(numbers):
         depth = int(numbers[0]).bit_length() - 1
         features = considered(tree, numbers, n_features, k, settings.random_state)
-        order = np.argsort(slots, kind="stable")
-        bounds = np.searchsorted(slots[order], np.arange(len(numbers) + 1))
         step = max(1, CELLS // (k * n_bins * 3))
+        order = None if step >= len(numbers) else np.argsort(slots, kind="stable")
+        bounds = None if order is None else np.searchsorted(slots[order], np.arange(len(numbers) + 1))
         found = []
         for at in range(0, len(numbers), step):
             to = min(at + step, len(numbers))
-            rows = order[bounds[at] : bounds[to]]
-            sums = [values[rows] for values in weighted]
-            cells = _histogram(slots[rows] - at, to - at, features[at:to], bins[rows], n_bins, sums)
-            found.append(best_splits(cells, features[at:to], labels, settings))
+            rows = None if order is None else order[bounds[at] : bounds[to]]
+            own, sums = (slots, weighted) if rows is None else (slots[rows] - at, [values[rows] for values in weighted])
+            cells = np.zeros((k, 3, (to - at) * n_bins))
+            _add_histogram(cells, own, features[at:to], bins, rows, n_bins, sums)
+            found.append(best_splits(_by_node(cells, n_bins), features[at:to], labels, settings))
         splits = Splits(*[np.concatenate([getattr(part, name) for part in found]) for name in Splits.__dataclass_fields__])
         inner = splits.feature >= 0
         parts.append([numbers, splits.feature, splits.bin, splits.gain, splits.weight, splits.total])
         # Children of the nodes that are split; those that cannot be split again are leaves at once.
-        left_weight, left_total = splits.left_weight[inner], splits.left_total[inner]
-        child_number = np.stack([2 * numbers[inner], 2 * numbers[inner] + 1], axis=1).ravel()
-        child_weight = np.stack([left_weight, splits.weight[inner] - left_weight], axis=1).ravel()
-        child_total = np.stack([left_total, splits.total[inner] - left_total], axis=1).ravel()
+        child_number, child_weight, child_total = _children(numbers, splits, inner)
         again = _open(child_weight, depth + 1, settings)
         leaf = ~again
         nothing = np.zeros(int(leaf.sum()))
@@ -322,6 +366,38 @@ class BinnedRows:
     n: int
     bounds: list[np.ndarray]
     labels: Labels
+    packed: DataFrame | None = None
+
+    def blocks(self) -> DataFrame:
+        """Records of many rows: their keys, labels and bins, each as one byte string."""
+        if self.packed is not None:
+            return self.packed
+        width = len(self.bounds)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting, n = [], 0
+            for batch in batches:
+                waiting.append(batch)
+                n += batch.num_rows
+                if n >= BLOCK_ROWS:
+                    yield from packed(waiting)
+                    waiting, n = [], 0
+            yield from packed(waiting)
+
+        def packed(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if sum(batch.num_rows for batch in waiting):
+                numbers = [b"".join(batch.column(i).to_numpy(zero_copy_only=False).tobytes() for batch in waiting) for i in (0, 1)]
+                bins = b"".join(_unpacked(batch.column(2), width).tobytes() for batch in waiting)
+                yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary()) for value in (*numbers, bins)], ["key", "y", "bins"])
+
+        return self.rows.select("key", "y", "bins").mapInArrow(pack, "key binary, y binary, bins binary")
+
+    def kept(self) -> BinnedRows:
+        """The same, its blocks kept by the executors until :meth:`release`."""
+        return replace(self, packed=self.blocks().persist(StorageLevel.MEMORY_AND_DISK))
+
+    def release(self) -> None:
+        self.packed.unpersist()
 
     @property
     def n_bins(self) -> int:
@@ -357,6 +433,9 @@ def binned(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[st
     rows = df.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))).select(
         hashed, F.col(label).cast("double").alias("y"), F.array(*numbers).alias("x")
     )
+    # Read three times, and what they come from may be long: counted, sampled and cut.
+    rows = written(rows.select("key", "y", *[F.col("x")[i].alias(f"x{i}") for i in range(len(features))]), "tree-rows")
+    rows = rows.select("key", "y", F.array(*[f"x{i}" for i in range(len(features))]).alias("x"))
     found = rows.agg(F.count("*").alias("n"), F.max(F.abs("y")).alias("largest")).first()
     n, largest = found["n"], found["largest"] or 0.0
     if not n:
@@ -379,7 +458,7 @@ def binned(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[st
     exponent = HIGH_BITS - 1 - math.frexp(largest)[1] if largest else 0
     cut = rows.mapInArrow(per_batch, "key long, y double, bins binary")
     # Every pass works on each row once per tree, so the rows, a few bytes each by now, are spread evenly first.
-    return BinnedRows(cut.repartition(_tasks(df.sparkSession), "key"), n, bounds, Labels(exponent))
+    return BinnedRows(cut.repartition(_pieces(df.sparkSession, n), "key"), n, bounds, Labels(exponent))
 
 
 def _packed(values: np.ndarray) -> pa.Array:
@@ -397,83 +476,117 @@ def _unpacked(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8)[first : first + len(column) * width].reshape(-1, width)
 
 
-def _reaching(batch: pa.RecordBatch, partial: Mapping[int, tuple], width: int, labels: Labels, seed: int | None) -> Iterator[tuple]:
-    """(tree, slots, bins, weights, high and low labels) of the drawn rows that reach wanted nodes; without a seed all rows are drawn."""
-    bins = _unpacked(batch.column(2), width)
-    keys = batch.column(0).to_numpy(zero_copy_only=False)
-    high, low = labels.split(batch.column(1).to_numpy(zero_copy_only=False))
+def _blocks_of(batch: pa.RecordBatch, width: int, labels: Labels) -> Iterator[tuple]:
+    """(keys, bins, high and low labels) of every block; the last two columns are the bins and the label."""
+    for row in range(batch.num_rows):
+        *key, packed, target = (column[row].as_buffer() for column in batch.columns)
+        values = np.frombuffer(target, dtype=np.float64)
+        keys = np.frombuffer(key[0], dtype=np.int64) if key else None
+        yield keys, np.frombuffer(packed, dtype=np.uint8).reshape(len(values), width), *labels.split(values)
+
+
+def _reaching(block: tuple, partial: Mapping[int, tuple], seed: int | None) -> Iterator[tuple]:
+    """(tree, slots, rows, weights) of the drawn rows of a block that reach wanted nodes; without a seed all rows are drawn once."""
+    keys, bins, _, _ = block
     for tree, (router, slots, _) in partial.items():
-        weight = np.ones(len(keys), dtype=np.int64) if seed is None else drawn(keys, tree, seed)
-        some = np.flatnonzero(weight)
-        slot = slots[router.places(bins[some])]
-        some, slot = some[slot >= 0], slot[slot >= 0]
-        yield tree, slot, bins[some], weight[some], high[some], low[some]
+        some, weight = np.arange(len(bins)), np.ones(len(bins), dtype=np.int64)
+        if seed is not None:
+            weight = drawn(keys, tree, seed)
+            some = np.flatnonzero(weight)
+            weight = weight[some]
+        slot = slots[router.places(bins, some)]
+        if len(slot) and slot.min() < 0:
+            live = np.flatnonzero(slot >= 0)
+            slot, some, weight = slot[live], some[live], weight[live]
+        yield tree, slot, some, weight
 
 
 class _Growth:
-    """Grows trees of one kind of settings together, pass by pass."""
+    """Grows trees of one kind of settings together, pass by pass, from blocks of rows."""
 
-    def __init__(self, data: BinnedRows, settings: TreeSettings, trees: Sequence[int], target: str, bagged: bool):
-        self.data, self.settings, self.trees, self.target, self.bagged = data, settings, list(trees), target, bagged
+    def __init__(self, data: BinnedRows, blocks: DataFrame, settings: TreeSettings, trees: Sequence[int], target: str, bagged: bool):
+        self.data, self.settings, self.trees, self.bagged = data, settings, list(trees), bagged
+        self.rows = blocks.select(*(["key"] if bagged else []), "bins", target)
+        self.pieces = _pieces(blocks.sparkSession, data.n)
         self.parts: dict[int, list[list]] = {tree: [] for tree in trees}
         self.width = len(data.bounds)
 
     def grow(self) -> list[Tree]:
-        waiting = [(tree, 1) for tree in self.trees]
-        small: list[tuple[int, int]] = []
-        if self.data.n <= LOCAL_ROWS:
-            waiting, small = small, waiting
+        root, n = np.array([1], dtype=np.int64), np.array([self.data.n], dtype=np.int64)
+        small: list[dict[int, np.ndarray]] = []
+        waiting = self._apart({tree: (root, n) for tree in self.trees}, small)
         while waiting:
-            opened = []
-            for found in self._passes(waiting):
-                tree, number = found["tree"], found["number"]
-                self._add(tree, number, found["feature"], found["bin"], found["gain"], found["weight"], found["total"])
-                if found["feature"] < 0:
-                    continue
-                left, total = found["left_weight"], found["left_total"]
-                for child, weight, own in (
-                    (2 * number, left, total), (2 * number + 1, found["weight"] - left, found["total"] - total)
-                ):
-                    if not _open(np.int64(weight), child.bit_length() - 1, self.settings):
-                        self._add(tree, child, -1, 0, 0.0, weight, own)
-                    elif weight <= LOCAL_ROWS:
-                        small.append((tree, child))
-                    else:
-                        opened.append((tree, child))
-            waiting = self._reachable(opened)
-        if small:
-            self._finish(self._reachable(small))
+            opened = {}
+            for tree, numbers, splits in self._passes(waiting):
+                inner = splits.feature >= 0
+                self.parts[tree].append([numbers, splits.feature, splits.bin, splits.gain, splits.weight, splits.total])
+                children = _children(numbers, splits, inner)
+                again = _open(children[1], int(numbers[0]).bit_length(), self.settings)
+                leaves = [values[~again] for values in children]
+                nothing = np.zeros(len(leaves[0]))
+                self.parts[tree].append([leaves[0], nothing - 1, nothing, nothing, *leaves[1:]])
+                if again.any():
+                    opened.setdefault(tree, []).append([values[again] for values in children[:2]])
+            joined = {tree: tuple(np.concatenate(column) for column in zip(*found, strict=True)) for tree, found in opened.items()}
+            waiting = self._apart(self._reachable(joined), small)
+        finish: dict[int, list] = {}
+        for found in small:
+            for tree, own in found.items():
+                finish.setdefault(tree, []).append(own)
+        together = self._reachable({tree: tuple(np.concatenate(column) for column in zip(*own, strict=True)) for tree, own in finish.items()})
+        if together:
+            self._finish({tree: numbers for tree, (numbers, _) in together.items()})
         return [self._limited(_tree(self.parts[tree])) for tree in self.trees if self.parts[tree]]
 
-    def _add(self, tree: int, number: int, feature: int, bin: int, gain: float, weight: int, total: float) -> None:
-        self.parts[tree].append([[number], [feature], [bin], [gain], [weight], [total]])
+    def _apart(self, opened: Mapping[int, tuple], small: list) -> dict[int, np.ndarray]:
+        """Nodes that take a pass. Those that few rows reach go to ``small``, if bringing these rows together moves less than
+        the histograms of all levels below do."""
+        few = {tree: (numbers[own], weight[own]) for tree, (numbers, weight) in opened.items() if (own := weight <= LOCAL_ROWS).any()}
+        if few:
+            weight = sum(int(own.sum()) for _, own in few.values())
+            nodes = sum(len(numbers) for numbers, _ in few.values())
+            depth = min(int(numbers[0]).bit_length() - 1 for numbers, _ in few.values())
+            most = max(1, weight // max(self.settings.min_samples_leaf, 1))
+            cells = self.settings.features_per_node(self.width) * self.data.n_bins * 24 * self.pieces
+            others = any((own > LOCAL_ROWS).any() for _, own in opened.values())
+            passes = sum(
+                min(nodes * 2.0**level, most) * cells + (0 if others else PASS_BYTES) for level in range(self.settings.max_depth - depth)
+            )
+            if passes > weight * (self.width + 9):
+                small.append(few)
+                opened = {tree: (numbers[own], weight[own]) for tree, (numbers, weight) in opened.items() if (own := weight > LOCAL_ROWS).any()}
+        return {tree: np.sort(numbers) for tree, (numbers, _) in opened.items()}
 
-    def _reachable(self, nodes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def _reachable(self, nodes: Mapping[int, tuple]) -> dict[int, tuple]:
         """Without nodes that a limit of leaves cuts off, whatever gains are still to be found; these become leaves.
 
         Splits that are not known yet can only come before known ones, so a known split beyond the limit stays beyond it.
         """
         if self.settings.max_leaf_nodes is None:
-            return nodes
-        closed = {
-            tree: set(best_first(_tree(self.parts[tree]), self.settings.max_leaf_nodes).tolist())
-            for tree in {tree for tree, number in nodes if number > 1}
-        }
-        return [(tree, number) for tree, number in nodes if number == 1 or number // 2 not in closed[tree]]
+            return dict(nodes)
+        out = {}
+        for tree, (numbers, weight) in nodes.items():
+            own = numbers == 1
+            if not own.all():
+                own |= ~np.isin(numbers // 2, best_first(_tree(self.parts[tree]), self.settings.max_leaf_nodes))
+            if own.any():
+                out[tree] = numbers[own], weight[own]
+        return out
 
     def _limited(self, tree: Tree) -> Tree:
         if self.settings.max_leaf_nodes is None:
             return tree
         return tree.without(best_first(tree, self.settings.max_leaf_nodes))
 
-    def _partial(self, nodes: Sequence[tuple[int, int]]) -> dict[int, tuple[Router, np.ndarray, np.ndarray]]:
+    def _partial(self, nodes: Mapping[int, np.ndarray]) -> dict[int, tuple[Router, np.ndarray, np.ndarray]]:
         """Per tree: what finds the nodes of rows, the number of the wanted one at every place (-1: none), and these numbers."""
         out = {}
-        for tree in sorted({tree for tree, _ in nodes}):
-            wanted = np.array(sorted(number for own, number in nodes if own == tree), dtype=np.int64)
+        for tree, wanted in sorted(nodes.items()):
+            wanted = np.sort(wanted)
             parts = self.parts[tree]
-            split = np.array([part[0][0] for part in parts if part[1][0] >= 0], dtype=np.int64)
-            present = np.array([part[0][0] for part in parts], dtype=np.int64)
+            empty = [np.zeros(0, dtype=np.int64)]
+            split = np.concatenate([*empty, *[np.asarray(part[0])[np.asarray(part[1]) >= 0] for part in parts]])
+            present = np.concatenate([*empty, *[part[0] for part in parts]])
             # Nodes that are not grown yet, or that a limit of leaves cut off, stand as leaves.
             below = np.setdiff1d(np.concatenate([2 * split, 2 * split + 1, wanted]), present)
             known = _tree([*parts, [below, np.full(len(below), -1), *[np.zeros(len(below))] * 4]])
@@ -482,91 +595,149 @@ class _Growth:
             out[tree] = (Router(known), slots, wanted)
         return out
 
-    def _rows(self) -> DataFrame:
-        return self.data.rows.select("key", self.target, "bins")
-
-    def _passes(self, nodes: list[tuple[int, int]]) -> Iterator[Mapping]:
+    def _passes(self, nodes: Mapping[int, np.ndarray]) -> Iterator[tuple]:
         k, n_bins = self.settings.features_per_node(self.width), self.data.n_bins
         together = max(1, CELLS // (k * n_bins * 3))
-        for at in range(0, len(nodes), together):
-            yield from self._pass(nodes[at : at + together])
-
-    def _pass(self, nodes: list[tuple[int, int]]) -> list:
-        """The best split of every node, by one pass over the rows."""
+        some, room = {}, together
+        for tree, numbers in sorted(nodes.items()):
+            while len(numbers):
+                some[tree], numbers = numbers[:room], numbers[room:]
+                room -= len(some[tree])
+                if not room:
+                    yield from self._pass(some)
+                    some, room = {}, together
+        if some:
+            yield from self._pass(some)
+
+    def _pass(self, nodes: Mapping[int, np.ndarray]) -> Iterator[tuple]:
+        """(tree, numbers, splits): the best split of every node that rows reach, by one pass over the rows."""
         partial, n_bins, labels, settings, width = self._partial(nodes), self.data.n_bins, self.data.labels, self.settings, self.width
         k = settings.features_per_node(width)
         own = {tree: considered(tree, wanted, width, k, settings.random_state) for tree, (_, _, wanted) in partial.items()}
-        reaching = functools.partial(_reaching, width=width, labels=labels, seed=settings.random_state if self.bagged else None)
+        seed = settings.random_state if self.bagged else None
+        per_chunk = max(1, CHUNK_CELLS // (k * n_bins * 3))
+        exact = EXACT_ROWS
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells = {tree: np.zeros((len(wanted), k, n_bins, 3), dtype=np.int64) for tree, (_, _, wanted) in partial.items()}
+            sums = {tree: np.zeros((k, 3, len(wanted) * n_bins)) for tree, (_, _, wanted) in partial.items()}
+            whole: dict[int, np.ndarray] = {}
+            since = 0
             for batch in batches:
-                for tree, slot, bins, weight, high, low in reaching(batch, partial):
-                    sums = [weight, weight * high, weight * low]
-                    cells[tree] += _histogram(slot, len(cells[tree]), own[tree], bins, n_bins, sums)
-            for tree, found in cells.items():
-                reached = np.flatnonzero(found[:, 0, :, 0].any(axis=1))
-                numbers = partial[tree][2][reached]
-                payload = pa.array([found[i].tobytes() for i in reached.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(reached), tree, dtype=np.int64)), pa.array(numbers), payload], ["tree", "number", "cells"]
-                )
+                for block in _blocks_of(batch, width, labels):
+                    _, bins, high, low = block
+                    high, low = high.astype(np.float64), low.astype(np.float64)
+                    if since and since + len(bins) > exact:
+                        for tree, found in sums.items():
+                            whole[tree] = whole.get(tree, 0) + found.astype(np.int64)
+                            found[:] = 0.0
+                        since = 0
+                    since += len(bins)
+                    for tree, slot, rows, weight in _reaching(block, partial, seed):
+                        times = weight.astype(np.float64)
+                        _add_histogram(sums[tree], slot, own[tree], bins, rows, n_bins, [times, high[rows] * times, low[rows] * times])
+            for tree, found in sums.items():
+                cells = _by_node(found, n_bins)
+                if tree in whole:
+                    cells = cells + _by_node(whole[tree], n_bins)
+                for chunk, at in enumerate(range(0, len(cells), per_chunk)):
+                    some = cells[at : at + per_chunk]
+                    if some[:, 0, :, 0].any():
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([tree], pa.int64()), pa.array([chunk], pa.int64()), pa.array([some.tobytes()], pa.binary())],
+                            ["tree", "chunk", "cells"],
+                        )
+
+        def split_of(tree: int, chunk: int, parts: Sequence[bytes]) -> Splits:
+            numbers = partial[tree][2][chunk * per_chunk : (chunk + 1) * per_chunk]
+            cells = sum(np.frombuffer(part, dtype=np.int64) for part in parts).reshape(len(numbers), k, n_bins, 3)
+            return best_splits(cells, own[tree][chunk * per_chunk : (chunk + 1) * per_chunk], labels, settings)
 
         def split(table: pa.Table) -> pa.Table:
-            tree, number = table["tree"][0].as_py(), table["number"][0].as_py()
-            cells = sum(np.frombuffer(part.as_py(), dtype=np.int64) for part in table["cells"]).reshape(1, k, n_bins, 3)
-            features = considered(tree, np.array([number]), width, k, settings.random_state)
-            best = best_splits(cells, features, labels, settings)
-            values = {name: [getattr(best, name)[0].item()] for name in Splits.__dataclass_fields__}
-            return pa.table({"tree": [tree], "number": [number], **values}, schema=_SPLIT_ARROW)
-
-        sums = self._rows().mapInArrow(add_up, "tree long, number long, cells binary")
-        return _spread(sums, len(nodes)).groupBy("tree", "number").applyInArrow(split, _SPLIT_SCHEMA).collect()
-
-    def _finish(self, nodes: list[tuple[int, int]]) -> None:
+            tree, chunk = table["tree"][0].as_py(), table["chunk"][0].as_py()
+            best = split_of(tree, chunk, [part.as_buffer() for part in table["cells"]])
+            values = [[getattr(best, name).astype(kind).tobytes()] for name, kind in _SPLIT_KINDS]
+            return pa.table([[tree], [chunk], *values], schema=_SPLIT_ARROW)
+
+        added = self.rows.mapInArrow(add_up, "tree long, chunk long, cells binary")
+        wanted = sum(len(numbers) for numbers in nodes.values())
+        found: dict[tuple[int, int], Splits] = {}
+        if wanted * k * n_bins * 24 * self.pieces <= DRIVER_BYTES:
+            partials: dict[tuple[int, int], list[bytes]] = {}
+            for row in added.collect():
+                partials.setdefault((row["tree"], row["chunk"]), []).append(row["cells"])
+            found = {at: split_of(*at, parts) for at, parts in partials.items()}
+        else:
+            chunks = sum(-(-len(numbers) // per_chunk) for numbers in nodes.values())
+            best = _spread(added, chunks, "tree", "chunk").groupBy("tree", "chunk").applyInArrow(split, _SPLIT_SCHEMA)
+            for row in best.collect():
+                found[row["tree"], row["chunk"]] = Splits(*[np.frombuffer(row[name], dtype=kind) for name, kind in _SPLIT_KINDS])
+        for (tree, chunk), splits in sorted(found.items(), key=lambda item: item[0]):
+            reached = splits.weight > 0
+            numbers = partial[tree][2][chunk * per_chunk : (chunk + 1) * per_chunk][reached]
+            if len(numbers):
+                yield tree, numbers, Splits(*[getattr(splits, name)[reached] for name in Splits.__dataclass_fields__])
+
+    def _finish(self, nodes: Mapping[int, np.ndarray]) -> None:
         """Grow the subtrees of nodes that few rows reach, each where its rows are brought together."""
         partial, n_bins, labels, settings, width = self._partial(nodes), self.data.n_bins, self.data.labels, self.settings, self.width
-        reaching = functools.partial(_reaching, width=width, labels=labels, seed=settings.random_state if self.bagged else None)
+        seed = settings.random_state if self.bagged else None
         kinds = [np.dtype(np.uint8), np.dtype(np.int32), np.dtype(np.int32)]
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for tree, slot, bins, weight, high, low in reaching(batch, partial):
-                    order = np.argsort(slot, kind="stable")
-                    cuts = np.searchsorted(slot[order], np.arange(len(partial[tree][2]) + 1))
-                    filled = np.flatnonzero(np.diff(cuts))
-                    arrays = [bins[order], *[values[order].astype(kind) for values, kind in zip((weight, high, low), kinds, strict=True)]]
-                    packed = [
-                        pa.array([values[cuts[i] : cuts[i + 1]].tobytes() for i in filled.tolist()], pa.binary()) for values in arrays
-                    ]
-                    ids = [pa.array(np.full(len(filled), tree, dtype=np.int64)), pa.array(partial[tree][2][filled])]
-                    yield pa.RecordBatch.from_arrays([*ids, *packed], ["tree", "number", "bins", "weight", "high", "low"])
+                for block in _blocks_of(batch, width, labels):
+                    _, bins, high, low = block
+                    for tree, slot, rows, weight in _reaching(block, partial, seed):
+                        order = np.argsort(slot.astype(np.min_scalar_type(len(partial[tree][2]))), kind="stable")
+                        rows = rows[order]
+                        cuts = np.searchsorted(slot[order], np.arange(len(partial[tree][2]) + 1))
+                        filled = np.flatnonzero(np.diff(cuts))
+                        ends = np.append(cuts[filled], cuts[-1])
+                        arrays = [bins[rows], *[values.astype(kind) for values, kind in zip((weight[order], high[rows], low[rows]), kinds, strict=True)]]
+                        packed = [_pieces_of(values, ends, size) for values, size in zip(arrays, (width, 1, 4, 4), strict=True)]
+                        ids = [pa.array(np.full(len(filled), tree, dtype=np.int64)), pa.array(partial[tree][2][filled])]
+                        yield pa.RecordBatch.from_arrays([*ids, *packed], ["tree", "number", "bins", "weight", "high", "low"])
 
         def grow(table: pa.Table) -> pa.Table:
             tree, number = table["tree"][0].as_py(), table["number"][0].as_py()
-            bins = np.frombuffer(b"".join(table["bins"].to_pylist()), dtype=np.uint8).reshape(-1, width)
             weight, high, low = (
                 np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind).astype(np.int64)
                 for name, kind in zip(("weight", "high", "low"), kinds, strict=True)
             )
+            bins = np.frombuffer(b"".join(table["bins"].to_pylist()), dtype=np.uint8).reshape(len(weight), width)
             parts = grown_from_rows(tree, number, bins, weight, high, low, n_bins, labels, settings)
             columns = [np.concatenate([np.asarray(part[i], dtype=kind) for part in parts]) for i, (_, kind) in enumerate(_COLUMNS)]
             values = [column.tobytes() for column in columns]
             return pa.table([pa.array([tree], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], schema=_NODES_ARROW)
 
-        rows = self._rows().mapInArrow(gather, "tree long, number long, bins binary, weight binary, high binary, low binary")
-        grown = _spread(rows, len(nodes)).groupBy("tree", "number").applyInArrow(grow, _NODES_SCHEMA)
+        rows = self.rows.mapInArrow(gather, "tree long, number long, bins binary, weight binary, high binary, low binary")
+        groups = sum(len(numbers) for numbers in nodes.values())
+        grown = _spread(rows, groups, "tree", "number").groupBy("tree", "number").applyInArrow(grow, _NODES_SCHEMA)
         for row in grown.collect():
             self.parts[row["tree"]].append([np.frombuffer(row[name], dtype=kind) for name, kind in _COLUMNS])
 
 
-_SPLIT_SCHEMA = (
-    "tree long, number long, feature int, bin int, gain double, weight long, total double, left_weight long, left_total double"
-)
-_SPLIT_ARROW = pa.schema(
-    [("tree", pa.int64()), ("number", pa.int64()), ("feature", pa.int32()), ("bin", pa.int32()), ("gain", pa.float64()),
-     ("weight", pa.int64()), ("total", pa.float64()), ("left_weight", pa.int64()), ("left_total", pa.float64())]
+def _children(numbers: np.ndarray, splits: Splits, inner: np.ndarray) -> list[np.ndarray]:
+    """Numbers, weights and totals of what is below the nodes that are split."""
+    weight, total = splits.left_weight[inner], splits.left_total[inner]
+    pairs = (
+        (2 * numbers[inner], 2 * numbers[inner] + 1), (weight, splits.weight[inner] - weight), (total, splits.total[inner] - total)
+    )
+    return [np.stack(pair, axis=1).ravel() for pair in pairs]
+
+
+def _pieces_of(values: np.ndarray, ends: np.ndarray, size: int) -> pa.Array:
+    """Consecutive rows of ``size`` bytes as byte strings, cut at ``ends``."""
+    offsets = pa.py_buffer((ends * size).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+_SPLIT_KINDS = (
+    ("feature", np.int32), ("bin", np.int32), ("gain", np.float64), ("weight", np.int64), ("total", np.float64), ("left_weight", np.int64),
+    ("left_total", np.float64),
 )
+_SPLIT_SCHEMA = "tree long, chunk long, " + ", ".join(f"{name} binary" for name, _ in _SPLIT_KINDS)
+_SPLIT_ARROW = pa.schema([("tree", pa.int64()), ("chunk", pa.int64()), *[(name, pa.binary()) for name, _ in _SPLIT_KINDS]])
 _NODES_SCHEMA = "tree long, " + ", ".join(f"{name} binary" for name, _ in _COLUMNS)
 _NODES_ARROW = pa.schema([("tree", pa.int64()), *[(name, pa.binary()) for name, _ in _COLUMNS]])
 
@@ -575,9 +746,14 @@ def _tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def _spread(df: DataFrame, groups: int) -> DataFrame:
+def _pieces(spark: SparkSession, n: int) -> int:
+    """Partitions of binned rows: one for each core if there are rows for that, more if they would get long."""
+    return max(1, min(spark.sparkContext.defaultParallelism, -(-n // 8192)), -(-n // (1 << 19)))
+
+
+def _spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
     """By tree and node over about as many tasks as there is work for."""
-    return df.repartition(max(1, min(groups, 4 * _tasks(df.sparkSession))), "tree", "number")
+    return df.repartition(max(1, min(groups, 4 * _tasks(df.sparkSession))), *keys)
 
 
 @dataclass(frozen=True)
@@ -619,8 +795,9 @@ class Ensemble:
 def grow_forest(data: BinnedRows, settings: TreeSettings) -> Ensemble:
     """Trees whose mean is the prediction. Among very few rows a tree may draw none; it is left out."""
     settings = settings.for_rows(data.n)
-    trees = _Growth(data, settings, range(settings.n_estimators), "y", settings.bootstrap).grow()
-    trees = trees or _Growth(data, settings, [0], "y", False).grow()
+    blocks = data.blocks()
+    trees = _Growth(data, blocks, settings, range(settings.n_estimators), "y", settings.bootstrap).grow()
+    trees = trees or _Growth(data, blocks, settings, [0], "y", False).grow()
     return Ensemble(data.bounds, trees, [1.0 / len(trees)] * len(trees))
 
 
@@ -629,35 +806,44 @@ def grow_boosting(data: BinnedRows, settings: TreeSettings) -> Ensemble:
     settings = settings.for_rows(data.n)
     trees: list[Tree] = []
     weights: list[float] = []
-    rows = data.rows.withColumn("left_over", F.col("y"))
-    applied = 0
     # What is left over may be larger than any label, for a row at the other end of its leaf.
     wider = replace(data, labels=Labels(data.labels.exponent - 1))
-    for number in range(settings.n_estimators):
-        now = replace(wider, rows=left_over(rows, trees[applied:], weights[applied:], len(data.bounds)))
-        trees += _Growth(now, settings, [number], "left_over", False).grow()
-        weights.append(1.0 if number == 0 else settings.learning_rate)
-        if len(trees) - applied >= STORED_EVERY and number + 1 < settings.n_estimators:
-            rows = written(left_over(rows, trees[applied:], weights[applied:], len(data.bounds)), "left-over")
-            applied = len(trees)
+    rows, applied, kept = data.blocks().select("bins", F.col("y").alias("left_over")), 0, None
+    try:
+        for number in range(settings.n_estimators):
+            now, before = left_over(rows, trees[applied:], weights[applied:], len(data.bounds)), kept
+            if number - applied >= KEPT_EVERY or (number and number % STORED_EVERY == 0):
+                rows = written(now, "left-over") if number % STORED_EVERY == 0 else now
+                now = rows = kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+                applied = number
+            trees += _Growth(wider, now, settings, [number], "left_over", False).grow()
+            weights.append(1.0 if number == 0 else settings.learning_rate)
+            if before is not None and before is not kept:
+                # The passes of this tree have read all of what follows it.
+                before.unpersist()
+    finally:
+        if kept is not None:
+            kept.unpersist()
     return Ensemble(data.bounds, trees, weights)
 
 
 def left_over(rows: DataFrame, trees: Sequence[Tree], weights: Sequence[float], width: int) -> DataFrame:
-    """``rows`` with the trees' predictions taken from ``left_over``, tree by tree."""
+    """Blocks of ``rows`` with the trees' predictions taken from ``left_over``, tree by tree."""
     if not trees:
         return rows
     steps = [(Router(tree), tree.value * weight) for tree, weight in zip(trees, weights, strict=True)]
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = _unpacked(batch.column(2), width)
-            left = batch.column(3).to_numpy(zero_copy_only=False).copy()
-            for router, values in steps:
-                left -= values[router.places(bins)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(left)], ["key", "y", "bins", "left_over"])
+            for packed, target in zip(batch.column(0), batch.column(1), strict=True):
+                left = np.frombuffer(target.as_buffer(), dtype=np.float64).copy()
+                bins = np.frombuffer(packed.as_buffer(), dtype=np.uint8).reshape(len(left), width)
+                for router, values in steps:
+                    left -= values[router.places(bins)]
+                columns = [pa.array([packed.as_py()], pa.binary()), pa.array([left.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bins", "left_over"])
 
-    return rows.select("key", "y", "bins", "left_over").mapInArrow(per_batch, "key long, y double, bins binary, left_over double")
+    return rows.select("bins", "left_over").mapInArrow(per_batch, "bins binary, left_over binary")
 
 
 class _TreeParams(HasInputCols, HasLabelCol, HasPredictionCol):
@@ -681,11 +867,11 @@ class HistogramTrees(Estimator, _TreeParams):
         settings = self.tree_settings()
         keys = self.getOrDefault(self.keyCols) if self.isSet(self.keyCols) else []
         data = binned(dataset, self.getInputCols(), self.getLabelCol(), keys, settings.max_bins)
-        kept = data.rows.persist(StorageLevel.MEMORY_AND_DISK)
+        data = data.kept()
         try:
-            return self.grown(replace(data, rows=kept))
+            return self.grown(data)
         finally:
-            kept.unpersist()
+            data.release()
 
     def grown(self, data: BinnedRows) -> HistogramTreesModel:
         """The model, from rows that are binned already."""

@@ -126,7 +126,8 @@ def h2_best_first_tree(spark, sf_dir):
 def _training(store, spark, sf_dir):
     """The training set of the newest feature version, and its features without retired columns."""
     training = store.create_training_set(tables.spine(spark, sf_dir), [FeatureLookup(tables.NAME, "id")], "price")
-    return training, training.load_df()
+    # Written once: a fit and a score are several readings of the same joins.
+    return training, written(training.load_df(), "training")
 
 
 @query("h3_boosted_trees", over("training", f"SELECT id, price, true AS better_than_mean FROM training WHERE {BUCKET} >= 80"))

@@ -238,3 +238,47 @@ def test_search_does_not_follow_the_partitioning(spark):
     assert values[0] == pytest.approx(values[1], rel=1e-12) and found[0].best_trial["metrics"]["r2"] > 0.5
     column = compiled.prediction(found[0].model)
     assert predicted(rows, column) == pytest.approx(predicted(with_prediction(rows, found[0].model), F.col("prediction")))
+
+
+def test_binning_and_growing_read_the_rows_once(spark, table):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = table.mapInArrow(counted, table.schema)
+    model = models.fit_trees({"boosting": models.boosting(INPUTS, "y", {"n_estimators": 3, "max_depth": 2})}, rows, ["id"])["boosting"]
+    assert read.value == 402 and len(model.stages[-1].ensemble.trees) == 3
+
+
+def test_boosting_takes_few_jobs(spark, monkeypatch, table):
+    monkeypatch.setattr(trees, "KEPT_EVERY", 2)
+    expected = grown(fit(table, "boosting", n_estimators=6, max_depth=3).ensemble)
+    data = binned(table, INPUTS, "y", ["id"], 32).kept()
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 1)
+    spark.sparkContext.setJobGroup("boosting", "")
+    found = trees.grow_boosting(data, TreeSettings(n_estimators=6, max_depth=3))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    data.release()
+    # A pass for each level, without a shuffle; beside these, what is kept (the rows, and every second tree's rest) is filled.
+    assert grown(found) == expected and jobs <= 6 * 3 + 4
+
+
+def test_rows_are_brought_together_only_where_that_moves_less(table):
+    data = binned(table, INPUTS, "y", ["id"], 32)
+    opened = {tree: (np.arange(256, 512), np.full(256, 100_000)) for tree in range(100)}
+    for depth, moved in ((10, False), (25, True)):
+        small = []
+        settings = TreeSettings(max_depth=depth, max_features=1)
+        waiting = trees._Growth(data, data.blocks(), settings, range(100), "y", True)._apart(opened, small)
+        assert (bool(small), bool(waiting)) == (moved, not moved)
+
+
+def test_draws_follow_the_law_at_every_bound():
+    keys = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 300_000)
+    salt = trees._mixed(np.array([42], dtype=np.int64).view(np.uint64) ^ trees._mixed(np.array([3], dtype=np.uint64)))
+    share = (trees._mixed(keys.view(np.uint64) ^ salt) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    assert (drawn(keys, 3, 42) == np.searchsorted(trees._DRAWN, share, side="right")).all()
