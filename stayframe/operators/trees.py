@@ -102,10 +102,15 @@ class TreeSettings:
 
 def _mixed(values: np.ndarray) -> np.ndarray:
     """64-bit values spread over all their bits."""
+    # In place, as rows times trees go through here.
     values = values + np.uint64(0x9E3779B97F4A7C15)
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
+    shifted = values >> np.uint64(30)
+    for factor, shift in ((0xBF58476D1CE4E5B9, 27), (0x94D049BB133111EB, 31)):
+        values ^= shifted
+        values *= np.uint64(factor)
+        np.right_shift(values, np.uint64(shift), out=shifted)
+    values ^= shifted
+    return values
 
 
 _DRAWN = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
@@ -747,8 +752,9 @@ def _tasks(spark: SparkSession) -> int:
 
 
 def _pieces(spark: SparkSession, n: int) -> int:
-    """Partitions of binned rows: one for each core if there are rows for that, more if they would get long."""
-    return max(1, min(spark.sparkContext.defaultParallelism, -(-n // 8192)), -(-n // (1 << 19)))
+    """Partitions of binned rows: one for each core if there are rows for that, twice or more times as many if they would get long."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(cores, -(-n // 8192)), cores * -(-n // (cores << 20)))
 
 
 def _spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:

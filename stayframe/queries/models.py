@@ -40,7 +40,8 @@ def h1_linear_regression(spark, sf_dir):
 
 
 def split_tracking(spark, sf_dir, share):
-    return prepare.key_split(tracking_rows(load_listings(spark, sf_dir)), "id", share)
+    # Written once: training, scoring and judging are several readings.
+    return prepare.key_split(written(tracking_rows(load_listings(spark, sf_dir)), "tracking"), "id", share)
 
 
 def _inputs(rows):

@@ -282,3 +282,10 @@ def test_draws_follow_the_law_at_every_bound():
     salt = trees._mixed(np.array([42], dtype=np.int64).view(np.uint64) ^ trees._mixed(np.array([3], dtype=np.uint64)))
     share = (trees._mixed(keys.view(np.uint64) ^ salt) >> np.uint64(11)).astype(np.float64) / 2.0**53
     assert (drawn(keys, 3, 42) == np.searchsorted(trees._DRAWN, share, side="right")).all()
+
+
+def test_tracking_rows_are_cleaned_once_for_all_readings(spark, sf_dir, plan):
+    from stayframe.queries.models import split_tracking
+
+    for side in split_tracking(spark, sf_dir, 0.25):
+        assert "o_orderkey" not in plan(side) and "o_totalprice" not in plan(side)
