@@ -7,7 +7,7 @@ import math
 import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
@@ -86,8 +86,7 @@ def regress(
     )
     data = None
     if any(kind in _TREES for kind in grid):
-        data = binned(train, columns, target_col, [key], TreeSettings().max_bins)
-        data = replace(data, rows=data.rows.persist(StorageLevel.MEMORY_AND_DISK))
+        data = binned(train, columns, target_col, [key], TreeSettings().max_bins).kept()
     unknown = sorted(set(grid) - {"linear", *_TREES})
     if unknown:
         raise ValueError(f"unknown kinds {unknown}")
@@ -112,8 +111,10 @@ def regress(
             target = inheritable_thread_target(df.sparkSession)(trial)
             done = [result for result in pool.map(target, range(len(candidates))) if result is not None]
     finally:
-        for frame in (train, held_out, labelled, *([data.rows] if data else [])):
+        for frame in (train, held_out, labelled):
             frame.unpersist()
+        if data:
+            data.release()
     if any(result["metrics"]["mse"] is None for result in done):
         raise ValueError("no rows were held out to measure the trials on")
     sign = -1 if larger_is_better(primary_metric) else 1

@@ -289,3 +289,16 @@ def test_tracking_rows_are_cleaned_once_for_all_readings(spark, sf_dir, plan):
 
     for side in split_tracking(spark, sf_dir, 0.25):
         assert "o_orderkey" not in plan(side) and "o_totalprice" not in plan(side)
+
+
+def test_trees_of_a_search_take_a_job_a_level(spark, monkeypatch):
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 1)
+    rows = spark.range(500).select("id", ((F.col("id") * 37) % 101).cast("double").alias("y"), (F.col("id") % 97).alias("n"), (F.col("id") % 13).alias("m"))
+    jobs = []
+    for number in (4, 7):
+        spark.sparkContext.setJobGroup(f"search-{number}", "")
+        search.regress(rows, "y", "id", grid={"boosting": [{"maxIter": number, "maxDepth": 3}]})
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"search-{number}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Three more trees of three levels, and what is left over kept once.
+    assert 9 <= jobs[1] - jobs[0] <= 9 + 2
