@@ -302,3 +302,11 @@ def test_trees_of_a_search_take_a_job_a_level(spark, monkeypatch):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     # Three more trees of three levels, and what is left over kept once.
     assert 9 <= jobs[1] - jobs[0] <= 9 + 2
+
+
+def test_equal_trees_whoever_adds_up_the_histograms(monkeypatch, table):
+    settings = {"n_estimators": 3, "max_depth": 5, "max_features": 0.7}
+    expected = grown(fit(table, **settings).ensemble)
+    for name, value in {"LOCAL_ROWS": 1, "DRIVER_BYTES": 0, "EXACT_ROWS": 30, "BLOCK_ROWS": 1, "CHUNK_CELLS": 500}.items():
+        monkeypatch.setattr(trees, name, value)
+    assert grown(fit(table.repartition(20), **settings).ensemble) == expected
