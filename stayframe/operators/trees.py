@@ -44,8 +44,12 @@ EXACT_ROWS = 1 << 20
 CHUNK_CELLS = 1 << 16
 #: Bytes of histograms, of all tasks, up to which the driver adds them up itself.
 DRIVER_BYTES = 1 << 24
-#: What a pass costs besides its histograms, in bytes shuffled in the same time.
-PASS_BYTES = 1 << 23
+#: What a pass costs besides its histograms, in bytes shuffled in the same time: as a job, and for every row and tree it goes through.
+PASS_BYTES, PASS_ROW_BYTES = 1 << 23, 0.5
+#: Histogram cells that are searched for splits together; so few stay in a core's cache.
+SPLIT_CELLS = 1 << 16
+#: Rows whose subtrees are grown one after the other; so few stay in a core's cache.
+CACHED_ROWS = 1 << 16
 #: Labels are split into two whole numbers of so many bits, high and low.
 HIGH_BITS, LOW_BITS = 27, 28
 #: Boosting keeps what is left over in memory after so many trees, so that later passes need not work it out again.
@@ -130,7 +134,7 @@ def _drawn_table() -> np.ndarray:
     """How often a row is drawn, by the first 12 bits of its hash; -1 where these do not tell."""
     first = np.searchsorted(_DRAWN, np.arange(4096) / 4096.0, side="right")
     last = np.searchsorted(_DRAWN, (np.arange(1, 4097) - 2.0**-41) / 4096.0, side="right")
-    return np.where(first == last, first, -1)
+    return np.where(first == last, first, -1).astype(np.int8)
 
 
 _BY_FIRST_BITS = _drawn_table()
@@ -224,7 +228,10 @@ class Labels:
         return high.astype(np.int64), np.rint((scaled - high) * 2.0**LOW_BITS).astype(np.int64)
 
     def joined(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        return np.ldexp(high.astype(np.float64) + low.astype(np.float64) / 2.0**LOW_BITS, -self.exponent)
+        out = low * 2.0**-LOW_BITS
+        out += high
+        # A power of two scales exactly, like ldexp, which is far slower.
+        return out * 2.0**-self.exponent if abs(self.exponent) < 1000 else np.ldexp(out, -self.exponent)
 
 
 @dataclass(frozen=True)
@@ -240,22 +247,44 @@ class Splits:
     left_total: np.ndarray
 
 
-def best_splits(cells: np.ndarray, features: np.ndarray, labels: Labels, settings: TreeSettings) -> Splits:
-    """``cells[node, k, bin]`` holds the drawn rows, high and low labels of the k-th of a node's ``features``.
+def best_splits(
+    weight: np.ndarray, high: np.ndarray, low: np.ndarray, features: np.ndarray, labels: Labels, settings: TreeSettings
+) -> Splits:
+    """``weight[node, k, bin]`` holds the drawn rows for the k-th of a node's ``features``, ``high`` and ``low`` their labels' sums.
 
-    Of equal gains that of the first feature and bin counts.
+    All are whole numbers, as doubles only if these hold their sums exactly. Of equal gains that of the first feature and bin counts.
     """
-    n, k, bins, _ = cells.shape
-    sums = np.cumsum(cells, axis=2)
-    weight, total = sums[:, 0, -1, 0], labels.joined(sums[:, 0, -1, 1], sums[:, 0, -1, 2])
-    left = sums[:, :, :-1, :]
-    left_weight, left_total = left[..., 0], labels.joined(left[..., 1], left[..., 2])
+    n, k, bins = weight.shape
+    step = max(1, SPLIT_CELLS // max(3 * k * bins, 1))
+    found = [
+        _best_splits(*[np.cumsum(sums[at : at + step], axis=2) for sums in (weight, high, low)], features[at : at + step], labels, settings)
+        for at in range(0, max(n, 1), step)
+    ]
+    return _joined_splits(found)
+
+
+def _joined_splits(found: Sequence[Splits]) -> Splits:
+    if len(found) == 1:
+        return found[0]
+    return Splits(*[np.concatenate([getattr(part, name) for part in found]) for name in Splits.__dataclass_fields__])
+
+
+def _best_splits(weights: np.ndarray, highs: np.ndarray, lows: np.ndarray, features: np.ndarray, labels: Labels, settings: TreeSettings) -> Splits:
+    """Of sums over all bins up to each."""
+    n, _, bins = weights.shape
+    weight, total = weights[:, 0, -1], labels.joined(highs[:, 0, -1], lows[:, 0, -1])
+    left_weight, left_total = weights[:, :, :-1], labels.joined(highs[:, :, :-1], lows[:, :, :-1])
     right_weight = weight[:, None, None] - left_weight
-    right_total = labels.joined(sums[:, :1, -1:, 1] - left[..., 1], sums[:, :1, -1:, 2] - left[..., 2])
+    right_total = labels.joined(highs[:, :1, -1:] - highs[:, :, :-1], lows[:, :1, -1:] - lows[:, :, :-1])
     own = total * total / np.maximum(weight, 1)
-    gain = left_total**2 / np.maximum(left_weight, 1) + right_total**2 / np.maximum(right_weight, 1) - own[:, None, None]
-    allowed = (left_weight >= settings.min_samples_leaf) & (right_weight >= settings.min_samples_leaf)
-    gain = np.where(allowed, gain, -1.0).reshape(n, -1)
+    gain = left_total * left_total
+    gain /= np.maximum(left_weight, 1)
+    right_total *= right_total
+    right_total /= np.maximum(right_weight, 1)
+    gain += right_total
+    gain -= own[:, None, None]
+    gain[(left_weight < settings.min_samples_leaf) | (right_weight < settings.min_samples_leaf)] = -1.0
+    gain = gain.reshape(n, -1)
     best = np.argmax(gain, axis=1) if gain.shape[1] else np.zeros(n, dtype=np.int64)
     if not gain.shape[1]:
         gain = np.full((n, 1), -1.0)
@@ -267,8 +296,8 @@ def best_splits(cells: np.ndarray, features: np.ndarray, labels: Labels, setting
         good[:] = False
         left_weight, left_total = weight[:, None, None], total[:, None, None]
     return Splits(
-        np.where(good, features[rows, which], -1), np.where(good, at, 0), np.where(good, gained, 0.0), weight, total,
-        left_weight[rows, which, at], left_total[rows, which, at],
+        np.where(good, features[rows, which], -1), np.where(good, at, 0), np.where(good, gained, 0.0), weight.astype(np.int64), total,
+        left_weight[rows, which, at].astype(np.int64), left_total[rows, which, at],
     )
 
 
@@ -307,25 +336,32 @@ def grown_from_rows(
     """The nodes from ``node`` down, in parts with the columns of a :class:`Tree`; the rows are those that reach it."""
     n_features = bins.shape[1]
     k = settings.features_per_node(n_features)
-    numbers = np.array([node], dtype=np.int64)
-    slots = np.zeros(len(bins), dtype=np.int64)
-    weighted = [values.astype(np.float64) for values in (weight, weight * high, weight * low)]
+    step = max(1, min(CELLS, SPLIT_CELLS) // (k * n_bins * 3))
     parts: list[list[np.ndarray]] = []
-    while len(numbers):
+    # Rows stay in the order of their nodes, so that those of some nodes are a slice.
+    weighted = [values.astype(np.float64) for values in (weight, weight * high, weight * low)]
+    waiting = [(np.array([node], dtype=np.int64), np.zeros(len(bins), dtype=np.int64), np.ascontiguousarray(bins.T), weighted)]
+    while waiting:
+        numbers, slots, columns, weighted = waiting.pop()
         depth = int(numbers[0]).bit_length() - 1
         features = considered(tree, numbers, n_features, k, settings.random_state)
-        step = max(1, CELLS // (k * n_bins * 3))
-        order = None if step >= len(numbers) else np.argsort(slots, kind="stable")
-        bounds = None if order is None else np.searchsorted(slots[order], np.arange(len(numbers) + 1))
+        flat, n = columns.reshape(-1), columns.shape[1]
+        places = np.arange(n)
+        column_starts = features * n
+        bounds = np.searchsorted(slots, np.arange(0, len(numbers) + step, step))
         found = []
-        for at in range(0, len(numbers), step):
+        for at, start, end in zip(range(0, len(numbers), step), bounds, bounds[1:], strict=False):
             to = min(at + step, len(numbers))
-            rows = None if order is None else order[bounds[at] : bounds[to]]
-            own, sums = (slots, weighted) if rows is None else (slots[rows] - at, [values[rows] for values in weighted])
-            cells = np.zeros((k, 3, (to - at) * n_bins))
-            _add_histogram(cells, own, features[at:to], bins, rows, n_bins, sums)
-            found.append(best_splits(_by_node(cells, n_bins), features[at:to], labels, settings))
-        splits = Splits(*[np.concatenate([getattr(part, name) for part in found]) for name in Splits.__dataclass_fields__])
+            own = slots[start:end] - at
+            first, some = own * n_bins, [values[start:end] for values in weighted]
+            sums = np.empty((3, to - at, k, n_bins))
+            for j in range(k):
+                bin_of = columns[j, start:end] if k == n_features else flat[column_starts[at:to, j][own] + places[start:end]]
+                cell = first + bin_of
+                for i in range(3):
+                    sums[i, :, j] = np.bincount(cell, some[i], (to - at) * n_bins).reshape(-1, n_bins)
+            found.append(best_splits(*sums, features[at:to], labels, settings))
+        splits = _joined_splits(found)
         inner = splits.feature >= 0
         parts.append([numbers, splits.feature, splits.bin, splits.gain, splits.weight, splits.total])
         # Children of the nodes that are split; those that cannot be split again are leaves at once.
@@ -334,15 +370,25 @@ def grown_from_rows(
         leaf = ~again
         nothing = np.zeros(int(leaf.sum()))
         parts.append([child_number[leaf], nothing - 1, nothing, nothing, child_weight[leaf], child_total[leaf]])
-        slot_of_child = np.where(again, np.cumsum(again) - 1, -1)
-        rank = np.cumsum(inner) - 1
-        live = inner[slots]
-        bins, slots, weighted = bins[live], slots[live], [values[live] for values in weighted]
-        beyond = bins[np.arange(len(bins)), splits.feature[slots]] > splits.bin[slots]
-        slots = slot_of_child[2 * rank[slots] + beyond]
-        live = slots >= 0
-        bins, slots, weighted = bins[live], slots[live], [values[live] for values in weighted]
+        if not again.any():
+            continue
+        slot_of_child = np.full((len(numbers), 2), -1, dtype=np.int64)
+        slot_of_child[inner] = np.where(again, np.cumsum(again) - 1, -1).reshape(-1, 2)
+        beyond = flat[(np.maximum(splits.feature, 0) * n)[slots] + places] > splits.bin.astype(np.uint8)[slots]
+        slots = slot_of_child.reshape(-1)[2 * slots + beyond]
         numbers = child_number[again]
+        order = np.flatnonzero(slots >= 0)
+        # Numbers of 16 bits are sorted in linear time.
+        order = order[np.argsort(slots[order].astype(np.min_scalar_type(len(numbers))), kind="stable")]
+        slots, columns, weighted = slots[order], columns.take(order, axis=1), [values[order] for values in weighted]
+        ends = np.searchsorted(slots, np.arange(len(numbers)), side="right")
+        at = 0
+        while at < len(numbers):
+            start = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, start + CACHED_ROWS, side="right")))
+            end = ends[to - 1]
+            waiting.append((numbers[at:to], slots[start:end] - at, np.ascontiguousarray(columns[:, start:end]), [values[start:end] for values in weighted]))
+            at = to
     return parts
 
 
@@ -497,7 +543,7 @@ def _reaching(block: tuple, partial: Mapping[int, tuple], seed: int | None) -> I
         some, weight = np.arange(len(bins)), np.ones(len(bins), dtype=np.int64)
         if seed is not None:
             weight = drawn(keys, tree, seed)
-            some = np.flatnonzero(weight)
+            some = np.flatnonzero(weight != 0)
             weight = weight[some]
         slot = slots[router.places(bins, some)]
         if len(slot) and slot.min() < 0:
@@ -515,6 +561,8 @@ class _Growth:
         self.pieces = _pieces(blocks.sparkSession, data.n)
         self.parts: dict[int, list[list]] = {tree: [] for tree in trees}
         self.width = len(data.bounds)
+        # Many trees are dealt over all cores by larger nodes, too.
+        self.local_rows = LOCAL_ROWS * min(8, max(1, len(self.trees) // blocks.sparkSession.sparkContext.defaultParallelism))
 
     def grow(self) -> list[Tree]:
         root, n = np.array([1], dtype=np.int64), np.array([self.data.n], dtype=np.int64)
@@ -546,20 +594,24 @@ class _Growth:
     def _apart(self, opened: Mapping[int, tuple], small: list) -> dict[int, np.ndarray]:
         """Nodes that take a pass. Those that few rows reach go to ``small``, if bringing these rows together moves less than
         the histograms of all levels below do."""
-        few = {tree: (numbers[own], weight[own]) for tree, (numbers, weight) in opened.items() if (own := weight <= LOCAL_ROWS).any()}
+        limit = self.local_rows
+        few = {tree: (numbers[own], weight[own]) for tree, (numbers, weight) in opened.items() if (own := weight <= limit).any()}
         if few:
             weight = sum(int(own.sum()) for _, own in few.values())
             nodes = sum(len(numbers) for numbers, _ in few.values())
             depth = min(int(numbers[0]).bit_length() - 1 for numbers, _ in few.values())
             most = max(1, weight // max(self.settings.min_samples_leaf, 1))
             cells = self.settings.features_per_node(self.width) * self.data.n_bins * 24 * self.pieces
-            others = any((own > LOCAL_ROWS).any() for _, own in opened.values())
+            # Larger nodes take about so many levels of passes anyway.
+            largest = max(int(own.max()) for _, own in opened.values())
+            shared = math.ceil(math.log2(largest / limit)) if largest > limit else 0
+            one_pass = PASS_BYTES + PASS_ROW_BYTES * self.data.n * len(few)
             passes = sum(
-                min(nodes * 2.0**level, most) * cells + (0 if others else PASS_BYTES) for level in range(self.settings.max_depth - depth)
+                min(nodes * 2.0**level, most) * cells + (0 if level < shared else one_pass) for level in range(self.settings.max_depth - depth)
             )
             if passes > weight * (self.width + 9):
                 small.append(few)
-                opened = {tree: (numbers[own], weight[own]) for tree, (numbers, weight) in opened.items() if (own := weight > LOCAL_ROWS).any()}
+                opened = {tree: (numbers[own], weight[own]) for tree, (numbers, weight) in opened.items() if (own := weight > limit).any()}
         return {tree: np.sort(numbers) for tree, (numbers, _) in opened.items()}
 
     def _reachable(self, nodes: Mapping[int, tuple]) -> dict[int, tuple]:
@@ -655,7 +707,7 @@ class _Growth:
         def split_of(tree: int, chunk: int, parts: Sequence[bytes]) -> Splits:
             numbers = partial[tree][2][chunk * per_chunk : (chunk + 1) * per_chunk]
             cells = sum(np.frombuffer(part, dtype=np.int64) for part in parts).reshape(len(numbers), k, n_bins, 3)
-            return best_splits(cells, own[tree][chunk * per_chunk : (chunk + 1) * per_chunk], labels, settings)
+            return best_splits(*np.moveaxis(cells, 3, 0), own[tree][chunk * per_chunk : (chunk + 1) * per_chunk], labels, settings)
 
         def split(table: pa.Table) -> pa.Table:
             tree, chunk = table["tree"][0].as_py(), table["chunk"][0].as_py()

@@ -310,3 +310,38 @@ def test_equal_trees_whoever_adds_up_the_histograms(monkeypatch, table):
     for name, value in {"LOCAL_ROWS": 1, "DRIVER_BYTES": 0, "EXACT_ROWS": 30, "BLOCK_ROWS": 1, "CHUNK_CELLS": 500}.items():
         monkeypatch.setattr(trees, name, value)
     assert grown(fit(table.repartition(20), **settings).ensemble) == expected
+
+
+def test_many_trees_take_few_passes(monkeypatch, table):
+    """Trees that are many enough for all cores are finished at larger nodes; passes over the rows are counted."""
+    settings = {"n_estimators": 24, "max_depth": 6, "min_samples_leaf": 2}
+    passes, one_pass = [], trees._Growth._pass
+    monkeypatch.setattr(trees._Growth, "_pass", lambda self, nodes: passes.append(len(nodes)) or one_pass(self, nodes))
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 150)
+    few = grown(fit(table, **settings).ensemble)
+    assert len(passes) <= 1
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 1)
+    assert grown(fit(table, **settings).ensemble) == few and len(passes) >= 6
+
+
+def test_local_growth_in_small_pieces(monkeypatch):
+    """Splits are searched for in few cells at a time, and subtrees grown one after the other; the nodes are the same."""
+    rng = np.random.default_rng(4)
+    n, bins = 3000, 16
+    rows = rng.integers(0, bins, (n, 5)).astype(np.uint8)
+    labels = trees.Labels(10)
+    drawn_rows = (rows, rng.integers(1, 4, n), *labels.split(rng.gamma(2, 300, n) + 40.0 * rows[:, 1]))
+    settings = TreeSettings.of({"max_depth": 12, "max_features": 0.6, "min_samples_leaf": 2})
+    largest, search_cells = [], trees._best_splits
+    monkeypatch.setattr(trees, "_best_splits", lambda sums, *rest: largest.append(sums.size) or search_cells(sums, *rest))
+
+    def nodes():
+        tree = trees._tree(trees.grown_from_rows(0, 1, *drawn_rows, bins, labels, settings))
+        return [getattr(tree, name).tolist() for name, _ in trees._COLUMNS]
+
+    expected = nodes()
+    assert len(expected[0]) > 500 and max(largest) * 3 <= trees.SPLIT_CELLS
+    largest.clear()
+    monkeypatch.setattr(trees, "SPLIT_CELLS", 3 * 3 * bins * 4)
+    monkeypatch.setattr(trees, "CACHED_ROWS", 100)
+    assert nodes() == expected and max(largest) <= 4 * 3 * bins
