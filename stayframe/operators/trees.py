@@ -50,6 +50,10 @@ PASS_BYTES, PASS_ROW_BYTES = 1 << 23, 0.5
 SPLIT_CELLS = 1 << 16
 #: Rows whose subtrees are grown one after the other; so few stay in a core's cache.
 CACHED_ROWS = 1 << 16
+#: Levels of a tree that are looked up at once; the nodes below them are bits of one number.
+LOOKED_UP = 6
+#: Rows from which the tables for that are worth building.
+LEAST_LOOKED_UP = 4096
 #: Labels are split into two whole numbers of so many bits, high and low.
 HIGH_BITS, LOW_BITS = 27, 28
 #: Boosting keeps what is left over in memory after so many trees, so that later passes need not work it out again.
@@ -191,6 +195,17 @@ def _tree(parts: Sequence[Sequence[np.ndarray]]) -> Tree:
     return Tree(*[values[order] for values in arrays])
 
 
+class Pairs:
+    """The bins of every two neighbouring features of rows as one number; worked out once for all trees."""
+
+    def __init__(self, bins: np.ndarray, n_bins: int):
+        self.bins, self.side = bins, n_bins
+        width = bins.shape[1]
+        self.numbers = [
+            bins[:, f].astype(np.int64) * n_bins + bins[:, f + 1] if f + 1 < width else bins[:, f].astype(np.int64) for f in range(0, width, 2)
+        ]
+
+
 class Router:
     """Finds the node that rows reach in a tree."""
 
@@ -200,6 +215,7 @@ class Router:
         left = np.where(inner, tree.left, np.arange(len(inner))).astype(np.int64)
         self.code = (left << 32) | (np.where(inner, tree.feature, 0).astype(np.int64) << 8) | np.where(inner, tree.bin, 255)
         self.steps = int(tree.number[-1]).bit_length() - 1
+        self.looked_up: tuple | None = None
 
     def places(self, bins: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
         """Of all rows of ``bins``, or of these."""
@@ -209,12 +225,59 @@ class Router:
             return np.zeros(len(bins) if rows is None else len(rows), dtype=np.int64)
         root = int(self.code[0])
         at = (flat[starts + (root >> 8 & 0xFFFFFF)] > (root & 255)) + (root >> 32)
-        for _ in range(self.steps - 1):
+        return self._walked(flat, starts, at, self.steps - 1)
+
+    def _walked(self, flat: np.ndarray, starts: np.ndarray, at: np.ndarray, steps: int) -> np.ndarray:
+        for _ in range(steps):
             code = self.code[at]
             at = code >> 32
             at += flat[starts + (code >> 8 & 0xFFFFFF)] > (code & 255).astype(np.uint8)
         return at
 
+    def places_of(self, pairs: Pairs, rows: np.ndarray | None = None) -> np.ndarray:
+        """As :meth:`places`. The first levels are looked up: of each pair of bins, in which nodes of that depth a row can be."""
+        width = pairs.bins.shape[1]
+        known = self.looked_up is not None and self.looked_up[0] == pairs.side
+        if self.steps < 4 or pairs.side > 64 or width > 16 or (not known and len(pairs.bins) < LEAST_LOOKED_UP):
+            return self.places(pairs.bins, rows)
+        if not known:
+            self.looked_up = pairs.side, *self._tables(pairs.side, width)
+        _, tables, place = self.looked_up
+        left = None
+        for table, number in zip(tables, pairs.numbers, strict=True):
+            found = table[number if rows is None else number[rows]]
+            left = found if left is None else np.bitwise_and(left, found, out=left)
+        # One bit is left, that of the node; the number of ones below it is its rank.
+        left -= np.uint64(1)
+        at = place[np.bitwise_count(left)]
+        if self.steps > LOOKED_UP:
+            starts = np.arange(0, pairs.bins.size, width) if rows is None else rows * width
+            at = self._walked(pairs.bins.reshape(-1), starts, at, self.steps - LOOKED_UP)
+        return at
+
+    def _tables(self, side: int, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Per pair of features, for each pair of bins, the nodes ``LOOKED_UP`` levels down (or leaves above) that allow it, as bits."""
+        nodes = [(0, np.zeros(width, dtype=np.int64), np.full(width, side, dtype=np.int64))]
+        for _ in range(LOOKED_UP):
+            below = []
+            for at, low, high in nodes:
+                code = int(self.code[at])
+                place, feature, cut = code >> 32, code >> 8 & 0xFFFFFF, code & 255
+                if place == at:
+                    below.append((at, low, high))
+                    continue
+                left_high, right_low = high.copy(), low.copy()
+                left_high[feature], right_low[feature] = min(high[feature], cut + 1), max(low[feature], cut + 1)
+                below += [(place, low, left_high), (place + 1, right_low, high)]
+            nodes = below
+        low, high = (np.stack([node[i] for node in nodes]) for i in (1, 2))
+        bit = np.uint64(1) << np.arange(len(nodes), dtype=np.uint64)
+        bins = np.arange(side)
+        allowed = (low[:, :, None] <= bins) & (bins < high[:, :, None])
+        bits = np.bitwise_or.reduce(np.where(allowed, bit[:, None, None], np.uint64(0)), axis=0)
+        tables = [(bits[f][:, None] & bits[f + 1]).reshape(-1) if f + 1 < width else bits[f] for f in range(0, width, 2)]
+        return tables, np.array([node[0] for node in nodes], dtype=np.int64)
+
 
 @dataclass(frozen=True)
 class Labels:
@@ -536,16 +599,17 @@ def _blocks_of(batch: pa.RecordBatch, width: int, labels: Labels) -> Iterator[tu
         yield keys, np.frombuffer(packed, dtype=np.uint8).reshape(len(values), width), *labels.split(values)
 
 
-def _reaching(block: tuple, partial: Mapping[int, tuple], seed: int | None) -> Iterator[tuple]:
+def _reaching(block: tuple, partial: Mapping[int, tuple], seed: int | None, n_bins: int) -> Iterator[tuple]:
     """(tree, slots, rows, weights) of the drawn rows of a block that reach wanted nodes; without a seed all rows are drawn once."""
     keys, bins, _, _ = block
+    pairs = Pairs(bins, n_bins)
     for tree, (router, slots, _) in partial.items():
         some, weight = np.arange(len(bins)), np.ones(len(bins), dtype=np.int64)
         if seed is not None:
             weight = drawn(keys, tree, seed)
             some = np.flatnonzero(weight != 0)
             weight = weight[some]
-        slot = slots[router.places(bins, some)]
+        slot = slots[router.places_of(pairs, some)]
         if len(slot) and slot.min() < 0:
             live = np.flatnonzero(slot >= 0)
             slot, some, weight = slot[live], some[live], weight[live]
@@ -689,7 +753,7 @@ class _Growth:
                             found[:] = 0.0
                         since = 0
                     since += len(bins)
-                    for tree, slot, rows, weight in _reaching(block, partial, seed):
+                    for tree, slot, rows, weight in _reaching(block, partial, seed, n_bins):
                         times = weight.astype(np.float64)
                         _add_histogram(sums[tree], slot, own[tree], bins, rows, n_bins, [times, high[rows] * times, low[rows] * times])
             for tree, found in sums.items():
@@ -744,7 +808,7 @@ class _Growth:
             for batch in batches:
                 for block in _blocks_of(batch, width, labels):
                     _, bins, high, low = block
-                    for tree, slot, rows, weight in _reaching(block, partial, seed):
+                    for tree, slot, rows, weight in _reaching(block, partial, seed, n_bins):
                         order = np.argsort(slot.astype(np.min_scalar_type(len(partial[tree][2]))), kind="stable")
                         rows = rows[order]
                         cuts = np.searchsorted(slot[order], np.arange(len(partial[tree][2]) + 1))
@@ -824,14 +888,14 @@ class Ensemble:
 
     def walker(self) -> Callable[[np.ndarray], np.ndarray]:
         """What predicts rows of feature values; it holds no more than that takes."""
-        bounds = self.bounds
+        bounds, n_bins = self.bounds, max((len(own) + 1 for own in self.bounds), default=1)
         steps = [(Router(tree), tree.value * weight) for tree, weight in zip(self.trees, self.weights, strict=True)]
 
         def walk(x: np.ndarray) -> np.ndarray:
-            bins = _bins(x, bounds)
+            pairs = Pairs(_bins(x, bounds), n_bins)
             total = np.zeros(len(x))
             for router, values in steps:
-                total += values[router.places(bins)]
+                total += values[router.places_of(pairs)]
             return total
 
         return walk

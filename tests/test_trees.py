@@ -345,3 +345,18 @@ def test_local_growth_in_small_pieces(monkeypatch):
     monkeypatch.setattr(trees, "SPLIT_CELLS", 3 * 3 * bins * 4)
     monkeypatch.setattr(trees, "CACHED_ROWS", 100)
     assert nodes() == expected and max(largest) <= 4 * 3 * bins
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_looked_up_levels_lead_to_the_same_places(width):
+    rng = np.random.default_rng(6)
+    n, bins = 6000, 32
+    rows = rng.integers(0, bins, (n, width)).astype(np.uint8)
+    labels = trees.Labels(10)
+    ones = np.ones(n, dtype=np.int64)
+    parts = trees.grown_from_rows(0, 1, rows, ones, *labels.split(rng.gamma(2, 300, n)), bins, labels, TreeSettings(max_depth=11))
+    tree, some = trees._tree(parts), np.flatnonzero(rows[:, 0] % 3)
+    for depth in (1, 3, 4, 5, 6, 7, 9, 11):
+        router, pairs = trees.Router(tree.without(tree.number[tree.number >= 2**depth])), trees.Pairs(rows, bins)
+        assert (router.places_of(pairs) == router.places(rows)).all() and (router.places_of(pairs, some) == router.places(rows, some)).all()
+        assert (router.looked_up is not None) == (router.steps >= 4)
