@@ -789,7 +789,10 @@ class _Growth:
             found = {at: split_of(*at, parts) for at, parts in partials.items()}
         else:
             chunks = sum(-(-len(numbers) // per_chunk) for numbers in nodes.values())
-            best = _spread(added, chunks, "tree", "chunk").groupBy("tree", "chunk").applyInArrow(split, _SPLIT_SCHEMA)
+            # A task costs more than splitting what is small; so no more of them than cores, unless histograms are large.
+            size = wanted * k * n_bins * 24 * self.pieces
+            tasks = min(chunks, max(added.sparkSession.sparkContext.defaultParallelism, size >> 25))
+            best = _spread(added, tasks, "tree", "chunk").groupBy("tree", "chunk").applyInArrow(split, _SPLIT_SCHEMA)
             for row in best.collect():
                 found[row["tree"], row["chunk"]] = Splits(*[np.frombuffer(row[name], dtype=kind) for name, kind in _SPLIT_KINDS])
         for (tree, chunk), splits in sorted(found.items(), key=lambda item: item[0]):
